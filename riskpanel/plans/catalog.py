@@ -118,3 +118,170 @@ def q_w12_hysteresis(spark, sf_dir):
 SELECT flag, date, regime FROM reg""")
 def q_w12_hysteresis_h3(spark, sf_dir):
     return flag_regime(spark, sf_dir, h=3).select("flag", "date", "regime")
+
+
+# ------------------------------------------------------------------ quality on raw events
+from riskpanel.operators import quality as qa  # noqa: E402
+
+EV = """WITH ev AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS date,
+    CASE WHEN event_id % 7 <> 0 THEN value END AS value,
+    CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events)"""
+EVW = "(PARTITION BY user_id ORDER BY ts, event_id)"
+UD = EV + ", ud AS (SELECT DISTINCT user_id, date FROM ev)"
+
+
+def _runs_sql(col: str) -> str:
+    return (f"CAST(sum(CASE WHEN {col} IS NULL AND coalesce(lead({col} IS NULL) OVER {EVW}, FALSE)"
+            f" AND NOT coalesce(lag({col} IS NULL) OVER {EVW}, FALSE) THEN 1 ELSE 0 END) AS BIGINT)")
+
+
+@register("q_q1_null_runs", EV + f""",
+fl AS (SELECT user_id,
+    value IS NULL AND coalesce(lead(value IS NULL) OVER {EVW}, FALSE) AND NOT coalesce(lag(value IS NULL) OVER {EVW}, FALSE) AS sv,
+    event_type IS NULL AND coalesce(lead(event_type IS NULL) OVER {EVW}, FALSE) AND NOT coalesce(lag(event_type IS NULL) OVER {EVW}, FALSE) AS se
+  FROM ev),
+agg AS (SELECT user_id, CAST(sum(CAST(sv AS INT)) AS BIGINT) AS value, CAST(sum(CAST(se AS INT)) AS BIGINT) AS event_type FROM fl GROUP BY user_id)
+SELECT user_id, 'value' AS col_name, value AS n_runs FROM agg
+UNION ALL SELECT user_id, 'event_type' AS col_name, event_type AS n_runs FROM agg""")
+def q_q1_null_runs(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.count_null_runs(ev, ["value", "event_type"], keys=["user_id"], order=["ts", "event_id"], block="date")
+
+
+@register("q_q1_null_run_spans", EV + f""",
+fl AS (SELECT user_id, ts, row_number() OVER {EVW} AS pos,
+    value IS NULL AS nv, coalesce(lag(value IS NULL) OVER {EVW}, FALSE) AS pv, coalesce(lead(value IS NULL) OVER {EVW}, FALSE) AS xv,
+    event_type IS NULL AS ne, coalesce(lag(event_type IS NULL) OVER {EVW}, FALSE) AS pe, coalesce(lead(event_type IS NULL) OVER {EVW}, FALSE) AS xe
+  FROM ev),
+ed AS (SELECT user_id, 'value' AS col_name, ts, pos, (nv AND xv AND NOT pv) AS s FROM fl WHERE (nv AND xv AND NOT pv) OR (nv AND pv AND NOT xv)
+       UNION ALL
+       SELECT user_id, 'event_type' AS col_name, ts, pos, (ne AND xe AND NOT pe) AS s FROM fl WHERE (ne AND xe AND NOT pe) OR (ne AND pe AND NOT xe)),
+pr AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, col_name ORDER BY pos) AS ets,
+              lead(pos) OVER (PARTITION BY user_id, col_name ORDER BY pos) AS epos FROM ed)
+SELECT user_id, col_name, ts AS run_start, ets AS run_end, CAST(epos - pos + 1 AS BIGINT) AS length FROM pr WHERE s""")
+def q_q1_null_run_spans(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.null_run_spans(ev, ["value", "event_type"], keys=["user_id"], order=["ts", "event_id"], block="date")
+
+
+@register("q_a1_null_profile", EV + f""",
+fl AS (SELECT user_id, CAST(value IS NULL AS INT) + CAST(event_type IS NULL AS INT) AS nn,
+    CAST(value IS NULL AND coalesce(lead(value IS NULL) OVER {EVW}, FALSE) AND NOT coalesce(lag(value IS NULL) OVER {EVW}, FALSE) AS INT)
+  + CAST(event_type IS NULL AND coalesce(lead(event_type IS NULL) OVER {EVW}, FALSE) AND NOT coalesce(lag(event_type IS NULL) OVER {EVW}, FALSE) AS INT) AS runs
+  FROM ev)
+SELECT user_id, CAST(sum(nn) AS BIGINT) AS total_nulls, CAST(sum(runs) AS BIGINT) AS null_runs,
+       CAST(sum(CASE WHEN nn >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS rows_ge2_nulls,
+       CAST(sum(CASE WHEN nn >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS rows_any_null,
+       sum(CASE WHEN nn >= 1 THEN 1 ELSE 0 END) <= 15 AS detail_listed
+FROM fl GROUP BY user_id""")
+def q_a1_null_profile(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.null_profile(ev, ["value", "event_type"], keys=["user_id"], order=["ts", "event_id"], block="date")
+
+
+@register("q_p9_rows_with_nulls", EV + """
+SELECT event_id, user_id, date, value, event_type FROM ev WHERE value IS NULL OR event_type IS NULL""")
+def q_p9_rows_with_nulls(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir).select("event_id", "user_id", "date", "value", "event_type")
+    return qa.rows_with_nulls(ev, ["value", "event_type"])
+
+
+@register("q_u1_duplicate_dates", EV + """
+SELECT event_id, user_id, date, value, CAST(count(*) OVER (PARTITION BY user_id, date) AS BIGINT) AS n_dup
+FROM ev QUALIFY count(*) OVER (PARTITION BY user_id, date) > 1""")
+def q_u1_duplicate_dates(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir).select("event_id", "user_id", "date", "value")
+    return qa.find_duplicate_dates(ev, keys=["user_id"], date_col="date")
+
+
+@register("q_a2_duplicate_summary", EV + """,
+per AS (SELECT user_id, date, count(*) AS n FROM ev GROUP BY 1, 2)
+SELECT user_id, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS dup_rows,
+       CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS dup_dates,
+       CAST(sum(n) - count(*) AS BIGINT) AS extra_copies
+FROM per GROUP BY user_id""")
+def q_a2_duplicate_summary(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.duplicate_summary(ev, keys=["user_id"], date_col="date")
+
+
+@register("q_u3_keep_first", EV + """
+SELECT user_id, date, event_id, ts, value, event_type FROM ev
+QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts, event_id) = 1""")
+def q_u3_keep_first(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.resolve_duplicates(ev, "first", keys=["user_id"], date_col="date", tiebreak=["ts", "event_id"])
+
+
+@register("q_u4_keep_last", EV + """
+SELECT user_id, date, event_id, ts, value, event_type FROM ev
+QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1""")
+def q_u4_keep_last(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    return qa.resolve_duplicates(ev, "last", keys=["user_id"], date_col="date", tiebreak=["ts", "event_id"])
+
+
+@register("q_a3_take_mean", EV + f""",
+fst AS (SELECT user_id, date, ts, event_type FROM ev
+        QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts, event_id) = 1),
+mn AS (SELECT user_id, date, avg(event_id) AS event_id, avg(value) AS value FROM ev GROUP BY 1, 2)
+SELECT user_id, date, {qs("mn.event_id")} AS event_id, ts, {qs("mn.value")} AS value, event_type
+FROM fst JOIN mn USING (user_id, date)""")
+def q_a3_take_mean(spark, sf_dir):
+    ev = panels.user_events(spark, sf_dir)
+    out = qa.resolve_duplicates(ev, "mean", keys=["user_id"], date_col="date", tiebreak=["ts", "event_id"])
+    return rnd(out, ["event_id", "value"])
+
+
+@register("q_w13_unusual_gaps", UD + """,
+g AS (SELECT user_id, lag(date) OVER (PARTITION BY user_id ORDER BY date) AS prev_date, date AS next_date FROM ud),
+g2 AS (SELECT *, CAST(next_date - prev_date AS INTEGER) AS gap_days FROM g),
+g3 AS (SELECT *, coalesce(isodow(prev_date) = 5 AND isodow(next_date) = 1 AND gap_days = 3, FALSE) AS wk FROM g2)
+SELECT user_id, prev_date, next_date, gap_days FROM g3 WHERE coalesce(gap_days > 1 AND NOT wk, FALSE)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY next_date) <= 10""")
+def q_w13_unusual_gaps(spark, sf_dir):
+    ud = panels.user_events(spark, sf_dir).select("user_id", "date").distinct()
+    return qa.unusual_gaps(ud, keys=["user_id"], date_col="date", limit=10)
+
+
+@register("q_a4_gap_histogram", UD + """,
+g AS (SELECT user_id, CAST(date - lag(date) OVER (PARTITION BY user_id ORDER BY date) AS INTEGER) AS gap_days FROM ud)
+SELECT user_id, gap_days, count(*) AS n FROM g WHERE gap_days IS NOT NULL GROUP BY 1, 2""")
+def q_a4_gap_histogram(spark, sf_dir):
+    ud = panels.user_events(spark, sf_dir).select("user_id", "date").distinct()
+    return qa.gap_histogram(ud, keys=["user_id"], date_col="date")
+
+
+_GAPSTATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+
+
+@register("q_u5_gap_report", UD + f""",
+g AS (SELECT user_id, lag(date) OVER (PARTITION BY user_id ORDER BY date) AS prev_date, date FROM ud),
+g2 AS (SELECT *, CAST(date - prev_date AS INTEGER) AS gap_days FROM g),
+g3 AS (SELECT *, coalesce(isodow(prev_date) = 5 AND isodow(date) = 1 AND gap_days = 3, FALSE) AS wk FROM g2),
+c AS (SELECT user_id, CAST(sum(CAST(wk AS INT)) AS BIGINT) AS weekend_gaps,
+             CAST(sum(CAST(coalesce(gap_days > 1 AND NOT wk, FALSE) AS INT)) AS BIGINT) AS unusual_gaps FROM g3 GROUP BY 1),
+d AS (SELECT user_id, count(gap_days) AS count, avg(gap_days) AS mean, stddev_samp(gap_days) AS std,
+             CAST(min(gap_days) AS DOUBLE) AS min, quantile_cont(gap_days, 0.25) AS p25, quantile_cont(gap_days, 0.5) AS p50,
+             quantile_cont(gap_days, 0.75) AS p75, CAST(max(gap_days) AS DOUBLE) AS max
+      FROM g3 WHERE gap_days IS NOT NULL GROUP BY 1)
+SELECT c.user_id, weekend_gaps, unusual_gaps, count, {rsql(_GAPSTATS, alias_prefix="d.")}
+FROM c LEFT JOIN d USING (user_id)""")
+def q_u5_gap_report(spark, sf_dir):
+    ud = panels.user_events(spark, sf_dir).select("user_id", "date").distinct()
+    return rnd(qa.gap_report(ud, keys=["user_id"], date_col="date"), _GAPSTATS)
+
+
+@register("q_a6_valid_span", EV + """
+SELECT user_id, min(date) AS first_valid, max(date) AS last_valid FROM ev WHERE value IS NOT NULL GROUP BY 1""")
+def q_a6_valid_span(spark, sf_dir):
+    return qa.valid_span(panels.user_events(spark, sf_dir), "value", keys=["user_id"], date_col="date")
+
+
+@register("q_a21_monotonic", """
+SELECT user_id, bool_and(coalesce(ts >= lag_ts, TRUE)) AS monotonic FROM (
+  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS lag_ts FROM events) GROUP BY 1""")
+def q_a21_monotonic(spark, sf_dir):
+    ev = panels.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    ev = ev.withColumn("arrival_block", F.floor(F.col("event_id") / 1000))
+    return qa.is_monotonic(ev, "ts", keys=["user_id"], arrival="event_id", block="arrival_block")
