@@ -162,7 +162,7 @@ def drop_all_null_columns(df: DataFrame, cols: list[str] | None = None) -> DataF
 def trailing_months(df: DataFrame, months: int, *, keys: list[str], date_col: str = "date") -> DataFrame:
     """Rows within ``months`` of each key's last date."""
     mx = F.max(date_col).over(whole(keys))
-    return df.where(F.col(date_col) > F.add_months(mx, -months))
+    return df.withColumn("__mx", mx).where(F.col(date_col) > F.add_months("__mx", -months)).drop("__mx")
 
 
 def head_tail(df: DataFrame, n: int, *, keys: list[str], date_col: str = "date", tail: bool = False) -> DataFrame:

@@ -285,3 +285,151 @@ def q_a21_monotonic(spark, sf_dir):
     ev = panels.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     ev = ev.withColumn("arrival_block", F.floor(F.col("event_id") / 1000))
     return qa.is_monotonic(ev, "ts", keys=["user_id"], arrival="event_id", block="arrival_block")
+
+
+# ------------------------------------------------------------------ series preparation
+from riskpanel.functions import calendar as cal  # noqa: E402
+
+FDW = "WITH " + sp.FLAG_DAY
+FLW = "(PARTITION BY flag ORDER BY date)"
+FLR = "(PARTITION BY flag ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def flag_wide_gappy(spark, sf_dir) -> DataFrame:
+    """Daily flag panel with deterministic holes: spx_px NULL on days 6, 12,
+    18, 24, 30 of each month (exercises pad semantics and interpolation)."""
+    w = panels.flag_day_wide(spark, sf_dir)
+    return w.withColumn("spx_px", F.when(F.dayofmonth("date") % 6 != 0, F.col("spx_px")))
+
+
+GAPPY = FDW + ", gw AS (SELECT * REPLACE (CASE WHEN dayofmonth(date) % 6 <> 0 THEN spx_px END AS spx_px) FROM wide)"
+
+
+@register("q_w3_pct_change", GAPPY + f""",
+f AS (SELECT flag, date, spx_px, last_value(spx_px IGNORE NULLS) OVER {FLR} AS pf FROM gw)
+SELECT flag, date, {qs("spx_px", 4)} AS spx_px,
+       {qs(f"pf / NULLIF(lag(pf) OVER {FLW}, 0) - 1")} AS ret_pad,
+       {qs(f"spx_px / NULLIF(lag(spx_px) OVER {FLW}, 0) - 1")} AS ret_none
+FROM f""")
+def q_w3_pct_change(spark, sf_dir):
+    w = flag_wide_gappy(spark, sf_dir).select("flag", "date", "spx_px")
+    w = fx.pct_change(w, "spx_px", "ret_pad", keys=["flag"], fill="pad")
+    w = fx.pct_change(w, "spx_px", "ret_none", keys=["flag"], fill="none")
+    return w.withColumns({"spx_px": q("spx_px", 4), "ret_pad": q("ret_pad"), "ret_none": q("ret_none")})
+
+
+@register("q_w1_w2_lag_diff", FDW + f"""
+SELECT flag, date, {qs("vix")} AS vix, {qs(f"lag(vix) OVER {FLW}")} AS vix_1,
+       {qs(f"vix - lag(vix) OVER {FLW}")} AS vix_diff, {qs(f"lag(vix, 5) OVER {FLW}")} AS vix_5
+FROM wide""")
+def q_w1_w2_lag_diff(spark, sf_dir):
+    w = panels.flag_day_wide(spark, sf_dir).select("flag", "date", "vix")
+    w = fx.add_lags(w, ["vix"], keys=["flag"], n=1)
+    w = fx.diff(w, "vix", "vix_diff", keys=["flag"])
+    w = fx.add_lags(w, ["vix"], keys=["flag"], n=5)
+    return rnd(w, ["vix", "vix_1", "vix_diff", "vix_5"])
+
+
+def _roll_sql(col, lo, hi, need):
+    frame = f"(PARTITION BY flag ORDER BY date ROWS BETWEEN {lo} AND {hi})"
+    return f"CASE WHEN count({col}) OVER {frame} >= {need} THEN {qs(f'avg({col}) OVER {frame}')} END"
+
+
+@register("q_w5_w6_rolling_means", FDW + f"""
+SELECT flag, date, {_roll_sql("vix", "29 PRECEDING", "CURRENT ROW", 30)} AS vix_ma30,
+       {_roll_sql("vix", "6 PRECEDING", "5 FOLLOWING", 12)} AS vix_c12,
+       {_roll_sql("vix", "2 PRECEDING", "2 FOLLOWING", 3)} AS vix_c5_min3
+FROM wide""")
+def q_w5_w6_rolling_means(spark, sf_dir):
+    w = panels.flag_day_wide(spark, sf_dir).select("flag", "date", "vix")
+    w = fx.rolling_mean(w, "vix", "vix_ma30", 30, keys=["flag"])
+    w = fx.rolling_mean(w, "vix", "vix_c12", 12, keys=["flag"], center=True)
+    w = fx.rolling_mean(w, "vix", "vix_c5_min3", 5, keys=["flag"], center=True, min_periods=3)
+    return rnd(w.drop("vix"), ["vix_ma30", "vix_c12", "vix_c5_min3"])
+
+
+@register("q_j1_outer_align", f"""
+WITH a AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1),
+b AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS booked FROM orders GROUP BY 1)
+SELECT date, {qs("revenue", 2)} AS revenue, {qs("booked", 2)} AS booked FROM a FULL OUTER JOIN b USING (date)""")
+def q_j1_outer_align(spark, sf_dir):
+    li = panels.table(spark, sf_dir, "lineitem")
+    od = panels.table(spark, sf_dir, "orders")
+    a = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    b = od.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("booked"))
+    out = fx.outer_align(a, b, keys=[], date_col="date")
+    return out.withColumns({"revenue": q("revenue", 2), "booked": q("booked", 2)})
+
+
+@register("q_j4_reindex_daily", FDW + f""",
+b AS (SELECT flag, min(date) AS lo, max(date) AS hi FROM wide GROUP BY 1),
+sp AS (SELECT flag, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
+SELECT sp.flag, sp.date, {qs("w.vix")} AS vix, w.cpu IS NULL AS filled FROM sp LEFT JOIN wide w USING (flag, date)""")
+def q_j4_reindex_daily(spark, sf_dir):
+    w = panels.flag_day_wide(spark, sf_dir).select("flag", "date", "vix", "cpu")
+    spine = fx.daily_spine(w, keys=["flag"])
+    out = fx.reindex(w, spine, keys=["flag"])
+    return rnd(out.select("flag", "date", "vix", F.col("cpu").isNull().alias("filled")), ["vix"])
+
+
+@register("q_j3_returns_on_evidence", NM + f""",
+ev AS (SELECT nation, date FROM feat WHERE vix > 25.0)
+SELECT nation, date, {qs("spx_ret")} AS equity_ret, {qs("bond_ret")} AS bond_ret FROM feat JOIN ev USING (nation, date)""")
+def q_j3_returns_on_evidence(spark, sf_dir):
+    f = nation_features(spark, sf_dir)
+    ev = f.where(F.col("vix") > 25.0).select("nation", "date")
+    ret = f.select("nation", "date", F.col("spx_ret").alias("equity_ret"), F.col("bond_ret").alias("bond_ret"))
+    return rnd(fx.lookup_aligned(ret, ev, keys=["nation"]), ["equity_ret", "bond_ret"])
+
+
+@register("q_t2_head_tail", NM + f"""
+SELECT 'head' AS part, nation, date, {qs("vix")} AS vix FROM feat QUALIFY row_number() OVER (PARTITION BY nation ORDER BY date) <= 5
+UNION ALL
+SELECT 'tail' AS part, nation, date, {qs("vix")} AS vix FROM feat QUALIFY row_number() OVER (PARTITION BY nation ORDER BY date DESC) <= 5""")
+def q_t2_head_tail(spark, sf_dir):
+    f = nation_features(spark, sf_dir).select("nation", "date", q("vix").alias("vix"))
+    h = fx.head_tail(f, 5, keys=["nation"]).withColumn("part", F.lit("head"))
+    t = fx.head_tail(f, 5, keys=["nation"], tail=True).withColumn("part", F.lit("tail"))
+    return h.unionByName(t)
+
+
+@register("q_t4_unpivot_long", NM + f""",
+lg AS (UNPIVOT feat ON {", ".join(F8)} INTO NAME series_id VALUE value)
+SELECT nation, date, series_id, {qs("value")} AS value FROM lg""")
+def q_t4_unpivot_long(spark, sf_dir):
+    f = nation_features(spark, sf_dir)
+    return rnd(fx.to_long(f, F8, keys=["nation"]), ["value"])
+
+
+@register("q_p8_trailing_months", NM + f"""
+SELECT nation, date, {qs("vix")} AS vix FROM feat
+WHERE date > (max(date) OVER (PARTITION BY nation)) - INTERVAL 20 MONTH""".replace(
+    "WHERE date > (max(date) OVER (PARTITION BY nation)) - INTERVAL 20 MONTH",
+    "QUALIFY date > CAST(max(date) OVER (PARTITION BY nation) - INTERVAL 20 MONTH AS DATE)"))
+def q_p8_trailing_months(spark, sf_dir):
+    f = nation_features(spark, sf_dir).select("nation", "date", q("vix").alias("vix"))
+    return fx.trailing_months(f, 20, keys=["nation"])
+
+
+@register("q_f_calendar", FDW + """
+SELECT flag, date, last_day(date) AS month_end, CAST(date_trunc('week', date) AS DATE) AS week_start,
+       CAST(isodow(date) - 1 AS INTEGER) AS weekday,
+       CAST(date - min(date) OVER (PARTITION BY flag) AS INTEGER) AS day_offset,
+       CAST(date + INTERVAL (-20) MONTH AS DATE) AS minus_20m,
+       CAST(date_trunc('month', date) AS DATE) AS month_start,
+       CAST(month(date) AS INTEGER) AS month_no
+FROM wide""")
+def q_f_calendar(spark, sf_dir):
+    w = panels.flag_day_wide(spark, sf_dir).select("flag", "date")
+    label = F.date_format("date", "MMM-yy")            # e.g. 'Apr-97' (2-digit year text)
+    ym = F.concat_ws("-", F.year("date").cast("string"), F.lpad(F.month("date").cast("string"), 2, "0"))
+    return w.select(
+        "flag", "date", cal.month_end("date").alias("month_end"),
+        cal.period_start("date", "week").alias("week_start"),
+        F.weekday("date").alias("weekday"),
+        cal.days_since_first("date", ["flag"]).alias("day_offset"),
+        F.add_months("date", -20).alias("minus_20m"),
+        cal.parse_date(label, "MMM-yy", two_digit_year=True).alias("month_start"),
+        cal.month_lookup(F.date_format("date", "MMM")).alias("month_no"),
+    ).where(cal.parse_date(ym, "yyyy-MM") == F.trunc("date", "month"))
