@@ -433,3 +433,44 @@ def q_f_calendar(spark, sf_dir):
         cal.parse_date(label, "MMM-yy", two_digit_year=True).alias("month_start"),
         cal.month_lookup(F.date_format("date", "MMM")).alias("month_no"),
     ).where(cal.parse_date(ym, "yyyy-MM") == F.trunc("date", "month"))
+
+
+# ------------------------------------------------------------------ discretisation
+from riskpanel.operators import discretize as dz  # noqa: E402
+
+NODES = panels.NODES
+FEAT7 = NODES[:-1]
+
+
+def flag_long(spark, sf_dir) -> DataFrame:
+    return fx.to_long(flag_features(spark, sf_dir).select("flag", "date", *FEAT7), FEAT7, keys=["flag"],
+                      series_col="col_name")
+
+
+FDL = FD + f", lg AS (UNPIVOT (SELECT flag, date, {', '.join(FEAT7)} FROM feat) ON {', '.join(FEAT7)} INTO NAME col_name VALUE value)"
+
+
+@register("q_d2_equal_freq", FDL + "," + sp.equal_freq_long("flag") + """
+SELECT flag, date, col_name, state FROM ef""")
+def q_d2_equal_freq(spark, sf_dir):
+    return dz.equal_freq_long(flag_long(spark, sf_dir), keys=["flag"], k=3).drop("value")
+
+
+@register("q_d1_kmeans_bins", FDL + "," + sp.kmeans_long("flag") + """
+SELECT flag, date, col_name, state FROM km""")
+def q_d1_kmeans_bins(spark, sf_dir):
+    return dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, rounds=20).drop("value")
+
+
+@register("q_d1_kmeans_centroids", FDL + "," + sp.kmeans_long("flag") + f"""
+SELECT flag, col_name, {rsql(["c0", "c1", "c2"], alias_prefix="cent20.")} FROM cent20 JOIN seeds USING (flag, col_name) WHERE nd > 3""")
+def q_d1_kmeans_centroids(spark, sf_dir):
+    lab = dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, rounds=20, centroids_out="cent")
+    c = lab.where(F.col("cent").isNotNull()).groupBy("flag", "col_name").agg(F.first("cent").alias("cent"))
+    return c.select("flag", "col_name", *[q(F.col("cent")[j]).alias(f"c{j}") for j in range(3)])
+
+
+@register("q_a20_distinct_counts", FD + f"""
+SELECT flag, {", ".join(f"count(DISTINCT {c}) AS {c}" for c in FEAT7)} FROM feat GROUP BY flag""")
+def q_a20_distinct_counts(spark, sf_dir):
+    return dz.distinct_counts(flag_features(spark, sf_dir), FEAT7, keys=["flag"])

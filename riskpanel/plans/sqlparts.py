@@ -64,3 +64,64 @@ reg AS (SELECT * EXCLUDE (rule, allnull, hyb, conf),
                CAST((last_value(CASE WHEN conf THEN struct_pack(v := hyb) END IGNORE NULLS) OVER {run}).v AS INTEGER) AS regime
         FROM r2)
 """
+
+
+def dbl(x: float) -> str:
+    """A double literal DuckDB parses to the identical IEEE value."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def equal_freq_label(rank: str, n: str, k: int) -> str:
+    from riskpanel.operators.discretize import quantile_levels
+    terms = []
+    for qv in quantile_levels(k):
+        v = f"(CAST({n} - 1 AS DOUBLE) * {dbl(qv)})"
+        e = f"(floor({v}) + 1.0 + ({v} - floor({v})))"
+        terms.append(f"CASE WHEN CAST({rank} AS DOUBLE) > {e} THEN 1 ELSE 0 END")
+    return f"CASE WHEN {rank} IS NOT NULL AND {n} > 1 THEN CAST({' + '.join(terms)} AS INTEGER) END"
+
+
+def equal_freq_long(key: str, src: str = "lg", out: str = "ef") -> str:
+    """D2 over long (key, date, col_name, value)."""
+    return f"""
+{out}_r AS (SELECT *, CASE WHEN value IS NOT NULL THEN row_number() OVER (PARTITION BY {key}, col_name ORDER BY value ASC NULLS LAST, date) END AS rk,
+                 count(value) OVER (PARTITION BY {key}, col_name) AS nn FROM {src}),
+{out} AS (SELECT * EXCLUDE (rk, nn), {equal_freq_label("rk", "nn", 3)} AS state FROM {out}_r)
+"""
+
+
+def _nearest(k: int, pre: str = "") -> str:
+    expr = "0"
+    best = f"abs(x - {pre}c0)"
+    for j in range(1, k):
+        d = f"abs(x - {pre}c{j})"
+        expr = f"CASE WHEN {d} < {best} THEN {j} ELSE {expr} END"
+        best = f"least({best}, {d})"
+    return expr
+
+
+def kmeans_long(key: str, src: str = "lg", k: int = 3, rounds: int = 20) -> str:
+    """D1 over long (key, date, col_name, value): seeds, Lloyd rounds, labels
+    (CTE ``km`` with column ``state``; CTE ``cent{rounds}`` holds centroids)."""
+    ps = [(j + 0.5) / k for j in range(k)]
+    cs = ", ".join(f"c{j}" for j in range(k))
+    parts = [f"""
+fin AS (SELECT *, CASE WHEN abs(value) < CAST('inf' AS DOUBLE) THEN value END AS x FROM {src}),
+vals AS (SELECT {key}, col_name, x, count(*) AS c FROM fin WHERE x IS NOT NULL GROUP BY ALL),
+seeds AS (SELECT {key}, col_name, {", ".join(f"quantile_cont(x, {dbl(p)}) AS c{j}" for j, p in enumerate(ps))},
+                 count(DISTINCT x) AS nd FROM fin WHERE x IS NOT NULL GROUP BY ALL),
+cent0 AS (SELECT {key}, col_name, {cs} FROM seeds)"""]
+    for r in range(1, rounds + 1):
+        sums = ", ".join(
+            f"coalesce(sum(CASE WHEN j = {j} THEN x * c END) / CAST(sum(CASE WHEN j = {j} THEN c END) AS DOUBLE), any_value(c{j})) AS c{j}"
+            for j in range(k))
+        parts.append(f"""
+asg{r} AS (SELECT v.*, {cs}, {_nearest(k)} AS j FROM vals v JOIN cent{r - 1} USING ({key}, col_name)),
+cent{r} AS (SELECT {key}, col_name, {sums} FROM asg{r} GROUP BY ALL)""")
+    parts.append(equal_freq_long(key, "fin", "efk"))
+    parts.append(f"""
+km AS (SELECT e.* EXCLUDE (state, x),
+              CASE WHEN coalesce(s.nd, 0) <= {k} THEN e.state
+                   WHEN e.x IS NOT NULL THEN {_nearest(k, "c.")} END AS state
+       FROM efk e LEFT JOIN seeds s USING ({key}, col_name) LEFT JOIN cent{rounds} c USING ({key}, col_name))""")
+    return ",".join(parts)
