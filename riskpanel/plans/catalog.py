@@ -474,3 +474,85 @@ def q_d1_kmeans_centroids(spark, sf_dir):
 SELECT flag, {", ".join(f"count(DISTINCT {c}) AS {c}" for c in FEAT7)} FROM feat GROUP BY flag""")
 def q_a20_distinct_counts(spark, sf_dir):
     return dz.distinct_counts(flag_features(spark, sf_dir), FEAT7, keys=["flag"])
+
+
+# ------------------------------------------------------------------ metrics
+from riskpanel.operators import metrics as mt  # noqa: E402
+
+NWR = "(PARTITION BY nation ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@register("q_a9_a10_sharpe_sortino", NM + f"""
+SELECT nation,
+  {qs("sqrt(12) * avg(spx_ret) / NULLIF(stddev_samp(spx_ret), 0)")} AS sharpe,
+  {qs("sqrt(12) * avg(spx_ret) / NULLIF(stddev_samp(CASE WHEN spx_ret < 0 THEN spx_ret END), 0)")} AS sortino
+FROM feat GROUP BY nation""")
+def q_a9_a10_sharpe_sortino(spark, sf_dir):
+    return rnd(mt.sharpe_sortino(nation_features(spark, sf_dir), "spx_ret", keys=["nation"]), ["sharpe", "sortino"])
+
+
+WEALTH = NM + f""",
+wl AS (SELECT nation, date, spx_ret, CASE WHEN spx_ret IS NOT NULL THEN product(1 + spx_ret) OVER {NWR} END AS wealth FROM feat),
+dd AS (SELECT *, max(wealth) OVER {NWR} AS peak FROM wl)"""
+
+
+@register("q_w8_w9_drawdown_series", WEALTH + f"""
+SELECT nation, date, {rsql(["wealth", "peak"])}, {qs("wealth / peak - 1")} AS drawdown FROM dd""")
+def q_w8_w9_drawdown_series(spark, sf_dir):
+    f = nation_features(spark, sf_dir).select("nation", "date", "spx_ret")
+    out = mt.wealth_drawdown(f, "spx_ret", keys=["nation"])
+    return rnd(out.drop("spx_ret"), ["wealth", "peak", "drawdown"])
+
+
+@register("q_w9_max_drawdown", WEALTH + f"""
+SELECT nation, {qs("min(wealth / peak - 1)")} AS max_drawdown FROM dd GROUP BY nation""")
+def q_w9_max_drawdown(spark, sf_dir):
+    f = nation_features(spark, sf_dir).select("nation", "date", "spx_ret")
+    return rnd(mt.max_drawdown(f, "spx_ret", keys=["nation"]), ["max_drawdown"])
+
+
+def doc_predictions(spark, sf_dir) -> DataFrame:
+    """Class labels 0..2 = quality + toxic; prediction from document length;
+    p_off = 1000 / (1000 + n_chars) scores class 0."""
+    lab = panels.table(spark, sf_dir, "labels")
+    doc = panels.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    j = lab.join(doc, "doc_id")
+    return j.select("doc_id", "lang", (F.col("quality") + F.col("toxic")).alias("y_true"),
+                    F.when(F.col("n_chars") < 1000, 0).when(F.col("n_chars") < 5000, 1).otherwise(2).alias("y_pred"),
+                    (F.lit(1000.0) / (F.lit(1000.0) + F.col("n_chars"))).alias("p_off"))
+
+
+DOCP = """WITH base AS (SELECT doc_id, lang, quality + toxic AS y_true,
+    CASE WHEN n_chars < 1000 THEN 0 WHEN n_chars < 5000 THEN 1 ELSE 2 END AS y_pred,
+    1000.0 / (1000.0 + n_chars) AS p_off FROM labels JOIN documents USING (doc_id))"""
+
+
+@register("q_a11_a15_classification", DOCP + f""",
+acc AS (SELECT lang, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n,
+               count(DISTINCT CASE WHEN y_true IN (0, 1, 2) THEN y_true END) = 3 AS all3,
+               avg(power(p_off - CASE WHEN y_true = 0 THEN 1.0 ELSE 0.0 END, 2)) AS brier FROM base GROUP BY 1),
+cc AS (SELECT lang, y_true, y_pred, count(*) AS n FROM base GROUP BY ALL),
+per AS (SELECT lang, l, sum(nt) AS nt, sum(np) AS np, sum(tp) AS tp FROM (
+          SELECT lang, y_true AS l, n AS nt, 0 AS np, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM cc
+          UNION ALL SELECT lang, y_pred AS l, 0 AS nt, n AS np, 0 AS tp FROM cc) GROUP BY ALL),
+f1 AS (SELECT lang, avg(coalesce(2.0 * tp / NULLIF(nt + np, 0), 0.0)) AS f1_macro FROM per GROUP BY 1),
+s AS (SELECT lang, p_off AS p, sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS pos, count(*) AS cnt FROM base GROUP BY ALL),
+s2 AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY lang ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + (cnt + 1) / 2.0 AS rk FROM s),
+a AS (SELECT lang, CAST(sum(pos * rk) AS DOUBLE) AS sr, CAST(sum(pos) AS DOUBLE) AS n1, CAST(sum(cnt) AS DOUBLE) AS nn FROM s2 GROUP BY 1)
+SELECT lang, {qs("accuracy")} AS accuracy, n, {qs("f1_macro")} AS f1_macro,
+       CASE WHEN all3 THEN {qs("brier")} END AS brier_off,
+       CASE WHEN all3 AND n1 > 0 AND nn > n1 THEN {qs("(sr - n1 * (n1 + 1) / 2.0) / (n1 * (nn - n1))")} END AS auc_off
+FROM acc JOIN f1 USING (lang) JOIN a USING (lang)""")
+def q_a11_a15_classification(spark, sf_dir):
+    out = mt.classification_metrics(doc_predictions(spark, sf_dir), "y_true", "y_pred", "p_off", keys=["lang"])
+    return rnd(out, ["accuracy", "f1_macro", "brier_off", "auc_off"])
+
+
+@register("q_a13_confusion", DOCP + """,
+cc AS (SELECT lang, y_true, y_pred, count(*) AS n FROM base GROUP BY ALL),
+lb AS (SELECT DISTINCT lang, l FROM (SELECT lang, y_true AS l FROM cc UNION ALL SELECT lang, y_pred AS l FROM cc))
+SELECT a.lang, a.l AS y_true, b.l AS y_pred, coalesce(cc.n, 0) AS n
+FROM lb a JOIN lb b ON a.lang = b.lang LEFT JOIN cc ON cc.lang = a.lang AND cc.y_true = a.l AND cc.y_pred = b.l""")
+def q_a13_confusion(spark, sf_dir):
+    return mt.confusion_matrix(doc_predictions(spark, sf_dir), "y_true", "y_pred", keys=["lang"])
