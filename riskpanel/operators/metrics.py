@@ -49,20 +49,25 @@ def confusion_counts(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str]
         F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str]) -> DataFrame:
-    """Dense matrix over the sorted union of class labels per key (k x k
-    cells per key, k = number of classes), zero-filled."""
+def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str],
+                     classes: list[int] = (0, 1, 2)) -> DataFrame:
+    """Dense matrix per key over the class codes that occur in either
+    column (from the fixed code list ``classes``), zero-filled. The k x k cells
+    are generated from the code list, never by pairing data rows."""
     cc = confusion_counts(df, y_true, y_pred, keys=keys)
-    labels = (cc.select(*keys, F.col("y_true").alias("l")).union(cc.select(*keys, F.col("y_pred").alias("l")))
-              .where(F.col("l").isNotNull()).distinct())
-    grid = labels.withColumnRenamed("l", "y_true").join(labels.withColumnRenamed("l", "y_pred"), keys) if keys \
-        else labels.withColumnRenamed("l", "y_true").crossJoin(labels.withColumnRenamed("l", "y_pred"))
-    return grid.join(cc, [*keys, "y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    seen = cc.groupBy(*keys).agg(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")).alias("__seen"))
+    codes = F.array(*[F.lit(c) for c in classes])
+    grid = seen.select(*keys, "__seen", F.explode(codes).alias("y_true"))
+    grid = grid.select(*keys, "__seen", "y_true", F.explode(codes).alias("y_pred"))
+    grid = grid.where(F.array_contains("__seen", F.col("y_true")) & F.array_contains("__seen", F.col("y_pred")))
+    out = grid.drop("__seen").join(cc, [*keys, "y_true", "y_pred"], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def classification_metrics(df: DataFrame, y_true: str, y_pred: str, p_off: str | None, *,
                            keys: list[str]) -> DataFrame:
-    """A11, A12, A14, A15 per key: accuracy, macro-F1 over the union of true and
+    """A11, A12, A14, A15 per key (``keys`` non-empty; add a constant key
+    column for a single series): accuracy, macro-F1 over the union of true and
     predicted labels, and - only when the true labels contain 0, 1 and 2 -
     the Brier score and ROC-AUC of ``p_off`` for class 0 (ties share ranks)."""
     base = df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
@@ -80,14 +85,13 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, p_off: str |
     f1 = (per.groupBy(*keys, "l").agg(F.sum("nt").alias("nt"), F.sum("np").alias("np"), F.sum("tp").alias("tp"))
           .groupBy(*keys).agg(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), (F.col("nt") + F.col("np")).cast("double")),
                                                F.lit(0.0))).alias("f1_macro")))
-    out = acc.join(f1, keys, "left") if keys else acc.crossJoin(f1)
+    out = acc.join(f1, keys, "left")
     if p_off is None:
         return out.drop("__all3")
     y0 = (F.col(y_true) == 0).cast("double")
     brier = base.groupBy(*keys).agg(F.avg(F.pow(F.col(p_off) - y0, 2)).alias("brier_off"))
     auc = _auc(base, y_true, p_off, keys)
-    out = out.join(brier, keys, "left") if keys else out.crossJoin(brier)
-    out = out.join(auc, keys, "left") if keys else out.crossJoin(auc)
+    out = out.join(brier, keys, "left").join(auc, keys, "left")
     return out.withColumns({
         "brier_off": F.when(F.col("__all3"), F.col("brier_off")),
         "auc_off": F.when(F.col("__all3"), F.col("auc_off"))}).drop("__all3")

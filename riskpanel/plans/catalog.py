@@ -556,3 +556,157 @@ SELECT a.lang, a.l AS y_true, b.l AS y_pred, coalesce(cc.n, 0) AS n
 FROM lb a JOIN lb b ON a.lang = b.lang LEFT JOIN cc ON cc.lang = a.lang AND cc.y_true = a.l AND cc.y_pred = b.l""")
 def q_a13_confusion(spark, sf_dir):
     return mt.confusion_matrix(doc_predictions(spark, sf_dir), "y_true", "y_pred", keys=["lang"])
+
+
+# ------------------------------------------------------------------ structure tables
+from riskpanel.operators import structure as stx  # noqa: E402
+
+
+def flag_labelled(spark, sf_dir) -> DataFrame:
+    return flag_regime(spark, sf_dir).dropna(subset=["regime", "spx_ret", "bond_ret"])
+
+
+def flag_disc(spark, sf_dir) -> DataFrame:
+    lab = flag_labelled(spark, sf_dir).select("flag", "date", *NODES)
+    return dz.discretize_frame(lab, keys=["flag"], method="kmeans", k=3, cols=NODES)
+
+
+_PIVOT = ", ".join(f"max(CASE WHEN col_name = '{c}' THEN state END) AS {c}" for c in NODES)
+DISC = (FD + "," + sp.regime("flag") + f""",
+lab AS (SELECT * FROM reg WHERE regime IS NOT NULL AND spx_ret IS NOT NULL AND bond_ret IS NOT NULL),
+lg AS (UNPIVOT (SELECT flag, date, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NODES)} FROM lab)
+       ON {", ".join(NODES)} INTO NAME col_name VALUE value),""" + sp.kmeans_long("flag") + f""",
+disc AS (SELECT flag, date, {_PIVOT} FROM km GROUP BY flag, date)""")
+JC = DISC + f", jc AS (SELECT flag, {', '.join(NODES)}, count(*) AS n FROM disc GROUP BY ALL)"
+
+
+@register("q_d3_discretize_frame", DISC + f"""
+SELECT flag, date, {", ".join(NODES)} FROM disc""")
+def q_d3_discretize_frame(spark, sf_dir):
+    return flag_disc(spark, sf_dir)
+
+
+@register("q_a23_joint_counts", JC + f"""
+SELECT flag, {", ".join(NODES)}, n FROM jc""")
+def q_a23_joint_counts(spark, sf_dir):
+    return stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+
+
+def _fam_rows(max_parents=2):
+    rows = []
+    for c, ps in stx.families(NODES, max_parents):
+        pad = list(ps) + [None] * (max_parents - len(ps))
+        rows.append((c, stx.subset_key(ps), stx.subset_key((*ps, c)), *pad))
+    return rows
+
+
+@register("q_d6_bic_scores", JC + "," + sp.subset_stats("flag", NODES) + f""",
+fam AS {sp.values_table(_fam_rows(), ["child", "parents", "family", "p0", "p1"])},
+card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+s AS (SELECT f.flag, fam.child, fam.parents, f.g - p.g AS ll, f.total AS nn,
+             c.r AS rc, coalesce(c0.r, 1) * coalesce(c1.r, 1) AS q
+      FROM st f JOIN fam ON f.subset = fam.family
+      JOIN st p ON p.flag = f.flag AND p.subset = fam.parents
+      JOIN card c ON c.flag = f.flag AND c.v = fam.child
+      LEFT JOIN card c0 ON c0.flag = f.flag AND c0.v = fam.p0
+      LEFT JOIN card c1 ON c1.flag = f.flag AND c1.v = fam.p1)
+SELECT flag, child, parents, {qs("ll")} AS loglik, {qs("ll - 0.5 * ln(nn) * CAST(q AS DOUBLE) * CAST(rc - 1 AS DOUBLE)")} AS bic FROM s""")
+def q_d6_bic_scores(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return rnd(stx.bic_scores(jc, NODES, keys=["flag"], max_parents=2), ["loglik", "bic"])
+
+
+def _test_rows(given):
+    from itertools import combinations
+    rows = []
+    for z in given:
+        for x, y in combinations(sorted(NODES), 2):
+            if z in (x, y):
+                continue
+            zs = () if z is None else (z,)
+            rows.append((x, y, z, stx.subset_key((x, y, *zs)), stx.subset_key((x, *zs)), stx.subset_key((y, *zs)),
+                         stx.subset_key(zs)))
+    return rows
+
+
+@register("q_d8_independence", JC + "," + sp.subset_stats("flag", NODES) + f""",
+tests AS {sp.values_table(_test_rows([None, "regime"]), ["x", "y", "z", "sxy", "sx", "sy", "sz"])},
+card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ','))
+SELECT a.flag, t.x, t.y, t.z, {qs("2.0 * (a.g - b.g - c.g + d.g)")} AS g2,
+       CAST((rx.r - 1) * (ry.r - 1) * coalesce(rz.r, 1) AS BIGINT) AS dof
+FROM st a JOIN tests t ON a.subset = t.sxy
+JOIN st b ON b.flag = a.flag AND b.subset = t.sx JOIN st c ON c.flag = a.flag AND c.subset = t.sy
+JOIN st d ON d.flag = a.flag AND d.subset = t.sz
+LEFT JOIN card rx ON rx.flag = a.flag AND rx.v = t.x LEFT JOIN card ry ON ry.flag = a.flag AND ry.v = t.y
+LEFT JOIN card rz ON rz.flag = a.flag AND rz.v = t.z""")
+def q_d8_independence(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return rnd(stx.independence_tests(jc, NODES, keys=["flag"], given=[None, "regime"]), ["g2"])
+
+
+_MODES = DISC + f""",
+lgm AS (UNPIVOT (SELECT flag, {", ".join(NODES)} FROM disc) ON {", ".join(NODES)} INTO NAME col_name VALUE v),
+cm AS (SELECT flag, col_name, v, count(*) AS c FROM lgm GROUP BY ALL),
+modes AS (SELECT flag, col_name, v AS mode FROM cm QUALIFY row_number() OVER (PARTITION BY flag, col_name ORDER BY c DESC, v ASC) = 1)"""
+
+
+@register("q_a16_column_modes", _MODES + """
+SELECT flag, col_name, mode FROM modes""")
+def q_a16_column_modes(spark, sf_dir):
+    return stx.column_modes(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+
+
+def _mi_sql(pairs, src):
+    sel = " UNION ALL ".join(f"SELECT flag, '{a}' AS x_name, '{b}' AS y_name, {a} AS x, {b} AS y FROM {src}"
+                             for a, b in pairs)
+    return f"""
+pr AS ({sel}),
+cx AS (SELECT flag, x_name, y_name, x, y, CAST(count(*) AS DOUBLE) AS nxy FROM pr GROUP BY ALL),
+cx2 AS (SELECT *, sum(nxy) OVER (PARTITION BY flag, x_name, y_name, x) AS nx,
+               sum(nxy) OVER (PARTITION BY flag, x_name, y_name, y) AS ny,
+               sum(nxy) OVER (PARTITION BY flag, x_name, y_name) AS nn FROM cx),
+mi AS (SELECT flag, x_name, y_name, sum(nxy / nn * ln(nn * nxy / (nx * ny))) AS mi FROM cx2 GROUP BY ALL)"""
+
+
+_FILLED = _MODES + ", filled AS (SELECT flag, date, " + ", ".join(
+    f"coalesce({c}, (SELECT mode FROM modes m WHERE m.flag = disc.flag AND m.col_name = '{c}')) AS {c}" for c in NODES) + \
+    " FROM disc)"
+
+
+@register("q_a17_mutual_info", _FILLED + "," + _mi_sql([(c, "regime") for c in FEAT7], "filled") + f""",
+mx AS (SELECT *, max(mi) OVER (PARTITION BY flag) AS mmax FROM mi)
+SELECT flag, x_name AS node, {qs("mi")} AS mi,
+       {qs("300.0 + 5000.0 * CASE WHEN mmax > 0 THEN mi / mmax ELSE mi END")} AS size FROM mx""")
+def q_a17_mutual_info(spark, sf_dir):
+    nodes_tab, _ = stx.node_importance(flag_disc(spark, sf_dir), NODES, "regime", stx.DEFAULT_TEMPORAL, keys=["flag"])
+    return rnd(nodes_tab, ["mi", "size"])
+
+
+@register("q_a18_a19_edge_widths", DISC + ", z AS (SELECT flag, " + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in NODES) + " FROM disc)," + _mi_sql(stx.DEFAULT_TEMPORAL, "z") + f"""
+SELECT flag, x_name AS parent, y_name AS child, {qs("mi")} AS mi, {qs("1.0 + 6.0 * mi")} AS width FROM mi""")
+def q_a18_a19_edge_widths(spark, sf_dir):
+    _, edges = stx.node_importance(flag_disc(spark, sf_dir), NODES, "regime", stx.DEFAULT_TEMPORAL, keys=["flag"])
+    return rnd(edges, ["mi", "width"])
+
+
+@register("q_a22_cpt", DISC + f""",
+c AS (SELECT flag, vix, ig_spread_chg, regime, count(*) AS n FROM disc
+      WHERE vix IS NOT NULL AND ig_spread_chg IS NOT NULL AND regime IS NOT NULL GROUP BY ALL)
+SELECT flag, vix, ig_spread_chg, regime, n,
+       {qs("n / sum(n) OVER (PARTITION BY flag, vix, ig_spread_chg)")} AS p FROM c""")
+def q_a22_cpt(spark, sf_dir):
+    cpt = stx.fit_cpt(flag_disc(spark, sf_dir), "regime", ["vix", "ig_spread_chg"], keys=["flag"])
+    return rnd(cpt, ["p"])
+
+
+@register("q_d7_hill_climb")
+def q_d7_hill_climb(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    scores = stx.bic_scores(jc, NODES, keys=["flag"], max_parents=2)
+    return stx.hill_climb(scores, NODES, keys=["flag"], max_parents=2)
+
+
+@register("q_d9_dbn_template")
+def q_d9_dbn_template(spark, sf_dir):
+    return stx.dbn_template(q_d7_hill_climb(spark, sf_dir), stx.DEFAULT_TEMPORAL, keys=["flag"])

@@ -125,3 +125,22 @@ km AS (SELECT e.* EXCLUDE (state, x),
                    WHEN e.x IS NOT NULL THEN {_nearest(k, "c.")} END AS state
        FROM efk e LEFT JOIN seeds s USING ({key}, col_name) LEFT JOIN cent{rounds} c USING ({key}, col_name))""")
     return ",".join(parts)
+
+
+def subset_stats(key: str, nodes: list[str], src: str = "jc", max_size: int = 3) -> str:
+    """CTE ``st``: (key, subset, g, cells, total) via GROUPING SETS."""
+    from itertools import combinations
+    sets = [c for s in range(0, max_size + 1) for c in combinations(nodes, s)]
+    gs = ", ".join("(" + ", ".join([key, *s]) + ")" for s in sets)
+    name = "concat_ws(',', " + ", ".join(f"CASE WHEN GROUPING({c}) = 0 THEN '{c}' END" for c in sorted(nodes)) + ")"
+    return f"""
+gsets AS (SELECT {key}, {name} AS subset, CAST(sum(n) AS DOUBLE) AS nn FROM {src} GROUP BY GROUPING SETS ({gs})),
+st AS (SELECT {key}, subset, sum(nn * ln(nn)) AS g, count(*) AS cells, sum(nn) AS total FROM gsets GROUP BY ALL)
+"""
+
+
+def values_table(rows: list[tuple], cols: list[str]) -> str:
+    def lit(v):
+        return "NULL" if v is None else "'" + str(v) + "'"
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
