@@ -710,3 +710,95 @@ def q_d7_hill_climb(spark, sf_dir):
 @register("q_d9_dbn_template")
 def q_d9_dbn_template(spark, sf_dir):
     return stx.dbn_template(q_d7_hill_climb(spark, sf_dir), stx.DEFAULT_TEMPORAL, keys=["flag"])
+
+
+# ------------------------------------------------------------------ walk-forward
+from riskpanel.functions.text import decision_code  # noqa: E402
+from riskpanel.operators import walkforward as wf  # noqa: E402
+
+
+def flag_backtest(spark, sf_dir) -> DataFrame:
+    disc = flag_disc(spark, sf_dir)
+    rets = flag_labelled(spark, sf_dir).select("flag", "date", F.col("spx_ret").alias("equity_ret"), "bond_ret")
+    return wf.walk_forward(disc, rets, FEAT7, "regime", keys=["flag"])
+
+
+_EV = [f"{c}_1" for c in FEAT7]
+FLW2 = "(PARTITION BY flag ORDER BY date)"
+WFSQL = JC + f""",
+dl AS (SELECT flag, date, {", ".join(NODES)}, {", ".join(f"lag({c}) OVER {FLW2} AS {c}_1" for c in FEAT7)} FROM disc),
+dbn AS (SELECT *, row_number() OVER {FLW2} - 1 AS pos, count(*) OVER (PARTITION BY flag) AS n FROM dl
+        WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*NODES, *_EV])}),
+sch AS (SELECT *, CASE WHEN n > 121 THEN 120 ELSE 1 END AS start FROM dbn),
+mem0 AS (SELECT *, CAST(greatest(0, ceil((pos - start + 1) / 12.0)) AS INTEGER) AS bmin,
+                CAST(least(floor((pos - start + 119) / 12.0), ceil((n - start) / 12.0) - 1) AS INTEGER) AS bmax FROM sch),
+mem AS (SELECT *, unnest(generate_series(bmin, bmax)) AS block FROM mem0 WHERE pos >= 1 AND bmin <= bmax),
+cpt AS (SELECT flag, block, {", ".join(_EV)}, count(*) AS n_cfg, sum(CASE WHEN regime = 0 THEN 1 ELSE 0 END) AS n_state
+        FROM mem GROUP BY ALL),
+steps AS (SELECT flag, date, CAST(floor((pos - start) / 12) AS INTEGER) AS block, {", ".join(_EV)} FROM sch WHERE pos >= start),
+post AS (SELECT s.flag, s.date, s.block, coalesce(c.n_state / c.n_cfg, 1.0 / 3) AS p_off
+         FROM steps s LEFT JOIN cpt c ON c.flag = s.flag AND c.block = s.block AND {" AND ".join(f"c.{e} = s.{e}" for e in _EV)}),
+bt0 AS (SELECT p.*, l.spx_ret AS equity_ret, l.bond_ret, l.regime AS y_true FROM post p JOIN lab l USING (flag, date)),
+bt AS (SELECT *, CASE WHEN p_off >= 0.5 THEN 'risk_off' WHEN p_off <= 0.33 THEN 'risk_on' ELSE 'risk_neut' END AS decision FROM bt0),
+btn AS (SELECT *, CASE decision WHEN 'risk_off' THEN bond_ret WHEN 'risk_on' THEN equity_ret
+                  ELSE 0.5 * (equity_ret + bond_ret) END AS net FROM bt)"""
+
+
+@register("q_j6_two_slice", DISC + f"""
+SELECT * FROM (SELECT flag, date, {", ".join(f"lag({c}) OVER {FLW2} AS {c}_t0" for c in NODES)},
+       {", ".join(f"{c} AS {c}_t1" for c in NODES)} FROM disc) WHERE {NODES[0]}_t0 IS NOT NULL""")
+def q_j6_two_slice(spark, sf_dir):
+    return wf.two_slice(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+
+
+@register("q_j8_window_membership", WFSQL + """
+SELECT flag, block, CAST(count(*) AS BIGINT) AS n_pairs, min(pos) AS first_pos, max(pos) AS last_pos FROM mem GROUP BY ALL""")
+def q_j8_window_membership(spark, sf_dir):
+    dbn = wf.schedule(wf.lagged_evidence(flag_disc(spark, sf_dir), FEAT7, "regime", keys=["flag"]))
+    m = wf.model_membership(dbn)
+    return m.groupBy("flag", "block").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("pos").alias("first_pos"),
+                                          F.max("pos").alias("last_pos"))
+
+
+@register("q_d11_block_cpts", WFSQL + f"""
+SELECT flag, block, {", ".join(_EV)}, n_cfg, CAST(n_state AS BIGINT) AS n_state, {qs("n_state / n_cfg")} AS p_state FROM cpt""")
+def q_d11_block_cpts(spark, sf_dir):
+    dbn = wf.schedule(wf.lagged_evidence(flag_disc(spark, sf_dir), FEAT7, "regime", keys=["flag"]))
+    return rnd(wf.fit_block_cpts(wf.model_membership(dbn), FEAT7, "regime", keys=["flag"]), ["p_state"])
+
+
+@register("q_d14_backtest", WFSQL + f"""
+SELECT flag, date, block, {qs("p_off")} AS p_off, decision, {rsql(["equity_ret", "bond_ret", "net"])} FROM btn""")
+def q_d14_backtest(spark, sf_dir):
+    return rnd(flag_backtest(spark, sf_dir), ["p_off", "equity_ret", "bond_ret", "net"])
+
+
+@register("q_d16_report", WFSQL + f""",
+btc AS (SELECT *, CASE lower(decision) WHEN 'risk_off' THEN 0 WHEN 'risk_neut' THEN 1 WHEN 'risk_on' THEN 2
+                  WHEN 'off' THEN 0 WHEN 'neutral' THEN 1 WHEN 'on' THEN 2 END AS y_pred FROM btn),
+wl AS (SELECT flag, date, net, product(1 + net) OVER (PARTITION BY flag ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM btc),
+dd AS (SELECT flag, min(w / pk - 1) AS max_drawdown FROM (SELECT *, max(w) OVER (PARTITION BY flag ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk FROM wl) GROUP BY 1),
+pf AS (SELECT flag, sqrt(12) * avg(net) / NULLIF(stddev_samp(net), 0) AS sharpe,
+              sqrt(12) * avg(net) / NULLIF(stddev_samp(CASE WHEN net < 0 THEN net END), 0) AS sortino,
+              avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n,
+              count(DISTINCT CASE WHEN y_true IN (0, 1, 2) THEN y_true END) = 3 AS all3,
+              avg(power(p_off - CASE WHEN y_true = 0 THEN 1.0 ELSE 0.0 END, 2)) AS brier FROM btc GROUP BY 1),
+cc AS (SELECT flag, y_true, y_pred, count(*) AS n FROM btc GROUP BY ALL),
+per AS (SELECT flag, l, sum(nt) AS nt, sum(np) AS np, sum(tp) AS tp FROM (
+          SELECT flag, y_true AS l, n AS nt, 0 AS np, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM cc
+          UNION ALL SELECT flag, y_pred AS l, 0 AS nt, n AS np, 0 AS tp FROM cc) GROUP BY ALL),
+f1 AS (SELECT flag, avg(coalesce(2.0 * tp / NULLIF(nt + np, 0), 0.0)) AS f1_macro FROM per GROUP BY 1),
+s AS (SELECT flag, p_off AS p, sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS pos, count(*) AS cnt FROM btc GROUP BY ALL),
+s2 AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY flag ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + (cnt + 1) / 2.0 AS rk FROM s),
+a AS (SELECT flag, CAST(sum(pos * rk) AS DOUBLE) AS sr, CAST(sum(pos) AS DOUBLE) AS n1, CAST(sum(cnt) AS DOUBLE) AS nn FROM s2 GROUP BY 1)
+SELECT flag, {rsql(["sharpe", "sortino", "max_drawdown", "accuracy"])}, n, {qs("f1_macro")} AS f1_macro,
+       CASE WHEN all3 THEN {qs("brier")} END AS brier_off,
+       CASE WHEN all3 AND n1 > 0 AND nn > n1 THEN {qs("(sr - n1 * (n1 + 1) / 2.0) / (n1 * (nn - n1))")} END AS auc_off
+FROM pf JOIN dd USING (flag) JOIN f1 USING (flag) JOIN a USING (flag)""")
+def q_d16_report(spark, sf_dir):
+    bt = flag_backtest(spark, sf_dir)
+    truth = flag_labelled(spark, sf_dir).select("flag", "date", "regime")
+    bt = bt.join(truth, ["flag", "date"]).withColumn("decision_code", decision_code("decision"))
+    rep = mt.performance_report(bt, keys=["flag"], y_true="regime", y_pred="decision_code")
+    return rnd(rep, ["sharpe", "sortino", "max_drawdown", "accuracy", "f1_macro", "brier_off", "auc_off"])
