@@ -802,3 +802,104 @@ def q_d16_report(spark, sf_dir):
     bt = bt.join(truth, ["flag", "date"]).withColumn("decision_code", decision_code("decision"))
     rep = mt.performance_report(bt, keys=["flag"], y_true="regime", y_pred="decision_code")
     return rnd(rep, ["sharpe", "sortino", "max_drawdown", "accuracy", "f1_macro", "brier_off", "auc_off"])
+
+
+# ------------------------------------------------------------------ interpolation (month -> day)
+from riskpanel.operators import interpolate as ip  # noqa: E402
+
+
+def nation_month_vix(spark, sf_dir) -> DataFrame:
+    """Monthly knots per nation (axis = all aligned months, knots = non-null vix)."""
+    wide = fx.align_series(panels.nation_month_long(spark, sf_dir), panels.SERIES, keys=["nation"])
+    return wide.select("nation", "date", "vix")
+
+
+NMK = "WITH " + sp.NATION_MONTH + ", src AS (SELECT nation, date, vix FROM wide)," + sp.knots("nation", "src", "vix")
+
+
+@register("q_i1_daily_grid", "WITH " + sp.NATION_MONTH + f""",
+b AS (SELECT nation, min(date) AS lo, max(date) AS hi FROM wide GROUP BY 1),
+g AS (SELECT nation, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
+SELECT g.nation, g.date, {qs("w.vix")} AS vix FROM g LEFT JOIN wide w USING (nation, date)""")
+def q_i1_daily_grid(spark, sf_dir):
+    return rnd(ip.daily_grid(nation_month_vix(spark, sf_dir), keys=["nation"]), ["vix"])
+
+
+@register("q_i2_time_linear", NMK + f", r AS ({sp.time_linear('nation', 'v')}) SELECT nation, date, {qs('v')} AS vix_time FROM r")
+def q_i2_time_linear(spark, sf_dir):
+    return rnd(ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "vix_time", keys=["nation"]), ["vix_time"])
+
+
+@register("q_i3_index_linear", GAPPY + f""",
+g AS (SELECT flag, date, spx_px, row_number() OVER {FLW} AS i FROM gw),
+p AS (SELECT *, last_value(CASE WHEN spx_px IS NOT NULL THEN struct_pack(i := i, v := spx_px) END IGNORE NULLS)
+                  OVER (PARTITION BY flag ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+               first_value(CASE WHEN spx_px IS NOT NULL THEN struct_pack(i := i, v := spx_px) END IGNORE NULLS)
+                  OVER (PARTITION BY flag ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM g)
+SELECT flag, date, {qs("spx_px", 4)} AS spx_px, {qs('''CASE WHEN spx_px IS NOT NULL THEN spx_px WHEN pv IS NULL THEN NULL
+    WHEN nv IS NULL THEN pv.v ELSE pv.v + (nv.v - pv.v) * CAST(i - pv.i AS DOUBLE) / CAST(nv.i - pv.i AS DOUBLE) END''', 4)} AS spx_fill
+FROM p""")
+def q_i3_index_linear(spark, sf_dir):
+    g = flag_wide_gappy(spark, sf_dir).select("flag", "date", "spx_px")
+    out = ip.interpolate_index(g, "spx_px", "spx_fill", keys=["flag"])
+    return out.withColumns({"spx_px": q("spx_px", 4), "spx_fill": q("spx_fill", 4)})
+
+
+@register("q_i4_pchip", NMK + "," + sp.pchip_slopes("nation") + f""",
+r AS ({sp.hermite("nation", "pk3", "v", True)}) SELECT nation, date, {qs("v")} AS vix_pchip FROM r""")
+def q_i4_pchip(spark, sf_dir):
+    return rnd(ip.pchip(nation_month_vix(spark, sf_dir), "vix", "vix_pchip", keys=["nation"]), ["vix_pchip"])
+
+
+@register("q_i5_akima", NMK + "," + sp.akima_slopes("nation") + f""",
+r AS ({sp.hermite("nation", "ak7", "v", False)}) SELECT nation, date, {qs("v")} AS vix_akima FROM r""")
+def q_i5_akima(spark, sf_dir):
+    return rnd(ip.akima(nation_month_vix(spark, sf_dir), "vix", "vix_akima", keys=["nation"]), ["vix_akima"])
+
+
+SAVGOL_WINDOW = 91   # months_window = 3.0 -> round(3 * 30.44) = 91 days (odd); every key spans > 91 days
+
+
+def _savgol_sql(key: str, src: str, col: str, window: int, polyorder: int) -> str:
+    half = window // 2
+    coef = ip.savgol_coefficients(window, polyorder)
+    w = f"(PARTITION BY {key} ORDER BY date)"
+    terms = []
+    for j, c in zip(range(-half, half + 1), coef):
+        if j < 0:
+            yj = f"(CASE WHEN i + ({j}) < 0 THEN y0 ELSE lag({col}, {-j}) OVER {w} END)"
+        elif j > 0:
+            yj = f"(CASE WHEN i + {j} > nn - 1 THEN yl ELSE lead({col}, {j}) OVER {w} END)"
+        else:
+            yj = col
+        terms.append(f"{sp.dbl(c)} * {yj}")
+    return f"""sg0 AS (SELECT *, row_number() OVER {w} - 1 AS i, count(*) OVER (PARTITION BY {key}) AS nn,
+        first_value({col}) OVER (PARTITION BY {key} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0,
+        last_value({col}) OVER (PARTITION BY {key} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS yl FROM {src}),
+sg AS (SELECT {key}, date, {" + ".join(terms)} AS sg FROM sg0)"""
+
+
+@register("q_i6_savgol", NMK + f", lin AS ({sp.time_linear('nation', 'v')})," + _savgol_sql("nation", "lin", "v", SAVGOL_WINDOW, 2)
+          + f" SELECT nation, date, {qs('sg')} AS vix_savgol FROM sg")
+def q_i6_savgol(spark, sf_dir):
+    daily = ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "v", keys=["nation"])
+    out = ip.savgol(daily, "v", "vix_savgol", keys=["nation"], window=SAVGOL_WINDOW, polyorder=2)
+    return rnd(out.drop("v"), ["vix_savgol"])
+
+
+@register("q_i9_method_compare", NMK + "," + sp.pchip_slopes("nation") + "," + sp.akima_slopes("nation") + f""",
+a AS ({sp.time_linear("nation", "v")}), b AS ({sp.hermite("nation", "pk3", "v", True)}), c AS ({sp.hermite("nation", "ak7", "v", False)})
+SELECT nation, date, 'time' AS method, {qs("v")} AS value FROM a
+UNION ALL SELECT nation, date, 'pchip' AS method, {qs("v")} AS value FROM b
+UNION ALL SELECT nation, date, 'akima' AS method, {qs("v")} AS value FROM c""")
+def q_i9_method_compare(spark, sf_dir):
+    knots = nation_month_vix(spark, sf_dir)
+    runs = {"time": ip.interpolate_time, "pchip": ip.pchip, "akima": ip.akima}
+    parts = [fn(knots, "vix", "value", keys=["nation"]).withColumn("method", F.lit(name)) for name, fn in runs.items()]
+    return rnd(fx.union_all(parts), ["value"])
+
+
+@register("q_i7_lowess")
+def q_i7_lowess(spark, sf_dir):
+    daily = ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "v", keys=["nation"])
+    return ip.lowess(daily, "v", "vix_lowess", keys=["nation"], frac=0.15, it=1).drop("v")

@@ -144,3 +144,81 @@ def values_table(rows: list[tuple], cols: list[str]) -> str:
         return "NULL" if v is None else "'" + str(v) + "'"
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
+
+
+def knots(key: str, src: str, col: str) -> str:
+    """CTEs ax, kn for the interpolators: knots with interval neighbours."""
+    w = f"(PARTITION BY {key} ORDER BY d)"
+    return f"""
+ax AS (SELECT {key}, min(date) AS lo, max(date) AS hi FROM {src} GROUP BY 1),
+kn0 AS (SELECT {key}, date AS d, CAST({col} AS DOUBLE) AS y FROM {src} WHERE {col} IS NOT NULL),
+kn1 AS (SELECT k.*, ax.lo, ax.hi, lead(d) OVER {w} AS d2, lead(y) OVER {w} AS y2,
+               min(d) OVER (PARTITION BY {key}) AS x0, max(d) OVER (PARTITION BY {key}) AS xl,
+               count(*) OVER (PARTITION BY {key}) AS kn, row_number() OVER {w} - 1 AS ki
+        FROM kn0 k JOIN ax USING ({key})),
+kn AS (SELECT *, CAST(d2 - d AS DOUBLE) AS h, (y2 - y) / CAST(d2 - d AS DOUBLE) AS m FROM kn1)
+"""
+
+
+def intervals(key: str, src: str) -> str:
+    return f"""(SELECT *, CAST(unnest(generate_series(
+        CASE WHEN ki = 0 THEN lo ELSE d END,
+        CASE WHEN ki = kn - 2 OR kn = 1 THEN hi ELSE d2 - 1 END, INTERVAL 1 DAY)) AS DATE) AS date
+     FROM {src} WHERE d2 IS NOT NULL OR kn = 1)"""
+
+
+def hermite(key: str, src: str, out: str, extrapolate: bool) -> str:
+    h = "CAST(d2 - d AS DOUBLE)"
+    m = f"((y2 - y) / {h})"
+    c2 = f"((3.0 * {m} - 2.0 * sd - sd2) / {h})"
+    c3 = f"((sd + sd2 - 2.0 * {m}) / ({h} * {h}))"
+    s = "CAST(date - d AS DOUBLE)"
+    val = f"(y + sd * {s} + {c2} * ({s} * {s}) + {c3} * ({s} * {s} * {s}))"
+    if not extrapolate:
+        val = f"CASE WHEN date >= x0 AND date <= xl THEN {val} END"
+    return f"""SELECT {key}, date, CASE WHEN kn = 1 THEN (CASE WHEN date = d THEN y END) ELSE {val} END AS {out}
+FROM {intervals(key, src)}"""
+
+
+def pchip_slopes(key: str) -> str:
+    w = f"(PARTITION BY {key} ORDER BY d)"
+
+    def edge(h0, h1, m0, m1):
+        d = f"(((2.0 * {h0} + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1}))"
+        return (f"CASE WHEN sign({d}) <> sign({m0}) THEN 0.0 "
+                f"WHEN sign({m0}) <> sign({m1}) AND abs({d}) > 3.0 * abs({m0}) THEN 3.0 * {m0} ELSE {d} END")
+    interior = ("CASE WHEN sign(mp) <> sign(m) OR m = 0 OR mp = 0 THEN 0.0 ELSE "
+                "1.0 / (((2.0 * h + hp) / mp + (h + 2.0 * hp) / m) / ((2.0 * h + hp) + (h + 2.0 * hp))) END")
+    return f"""
+pk AS (SELECT *, lag(m) OVER {w} AS mp, lag(h) OVER {w} AS hp, lead(m) OVER {w} AS mn, lead(h) OVER {w} AS hn,
+              lag(m, 2) OVER {w} AS mpp, lag(h, 2) OVER {w} AS hpp FROM kn),
+pk2 AS (SELECT *, CASE WHEN kn = 2 THEN coalesce(m, mp) WHEN ki = 0 THEN {edge("h", "hn", "m", "mn")}
+                  WHEN ki = kn - 1 THEN {edge("hp", "hpp", "mp", "mpp")} ELSE {interior} END AS sd FROM pk),
+pk3 AS (SELECT *, lead(sd) OVER {w} AS sd2 FROM pk2)"""
+
+
+def akima_slopes(key: str) -> str:
+    w = f"(PARTITION BY {key} ORDER BY d)"
+    at = lambda pos: f"max(CASE WHEN ki = {pos} THEN m END) OVER (PARTITION BY {key})"
+
+    def sec(off, base):
+        j = f"(ki + {off})"
+        return (f"(CASE WHEN {j} = -2 THEN l2 WHEN {j} = -1 THEN l1 WHEN {j} = kn - 1 THEN r1 "
+                f"WHEN {j} = kn THEN r2 ELSE {base} END)")
+    return f"""
+ak0 AS (SELECT *, lag(m, 2) OVER {w} AS m_m2, lag(m) OVER {w} AS m_m1, lead(m) OVER {w} AS m_p1,
+               {at(0)} AS s0, {at(1)} AS s1, {at("kn - 2")} AS sl, {at("kn - 3")} AS sl2 FROM kn),
+ak1 AS (SELECT *, 2.0 * s0 - s1 AS l1, 2.0 * sl - sl2 AS r1 FROM ak0),
+ak2 AS (SELECT *, 2.0 * l1 - s0 AS l2, 2.0 * r1 - sl AS r2 FROM ak1),
+ak3 AS (SELECT *, {sec(-2, "m_m2")} AS a_m2, {sec(-1, "m_m1")} AS a_m1, {sec(0, "m")} AS a_0, {sec(1, "m_p1")} AS a_p1 FROM ak2),
+ak4 AS (SELECT *, abs(a_p1 - a_0) AS f1, abs(a_m1 - a_m2) AS f2 FROM ak3),
+ak5 AS (SELECT *, f1 + f2 AS f12, max(f1 + f2) OVER (PARTITION BY {key}) AS fmax FROM ak4),
+ak6 AS (SELECT *, CASE WHEN kn >= 3 THEN (CASE WHEN f12 > 1e-9 * fmax THEN (f1 * a_m1 + f2 * a_0) / f12
+                        ELSE 0.5 * (a_p1 + a_m2) END) ELSE coalesce(m, lag(m) OVER {w}) END AS sd FROM ak5),
+ak7 AS (SELECT *, lead(sd) OVER {w} AS sd2 FROM ak6)"""
+
+
+def time_linear(key: str, out: str) -> str:
+    lin = "y + (y2 - y) * CAST(date - d AS DOUBLE) / CAST(d2 - d AS DOUBLE)"
+    return f"""SELECT {key}, date, CASE WHEN date < d THEN NULL WHEN d2 IS NULL OR date >= d2 THEN coalesce(y2, y)
+    WHEN date = d THEN y ELSE {lin} END AS {out} FROM {intervals(key, "kn")}"""
