@@ -262,31 +262,34 @@ def _lowess_pass(d: DataFrame, value: str, keys: list[str], block_days: int) ->
     def fit(pdf):
         import pandas as pd
         pdf = pdf.sort_values("__i")
+        gi = pdf["__i"].to_numpy(np.int64)
         xs = pdf["__x"].to_numpy(float)
         ys = pdf[value].to_numpy(float)
         rws = pdf["__rw"].to_numpy(float)
-        own = pdf["__own"].to_numpy() == pdf["__blk"].to_numpy()
-        k = int(pdf["__k"].iloc[0])
-        idx = np.nonzero(own)[0]
-        outv = np.empty(len(idx))
-        for o, i in enumerate(idx):
-            dist = np.abs(xs - xs[i])
-            nb = np.argsort(dist, kind="stable")[:k]
-            rad = dist[nb].max()
-            u = dist[nb] / rad if rad > 0 else np.zeros(len(nb))
-            wts = np.where(u < 1, (1 - u ** 3) ** 3, 0.0) * rws[nb]
-            ok = np.isfinite(ys[nb])
-            wx, wy, ww = xs[nb][ok], ys[nb][ok], wts[ok]
-            sw = ww.sum()
-            if sw <= 0:
-                outv[o] = ys[i]
-                continue
-            mx = (ww * wx).sum() / sw
-            my = (ww * wy).sum() / sw
-            vx = (ww * (wx - mx) ** 2).sum()
-            b = (ww * (wx - mx) * (wy - my)).sum() / vx if vx > 0 else 0.0
-            outv[o] = my + b * (xs[i] - mx)
-        res = pd.DataFrame({"__i": pdf["__i"].to_numpy()[idx].astype("int32"), "__fit": outv})
+        n_all = int(pdf["__n"].iloc[0])
+        k = min(int(pdf["__k"].iloc[0]), n_all)
+        own = np.nonzero(pdf["__own"].to_numpy() == pdf["__blk"].to_numpy())[0]
+        # the k nearest days of day i form the contiguous window [a, a + k) (regular daily grid)
+        a = np.clip(gi[own] - k // 2, 0, n_all - k) - gi[0]
+        idx = a[:, None] + np.arange(k)[None, :]
+        X, Y, RW = xs[idx], ys[idx], rws[idx]
+        xi = xs[own][:, None]
+        dist = np.abs(X - xi)
+        rad = dist.max(axis=1, keepdims=True)
+        u = np.divide(dist, rad, out=np.zeros_like(dist), where=rad > 0)
+        wts = np.where(u < 1, (1 - u ** 3) ** 3, 0.0) * RW
+        ok = np.isfinite(Y)
+        wts = np.where(ok, wts, 0.0)
+        Y = np.where(ok, Y, 0.0)
+        sw = wts.sum(axis=1)
+        safe = np.where(sw > 0, sw, 1.0)
+        mx = (wts * X).sum(axis=1) / safe
+        my = (wts * Y).sum(axis=1) / safe
+        dx = X - mx[:, None]
+        vx = (wts * dx * dx).sum(axis=1)
+        b = np.divide((wts * dx * (Y - my[:, None])).sum(axis=1), vx, out=np.zeros_like(vx), where=vx > 0)
+        outv = np.where(sw > 0, my + b * (xs[own] - mx), ys[own])
+        res = pd.DataFrame({"__i": gi[own].astype("int32"), "__fit": outv})
         for c in keys:
             res[c] = pdf[c].iloc[0]
         return res

@@ -567,8 +567,11 @@ def flag_labelled(spark, sf_dir) -> DataFrame:
 
 
 def flag_disc(spark, sf_dir) -> DataFrame:
+    """Discretised node table, materialised once per query: every structure and
+    walk-forward plan reads it several times."""
+    from riskpanel.session import materialize
     lab = flag_labelled(spark, sf_dir).select("flag", "date", *NODES)
-    return dz.discretize_frame(lab, keys=["flag"], method="kmeans", k=3, cols=NODES)
+    return materialize(dz.discretize_frame(lab, keys=["flag"], method="kmeans", k=3, cols=NODES))
 
 
 _PIVOT = ", ".join(f"max(CASE WHEN col_name = '{c}' THEN state END) AS {c}" for c in NODES)
