@@ -296,3 +296,92 @@ def _lowess_pass(d: DataFrame, value: str, keys: list[str], block_days: int) ->
 
     fits = halo.groupBy(*keys, "__blk").applyInPandas(fit, schema=schema)
     return d.join(fits, [*keys, "__i"])
+
+
+def _spline_knots(x: np.ndarray, k: int) -> np.ndarray:
+    """Default knot vector of a degree-k interpolating B-spline: not-a-knot for
+    odd k, midpoints without the 2nd and 2nd-to-last for k = 2 (the
+    conventions of the common scientific-Python spline builders)."""
+    if k == 1:
+        return np.r_[x[0], x, x[-1]]
+    if k == 2:
+        mid = (x[1:] + x[:-1]) / 2.0
+        return np.r_[(x[0],) * 3, mid[1:-1], (x[-1],) * 3]
+    if k % 2 != 1:
+        raise ValueError("spline order must be odd, or 1, or 2")
+    m = (k - 1) // 2
+    return np.r_[(x[0],) * (k + 1), x[m + 1:len(x) - m - 1], (x[-1],) * (k + 1)]
+
+
+def _bspline_basis(t: np.ndarray, k: int, xs: np.ndarray) -> np.ndarray:
+    """Cox-de Boor: matrix B[i, j] = B_j,k(xs[i]) for knot vector t."""
+    n = len(t) - k - 1
+    xs = np.asarray(xs, float)
+    # degree 0, right end included in the last non-empty interval
+    b = np.zeros((len(xs), len(t) - 1))
+    for j in range(len(t) - 1):
+        if t[j] < t[j + 1]:
+            b[:, j] = (xs >= t[j]) & (xs < t[j + 1])
+    last = np.max(np.nonzero(t[:-1] < t[1:])[0])
+    b[xs == t[-1], last] = 1.0
+    for d in range(1, k + 1):
+        nb = np.zeros((len(xs), len(t) - 1 - d))
+        for j in range(len(t) - 1 - d):
+            den1, den2 = t[j + d] - t[j], t[j + d + 1] - t[j + 1]
+            a = (xs - t[j]) / den1 * b[:, j] if den1 > 0 else 0.0
+            c = (t[j + d + 1] - xs) / den2 * b[:, j + 1] if den2 > 0 else 0.0
+            nb[:, j] = a + c
+        b = nb
+    return b[:, :n]
+
+
+def spline(df: DataFrame, value: str, out: str, order: int = 3, *, keys: list[str], date_col: str = "date",
+           block_knots: int = 120, halo_knots: int = 30) -> DataFrame:
+    """I8: degree-``order`` interpolating spline through the knots, evaluated
+    on the daily axis between the first and last knot (NULL outside).
+
+    Halo blocks of knots: block b owns knots [b*B, (b+1)*B) and is fitted on
+    those plus ``halo_knots`` on each side (the influence of far knots on an
+    interpolating spline decays geometrically), evaluated only on the days it
+    owns; a key with <= B knots is one exact fit. Groups are bounded by
+    B + 2H knots and their days."""
+    k = _knots(df, value, keys=keys, date_col=date_col)
+    k = k.withColumn("__x", F.datediff(F.col("d"), F.col("x0")).cast("double"))
+    blk = F.floor(F.col("ki") / F.lit(block_knots)).cast("int")
+    lo = F.floor(F.greatest(F.lit(0), F.col("ki") - halo_knots) / F.lit(block_knots)).cast("int")
+    hi = F.floor(F.least(F.col("ki") + halo_knots, F.col("kn") - 1) / F.lit(block_knots)).cast("int")
+    halo = k.withColumn("__own", blk).withColumn("__blk", F.explode(F.sequence(lo, hi)))
+    halo = halo.select(*keys, "__blk", "__own", "ki", "kn", "__x", "y", "x0")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + \
+        f", __dx int, {out} double"
+
+    def fit(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("ki")
+        xs, ys = pdf["__x"].to_numpy(float), pdf["y"].to_numpy(float)
+        own = pdf["__own"].to_numpy() == pdf["__blk"].to_numpy()
+        if not own.any():
+            return pd.DataFrame({**{c: pd.Series([], dtype=object) for c in keys},
+                                 "__dx": pd.Series([], dtype="int32"), out: pd.Series([], dtype=float)})
+        deg = min(order, len(xs) - 1)
+        if deg >= 3 and deg % 2 == 0:
+            deg -= 1
+        if deg < 1:
+            days, vals = xs[own], ys[own]
+        else:
+            t = _spline_knots(xs, deg)
+            coef = np.linalg.solve(_bspline_basis(t, deg, xs), ys)
+            ox = xs[own]
+            last_owned = int(pdf["ki"].to_numpy()[own].max())
+            end = ox.max() if last_owned == int(pdf["kn"].iloc[0]) - 1 else \
+                xs[np.nonzero(pdf["ki"].to_numpy() == last_owned + 1)[0][0]] - 1
+            days = np.arange(ox.min(), end + 1)
+            vals = _bspline_basis(t, deg, days) @ coef
+        res = pd.DataFrame({"__dx": days.astype("int32"), out: vals})
+        for c in keys:
+            res[c] = pdf[c].iloc[0]
+        return res
+
+    fits = halo.groupBy(*keys, "__blk").applyInPandas(fit, schema=schema)
+    x0 = k.select(*keys, "x0").distinct()
+    return fits.join(x0, keys).select(*keys, F.date_add(F.col("x0"), F.col("__dx")).alias(date_col), out)

@@ -117,7 +117,7 @@ def gmm_states(df: DataFrame, features: list[str], *, ret_col: str = "SPX_ret",
     vec = VectorAssembler(inputCols=features, outputCol="__features").transform(fin).cache()
     best, best_ll = None, None
     for s in seeds:
-        m = GaussianMixture(k=k, seed=s, maxIter=max_iter, featuresCol="__features",
+        m = GaussianMixture(k=k, seed=s, maxIter=max_iter, tol=1e-3, featuresCol="__features",
                             predictionCol="__raw").fit(vec)
         ll = m.summary.logLikelihood
         if best_ll is None or ll > best_ll:

@@ -906,3 +906,40 @@ def q_i9_method_compare(spark, sf_dir):
 def q_i7_lowess(spark, sf_dir):
     daily = ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "v", keys=["nation"])
     return ip.lowess(daily, "v", "vix_lowess", keys=["nation"], frac=0.15, it=1).drop("v")
+
+
+@register("q_i8_spline_orders")
+def q_i8_spline_orders(spark, sf_dir):
+    knots = nation_month_vix(spark, sf_dir)
+    parts = [ip.spline(knots, "vix", "value", order=o, keys=["nation"]).withColumn("order", F.lit(o))
+             for o in (2, 3, 7)]
+    return fx.union_all(parts)
+
+
+# ------------------------------------------------------------------ mixture states and the documented-intent hybrid
+GMM_FEATURES = ["spx_ret", "vix", "ig_spread_chg"]
+
+
+@register("q_d4_gmm_states")
+def q_d4_gmm_states(spark, sf_dir):
+    f = nation_features(spark, sf_dir)
+    return rg.gmm_states(f, GMM_FEATURES, ret_col="spx_ret").select("nation", "date", "gmm_state")
+
+
+@register("q_d5_hybrid_when_fired")
+def q_d5_hybrid_when_fired(spark, sf_dir):
+    from riskpanel.session import materialize
+    f = nation_features(spark, sf_dir)
+    base = materialize(rg.gmm_states(f, GMM_FEATURES, ret_col="spx_ret"))
+    return rg.hybrid_regime(base, keys=["nation"], vix_col="vix", spread_chg_col="ig_spread_chg", h=1,
+                            override="when_fired", base_col="gmm_state").select("nation", "date", "gmm_state", "regime")
+
+
+# ------------------------------------------------------------------ HTML tables in landed pages
+from riskpanel import sources as srcs  # noqa: E402
+
+
+@register("q_s4_html_table_rows")
+def q_s4_html_table_rows(spark, sf_dir):
+    pages = panels.table(spark, sf_dir, "pages")
+    return srcs.html_tables(pages).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))

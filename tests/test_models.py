@@ -208,3 +208,28 @@ def test_walk_forward_matches_loop(spark):
     for d, (p, dec, net) in want.items():
         gp, gdec, gnet = got[d]
         assert abs(gp - p) < 1e-12 and gdec == dec and abs(gnet - net) < 1e-12, d
+
+
+def test_spline_interpolates_and_reproduces_cubics(spark):
+    xs = np.cumsum([0] + [30, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31]).astype(float)
+    ys = 1e-6 * xs ** 3 - 2e-3 * xs ** 2 + xs
+    df = _knots(spark, xs, ys)
+    out = ip.spline(df, "v", "o", order=3, keys=["key"]).orderBy("date").collect()
+    got = np.array([r.o for r in out])
+    t = np.arange(xs[0], xs[-1] + 1)
+    assert len(got) == len(t)
+    assert np.allclose(got, 1e-6 * t ** 3 - 2e-3 * t ** 2 + t, atol=1e-7)   # not-a-knot cubic is exact on cubics
+    for order in (2, 7):
+        o = np.array([r.o for r in ip.spline(df, "v", "o", order=order, keys=["key"]).orderBy("date").collect()])
+        assert np.allclose(o[xs.astype(int)], ys, atol=1e-7)                  # passes through the knots
+
+
+def test_spline_blocks_match_single_fit(spark):
+    rnd = random.Random(1)
+    xs = np.cumsum([0] + [rnd.choice([28, 30, 31]) for _ in range(150)]).astype(float)
+    ys = np.sin(xs / 200.0) * 10
+    df = _knots(spark, xs, ys)
+    one = np.array([r.o for r in ip.spline(df, "v", "o", keys=["key"], block_knots=1000).orderBy("date").collect()])
+    blk = np.array([r.o for r in ip.spline(df, "v", "o", keys=["key"], block_knots=40, halo_knots=30)
+                   .orderBy("date").collect()])
+    assert len(one) == len(blk) and np.allclose(one, blk, atol=1e-6)
