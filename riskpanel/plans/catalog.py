@@ -923,14 +923,14 @@ GMM_FEATURES = ["spx_ret", "vix", "ig_spread_chg"]
 @register("q_d4_gmm_states")
 def q_d4_gmm_states(spark, sf_dir):
     f = nation_features(spark, sf_dir)
-    return rg.gmm_states(f, GMM_FEATURES, ret_col="spx_ret").select("nation", "date", "gmm_state")
+    return rg.gmm_states(f, GMM_FEATURES, keys=["nation"], ret_col="spx_ret").select("nation", "date", "gmm_state")
 
 
 @register("q_d5_hybrid_when_fired")
 def q_d5_hybrid_when_fired(spark, sf_dir):
     from riskpanel.session import materialize
     f = nation_features(spark, sf_dir)
-    base = materialize(rg.gmm_states(f, GMM_FEATURES, ret_col="spx_ret"))
+    base = materialize(rg.gmm_states(f, GMM_FEATURES, keys=["nation"], ret_col="spx_ret"))
     return rg.hybrid_regime(base, keys=["nation"], vix_col="vix", spread_chg_col="ig_spread_chg", h=1,
                             override="when_fired", base_col="gmm_state").select("nation", "date", "gmm_state", "regime")
 

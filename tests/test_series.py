@@ -178,3 +178,17 @@ def test_months_to_odd_days():
     assert cal.months_to_odd_days(3.0, 2, 1000) == 91
     assert cal.months_to_odd_days(3.0, 2, 50) == 49
     assert cal.months_to_odd_days(0.01, 2, 1000) == 5
+
+
+def test_gmm_states_separates_clusters(spark):
+    rnd = random.Random(8)
+    rows = []
+    for key in ("a", "b"):
+        for i in range(150):
+            c = i % 3
+            rows.append((key, dt.date(2000, 1, 1) + dt.timedelta(days=i), rnd.gauss(c * 5, 0.3),
+                         rnd.gauss(-c * 5, 0.3), float(c)))
+    df = spark.createDataFrame(rows, "key string, date date, f1 double, f2 double, ret double")
+    out = rg.gmm_states(df, ["f1", "f2"], keys=["key"], ret_col="ret").collect()
+    # states ordered by mean return, so state == true cluster index
+    assert all(r.gmm_state == int(r.ret) for r in out)
