@@ -97,9 +97,14 @@ def align_series(long_df: DataFrame, series: list[str], *, keys: list[str], date
                  check_unique: bool = True) -> DataFrame:
     """N-way outer alignment of long-form series on (keys, date).
 
-    One grouped aggregate (map-side partial agg, one shuffle) replaces N-1
-    full outer joins. A (key, date, series) seen twice raises, as the
-    reference's concat does on duplicate index labels."""
+    One grouped aggregate replaces N-1 full outer joins. The long input is
+    hash-partitioned by ``keys`` only (it holds one row per key, date and
+    series, so there is nothing to combine map-side), which also satisfies
+    the ``partitionBy(keys)`` windows that follow: one exchange instead of
+    two. A (key, date, series) seen twice raises, as the reference's concat
+    does on duplicate index labels."""
+    if keys:
+        long_df = long_df.repartition(*keys)
     aggs = []
     for s in series:
         hit = F.col(series_col) == F.lit(s)
