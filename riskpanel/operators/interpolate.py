@@ -228,7 +228,8 @@ def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col:
     shipped together with k days of halo on each side, so every local fit
     sees its whole neighbourhood and the groups stay bounded by
     block_days + 2k rows. The robustness scale (median |residual| of the key)
-    is an exact per-key percentile between rounds."""
+    is an exact per-key percentile between rounds; each round's residuals are
+    checkpointed."""
     w = ordered(keys, date_col)
     d = daily.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole(keys))})
     d = d.withColumn("__k", F.greatest(F.lit(2), F.floor(F.col("__n") * F.lit(frac)).cast("int")))
@@ -238,7 +239,10 @@ def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col:
     for r in range(it + 1):
         fitted = _lowess_pass(d, value, keys, block_days)
         if r < it:
-            res = fitted.withColumn("__res", F.abs(F.col(value) - F.col("__fit")))
+            from riskpanel.session import materialize
+            # one robustness round = one job; the checkpoint keeps the next
+            # round from recomputing this one (and survives executor loss)
+            res = materialize(fitted.withColumn("__res", F.abs(F.col(value) - F.col("__fit"))))
             med = res.groupBy(*keys).agg(F.percentile("__res", 0.5).alias("__med"))
             res = res.join(med, keys)
             u = F.col("__res") / (F.lit(6.0) * F.col("__med"))
