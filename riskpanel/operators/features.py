@@ -56,11 +56,21 @@ def diff(df: DataFrame, col: str, out: str, *, keys: list[str], date_col: str =
 
 
 def pct_change(df: DataFrame, col: str, out: str, *, keys: list[str], date_col: str = "date",
-               fill: str = "pad") -> DataFrame:
+               fill: str = "pad", block: str | None = None) -> DataFrame:
     """Percent change. ``fill='pad'`` forward-fills before the ratio (the
     default of the reference's dataframe library): an interior gap gives 0 on the
-    null row and then the full jump. Division by zero -> NULL [decision]."""
+    null row and then the full jump. Division by zero -> NULL [decision].
+    ``block`` (a column non-decreasing in date, e.g. the year) switches to the
+    blocked scan for one very long series."""
     w = ordered(keys, date_col)
+    if fill == "pad" and block is not None:
+        from riskpanel.operators import blocks
+        tmp = f"__ffill_{col}"
+        df = blocks.running_last(df, [col], keys=keys, order=[date_col], block=block, prefix="__ffill_")
+        df = blocks.neighbours(df, [tmp], keys=keys, order=[date_col], block=block, prev_prefix="__prev",
+                               next_prefix="__next")
+        df = df.withColumn(out, F.try_divide(F.col(tmp), F.col(f"__prev{tmp}")) - F.lit(1.0))
+        return df.drop(tmp, f"__prev{tmp}", f"__next{tmp}", "__is_first", "__is_last")
     if fill == "pad":
         tmp = f"__ffill_{col}"
         df = df.withColumn(tmp, F.last(col, ignorenulls=True).over(running(keys, date_col)))

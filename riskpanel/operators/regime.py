@@ -30,7 +30,7 @@ def rule_label(vix, spread_chg, *, off_vix: float = RISK_OFF_VIX, off_chg: float
 
 
 def missing_span_mask(df: DataFrame, cols: list[str], *, keys: list[str], date_col: str = "date",
-                      out: str = "__span") -> DataFrame:
+                      out: str = "__span", block: str | None = None) -> DataFrame:
     """W7 (B9): true on the 2nd and later rows of a run of rows where all
     ``cols`` are null (rolling(2).sum()==2 ⇔ this row and the previous)."""
     allnull = F.lit(True)
@@ -38,6 +38,12 @@ def missing_span_mask(df: DataFrame, cols: list[str], *, keys: list[str], date_c
         allnull = allnull & F.col(c).isNull()
     m = "__allnull"
     df = df.withColumn(m, allnull)
+    if block is not None:
+        from riskpanel.operators import blocks
+        df = blocks.neighbours(df, [m], keys=keys, order=[date_col], block=block, prev_prefix="__p",
+                               next_prefix="__n")
+        res = df.withColumn(out, F.col(m) & F.coalesce(F.col(f"__p{m}"), F.lit(False)))
+        return res.drop(m, f"__p{m}", f"__n{m}", "__is_first", "__is_last")
     prev = F.lag(m, 1).over(ordered(keys, date_col))
     return df.withColumn(out, F.col(m) & F.coalesce(prev, F.lit(False))).drop(m)
 
@@ -64,9 +70,13 @@ def hysteresis(df: DataFrame, label_col: str, out: str, *, keys: list[str], date
 
 def hybrid_regime(df: DataFrame, *, keys: list[str], date_col: str = "date", vix_col: str = "VIX",
                   spread_chg_col: str = "IGSpreadChg", h: int = 1, out: str = "REGIME",
-                  override: str = "always", base_col: str | None = None, **thresholds) -> DataFrame:
+                  override: str = "always", base_col: str | None = None, block: str | None = None,
+                  **thresholds) -> DataFrame:
     """D5 = P10 + J5 + W7 + W12.
 
+    ``block`` (a column non-decreasing in date, e.g. the year) runs W7 and
+    W12 as blocked scans, for one very long series or a hot key.
+
     ``override='always'`` (reference behaviour, B1): the rule label always wins,
     so the mixture base label never reaches the output and is not computed.
     ``override='when_fired'``: rule label where a rule fired, else ``base_col``.
@@ -81,9 +91,13 @@ def hybrid_regime(df: DataFrame, *, keys: list[str], date_col: str = "date", vix
     else:
         raise ValueError("override must be 'always' or 'when_fired'")
     df = df.withColumn("__hyb", hyb)
-    df = missing_span_mask(df, [vix_col, spread_chg_col], keys=keys, date_col=date_col, out="__span")
+    df = missing_span_mask(df, [vix_col, spread_chg_col], keys=keys, date_col=date_col, out="__span", block=block)
     df = df.withColumn("__hyb", F.when(~F.col("__span"), F.col("__hyb")))
-    df = hysteresis(df, "__hyb", out, keys=keys, date_col=date_col, h=h)
+    if block is not None:
+        from riskpanel.operators import blocks
+        df = blocks.hysteresis(df, "__hyb", out, keys=keys, order=[date_col], block=block, h=h)
+    else:
+        df = hysteresis(df, "__hyb", out, keys=keys, date_col=date_col, h=h)
     return df.drop("__hyb", "__span")
 
 

@@ -114,6 +114,17 @@ def q_w12_hysteresis(spark, sf_dir):
     return rnd(r.select("flag", "date", "vix", "ig_spread_chg", "regime"), ["vix", "ig_spread_chg"])
 
 
+@register("q_w12_hysteresis_blocked", FD + "," + sp.regime("flag", h=1) + f"""
+SELECT flag, date, {rsql(["vix", "ig_spread_chg"])}, regime FROM reg""")
+def q_w12_hysteresis_blocked(spark, sf_dir):
+    """Same labels as q_w12_hysteresis through the blocked scan (block = year):
+    the form for one very long series or a hot key."""
+    f = flag_features(spark, sf_dir).withColumn("year", F.year("date"))
+    r = rg.hybrid_regime(f, keys=["flag"], vix_col="vix", spread_chg_col="ig_spread_chg", h=1, out="regime",
+                         block="year")
+    return rnd(r.select("flag", "date", "vix", "ig_spread_chg", "regime"), ["vix", "ig_spread_chg"])
+
+
 @register("q_w12_hysteresis_h3", FD + "," + sp.regime("flag", h=3) + """
 SELECT flag, date, regime FROM reg""")
 def q_w12_hysteresis_h3(spark, sf_dir):

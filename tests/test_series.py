@@ -192,3 +192,29 @@ def test_gmm_states_separates_clusters(spark):
     out = rg.gmm_states(df, ["f1", "f2"], keys=["key"], ret_col="ret").collect()
     # states ordered by mean return, so state == true cluster index
     assert all(r.gmm_state == int(r.ret) for r in out)
+
+
+@pytest.mark.parametrize("h", [1, 2, 3])
+def test_blocked_hysteresis_equals_plain(spark, h):
+    from riskpanel.operators import blocks
+    rnd = random.Random(10 + h)
+    rows = []
+    for key in ("a", "b"):
+        for i in range(400):
+            rows.append((key, dt.date(2000, 1, 1) + dt.timedelta(days=i), rnd.choice([0, 1, 1, 2, None])))
+    df = spark.createDataFrame(rows, "key string, date date, lab int").withColumn(
+        "blk", (F.dayofyear("date") / 2).cast("int") + F.year("date") * 1000)   # many tiny blocks (1-2 rows)
+    plain = {(r.key, r.date): r.sm for r in rg.hysteresis(df, "lab", "sm", keys=["key"], h=h).collect()}
+    blocked = {(r.key, r.date): r.sm for r in
+               blocks.hysteresis(df, "lab", "sm", keys=["key"], order=["date"], block="blk", h=h).collect()}
+    assert blocked == plain
+
+
+def test_blocked_pct_change_equals_plain(spark):
+    rnd = random.Random(2)
+    rows = [("k", dt.date(2000, 1, 1) + dt.timedelta(days=i), None if rnd.random() < 0.3 else rnd.uniform(1, 2))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, date date, v double").withColumn("blk", F.month("date") + F.year("date") * 100)
+    plain = {r.date: r.p for r in fx.pct_change(df, "v", "p", keys=["key"]).collect()}
+    blocked = {r.date: r.p for r in fx.pct_change(df, "v", "p", keys=["key"], block="blk").collect()}
+    assert blocked == plain
