@@ -59,7 +59,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (survives executor loss; never a machine-local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the frame as a parquet table under the shared
+    checkpoint folder and reading it back (survives executor loss; never a
+    machine-local checkpoint). Unlike an RDD checkpoint, the plan runs once,
+    and later readers get column pruning and filter pushdown."""
+    import uuid
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/riskpanel-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
