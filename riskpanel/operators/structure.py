@@ -14,8 +14,10 @@ it, reduced to G(T) = sum over the cells of marginal T of N ln N. From G:
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,16 +36,23 @@ def subset_key(cols) -> str:
     return ",".join(sorted(cols))
 
 
-def subset_stats(joint: DataFrame, nodes: list[str], *, keys: list[str], max_size: int = 3,
+def subset_cells(joint: DataFrame, nodes: list[str], *, keys: list[str], max_size: int = 3,
                  count_col: str = "n") -> DataFrame:
-    """(keys, subset, g, cells, total): G(T) and the number of observed cells
-    of every node subset T with |T| <= max_size, via one GROUPING SETS pass."""
+    """(keys, subset, __N): the observed cell counts of every marginal over a
+    node subset with |T| <= max_size, from ONE GROUPING SETS aggregate."""
     subsets = [c for s in range(0, max_size + 1) for c in combinations(nodes, s)]
     sets = [[*keys, *s] for s in subsets]
     agg = joint.groupingSets(sets, *keys, *nodes).agg(
         F.sum(count_col).alias("__N"), *[F.grouping(c).alias(f"__g_{c}") for c in nodes])
     names = [F.when(F.col(f"__g_{c}") == 0, F.lit(c)) for c in sorted(nodes)]
-    agg = agg.select(*keys, F.concat_ws(",", *names).alias("subset"), F.col("__N").cast("double").alias("__N"))
+    return agg.select(*keys, F.concat_ws(",", *names).alias("subset"), F.col("__N").cast("double").alias("__N"))
+
+
+def subset_stats(joint: DataFrame, nodes: list[str], *, keys: list[str], max_size: int = 3,
+                 count_col: str = "n") -> DataFrame:
+    """(keys, subset, g, cells, total): G(T) and the number of observed cells
+    of every node subset T with |T| <= max_size."""
+    agg = subset_cells(joint, nodes, keys=keys, max_size=max_size, count_col=count_col)
     return agg.groupBy(*keys, "subset").agg(
         F.sum(F.col("__N") * F.log(F.col("__N"))).alias("g"), F.count(F.lit(1)).alias("cells"),
         F.sum("__N").alias("total"))
@@ -88,6 +97,104 @@ def bic_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_paren
     return s.select(*keys, "child", "parents", ll.alias("loglik"), bic.alias("bic"))
 
 
+def _lgamma():
+    """Log-gamma as a vectorised pandas UDF (Spark SQL has no built-in); used
+    only on the small tables of cell counts."""
+
+    @F.pandas_udf("double")
+    def lgamma(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.lgamma(v) if v == v and v > 0 else float("nan"))
+
+    return lgamma
+
+
+def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int = 2,
+                    method: str = "k2", ess: float = 5.0) -> DataFrame:
+    """D6, K2 and BDeu local scores for every family, from observed cells only
+    (unobserved parent configurations contribute zero):
+
+    K2   = sum_F lnG(N_jk + 1) - sum_P lnG(N_j + r) + |P cells| lnG(r)
+    BDeu = sum_F [lnG(N_jk + b) - lnG(b)] - sum_P [lnG(N_j + a) - lnG(a)],  a = ess/q, b = ess/(q r)
+    (F = cells of parents + child, P = cells of the parents)."""
+    cells = subset_cells(joint, nodes, keys=keys, max_size=max_parents + 1)
+    st = cells.groupBy(*keys, "subset").agg(F.count(F.lit(1)).alias("cells"))
+    card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
+        *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
+    fam = _families_df(joint.sparkSession, nodes, max_parents)
+    fam = F.broadcast(fam)
+    # r and q per (key, family)
+    base = st.select(*keys, F.col("subset").alias("family")).join(fam, "family")
+    base = base.join(card.select(*keys, F.col("__v").alias("child"), F.col("__r").alias("r")), [*keys, "child"])
+    q = F.lit(1).cast("long")
+    for i in range(max_parents):
+        base = base.join(card.select(*keys, F.col("__v").alias(f"p{i}"), F.col("__r").alias(f"__r{i}")),
+                         [*keys, f"p{i}"], "left")
+        q = q * F.coalesce(F.col(f"__r{i}"), F.lit(1))
+    base = base.select(*keys, "child", "parents", "family", F.col("r").cast("double").alias("r"),
+                       q.cast("double").alias("q"))
+    lg = _lgamma()
+    if method == "k2":
+        f_term = lg(F.col("__N") + 1.0)
+        p_term = lg(F.col("__N") + F.col("r")) - lg(F.col("r"))
+    elif method == "bdeu":
+        a = F.lit(float(ess)) / F.col("q")
+        b = F.lit(float(ess)) / (F.col("q") * F.col("r"))
+        f_term = lg(F.col("__N") + b) - lg(b)
+        p_term = lg(F.col("__N") + a) - lg(a)
+    else:
+        raise ValueError("method must be 'k2' or 'bdeu'")
+    fsum = base.join(cells.withColumnRenamed("subset", "family"), [*keys, "family"]) \
+        .groupBy(*keys, "child", "parents").agg(F.sum(f_term).alias("__f"))
+    psum = base.join(cells.withColumnRenamed("subset", "parents"), [*keys, "parents"]) \
+        .groupBy(*keys, "child", "parents").agg(F.sum(p_term).alias("__p"))
+    return fsum.join(psum, [*keys, "child", "parents"]).select(
+        *keys, "child", "parents", (F.col("__f") - F.col("__p")).alias(method))
+
+
+def chi2_pvalues(tests: DataFrame, stat: str = "g2", dof: str = "dof", out: str = "p_value") -> DataFrame:
+    """D8 p-values: chi-square survival function = regularised upper incomplete
+    gamma Q(dof/2, stat/2) (series / continued fraction), as a pandas UDF on the
+    small test table."""
+
+    @F.pandas_udf("double")
+    def sf(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([_gammq(kk / 2.0, xx / 2.0) if kk and kk > 0 and xx == xx else float("nan")
+                          for xx, kk in zip(x, k)])
+
+    return tests.withColumn(out, sf(F.col(stat), F.col(dof).cast("double")))
+
+
+def _gammq(a: float, x: float) -> float:
+    if x <= 0:
+        return 1.0
+    gln = math.lgamma(a)
+    if x < a + 1.0:                       # series for P, then Q = 1 - P
+        ap, s, d = a, 1.0 / a, 1.0 / a
+        for _ in range(10000):
+            ap += 1.0
+            d *= x / ap
+            s += d
+            if abs(d) < abs(s) * 1e-15:
+                break
+        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
+    b = x + 1.0 - a                       # Lentz continued fraction for Q
+    c, d = 1.0 / 1e-300, 1.0 / b
+    h = d
+    for i in range(1, 10000):
+        an = -i * (i - a)
+        b += 2.0
+        d = an * d + b
+        d = 1e-300 if abs(d) < 1e-300 else d
+        c = b + an / c
+        c = 1e-300 if abs(c) < 1e-300 else c
+        d = 1.0 / d
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < 1e-15:
+            break
+    return math.exp(-x + a * math.log(x) - gln) * h
+
+
 def independence_tests(joint: DataFrame, nodes: list[str], *, keys: list[str],
                        given: list[str | None] = (None,)) -> DataFrame:
     """G-test statistic and degrees of freedom for every node pair, marginal

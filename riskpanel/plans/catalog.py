@@ -954,3 +954,40 @@ from riskpanel import sources as srcs  # noqa: E402
 def q_s4_html_table_rows(spark, sf_dir):
     pages = panels.table(spark, sf_dir, "pages")
     return srcs.html_tables(pages).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))
+
+
+# ------------------------------------------------------------------ K2 / BDeu family scores, G-test p-values
+def _bayes_sql(method: str, ess: float = 5.0) -> str:
+    if method == "k2":
+        fterm, pterm = "lgamma(g.nn + 1.0)", "lgamma(g.nn + b.r) - lgamma(b.r)"
+    else:
+        a, bb = f"({ess} / b.q)", f"({ess} / (b.q * b.r))"
+        fterm, pterm = f"lgamma(g.nn + {bb}) - lgamma({bb})", f"lgamma(g.nn + {a}) - lgamma({a})"
+    return JC + "," + sp.subset_stats("flag", NODES) + f""",
+fam AS {sp.values_table(_fam_rows(), ["child", "parents", "family", "p0", "p1"])},
+card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+base AS (SELECT s.flag, fam.child, fam.parents, fam.family, CAST(c.r AS DOUBLE) AS r,
+                CAST(coalesce(c0.r, 1) * coalesce(c1.r, 1) AS DOUBLE) AS q
+         FROM st s JOIN fam ON s.subset = fam.family JOIN card c ON c.flag = s.flag AND c.v = fam.child
+         LEFT JOIN card c0 ON c0.flag = s.flag AND c0.v = fam.p0 LEFT JOIN card c1 ON c1.flag = s.flag AND c1.v = fam.p1),
+fsum AS (SELECT b.flag, b.child, b.parents, sum({fterm}) AS f FROM base b JOIN gsets g ON g.flag = b.flag AND g.subset = b.family GROUP BY ALL),
+psum AS (SELECT b.flag, b.child, b.parents, sum({pterm}) AS p FROM base b JOIN gsets g ON g.flag = b.flag AND g.subset = b.parents GROUP BY ALL)
+SELECT flag, child, parents, {qs("f - p")} AS {method} FROM fsum JOIN psum USING (flag, child, parents)"""
+
+
+@register("q_d6_k2_scores", _bayes_sql("k2"))
+def q_d6_k2_scores(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return rnd(stx.bayesian_scores(jc, NODES, keys=["flag"], method="k2"), ["k2"])
+
+
+@register("q_d6_bdeu_scores", _bayes_sql("bdeu", 5.0))
+def q_d6_bdeu_scores(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return rnd(stx.bayesian_scores(jc, NODES, keys=["flag"], method="bdeu", ess=5.0), ["bdeu"])
+
+
+@register("q_d8_pvalues")
+def q_d8_pvalues(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return stx.chi2_pvalues(stx.independence_tests(jc, NODES, keys=["flag"], given=[None, "regime"]))

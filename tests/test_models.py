@@ -233,3 +233,35 @@ def test_spline_blocks_match_single_fit(spark):
     blk = np.array([r.o for r in ip.spline(df, "v", "o", keys=["key"], block_knots=40, halo_knots=30)
                    .orderBy("date").collect()])
     assert len(one) == len(blk) and np.allclose(one, blk, atol=1e-6)
+
+
+def test_k2_bdeu_match_brute_force(spark):
+    rnd = random.Random(12)
+    nodes = ["a", "b", "c"]
+    rows = [("k", rnd.randint(0, 2), rnd.randint(0, 1), rnd.randint(0, 2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "key string, a int, b int, c int")
+    jc = stx.joint_counts(df, nodes, keys=["key"])
+    k2 = {(r.child, r.parents): r.k2 for r in stx.bayesian_scores(jc, nodes, keys=["key"], method="k2").collect()}
+    bd = {(r.child, r.parents): r.bdeu for r in
+          stx.bayesian_scores(jc, nodes, keys=["key"], method="bdeu", ess=5.0).collect()}
+    data = [dict(zip(nodes, r[1:])) for r in rows]
+    card = {v: len({d[v] for d in data}) for v in nodes}
+    lg = math.lgamma
+    for c in nodes:
+        for m in range(0, 3):
+            for ps in combinations([v for v in nodes if v != c], m):
+                njk = Counter((tuple(d[p] for p in ps), d[c]) for d in data)
+                nj = Counter(tuple(d[p] for p in ps) for d in data)
+                r, q = card[c], math.prod(card[p] for p in ps)
+                want_k2 = sum(lg(r) - lg(n + r) for n in nj.values()) + sum(lg(n + 1) for n in njk.values())
+                a, b = 5.0 / q, 5.0 / (q * r)
+                want_bd = sum(lg(a) - lg(n + a) for n in nj.values()) + sum(lg(n + b) - lg(b) for n in njk.values())
+                key = (c, ",".join(sorted(ps)))
+                assert abs(k2[key] - want_k2) < 1e-8 and abs(bd[key] - want_bd) < 1e-8
+
+
+def test_chi2_pvalues(spark):
+    df = spark.createDataFrame([(3.841458820694124, 1), (5.991464547107979, 2), (0.0, 4), (18.307038053275146, 10)],
+                               "g2 double, dof long")
+    p = [r.p_value for r in stx.chi2_pvalues(df).collect()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(p, [0.05, 0.05, 1.0, 0.05]))
