@@ -49,3 +49,15 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(cols) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(cols, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_no_single_partition_exchange(spark):
+    """Scale guard: every keyed query partitions its windows and aggregates by
+    key; none may funnel all rows through one partition."""
+    import __spark_entry__ as E
+    bad = []
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        if "SinglePartition" in plan:
+            bad.append(name)
+    assert bad == []
