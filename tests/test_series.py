@@ -218,3 +218,13 @@ def test_blocked_pct_change_equals_plain(spark):
     plain = {r.date: r.p for r in fx.pct_change(df, "v", "p", keys=["key"]).collect()}
     blocked = {r.date: r.p for r in fx.pct_change(df, "v", "p", keys=["key"], block="blk").collect()}
     assert blocked == plain
+
+
+def test_drop_all_null_columns_and_ensure_lags(spark):
+    df = spark.createDataFrame([("k", dt.date(2020, 1, 1), 1.0, None, 5.0), ("k", dt.date(2020, 1, 2), 2.0, None, 6.0),
+                                ("k", dt.date(2020, 1, 3), 3.0, None, 7.0)],
+                               "key string, date date, a double, empty double, REGIME double")
+    assert fx.drop_all_null_columns(df).columns == ["key", "date", "a", "REGIME"]
+    ev = fx.ensure_lags(df.drop("empty"), keys=["key"], drop_col="REGIME")
+    assert ev.columns == ["key", "date", "a", "a_1"]
+    assert [(r.a, r.a_1) for r in ev.orderBy("date").collect()] == [(2.0, 1.0), (3.0, 2.0)]

@@ -135,3 +135,31 @@ def test_ensure_datasets(spark, tmpdir_path):
     assert spark.read.parquet(root + "/a").count() == 3
     with pytest.raises(FileNotFoundError):
         src.ensure_datasets(spark, {}, root, required=["b"])
+
+
+def test_climate_indices_report(spark, tmpdir_path):
+    from riskpanel.plans.compositions import climate_indices
+    d = os.path.join(tmpdir_path, "xl2")
+    os.makedirs(d)
+    _xlsx(os.path.join(d, "risk.xlsx"))
+    cells = src.read_xlsx_cells(spark, d, sheet="Data")
+    rep = climate_indices(cells, header_row=3, rename={"Physical Risk Index (PRI)": "pri"}, window=1)
+    t = rep["table"].collect()
+    assert len(t) == 1 and t[0].date == dt.date(2020, 2, 1) and t[0].pri == 1.5 and t[0].pri_smooth == 1.5
+    assert rep["monotonic"].first().monotonic
+    assert rep["duplicates"].first().extra_copies == 0
+
+
+def test_solar_daily(spark, tmpdir_path):
+    from riskpanel.plans.compositions import solar_daily
+    _write(tmpdir_path, "ssn.csv", "2025;01;01;2025.001; 120;10.1;30;1\n2025;01;02;2025.004; 99;9;20;1\n")
+    _write(tmpdir_path, "flux.json",
+           '[["time_tag","flux"],["2025-01-01 20:00:00","150"],["2025-01-01 18:00:00","1"],["2025-01-03 20:00:00","151"]]')
+    got = {r.ts: (r.sunspot_number, r.f107_flux) for r in solar_daily(spark, tmpdir_path + "/ssn.csv",
+                                                                       tmpdir_path + "/flux.json").collect()}
+    T = dt.datetime
+    assert got == {T(2025, 1, 1): (120.0, None), T(2025, 1, 2): (99.0, None), T(2025, 1, 1, 20): (None, 150.0),
+                   T(2025, 1, 1, 18): (None, 1.0), T(2025, 1, 3, 20): (None, 151.0)}
+    by_day = {r.ts: (r.sunspot_number, r.f107_flux) for r in solar_daily(
+        spark, tmpdir_path + "/ssn.csv", tmpdir_path + "/flux.json", on="date").collect()}
+    assert by_day[dt.date(2025, 1, 1)] == (120.0, 75.5)
