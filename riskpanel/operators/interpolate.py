@@ -365,7 +365,7 @@ def spline(df: DataFrame, value: str, out: str, order: int = 3, *, keys: list[st
         xs, ys = pdf["__x"].to_numpy(float), pdf["y"].to_numpy(float)
         own = pdf["__own"].to_numpy() == pdf["__blk"].to_numpy()
         if not own.any():
-            return pd.DataFrame({**{c: pd.Series([], dtype=object) for c in keys},
+            return pd.DataFrame({**{c: pdf[c].iloc[0:0] for c in keys},
                                  "__dx": pd.Series([], dtype="int32"), out: pd.Series([], dtype=float)})
         deg = min(order, len(xs) - 1)
         if deg >= 3 and deg % 2 == 0:

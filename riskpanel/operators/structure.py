@@ -325,7 +325,8 @@ def hill_climb(scores: DataFrame, nodes: list[str], *, keys: list[str], max_pare
         import pandas as pd
         score = {(r.child, r.parents): r.bic for r in pdf.itertuples()}
         edges = _climb(score, nodes, max_parents, epsilon, tabu_length, max_iter)
-        out = pd.DataFrame({"parent": [u for u, _ in edges], "child": [v for _, v in edges]})
+        out = pd.DataFrame({"parent": pd.Series([u for u, _ in edges], dtype=object),
+                            "child": pd.Series([v for _, v in edges], dtype=object)})
         for c in keys:
             out[c] = pdf[c].iloc[0]
         return out[[*keys, "parent", "child"]]

@@ -122,3 +122,194 @@ def walk_forward(disc: DataFrame, returns: DataFrame, features: list[str], targe
     dec = decision(F.col("p_off"))
     return bt.withColumn("decision", dec).withColumn(
         "net", net_return(F.col("decision"), F.col("equity_ret"), F.col("bond_ret")))
+
+
+# ---------------------------------------------------------------------------------------------
+# Learned intra-slice structure per block (REGIME may have same-slice parents)
+def window_row_membership(dbn: DataFrame, *, window: int = WINDOW, retrain_every: int = RETRAIN_EVERY) -> DataFrame:
+    """Rows (not pairs) of each block's training window [max(0, e_b - L + 1), e_b]:
+    b_min = max(0, ceil((p - S + 1)/R)), b_max = min(floor((p - S + L)/R), M - 1)."""
+    R, L = retrain_every, window
+    p, s, n = F.col("pos"), F.col("start"), F.col("n")
+    b_min = F.greatest(F.lit(0), F.ceil((p - s + 1) / F.lit(float(R)))).cast("int")
+    n_blocks = F.ceil((n - s) / F.lit(float(R))).cast("int")
+    b_max = F.least(F.floor((p - s + L) / F.lit(float(R))), n_blocks - 1).cast("int")
+    return dbn.where(b_min <= b_max).withColumn("block", F.explode(F.sequence(b_min, b_max)))
+
+
+def block_structures(dbn: DataFrame, nodes: list[str], *, keys: list[str], window: int = WINDOW,
+                     retrain_every: int = RETRAIN_EVERY, max_parents: int = 2) -> DataFrame:
+    """D7 per training window: (keys, block, parent, child) edges learned by hill
+    climbing on each block's window rows; all blocks of all keys in one job
+    (joint counts -> grouping-set scores -> per-block search)."""
+    from riskpanel.operators import structure as stx
+    rows = window_row_membership(dbn, window=window, retrain_every=retrain_every)
+    kb = [*keys, "block"]
+    jc = stx.joint_counts(rows, nodes, keys=kb)
+    return stx.hill_climb(stx.bic_scores(jc, nodes, keys=kb, max_parents=max_parents), nodes, keys=kb,
+                          max_parents=max_parents)
+
+
+def _ancestral_families(edges: DataFrame, target: str, *, keys: list[str], max_parents: int) -> DataFrame:
+    """Per (keys, block): the target's intra parents (pa0, pa1) and the families
+    (v, p0, p1) of every node in the ancestral set of those parents."""
+    kb = [*keys, "block"]
+    fields = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in kb)
+    pcols = ", ".join(f"p{i} string" for i in range(max_parents))
+    schema = f"{fields}, role string, v string, {pcols}"
+
+    def plan(pdf):
+        import pandas as pd
+        par = {}
+        for u, v in zip(pdf["parent"], pdf["child"]):
+            if u is not None and v is not None:
+                par.setdefault(v, set()).add(u)
+        pa = sorted(par.get(target, set()))
+        anc, stack = set(), list(pa)
+        while stack:
+            x = stack.pop()
+            if x in anc:
+                continue
+            anc.add(x)
+            stack.extend(par.get(x, set()))
+        out = [("target", target, *(pa + [None] * (max_parents - len(pa))))]
+        for v in sorted(anc):
+            ps = sorted(par.get(v, set()))
+            out.append(("anc", v, *(ps + [None] * (max_parents - len(ps)))))
+        res = pd.DataFrame(out, columns=["role", "v", *[f"p{i}" for i in range(max_parents)]])
+        for c in kb:
+            res[c] = pdf[c].iloc[0]
+        return res[[*kb, "role", "v", *[f"p{i}" for i in range(max_parents)]]]
+
+    return edges.groupBy(*kb).applyInPandas(plan, schema=schema)
+
+
+def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str], target: str, *,
+                         keys: list[str], date_col: str = "date", equity_col: str = "equity_ret",
+                         bond_col: str = "bond_ret", k: int = 3, warmup: int = WARMUP, window: int = WINDOW,
+                         retrain_every: int = RETRAIN_EVERY, max_parents: int = 2,
+                         intra_edges: list[tuple[str, str]] | None = None) -> DataFrame:
+    """D12 with J10: each block learns its intra-slice structure on its window
+    (or uses the fixed ``intra_edges`` for every block);
+    the target at t+1 has the slice-0 features as temporal parents plus its
+    learned slice-1 parents pa. With evidence on slice 0 only,
+
+        P(target_{t+1} = 0 | x_t) = sum_pa P(pa) * theta(0 | x_t, pa),
+
+    P(pa) = marginal of pa in the slice-1 network (product of the count-fitted
+    CPTs of pa's ancestral set, summed over the other ancestors; a parent
+    configuration unseen in the window gives the uniform 1/r over the node's
+    observed states), theta unseen -> 1/k. Blocks whose target has no intra
+    parents reduce to the temporal-only lookup."""
+    from riskpanel.session import materialize
+    nodes = [*features, target]
+    kb = [*keys, "block"]
+    dbn = materialize(schedule(lagged_evidence(disc, features, target, keys=keys, date_col=date_col),
+                               warmup=warmup, retrain_every=retrain_every))
+    if intra_edges is None:
+        edges = block_structures(dbn, nodes, keys=keys, window=window, retrain_every=retrain_every,
+                                 max_parents=max_parents)
+    else:
+        blocks_df = model_membership(dbn, window=window, retrain_every=retrain_every).select(*kb).distinct()
+        lit_edges = F.array(*[F.struct(F.lit(u).alias("parent"), F.lit(v).alias("child")) for u, v in intra_edges])
+        edges = blocks_df.select(*kb, F.explode(lit_edges).alias("__e")).select(*kb, "__e.*")
+    fams = materialize(_ancestral_families(edges, target, keys=keys, max_parents=max_parents))
+    pcs = [f"p{i}" for i in range(max_parents)]
+    members = model_membership(dbn, window=window, retrain_every=retrain_every)
+    val = F.create_map(*[x for c in nodes for x in (F.lit(c), F.col(c).cast("int"))])
+    members = members.withColumn("__m", val)
+    # slice-1 CPT counts of every ancestral family, per block
+    anc = fams.where(F.col("role") == "anc")
+    cpt = members.join(anc, kb).select(*kb, "v", *pcs, F.col("__m")[F.col("v")].alias("xv"),
+                                       *[F.col("__m")[F.col(p)].alias(f"x{p}") for p in pcs])
+    cpt = cpt.groupBy(*kb, "v", *pcs, "xv", *[f"x{p}" for p in pcs]).agg(F.count(F.lit(1)).alias("n"))
+    # observed states of every node in each window's slice-1 rows
+    states = members.select(*kb, F.explode("__m").alias("v", "xv")).distinct()
+    marg = _pa_marginals(cpt, states, fams, keys=keys, max_parents=max_parents)
+    # theta(target | x_t, pa) counts
+    tgt = fams.where(F.col("role") == "target").select(*kb, *[F.col(p).alias(f"pa{i}") for i, p in enumerate(pcs)])
+    ev = [f"{f}_1" for f in features]
+    pam = members.join(tgt, kb, "left").select(
+        *kb, *ev, F.col(target).alias("__y"), *[F.col("__m")[F.col(f"pa{i}")].alias(f"xa{i}")
+                                              for i in range(max_parents)])
+    theta = pam.groupBy(*kb, *ev, *[f"xa{i}" for i in range(max_parents)]).agg(
+        F.count(F.lit(1)).alias("n_cfg"), F.sum((F.col("__y") == 0).cast("long")).alias("n_state"))
+    steps = dbn.where(F.col("pos") >= F.col("start")).withColumn(
+        "block", F.floor((F.col("pos") - F.col("start")) / F.lit(retrain_every)).cast("int"))
+    steps = steps.select(*keys, date_col, "block", *ev)
+    st = steps.join(marg, kb, "left").withColumn("__w", F.coalesce("__w", F.lit(1.0)))
+    cond = [st[c] == theta[c] for c in [*kb, *ev]] + \
+        [st[f"xa{i}"].eqNullSafe(theta[f"xa{i}"]) for i in range(max_parents)]
+    j = st.join(theta, cond, "left").select(
+        *[st[c] for c in [*keys, date_col, "block"]], st["__w"],
+        F.coalesce(theta["n_state"] / theta["n_cfg"], F.lit(1.0 / k)).alias("__t"))
+    post = j.groupBy(*keys, date_col, "block").agg(F.sum(F.col("__w") * F.col("__t")).alias("p_off"))
+    rets = returns.select(*keys, date_col, F.col(equity_col).alias("equity_ret"), F.col(bond_col).alias("bond_ret"))
+    bt = post.join(rets, [*keys, date_col], "inner")
+    dec = decision(F.col("p_off"))
+    return bt.withColumn("decision", dec).withColumn(
+        "net", net_return(F.col("decision"), F.col("equity_ret"), F.col("bond_ret")))
+
+
+def _pa_marginals(cpt: DataFrame, states: DataFrame, fams: DataFrame, *, keys: list[str],
+                  max_parents: int) -> DataFrame:
+    """Per (keys, block): P(pa) for every configuration of the target's intra
+    parents, by enumerating the (small) ancestral set in numpy. Output
+    (keys, block, xa0.., __w); blocks without intra parents yield one row of
+    NULL configuration and weight 1."""
+    kb = [*keys, "block"]
+    pcs = [f"p{i}" for i in range(max_parents)]
+    spec = [("role", "string"), ("v", "string"), *[(p, "string") for p in pcs], ("xv", "int"),
+            *[(f"x{p}", "int") for p in pcs], ("n", "long")]
+
+    def shape(df, kind):
+        cols = [F.col(c) for c in kb] + [F.lit(kind).alias("__kind")]
+        cols += [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in spec]
+        return df.select(*cols)
+
+    tagged = shape(cpt, "cpt").unionByName(shape(states, "state")).unionByName(shape(fams, "fam"))
+    fields = ", ".join(f"`{c}` {cpt.schema[c].dataType.simpleString()}" for c in kb)
+    schema = f"{fields}, " + ", ".join(f"xa{i} int" for i in range(max_parents)) + ", __w double"
+
+    def run(pdf):
+        import itertools
+
+        import pandas as pd
+        fam = pdf[pdf["__kind"] == "fam"]
+        tg = fam[fam["role"] == "target"]
+        pa = [] if tg.empty else [tg.iloc[0][p] for p in pcs if isinstance(tg.iloc[0][p], str)]
+        out_cols = [f"xa{i}" for i in range(max_parents)]
+        base = {c: pdf[c].iloc[0] for c in kb}
+        def frame(rows):
+            recs = [tuple(base[c] for c in kb) + tuple(None if x is None else int(x) for x in cfg) + (float(w),)
+                    for cfg, w in rows]
+            return pd.DataFrame.from_records(recs, columns=[*kb, *out_cols, "__w"])
+
+        if not pa:
+            return frame([((None,) * max_parents, 1.0)])
+        st = pdf[pdf["__kind"] == "state"]
+        dom = {v: sorted(int(x) for x in g["xv"].dropna().unique()) for v, g in st.groupby("v")}
+        anc = fam[fam["role"] == "anc"]
+        parents = {r["v"]: [r[p] for p in pcs if isinstance(r[p], str)] for _, r in anc.iterrows()}
+        cp = pdf[pdf["__kind"] == "cpt"]
+        counts = {}
+        tot = {}
+        for _, r in cp.iterrows():
+            ps = parents[r["v"]]
+            cfg = tuple(int(r[f"x{p}"]) for p in pcs[:len(ps)])
+            counts[(r["v"], int(r["xv"]), cfg)] = counts.get((r["v"], int(r["xv"]), cfg), 0) + r["n"]
+            tot[(r["v"], cfg)] = tot.get((r["v"], cfg), 0) + r["n"]
+        order = sorted(parents)
+        acc = {}
+        for combo in itertools.product(*[dom.get(v, [0]) for v in order]):
+            val = dict(zip(order, combo))
+            pr = 1.0
+            for v in order:
+                cfg = tuple(val[u] for u in parents[v])
+                t = tot.get((v, cfg), 0)
+                pr *= counts.get((v, val[v], cfg), 0) / t if t else 1.0 / len(dom.get(v, [0]))
+            key = tuple(val[p] for p in pa)
+            acc[key] = acc.get(key, 0.0) + pr
+        return frame([(tuple(key) + (None,) * (max_parents - len(key)), w) for key, w in acc.items()])
+
+    return tagged.groupBy(*kb).applyInPandas(run, schema=schema)

@@ -991,3 +991,13 @@ def q_d6_bdeu_scores(spark, sf_dir):
 def q_d8_pvalues(spark, sf_dir):
     jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
     return stx.chi2_pvalues(stx.independence_tests(jc, NODES, keys=["flag"], given=[None, "regime"]))
+
+
+@register("q_d12_learned_structure_backtest")
+def q_d12_learned_structure_backtest(spark, sf_dir):
+    """Backtest whose every block learns its intra-slice structure on its own
+    window (hill climbing per block) and marginalises REGIME's same-slice
+    parents (J10)."""
+    disc = flag_disc(spark, sf_dir)
+    rets = flag_labelled(spark, sf_dir).select("flag", "date", F.col("spx_ret").alias("equity_ret"), "bond_ret")
+    return wf.walk_forward_learned(disc, rets, FEAT7, "regime", keys=["flag"])

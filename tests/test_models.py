@@ -265,3 +265,81 @@ def test_chi2_pvalues(spark):
                                "g2 double, dof long")
     p = [r.p_value for r in stx.chi2_pvalues(df).collect()]
     assert all(abs(a - b) < 1e-9 for a, b in zip(p, [0.05, 0.05, 1.0, 0.05]))
+
+
+def _learned_loop(rows, feats, target, edges, warm, window, every, k=3):
+    """Brute force: per block, fit slice-1 CPTs of the target's ancestral set and
+    the target CPT given (x_t, pa_{t+1}); P = sum_pa P(pa) theta(0 | x, pa)."""
+    import itertools
+    dbn = [{**rows[i], **{f + "_1": rows[i - 1][f] for f in feats}} for i in range(1, len(rows))]
+    n = len(dbn)
+    start = warm if n > warm + 1 else 1
+    par = {}
+    for u, v in edges:
+        par.setdefault(v, []).append(u)
+    pa = sorted(par.get(target, []))
+    anc, stack = set(), list(pa)
+    while stack:
+        x = stack.pop()
+        if x not in anc:
+            anc.add(x)
+            stack.extend(par.get(x, []))
+    out = {}
+    for t_i, pos in enumerate(range(start, n), start=1):
+        prev = pos - 1
+        if t_i == 1 or (t_i - 1) % every == 0:
+            lo = max(0, prev - (window - 1))
+            win = dbn[lo:prev + 1]
+            pairs = list(zip(win, win[1:]))
+            s1 = [b for _, b in pairs]
+            dom = {v: sorted({r[v] for r in s1}) for v in anc}
+            marg = Counter()
+            order = sorted(anc)
+            for combo in itertools.product(*[dom[v] for v in order]):
+                val = dict(zip(order, combo))
+                pr = 1.0
+                for v in order:
+                    ps = sorted(par.get(v, []))
+                    match = [r for r in s1 if all(r[u] == val[u] for u in ps)]
+                    pr *= (sum(r[v] == val[v] for r in match) / len(match)) if match else 1.0 / len(dom[v])
+                marg[tuple(val[p] for p in pa)] += pr
+            if not pa:
+                marg = Counter({(): 1.0})
+            theta = Counter()
+            tot = Counter()
+            for a, b in pairs:
+                cfg = (tuple(a[f] for f in feats), tuple(b[p] for p in pa))
+                tot[cfg] += 1
+                theta[cfg] += b[target] == 0
+        x = tuple(dbn[prev][f] for f in feats)
+        p = sum(w * (theta[(x, c)] / tot[(x, c)] if tot[(x, c)] else 1.0 / k) for c, w in marg.items())
+        out[dbn[pos]["date"]] = p
+    return out
+
+
+def test_walk_forward_learned_matches_loop(spark):
+    rnd = random.Random(21)
+    feats = ["f1", "f2", "f3"]
+    series = []
+    for i in range(150):
+        f1 = rnd.randint(0, 2)
+        f2 = f1 if rnd.random() < 0.6 else rnd.randint(0, 2)
+        f3 = rnd.randint(0, 1)
+        reg = f2 if rnd.random() < 0.5 else rnd.randint(0, 2)
+        series.append({"date": dt.date(2010, 1, 1) + dt.timedelta(days=i), "f1": f1, "f2": f2, "f3": f3,
+                       "regime": reg, "eq": 0.01, "bond": 0.0})
+    edges = [("f1", "f2"), ("f2", "regime"), ("f3", "regime")]
+    want = _learned_loop(series, feats, "regime", edges, warm=30, window=30, every=5)
+    disc = spark.createDataFrame([("k", r["date"], r["f1"], r["f2"], r["f3"], r["regime"]) for r in series],
+                                 "key string, date date, f1 int, f2 int, f3 int, regime int")
+    rets = spark.createDataFrame([("k", r["date"], r["eq"], r["bond"]) for r in series],
+                                 "key string, date date, equity_ret double, bond_ret double")
+    bt = wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30, retrain_every=5,
+                                 intra_edges=edges)
+    got = {r.date: r.p_off for r in bt.collect()}
+    assert set(got) == set(want)
+    for d, p in want.items():
+        assert abs(got[d] - p) < 1e-9, d
+    learned = wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30,
+                                      retrain_every=5)
+    assert learned.count() == len(want)
