@@ -67,13 +67,18 @@ def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date",
     vals = vals.join(seeds.where(F.col("__nd") > k).select(*grp, "__seed"), grp)
     schema = ", ".join(f"`{c}` {long_df.schema[c].dataType.simpleString()}" for c in grp) + ", __cent array<double>"
     cent = vals.groupBy(*grp).applyInPandas(_lloyd_group(grp, k, rounds), schema=schema)
-    lab = fin.join(cent.join(seeds.select(*grp, "__nd"), grp), grp, "left")
-    lab = lab.withColumn("__km", F.when(F.col("__x").isNotNull(), _nearest(F.col("__x"), F.col("__cent"), k)))
-    lab = equal_freq_long(lab, keys=keys, date_col=date_col, col=col, value=value, k=k, out="__ef")
-    lab = lab.withColumn(out, F.when(F.coalesce(F.col("__nd"), F.lit(0)) <= k, F.col("__ef")).otherwise(F.col("__km")))
+    # only low-cardinality groups need the rank-based bins (a sort of their rows);
+    # every other row is labelled by its nearest centroid, no sort
+    tagged = fin.join(seeds.select(*grp, "__nd"), grp, "left").withColumn(
+        "__low", F.coalesce(F.col("__nd"), F.lit(0)) <= k)
+    low = equal_freq_long(tagged.where(F.col("__low")), keys=keys, date_col=date_col, col=col, value=value,
+                          k=k, out=out)
+    high = tagged.where(~F.col("__low")).join(cent, grp, "left")
+    high = high.withColumn(out, F.when(F.col("__x").isNotNull(), _nearest(F.col("__x"), F.col("__cent"), k)))
     if centroids_out:
-        lab = lab.withColumn(centroids_out, F.when(F.col("__nd") > k, F.col("__cent")))
-    return lab.drop("__x", "__cent", "__nd", "__km", "__ef")
+        high = high.withColumn(centroids_out, F.col("__cent"))
+    lab = high.drop("__cent").unionByName(low, allowMissingColumns=True).drop("__low")
+    return lab.drop("__x", "__nd")
 
 
 def _lloyd_group(grp: list[str], k: int, rounds: int):
