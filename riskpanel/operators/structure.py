@@ -76,8 +76,11 @@ def _families_df(spark: SparkSession, nodes: list[str], max_parents: int) -> Dat
 
 def bic_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int = 2) -> DataFrame:
     """BIC of every family (child, parent set with <= max_parents parents).
-    Cardinalities r are the observed distinct states of each node per key."""
-    st = subset_stats(joint, nodes, keys=keys, max_size=max_parents + 1)
+    Cardinalities r are the observed distinct states of each node per key.
+    The statistics table (#keys x #subsets rows) feeds four joins, so it is
+    materialised once."""
+    from riskpanel.session import materialize
+    st = materialize(subset_stats(joint, nodes, keys=keys, max_size=max_parents + 1))
     fam = _families_df(joint.sparkSession, nodes, max_parents)
     card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
         *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
@@ -116,7 +119,8 @@ def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_
     K2   = sum_F lnG(N_jk + 1) - sum_P lnG(N_j + r) + |P cells| lnG(r)
     BDeu = sum_F [lnG(N_jk + b) - lnG(b)] - sum_P [lnG(N_j + a) - lnG(a)],  a = ess/q, b = ess/(q r)
     (F = cells of parents + child, P = cells of the parents)."""
-    cells = subset_cells(joint, nodes, keys=keys, max_size=max_parents + 1)
+    from riskpanel.session import materialize
+    cells = materialize(subset_cells(joint, nodes, keys=keys, max_size=max_parents + 1))
     st = cells.groupBy(*keys, "subset").agg(F.count(F.lit(1)).alias("cells"))
     card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
         *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
@@ -198,8 +202,10 @@ def _gammq(a: float, x: float) -> float:
 def independence_tests(joint: DataFrame, nodes: list[str], *, keys: list[str],
                        given: list[str | None] = (None,)) -> DataFrame:
     """G-test statistic and degrees of freedom for every node pair, marginal
-    (z = NULL) and conditional on each node in ``given``."""
-    st = subset_stats(joint, nodes, keys=keys, max_size=3)
+    (z = NULL) and conditional on each node in ``given`` (the small statistics
+    table is materialised once; it feeds seven joins)."""
+    from riskpanel.session import materialize
+    st = materialize(subset_stats(joint, nodes, keys=keys, max_size=3))
     card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
         *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
     rows = []
