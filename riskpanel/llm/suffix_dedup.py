@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskpanel.llm import textkit as tk
 from riskpanel.llm.rlbwt import matching_statistics
@@ -234,25 +235,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, replace: bool = False,
 
     Every byte covered by a ``length``-byte string that also starts elsewhere (any document, the same one included;
     overlaps count) is removed, all copies alike; whole texts count as UTF-8 bytes. A null text is empty: 0 bytes,
-    nothing removed. Repeated rows are copies of each other. With ``replace`` the columns of ``docs`` are returned
+    nothing removed. Repeated rows are copies of each other. Columns of the new names are replaced. With ``replace`` the columns of ``docs`` are returned
     instead, text holding the remaining bytes (a character that lost a part of its bytes goes as a whole; a null text
     stays null) and n_chars, if there is one, its characters.
     """
     # equal rows have equal marks, so (doc_id, text) may stand for a row; the count of each is kept in the segments
-    keyed = docs.withColumn("ref", F.xxhash64("doc_id", "text")) if "ref" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("the input has a column named ref")
-    texts = keyed.where("text is not null").select("ref", "text")
-    marks = (repeated_windows(texts, length, **limits).groupBy("ref")
+    if not replace:
+        docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    keyed = docs.withColumn("__ref", F.xxhash64("doc_id", "text"))
+    texts = keyed.where("text is not null").select(F.col("__ref").alias("ref"), "text")
+    marks = (repeated_windows(texts, length, **limits).groupBy(F.col("ref").alias("__ref"))
              .agg(F.collect_list(F.struct("at", "n")).alias("__marks")))
-    joined = keyed.join(marks, "ref", "left").drop("ref")
+    joined = keyed.join(marks, "__ref", "left").drop("__ref")
     own = docs.columns
     text_at, marks_at = own.index("text"), len(own)
     cut = _cut(length)
     if replace:
         schema = docs.schema
     else:
-        from pyspark.sql import types as T
         schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + T.StructType.fromDDL(
             "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
             "spans array<struct<lo: bigint, hi: bigint>>").fields)

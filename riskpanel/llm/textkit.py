@@ -151,11 +151,9 @@ ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double":
 
 
 def add_columns(df: DataFrame, text: str, new: dict[str, str], fn: Callable[[Block], dict]) -> DataFrame:
-    """``df`` with the columns ``new`` (name to SQL type), made by ``fn`` block by block from the text column. All of
-    df's own columns pass through; the new names must not be among them."""
-    clash = set(new) & set(df.columns)
-    if clash:
-        raise ValueError(f"the input already has the columns {sorted(clash)}")
+    """``df`` with the columns ``new`` (name to SQL type), made by ``fn`` block by block from the text column. The other
+    columns of df pass through; those that have one of the new names are replaced."""
+    df = df.drop(*new)
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in new.items())).fields)
 
     def run(batches):

@@ -59,8 +59,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     A rule fits its host and all subdomains when the path starts with the rule's path; the longest rule (characters of
     host and path together, then of the host) decides. Urls that no rule fits get a null rule and ``default``. A null
     url, or one without ``://``, has empty host and path and fits no rule. Repeated rows stay repeated; an empty table
-    gives an empty result. ``pages`` must not have columns of the four names.
+    gives an empty result. Columns of the four names are replaced.
     """
+    pages = pages.drop("host", "path", "rule", "verdict")
     table = rule_table(rules)
     lengths = sorted(r[0] for r in table.select(F.length("rule_path")).distinct().collect())  # at most a path's length
     named = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
