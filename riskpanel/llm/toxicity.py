@@ -23,7 +23,7 @@ FEATURE_BITS = 22
 LEAST_DOCS = 3  # features of fewer training documents have no weight
 BIAS = -5.0  # log odds of a token that has no known feature
 PREFIXES = (4, 5, 6, 8)
-TRAIN_ROWS = 1500  # of each label
+TRAIN_ROWS = 1200  # of each label
 TRAIN_CHARS = 20_000  # longer documents are not fitted on
 SPAN_AT = 0.5
 PREDICT_AT = 0.7
@@ -62,13 +62,13 @@ def token_features(block: tk.Block):
     core_e = e.copy()
     for _ in range(3):  # without punctuation at the end
         core_e -= (core_e - s > 1) & _STRIP[low[np.maximum(core_e - 1, 0)]] if n else 0
-    out = np.empty((n, 1 + len(PREFIXES)), np.int64)
+    out = np.empty((n, 1 + len(PREFIXES)), np.int32)
     shift = np.uint64(64 - FEATURE_BITS)
-    out[:, 0] = (tk.span_hashes(low, s, core_e) >> shift).astype(np.int64)
+    out[:, 0] = (tk.span_hashes(low, s, core_e) >> shift).astype(np.int32)
     for c, k in enumerate(PREFIXES, 1):
         h = tk.span_hashes(low, s, np.minimum(s + k, core_e))
         with np.errstate(over="ignore"):
-            out[:, c] = (tk.mix64(h + tk.CODES[c]) >> shift).astype(np.int64)
+            out[:, c] = (tk.mix64(h + tk.CODES[c]) >> shift).astype(np.int32)
     return s, e, wb, out
 
 
@@ -165,12 +165,13 @@ def label_tokens(features: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, od
 
     for c in range(features.shape[1]):
         seen = np.unique(doc * size + features[:, c])
-        f, t = seen % size, toxic[seen // size]
-        d1, d0 = np.bincount(f[t], minlength=size), np.bincount(f[~t], minlength=size)
+        t = toxic[seen // size]
+        f, at = np.unique(seen % size, return_inverse=True)
+        d1, d0 = np.bincount(at[t], minlength=len(f)), np.bincount(at[~t], minlength=len(f))
         tried = max(1, int((d1 + d0 >= 4).sum()))
         g = gain(d1, n1, d1 / n1) + gain(d0, n0, d0 / n0) - gain(d1 + d0, n1 + n0, (d1 + d0) / (n1 + n0))
         strong = (g > np.log(tried) + 1) & ((d1 + 0.5) / n1 >= odds * (d0 + 0.5) / n0)
-        bad |= strong[features[:, c]]
+        bad |= np.isin(features[:, c], f[strong])
     return bad & toxic[doc]
 
 
@@ -215,9 +216,11 @@ def fit(texts: list, toxic: list, rounds: int = 25, rate: float = 0.5) -> Model:
     model.trans = np.log(pairs / pairs.sum(1, keepdims=True))
     start = np.bincount(y[first].astype(int), minlength=2) + 1.0
     model.first = np.log(start / start.sum())
-    seen = np.unique(np.concatenate([tk.owners(b) * len(model.weights) + f[:, c] for c in range(f.shape[1])]))
-    docs_of = np.bincount(seen % len(model.weights), minlength=len(model.weights))
-    used = np.flatnonzero(docs_of >= LEAST_DOCS)
+    size, used = len(model.weights), []
+    for c in range(f.shape[1]):
+        seen, docs_of = np.unique(np.unique(tk.owners(b) * size + f[:, c]) % size, return_counts=True)
+        used.append(seen[docs_of >= LEAST_DOCS])
+    used = np.unique(np.concatenate(used))
     place = np.full(len(model.weights), len(used), np.int32)  # the last place takes what has no weight
     place[used] = np.arange(len(used), dtype=np.int32)
     flat = place[f]
@@ -251,11 +254,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
              .where(~held_out(F.col("doc_id"), 3, 1)))
     few = None
     for value in (0, 1):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
+        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * 3 // 2)
         few = part if few is None else few.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
-    got = texts.join(F.broadcast(few), "doc_id").collect()  # at most 4 * rows ids
-    got = sorted({(r.toxic, r.doc_id, r.text) for r in got}, key=lambda r: (r[0], _spread(r[1]), r[2]))
+    got = texts.join(F.broadcast(few), "doc_id").select("toxic", "doc_id", "text").toArrow()  # at most 3 * rows ids
+    got = set(zip(*(got.column(c).to_pylist() for c in range(3)), strict=True))
+    got = sorted(got, key=lambda r: (r[0], _spread(r[1]), r[2]))
     zero, one = [r for r in got if r[0] == 0][:rows], [r for r in got if r[0] == 1][:rows]
     return [r[2] for r in zero + one], [r[0] == 1 for r in zero + one]
 
