@@ -181,7 +181,7 @@ def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
     each = rows.dropDuplicates(["mini", "whole"]).mapInArrow(run, "mini bigint, whole bigint, times bigint, lo int, window bigint")
     each = materialize(each)
     twice = each.groupBy("mini", "window").agg(F.sum("times").alias("all")).where("all > 1").drop("all")
-    return each.join(twice, ["mini", "window"]).select("mini", "whole", "lo", (F.col("lo") + 1).alias("hi"))
+    return each.join(materialize(twice), ["mini", "window"]).select("mini", "whole", "lo", (F.col("lo") + 1).alias("hi"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT,
@@ -190,7 +190,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, core: int = CORE, ho
     parts = materialize(_segment_table(docs, length, core))
     again = (parts.groupBy("mini").agg(F.count("*").alias("c"), F.min("whole").alias("x"), F.max("whole").alias("y"))
              .where("c > 1").select("mini", (F.col("x") != F.col("y")).alias("mixed")))
-    repeated = materialize(parts.join(again, "mini"))
+    # a table of its own: a join right on the sums would keep their partitioning, and a hot minimizer could not be split
+    repeated = materialize(parts.join(materialize(again), "mini"))
     alike = repeated.where("not mixed").select("ref", "at", "n")
     mixed = repeated.where("mixed")
     kinds = (mixed.groupBy("mini", "whole").agg(F.count("*").alias("times"), F.min(F.struct("ref", "at", "n")).alias("r"))
@@ -208,7 +209,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, core: int = CORE, ho
         index = index.unionByName(_one_by_one(tagged.where("common").drop("common"), length))
     spans = index.select("mini", "whole", F.struct("lo", "hi").alias("s")).groupBy("mini", "whole").agg(
         F.collect_list("s").alias("s"))  # at most one entry for each window of a segment
-    marked = (mixed.join(spans, ["mini", "whole"]).select("ref", "at", F.explode("s").alias("s"))
+    marked = (mixed.join(materialize(spans), ["mini", "whole"]).select("ref", "at", F.explode("s").alias("s"))
               .select("ref", (F.col("at") + F.col("s.lo")).alias("at"), (F.col("s.hi") - F.col("s.lo")).alias("n")))
     return alike.unionByName(marked)
 
