@@ -33,10 +33,14 @@ _DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)"
 
 
 def _grams(block: tk.Block):
-    """Buckets of the byte trigrams of every text (letters A-Z lowered, runs of other ASCII as one blank)."""
-    c = tk.CODES[_FOLD[block.data]]
-    g = tk.gram_hashes(c, GRAM)
-    ok = tk.inside(block.off, GRAM, len(c))[: len(g)]
+    """Buckets of the byte trigrams of every text (A-Z lowered, other ASCII as blanks; not those of blanks only)."""
+    folded = _FOLD[block.data]
+    g = tk.gram_hashes(tk.CODES[folded], GRAM)
+    ok = tk.inside(block.off, GRAM, len(folded))[: len(g)]
+    seen = folded != 32
+    for k in range(1, GRAM):
+        seen[:-k] |= folded[k:] != 32
+    ok = ok & seen[: len(g)]
     return (g[ok] & np.uint64(BUCKETS - 1)).astype(np.int64), tk.owners(block.off)[: len(g)][ok]
 
 

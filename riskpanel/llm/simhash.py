@@ -89,6 +89,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     of a group are within it of each other."""
     if radius % 2:
         raise ValueError("the radius must be even")
+    # a table of fingerprints is small beside its balls: many tasks, not many bytes
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     balls = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in masks(radius // 2)])).alias("m")) \
         .select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
     met = balls.groupBy("variant").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
