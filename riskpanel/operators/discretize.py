@@ -43,7 +43,7 @@ def equal_freq_long(long_df: DataFrame, *, keys: list[str], date_col: str = "dat
 
 
 def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date", col: str = "col_name",
-                value: str = "value", k: int = 3, rounds: int = 20, out: str = "state",
+                value: str = "value", k: int = 3, out: str = "state",
                 centroids_out: str | None = None) -> DataFrame:
     """1-D k-means bins per (key, column), states ordered by centroid.
 
@@ -54,8 +54,8 @@ def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date",
     is over the distinct (value, count) table of one (key, column), which is
     bounded by the series length (one row per date), so the rounds run as one
     vectorised numpy loop per group inside ``applyInPandas``: one pass, no
-    per-round jobs; the loop stops early only at an exact fixed point (same
-    result as running all rounds). Seeds and labels stay in Spark. Series with <= k distinct finite values
+    per-round jobs; the loop ends at the fixed point, when no value changes its
+    cluster. Seeds and labels stay in Spark. Series with <= k distinct finite values
     fall back to D2 on the raw series, as the reference does."""
     grp = [*keys, col]
     fin = long_df.withColumn("__x", finite(value))
@@ -66,7 +66,7 @@ def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date",
     vals = fin.where(F.col("__x").isNotNull()).groupBy(*grp, "__x").agg(F.count(F.lit(1)).alias("__c"))
     vals = vals.join(seeds.where(F.col("__nd") > k).select(*grp, "__seed"), grp)
     schema = ", ".join(f"`{c}` {long_df.schema[c].dataType.simpleString()}" for c in grp) + ", __cent array<double>"
-    cent = vals.groupBy(*grp).applyInPandas(_lloyd_group(grp, k, rounds), schema=schema)
+    cent = vals.groupBy(*grp).applyInPandas(_lloyd_group(grp, k), schema=schema)
     # only low-cardinality groups need the rank-based bins (a sort of their rows);
     # every other row is labelled by its nearest centroid, no sort
     tagged = fin.join(seeds.select(*grp, "__nd"), grp, "left").withColumn(
@@ -81,21 +81,21 @@ def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date",
     return lab.drop("__x", "__nd")
 
 
-def _lloyd_group(grp: list[str], k: int, rounds: int):
+def _lloyd_group(grp: list[str], k: int):
     def run(pdf):
         import numpy as np
         import pandas as pd
         x = pdf["__x"].to_numpy(dtype="float64")
         c = pdf["__c"].to_numpy(dtype="float64")
         cent = np.array(pdf["__seed"].iloc[0], dtype="float64")
-        for _ in range(rounds):
+        before = None
+        while True:
             j = np.argmin(np.abs(x[:, None] - cent[None, :]), axis=1)   # first minimum = lower index
             s = np.bincount(j, weights=x * c, minlength=k)
             n = np.bincount(j, weights=c, minlength=k)
-            new = np.where(n > 0, s / np.where(n > 0, n, 1.0), cent)
-            if np.array_equal(new, cent):
+            if before is not None and np.array_equal(j, before):
                 break
-            cent = new
+            cent, before = np.where(n > 0, s / np.where(n > 0, n, 1.0), cent), j
         out = {g: [pdf[g].iloc[0]] for g in grp}
         out["__cent"] = [cent.tolist()]
         return pd.DataFrame(out)
@@ -114,17 +114,17 @@ def _nearest(x: Column, cent: Column, k: int) -> Column:
 
 
 def discretize_frame(df: DataFrame, *, keys: list[str], date_col: str = "date", method: str = "kmeans",
-                     k: int = 3, cols: list[str] | None = None, rounds: int = 20) -> DataFrame:
+                     k: int = 3, cols: list[str] | None = None) -> DataFrame:
     """D3: discretise many columns at once: unpivot -> one partitioned pass ->
     pivot back by conditional aggregation on (keys, date)."""
     cols = cols or [c for c in df.columns if c not in keys and c != date_col]
     lg = df.select(*keys, date_col, *cols).unpivot([*keys, date_col], cols, "col_name", "value")
     if method == "kmeans":
-        lab = kmeans_long(lg, keys=keys, date_col=date_col, k=k, rounds=rounds)
+        lab = kmeans_long(lg, keys=keys, date_col=date_col, k=k)
     elif method == "equalfreq":
         lab = equal_freq_long(lg, keys=keys, date_col=date_col, k=k)
     else:
-        raise ValueError("method must be 'kmeans' or 'equalfreq'")
+        raise ValueError(f"unknown discretisation {method!r}; known are kmeans and equalfreq")
     wide = lab.groupBy(*keys, date_col).agg(
         *[F.max(F.when(F.col("col_name") == c, F.col("state"))).alias(c) for c in cols])
     rest = [c for c in df.columns if c not in cols]

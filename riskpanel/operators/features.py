@@ -27,19 +27,17 @@ def add_lags(df: DataFrame, cols: list[str], *, keys: list[str], date_col: str =
 
 def ensure_lags(df: DataFrame, *, keys: list[str], date_col: str = "date",
                 exclude: tuple[str, ...] = ("REGIME",), drop_col: str | None = None) -> DataFrame:
-    """Guarantee ``X_1`` for every base column X; drop null rows only when a
-    lag was created; base columns first, then lags (P15)."""
-    if drop_col and drop_col in df.columns:
-        df = df.drop(drop_col)
-    skip = set(keys) | {date_col} | set(exclude)
-    base = [c for c in df.columns if c not in skip and not c.endswith("_1")]
-    missing = [c for c in base if f"{c}_1" not in df.columns]
-    if missing:
-        df = add_lags(df, missing, keys=keys, date_col=date_col, n=1)
-        df = df.dropna(how="any")
-    lags = [c for c in df.columns if c.endswith("_1") and c not in skip]
-    rest = [c for c in df.columns if c in skip and c not in keys and c != date_col]
-    return df.select(*keys, date_col, *base, *lags, *rest)
+    """W4 + P15: keys, date, then every feature, then its lag ``_1`` (taken as it
+    is where the input has one), then the excluded columns. If any lag had to be
+    made, rows with a null are left out."""
+    have = [c for c in df.columns if c != drop_col]
+    aside = [c for c in have if c in exclude]
+    features = [c for c in have if not c.endswith("_1") and c not in (*keys, date_col, *aside)]
+    w = ordered(keys, date_col)
+    lag_of = {c: F.col(f"{c}_1") if f"{c}_1" in have else F.lag(c).over(w).alias(f"{c}_1") for c in features}
+    others = [c for c in have if c.endswith("_1") and c[:-2] not in features and c not in aside]
+    out = df.select(*keys, date_col, *features, *lag_of.values(), *others, *aside)
+    return out.dropna() if any(f"{c}_1" not in have for c in features) else out
 
 
 def split_base_lag(columns: list[str]) -> tuple[list[str], list[str]]:
@@ -147,6 +145,16 @@ def lookup_aligned(left: DataFrame, right: DataFrame, *, keys: list[str], date_c
     return left.join(right, [*keys, date_col], how)
 
 
+def lookup_required(labels: DataFrame, table: DataFrame, *, keys: list[str], date_col: str = "date") -> DataFrame:
+    """J3, strict: the row of ``table`` for every row of ``labels``; fails on the
+    first label (keys, date) that the table lacks."""
+    on = [*keys, date_col]
+    hit = labels.join(table.withColumn("__hit", F.lit(True)), on, "left")
+    said = F.concat_ws(" ", F.lit("no row for label"), *[F.col(c).cast("string") for c in on])
+    known = F.when(F.col("__hit"), F.col(date_col)).otherwise(F.raise_error(said).cast(labels.schema[date_col].dataType))
+    return hit.withColumn(date_col, known).drop("__hit")
+
+
 def daily_spine(df: DataFrame, *, keys: list[str], date_col: str = "date", step: str = "1 day") -> DataFrame:
     """Per-key calendar from min to max date: one row per key, then ``explode``.
     Work and output are linear in the calendar length."""
@@ -175,9 +183,9 @@ def drop_all_null_columns(df: DataFrame, cols: list[str] | None = None) -> DataF
 
 
 def trailing_months(df: DataFrame, months: int, *, keys: list[str], date_col: str = "date") -> DataFrame:
-    """Rows within ``months`` of each key's last date."""
+    """Rows within ``months`` of each key's last date, the row exactly that far back included."""
     mx = F.max(date_col).over(whole(keys))
-    return df.withColumn("__mx", mx).where(F.col(date_col) > F.add_months("__mx", -months)).drop("__mx")
+    return df.withColumn("__mx", mx).where(F.col(date_col) >= F.add_months("__mx", -months)).drop("__mx")
 
 
 def head_tail(df: DataFrame, n: int, *, keys: list[str], date_col: str = "date", tail: bool = False) -> DataFrame:

@@ -49,18 +49,15 @@ def confusion_counts(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str]
         F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str],
-                     classes: list[int] = (0, 1, 2)) -> DataFrame:
-    """Dense matrix per key over the class codes that occur in either
-    column (from the fixed code list ``classes``), zero-filled. The k x k cells
-    are generated from the code list, never by pairing data rows."""
-    cc = confusion_counts(df, y_true, y_pred, keys=keys)
+def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, *, keys: list[str]) -> DataFrame:
+    """Dense matrix per key over the union of the labels that occur in
+    either column (any values, null left out), zero-filled. The cells are
+    generated from each key's label set, never by pairing data rows."""
+    cc = confusion_counts(df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()), y_true, y_pred, keys=keys)
     seen = cc.groupBy(*keys).agg(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")).alias("__seen"))
-    codes = F.array(*[F.lit(c) for c in classes])
-    grid = seen.select(*keys, "__seen", F.explode(codes).alias("y_true"))
-    grid = grid.select(*keys, "__seen", "y_true", F.explode(codes).alias("y_pred"))
-    grid = grid.where(F.array_contains("__seen", F.col("y_true")) & F.array_contains("__seen", F.col("y_pred")))
-    out = grid.drop("__seen").join(cc, [*keys, "y_true", "y_pred"], "left")
+    grid = seen.select(*keys, "__seen", F.explode("__seen").alias("y_true"))
+    grid = grid.select(*keys, "y_true", F.explode("__seen").alias("y_pred"))
+    out = grid.join(cc, [*keys, "y_true", "y_pred"], "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 

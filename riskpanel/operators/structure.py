@@ -17,8 +17,9 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,60 +59,76 @@ def subset_stats(joint: DataFrame, nodes: list[str], *, keys: list[str], max_siz
         F.sum("__N").alias("total"))
 
 
-def families(nodes: list[str], max_parents: int = 2) -> list[tuple[str, tuple[str, ...]]]:
-    return [(c, ps) for c in nodes for m in range(0, max_parents + 1)
+def families(nodes: list[str], max_parents: int | None = None) -> list[tuple[str, tuple[str, ...]]]:
+    """Every (child, parent set); all parent sets unless ``max_parents`` restricts them."""
+    most = len(nodes) - 1 if max_parents is None else max_parents
+    return [(c, ps) for c in nodes for m in range(0, most + 1)
             for ps in combinations([x for x in nodes if x != c], m)]
 
 
-def _families_df(spark: SparkSession, nodes: list[str], max_parents: int) -> DataFrame:
-    rows = []
-    for c, ps in families(nodes, max_parents):
-        pad = list(ps) + [None] * (max_parents - len(ps))
-        rows.append((c, subset_key(ps), subset_key((*ps, c)), *pad))
-    schema = T.StructType([T.StructField("child", T.StringType()), T.StructField("parents", T.StringType()),
-                           T.StructField("family", T.StringType())] +
-                          [T.StructField(f"p{i}", T.StringType()) for i in range(max_parents)])
-    return spark.createDataFrame(rows, schema)
-
-
-def bic_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int = 2) -> DataFrame:
-    """BIC of every family (child, parent set with <= max_parents parents).
-    Cardinalities r are the observed distinct states of each node per key.
-    The statistics table (#keys x #subsets rows) feeds four joins, so it is
-    materialised once."""
+def _families_df(spark: SparkSession, nodes: list[str], max_parents: int | None) -> DataFrame:
+    rows = [(c, subset_key(ps), subset_key((*ps, c))) for c, ps in families(nodes, max_parents)]
+    return spark.createDataFrame(rows, "child string, parents string, family string")
+
+
+def _cardinalities(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __card): a map from node to its number of observed states, one row per key."""
+    single = cells.where(~F.col("subset").contains(",") & (F.col("subset") != ""))
+    return single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("subset", "cells"))).alias("__card"))
+
+
+def _configurations(parents: str = "parents") -> Column:
+    """Product of the parents' cardinalities (1 without parents)."""
+    names = F.filter(F.split(parents, ","), lambda p: p != "")
+    return F.aggregate(names, F.lit(1.0), lambda a, p: a * F.element_at(F.col("__card"), p).cast("double"))
+
+
+def bic_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int | None = None) -> DataFrame:
+    """BIC of every family (child, parent set); all parent sets unless
+    ``max_parents`` restricts them. Cardinalities are the observed distinct
+    states of each node per key. The statistics table (#keys x #subsets rows)
+    feeds several joins, so it is materialised once."""
     from riskpanel.session import materialize
-    st = materialize(subset_stats(joint, nodes, keys=keys, max_size=max_parents + 1))
+    size = len(nodes) if max_parents is None else max_parents + 1
+    st = materialize(subset_stats(joint, nodes, keys=keys, max_size=size))
     fam = _families_df(joint.sparkSession, nodes, max_parents)
-    card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
-        *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
     gf = st.select(*keys, F.col("subset").alias("family"), F.col("g").alias("g_f"), F.col("total").alias("N"))
     gp = st.select(*keys, F.col("subset").alias("parents"), F.col("g").alias("g_p"))
     # the family list is equi-joined onto each key's observed subsets (a family
     # whose node subset was never observed cannot occur)
-    s = gf.join(F.broadcast(fam), "family").join(gp, [*keys, "parents"])
-    s = s.join(card.select(*keys, F.col("__v").alias("child"), F.col("__r").alias("r")), [*keys, "child"])
-    q = F.lit(1).cast("long")
-    for i in range(max_parents):
-        ci = card.select(*keys, F.col("__v").alias(f"p{i}"), F.col("__r").alias(f"__r{i}"))
-        s = s.join(ci, [*keys, f"p{i}"], "left")
-        q = q * F.coalesce(F.col(f"__r{i}"), F.lit(1))
+    s = gf.join(fam, "family").join(gp, [*keys, "parents"]).join(_cardinalities(st, keys), keys)
     ll = F.col("g_f") - F.col("g_p")
-    bic = ll - F.lit(0.5) * F.log(F.col("N")) * q.cast("double") * (F.col("r") - 1).cast("double")
+    r = F.element_at("__card", F.col("child")).cast("double")
+    bic = ll - F.lit(0.5) * F.log(F.col("N")) * _configurations() * (r - 1)
     return s.select(*keys, "child", "parents", ll.alias("loglik"), bic.alias("bic"))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers (NaN otherwise): the argument is raised by
+    ten through the recurrence, then Stirling's series is exact to rounding."""
+    x = np.asarray(x, float)
+    ok = x > 0
+    v = np.where(ok, x, 1.0)
+    low = np.zeros_like(v)
+    for i in range(10):
+        low += np.log(v + i)
+    z = v + 10
+    tail = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - (1 / 1188) / z**2) / z**2) / z**2) / z**2) / z
+    return np.where(ok, (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail - low, np.nan)
+
+
 def _lgamma():
     """Log-gamma as a vectorised pandas UDF (Spark SQL has no built-in); used
     only on the small tables of cell counts."""
 
     @F.pandas_udf("double")
     def lgamma(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.lgamma(v) if v == v and v > 0 else float("nan"))
+        return pd.Series(log_gamma(x.to_numpy()))
 
     return lgamma
 
 
-def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int = 2,
+def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int | None = None,
                     method: str = "k2", ess: float = 5.0) -> DataFrame:
     """D6, K2 and BDeu local scores for every family, from observed cells only
     (unobserved parent configurations contribute zero):
@@ -120,22 +137,14 @@ def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_
     BDeu = sum_F [lnG(N_jk + b) - lnG(b)] - sum_P [lnG(N_j + a) - lnG(a)],  a = ess/q, b = ess/(q r)
     (F = cells of parents + child, P = cells of the parents)."""
     from riskpanel.session import materialize
-    cells = materialize(subset_cells(joint, nodes, keys=keys, max_size=max_parents + 1))
+    size = len(nodes) if max_parents is None else max_parents + 1
+    cells = materialize(subset_cells(joint, nodes, keys=keys, max_size=size))
     st = cells.groupBy(*keys, "subset").agg(F.count(F.lit(1)).alias("cells"))
-    card = st.where(~F.col("subset").contains(",") & (F.col("subset") != "")).select(
-        *keys, F.col("subset").alias("__v"), F.col("cells").alias("__r"))
     fam = _families_df(joint.sparkSession, nodes, max_parents)
-    fam = F.broadcast(fam)
     # r and q per (key, family)
-    base = st.select(*keys, F.col("subset").alias("family")).join(fam, "family")
-    base = base.join(card.select(*keys, F.col("__v").alias("child"), F.col("__r").alias("r")), [*keys, "child"])
-    q = F.lit(1).cast("long")
-    for i in range(max_parents):
-        base = base.join(card.select(*keys, F.col("__v").alias(f"p{i}"), F.col("__r").alias(f"__r{i}")),
-                         [*keys, f"p{i}"], "left")
-        q = q * F.coalesce(F.col(f"__r{i}"), F.lit(1))
-    base = base.select(*keys, "child", "parents", "family", F.col("r").cast("double").alias("r"),
-                       q.cast("double").alias("q"))
+    base = (st.select(*keys, F.col("subset").alias("family")).join(fam, "family").join(_cardinalities(st, keys), keys)
+            .select(*keys, "child", "parents", "family", F.element_at("__card", F.col("child")).cast("double").alias("r"),
+                    _configurations().alias("q")))
     lg = _lgamma()
     if method == "k2":
         f_term = lg(F.col("__N") + 1.0)
@@ -155,50 +164,37 @@ def bayesian_scores(joint: DataFrame, nodes: list[str], *, keys: list[str], max_
         *keys, "child", "parents", (F.col("__f") - F.col("__p")).alias(method))
 
 
+def chi2_survival(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """P(chi-square with ``dof`` degrees of freedom > x), by the finite sums for
+    even and odd dof; NaN without a positive dof."""
+    x, dof = np.asarray(x, float), np.asarray(dof, float)
+    out = np.full(len(x), np.nan)
+    half = np.maximum(x, 0.0) / 2
+    with np.errstate(divide="ignore"):
+        log_half = np.log(half)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    for k in np.unique(dof[dof > 0]).astype(int):
+        at = (dof == k) & ~np.isnan(x)
+        a = 0.0 if k % 2 == 0 else 0.5
+        total = np.zeros(at.sum()) if k % 2 == 0 else erfc(np.sqrt(half[at])).astype(float)
+        for j in range(k // 2):
+            power = np.where(half[at] > 0, (j + a) * log_half[at], 0.0 if j + a == 0 else -np.inf)
+            total = total + np.exp(power - half[at] - math.lgamma(j + a + 1))
+        out[at] = np.minimum(total, 1.0)
+    return out
+
+
 def chi2_pvalues(tests: DataFrame, stat: str = "g2", dof: str = "dof", out: str = "p_value") -> DataFrame:
-    """D8 p-values: chi-square survival function = regularised upper incomplete
-    gamma Q(dof/2, stat/2) (series / continued fraction), as a pandas UDF on the
-    small test table."""
+    """D8 p-values: the chi-square survival function, vectorised over the small
+    table of tests."""
 
     @F.pandas_udf("double")
     def sf(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([_gammq(kk / 2.0, xx / 2.0) if kk and kk > 0 and xx == xx else float("nan")
-                          for xx, kk in zip(x, k)])
+        return pd.Series(chi2_survival(x.to_numpy(float), k.to_numpy(float)))
 
     return tests.withColumn(out, sf(F.col(stat), F.col(dof).cast("double")))
 
 
-def _gammq(a: float, x: float) -> float:
-    if x <= 0:
-        return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:                       # series for P, then Q = 1 - P
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(10000):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-15:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b = x + 1.0 - a                       # Lentz continued fraction for Q
-    c, d = 1.0 / 1e-300, 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
-
-
 def independence_tests(joint: DataFrame, nodes: list[str], *, keys: list[str],
                        given: list[str | None] = (None,)) -> DataFrame:
     """G-test statistic and degrees of freedom for every node pair, marginal
@@ -317,20 +313,20 @@ def fit_cpt(df: DataFrame, child: str, parents: list[str], *, keys: list[str], e
     return full.withColumn("p", p).drop("__nj", *[f"__r_{x}" for x in parents])
 
 
-def hill_climb(scores: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int = 2,
-               epsilon: float = 1e-4, tabu_length: int = 100, max_iter: int = 1000) -> DataFrame:
+def hill_climb(scores: DataFrame, nodes: list[str], *, keys: list[str], max_parents: int | None = None,
+               epsilon: float = 1e-4, tabu_length: int = 100) -> DataFrame:
     """Greedy add / remove / reverse search maximising total BIC, from the
-    empty graph, acyclic, at most ``max_parents`` parents, with a tabu list of
-    undone moves; ties -> first in (kind, parent, child) order [decision].
+    empty graph, acyclic, any number of parents unless ``max_parents`` is set,
+    with a tabu list of undone moves; every step gains at least ``epsilon``, so it ends by itself; ties -> first in (kind, parent, child) order [decision].
     Runs per key with ``applyInPandas`` over that key's family-score table
-    (|nodes| * C(|nodes|-1, <= max_parents) rows), never over the data."""
+    (|nodes| * 2^(|nodes|-1) rows), never over the data."""
     schema = ", ".join(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in keys) + \
         ", parent string, child string"
 
     def run(pdf):
         import pandas as pd
-        score = {(r.child, r.parents): r.bic for r in pdf.itertuples()}
-        edges = _climb(score, nodes, max_parents, epsilon, tabu_length, max_iter)
+        score = dict(zip(zip(pdf["child"], pdf["parents"]), pdf["bic"]))
+        edges = _climb(score, nodes, len(nodes) - 1 if max_parents is None else max_parents, epsilon, tabu_length)
         out = pd.DataFrame({"parent": pd.Series([u for u, _ in edges], dtype=object),
                             "child": pd.Series([v for _, v in edges], dtype=object)})
         for c in keys:
@@ -340,7 +336,7 @@ def hill_climb(scores: DataFrame, nodes: list[str], *, keys: list[str], max_pare
     return scores.groupBy(*keys).applyInPandas(run, schema=schema)
 
 
-def _climb(score, nodes, max_parents, epsilon, tabu_length, max_iter):
+def _climb(score, nodes, max_parents, epsilon, tabu_length):
     from collections import deque
     parents = {n: set() for n in nodes}
 
@@ -360,7 +356,7 @@ def _climb(score, nodes, max_parents, epsilon, tabu_length, max_iter):
         return False
 
     tabu = deque(maxlen=tabu_length)
-    for _ in range(max_iter):
+    while True:
         best = None
         for u in sorted(nodes):
             for v in sorted(nodes):

@@ -54,8 +54,8 @@ def two_slice(df: DataFrame, nodes: list[str], *, keys: list[str], date_col: str
     ``v_t0`` = value at t, ``v_t1`` = value at t+1. One window, no self join."""
     w = ordered(keys, date_col)
     out = df.select(*keys, date_col, *[F.lag(v).over(w).alias(f"{v}_t0") for v in nodes],
-                    *[F.col(v).alias(f"{v}_t1") for v in nodes])
-    return out.where(F.col(f"{nodes[0]}_t0").isNotNull() | F.lit(len(nodes) == 0))
+                    *[F.col(v).alias(f"{v}_t1") for v in nodes], F.row_number().over(w).alias("__row"))
+    return out.where(F.col("__row") > 1).drop("__row")
 
 
 def lagged_evidence(disc: DataFrame, features: list[str], target: str, *, keys: list[str],
@@ -118,7 +118,7 @@ def walk_forward(disc: DataFrame, returns: DataFrame, features: list[str], targe
     post = post.withColumn("p_off", F.coalesce(F.col("p_state"), F.lit(1.0 / k)))
     post = post.select(*keys, date_col, "block", "p_off")
     rets = returns.select(*keys, date_col, F.col(equity_col).alias("equity_ret"), F.col(bond_col).alias("bond_ret"))
-    bt = post.join(rets, [*keys, date_col], "inner")
+    bt = fx.lookup_required(post, rets, keys=keys, date_col=date_col)
     dec = decision(F.col("p_off"))
     return bt.withColumn("decision", dec).withColumn(
         "net", net_return(F.col("decision"), F.col("equity_ret"), F.col("bond_ret")))
@@ -138,7 +138,7 @@ def window_row_membership(dbn: DataFrame, *, window: int = WINDOW, retrain_every
 
 
 def block_structures(dbn: DataFrame, nodes: list[str], *, keys: list[str], window: int = WINDOW,
-                     retrain_every: int = RETRAIN_EVERY, max_parents: int = 2) -> DataFrame:
+                     retrain_every: int = RETRAIN_EVERY, max_parents: int | None = None) -> DataFrame:
     """D7 per training window: (keys, block, parent, child) edges learned by hill
     climbing on each block's window rows; all blocks of all keys in one job
     (joint counts -> grouping-set scores -> per-block search)."""
@@ -187,7 +187,7 @@ def _ancestral_families(edges: DataFrame, target: str, *, keys: list[str], max_p
 def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str], target: str, *,
                          keys: list[str], date_col: str = "date", equity_col: str = "equity_ret",
                          bond_col: str = "bond_ret", k: int = 3, warmup: int = WARMUP, window: int = WINDOW,
-                         retrain_every: int = RETRAIN_EVERY, max_parents: int = 2,
+                         retrain_every: int = RETRAIN_EVERY, max_parents: int | None = None,
                          intra_edges: list[tuple[str, str]] | None = None) -> DataFrame:
     """D12 with J10: each block learns its intra-slice structure on its window
     (or uses the fixed ``intra_edges`` for every block);
@@ -213,6 +213,8 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
         blocks_df = model_membership(dbn, window=window, retrain_every=retrain_every).select(*kb).distinct()
         lit_edges = F.array(*[F.struct(F.lit(u).alias("parent"), F.lit(v).alias("child")) for u, v in intra_edges])
         edges = blocks_df.select(*kb, F.explode(lit_edges).alias("__e")).select(*kb, "__e.*")
+    if max_parents is None:
+        max_parents = len(nodes) - 1
     fams = materialize(_ancestral_families(edges, target, keys=keys, max_parents=max_parents))
     pcs = [f"p{i}" for i in range(max_parents)]
     members = model_membership(dbn, window=window, retrain_every=retrain_every)
@@ -245,7 +247,7 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
         F.coalesce(theta["n_state"] / theta["n_cfg"], F.lit(1.0 / k)).alias("__t"))
     post = j.groupBy(*keys, date_col, "block").agg(F.sum(F.col("__w") * F.col("__t")).alias("p_off"))
     rets = returns.select(*keys, date_col, F.col(equity_col).alias("equity_ret"), F.col(bond_col).alias("bond_ret"))
-    bt = post.join(rets, [*keys, date_col], "inner")
+    bt = fx.lookup_required(post, rets, keys=keys, date_col=date_col)
     dec = decision(F.col("p_off"))
     return bt.withColumn("decision", dec).withColumn(
         "net", net_return(F.col("decision"), F.col("equity_ret"), F.col("bond_ret")))

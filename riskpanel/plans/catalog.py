@@ -391,7 +391,7 @@ def q_j3_returns_on_evidence(spark, sf_dir):
     f = nation_features(spark, sf_dir)
     ev = f.where(F.col("vix") > 25.0).select("nation", "date")
     ret = f.select("nation", "date", F.col("spx_ret").alias("equity_ret"), F.col("bond_ret").alias("bond_ret"))
-    return rnd(fx.lookup_aligned(ret, ev, keys=["nation"]), ["equity_ret", "bond_ret"])
+    return rnd(fx.lookup_required(ev, ret, keys=["nation"]), ["equity_ret", "bond_ret"])
 
 
 @register("q_t2_head_tail", NM + f"""
@@ -415,9 +415,7 @@ def q_t4_unpivot_long(spark, sf_dir):
 
 @register("q_p8_trailing_months", NM + f"""
 SELECT nation, date, {qs("vix")} AS vix FROM feat
-WHERE date > (max(date) OVER (PARTITION BY nation)) - INTERVAL 20 MONTH""".replace(
-    "WHERE date > (max(date) OVER (PARTITION BY nation)) - INTERVAL 20 MONTH",
-    "QUALIFY date > CAST(max(date) OVER (PARTITION BY nation) - INTERVAL 20 MONTH AS DATE)"))
+QUALIFY date >= CAST(max(date) OVER (PARTITION BY nation) - INTERVAL 20 MONTH AS DATE)""")
 def q_p8_trailing_months(spark, sf_dir):
     f = nation_features(spark, sf_dir).select("nation", "date", q("vix").alias("vix"))
     return fx.trailing_months(f, 20, keys=["nation"])
@@ -470,13 +468,13 @@ def q_d2_equal_freq(spark, sf_dir):
 @register("q_d1_kmeans_bins", FDL + "," + sp.kmeans_long("flag") + """
 SELECT flag, date, col_name, state FROM km""")
 def q_d1_kmeans_bins(spark, sf_dir):
-    return dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, rounds=20).drop("value")
+    return dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3).drop("value")
 
 
 @register("q_d1_kmeans_centroids", FDL + "," + sp.kmeans_long("flag") + f"""
 SELECT flag, col_name, {rsql(["c0", "c1", "c2"], alias_prefix="cent20.")} FROM cent20 JOIN seeds USING (flag, col_name) WHERE nd > 3""")
 def q_d1_kmeans_centroids(spark, sf_dir):
-    lab = dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, rounds=20, centroids_out="cent")
+    lab = dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, centroids_out="cent")
     c = lab.where(F.col("cent").isNotNull()).groupBy("flag", "col_name").agg(F.first("cent").alias("cent"))
     return c.select("flag", "col_name", *[q(F.col("cent")[j]).alias(f"c{j}") for j in range(3)])
 
@@ -606,28 +604,26 @@ def q_a23_joint_counts(spark, sf_dir):
     return stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
 
 
-def _fam_rows(max_parents=2):
-    rows = []
-    for c, ps in stx.families(NODES, max_parents):
-        pad = list(ps) + [None] * (max_parents - len(ps))
-        rows.append((c, stx.subset_key(ps), stx.subset_key((*ps, c)), *pad))
-    return rows
+# every family of the eight nodes, and the number of configurations of its parents
+FAM = f"""
+fam AS {sp.values_table([(c, stx.subset_key(ps), stx.subset_key((*ps, c))) for c, ps in stx.families(NODES)],
+                        ["child", "parents", "family"])},
+card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+cfg AS (SELECT card.flag, p.parents, product(card.r) AS q FROM (SELECT DISTINCT parents FROM fam) p
+        JOIN card ON list_contains(string_split(p.parents, ','), card.v) GROUP BY ALL)"""
 
 
-@register("q_d6_bic_scores", JC + "," + sp.subset_stats("flag", NODES) + f""",
-fam AS {sp.values_table(_fam_rows(), ["child", "parents", "family", "p0", "p1"])},
-card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+@register("q_d6_bic_scores", JC + "," + sp.subset_stats("flag", NODES, max_size=len(NODES)) + "," + FAM + f""",
 s AS (SELECT f.flag, fam.child, fam.parents, f.g - p.g AS ll, f.total AS nn,
-             c.r AS rc, coalesce(c0.r, 1) * coalesce(c1.r, 1) AS q
+             c.r AS rc, coalesce(cfg.q, 1) AS q
       FROM st f JOIN fam ON f.subset = fam.family
       JOIN st p ON p.flag = f.flag AND p.subset = fam.parents
       JOIN card c ON c.flag = f.flag AND c.v = fam.child
-      LEFT JOIN card c0 ON c0.flag = f.flag AND c0.v = fam.p0
-      LEFT JOIN card c1 ON c1.flag = f.flag AND c1.v = fam.p1)
+      LEFT JOIN cfg ON cfg.flag = f.flag AND cfg.parents = fam.parents)
 SELECT flag, child, parents, {qs("ll")} AS loglik, {qs("ll - 0.5 * ln(nn) * CAST(q AS DOUBLE) * CAST(rc - 1 AS DOUBLE)")} AS bic FROM s""")
 def q_d6_bic_scores(spark, sf_dir):
     jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
-    return rnd(stx.bic_scores(jc, NODES, keys=["flag"], max_parents=2), ["loglik", "bic"])
+    return rnd(stx.bic_scores(jc, NODES, keys=["flag"]), ["loglik", "bic"])
 
 
 def _test_rows(given):
@@ -717,8 +713,8 @@ def q_a22_cpt(spark, sf_dir):
 @register("q_d7_hill_climb")
 def q_d7_hill_climb(spark, sf_dir):
     jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
-    scores = stx.bic_scores(jc, NODES, keys=["flag"], max_parents=2)
-    return stx.hill_climb(scores, NODES, keys=["flag"], max_parents=2)
+    scores = stx.bic_scores(jc, NODES, keys=["flag"])
+    return stx.hill_climb(scores, NODES, keys=["flag"])
 
 
 @register("q_d9_dbn_template")
@@ -759,8 +755,8 @@ btn AS (SELECT *, CASE decision WHEN 'risk_off' THEN bond_ret WHEN 'risk_on' THE
 
 
 @register("q_j6_two_slice", DISC + f"""
-SELECT * FROM (SELECT flag, date, {", ".join(f"lag({c}) OVER {FLW2} AS {c}_t0" for c in NODES)},
-       {", ".join(f"{c} AS {c}_t1" for c in NODES)} FROM disc) WHERE {NODES[0]}_t0 IS NOT NULL""")
+SELECT flag, date, {", ".join(f"lag({c}) OVER {FLW2} AS {c}_t0" for c in NODES)},
+       {", ".join(f"{c} AS {c}_t1" for c in NODES)} FROM disc QUALIFY row_number() OVER {FLW2} > 1""")
 def q_j6_two_slice(spark, sf_dir):
     return wf.two_slice(flag_disc(spark, sf_dir), NODES, keys=["flag"])
 
@@ -963,13 +959,11 @@ def _bayes_sql(method: str, ess: float = 5.0) -> str:
     else:
         a, bb = f"({ess} / b.q)", f"({ess} / (b.q * b.r))"
         fterm, pterm = f"lgamma(g.nn + {bb}) - lgamma({bb})", f"lgamma(g.nn + {a}) - lgamma({a})"
-    return JC + "," + sp.subset_stats("flag", NODES) + f""",
-fam AS {sp.values_table(_fam_rows(), ["child", "parents", "family", "p0", "p1"])},
-card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+    return JC + "," + sp.subset_stats("flag", NODES, max_size=len(NODES)) + "," + FAM + f""",
 base AS (SELECT s.flag, fam.child, fam.parents, fam.family, CAST(c.r AS DOUBLE) AS r,
-                CAST(coalesce(c0.r, 1) * coalesce(c1.r, 1) AS DOUBLE) AS q
+                CAST(coalesce(cfg.q, 1) AS DOUBLE) AS q
          FROM st s JOIN fam ON s.subset = fam.family JOIN card c ON c.flag = s.flag AND c.v = fam.child
-         LEFT JOIN card c0 ON c0.flag = s.flag AND c0.v = fam.p0 LEFT JOIN card c1 ON c1.flag = s.flag AND c1.v = fam.p1),
+         LEFT JOIN cfg ON cfg.flag = s.flag AND cfg.parents = fam.parents),
 fsum AS (SELECT b.flag, b.child, b.parents, sum({fterm}) AS f FROM base b JOIN gsets g ON g.flag = b.flag AND g.subset = b.family GROUP BY ALL),
 psum AS (SELECT b.flag, b.child, b.parents, sum({pterm}) AS p FROM base b JOIN gsets g ON g.flag = b.flag AND g.subset = b.parents GROUP BY ALL)
 SELECT flag, child, parents, {qs("f - p")} AS {method} FROM fsum JOIN psum USING (flag, child, parents)"""

@@ -6,7 +6,6 @@ read it from the session and only set our own when it is unset (tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,33 +38,43 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if (master or "").startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskpanel-ckpt-"))  # one machine only
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from ``spark.checkpoint.dir``.
-
-    Only when the session leaves it unset (local tests) do we create a
-    scratch folder and register it; on a cluster the setting always wins.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or the folder the
+    session's context was given. There is no fallback, since a folder of our own
+    choice might be local to one machine of a cluster."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="riskpanel-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return d
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df):
     """Cut lineage by writing the frame as a parquet table under the shared
     checkpoint folder and reading it back (survives executor loss; never a
     machine-local checkpoint). Unlike an RDD checkpoint, the plan runs once,
-    and later readers get column pruning and filter pushdown."""
+    and later readers get column pruning and filter pushdown. The job runs
+    now; ``release`` deletes the tables when their readers are done."""
     import uuid
     spark = df.sparkSession
     root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/riskpanel-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this process so far."""
+    n = 0
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n

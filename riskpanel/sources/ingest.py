@@ -25,38 +25,63 @@ def _lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataF
     return raw.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
 
 
+def _parsed(line: Column, sep: str, width: int) -> Column:
+    """The cells of a delimited line (quotes respected); missing cells are null, surplus ones dropped."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    s = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
+    return F.array(*[F.trim(s[f"c{i}"]) for i in range(width)])
+
+
+def _by_own_header(body: DataFrame, headers: DataFrame, clean) -> DataFrame:
+    """(file, row_no, <columns>) from (file, row_no, cells) and each file's own
+    header (file, hdr ARRAY): a cell is found by its name in its file's header,
+    so files may order their columns differently; a file that lacks a column
+    that another one has is an error. Only the distinct headers reach the driver."""
+    distinct = [r.hdr for r in headers.select("hdr").distinct().collect()]
+    sets = [{clean(c) for c in h} for h in distinct]
+    names = [clean(c) for c in min(distinct, key=lambda h: (-len(h), h))]
+    lacking = sorted({n for s in sets for t in sets for n in s - t})
+    if lacking:
+        raise ValueError(f"columns that some files lack: {lacking}")
+    places = F.create_map(*[x for h in distinct for x in (
+        F.array(*[F.lit(c) for c in h]), F.array(*[F.lit([clean(c) for c in h].index(n)) for n in names]))])
+    j = body.join(headers, "file").withColumn("at", places[F.col("hdr")])
+    return j.select("file", "row_no", *[F.get("cells", F.col("at")[k]).alias(n) for k, n in enumerate(names)])
+
+
+def _delimited(lines: DataFrame, hdr: DataFrame, sep: str, clean) -> DataFrame:
+    """Rows below each file's header line, from (file, hdr_no, line of the header)."""
+    width = max((r[0] for r in hdr.select(F.size(F.split("hdr_line", sep))).distinct().collect()), default=1)
+    headers = hdr.select("file", F.filter(_parsed(F.col("hdr_line"), sep, width), lambda c: c.isNotNull()).alias("hdr"))
+    body = lines.join(hdr, "file").where((F.col("line_no") > F.col("hdr_no")) & (F.trim("line") != ""))
+    body = body.select("file", (F.col("line_no") - F.col("hdr_no")).alias("row_no"), _parsed(F.col("line"), sep, width).alias("cells"))
+    return _by_own_header(body, headers, clean)
+
+
 def read_after_header(spark: SparkSession, path: str, header_prefix: str = "Year", *,
                       sep: str = ",", encoding: str | None = None) -> DataFrame:
     """Skip every line before the first whose stripped text starts with
-    ``header_prefix``; that line is the header (raises if a file has none).
-    Returns (file, row_no, <header columns as STRING>)."""
+    ``header_prefix``; that line is the file's header (an error if a file has
+    none). Returns (file, row_no, <header columns as STRING>)."""
     lines = _lines(spark, path, encoding)
     hdr = lines.where(F.trim("line").startswith(header_prefix)).groupBy("file").agg(
-        F.min("line_no").alias("hdr_no"), F.min_by("line", "line_no").alias("hdr"))
-    files = lines.select("file").distinct()
-    chk = files.join(hdr, "file", "left").withColumn(
-        "hdr_no", F.coalesce("hdr_no", F.raise_error(F.concat(F.lit(f"no line starting with {header_prefix!r} in "),
-                                                                F.col("file")))))
-    names = [normalise_header(c, lower=False, underscore=False) for c in
-             chk.select("hdr").where(F.col("hdr").isNotNull()).first()[0].split(sep)]
-    return _split_rows(lines, chk.select("file", "hdr_no"), names, sep)
-
-
-def _split_rows(lines: DataFrame, hdr: DataFrame, names: list[str], sep: str) -> DataFrame:
-    body = lines.join(hdr, "file").where((F.col("line_no") > F.col("hdr_no")) & (F.trim("line") != ""))
-    cells = F.split(F.col("line"), sep)
-    return body.select("file", (F.col("line_no") - F.col("hdr_no")).alias("row_no"),
-                       *[F.trim(cells[i]).alias(n) for i, n in enumerate(names)])
+        F.min("line_no").alias("hdr_no"), F.min_by("line", "line_no").alias("hdr_line"))
+    without = lines.select("file").distinct().join(hdr, "file", "left_anti").first()
+    if without is not None:
+        raise ValueError(f"no line that starts with {header_prefix!r} in {without.file}")
+    return _delimited(lines, hdr, sep, lambda c: normalise_header(c, lower=False, underscore=False))
 
 
 def read_header_at_line(spark: SparkSession, path: str, header_line: int, *, sep: str = ",",
                         encoding: str | None = None) -> DataFrame:
     """S6 helper: the header is line ``header_line`` (0-based) of every file."""
     lines = _lines(spark, path, encoding)
-    first = lines.where(F.col("line_no") == header_line).first()
-    names = [normalise_header(c) for c in first["line"].split(sep)]
-    hdr = lines.select("file").distinct().withColumn("hdr_no", F.lit(header_line))
-    return _split_rows(lines, hdr, names, sep)
+    hdr = lines.where(F.col("line_no") == header_line).select(
+        "file", F.lit(header_line).alias("hdr_no"), F.col("line").alias("hdr_line"))
+    without = lines.select("file").distinct().join(hdr, "file", "left_anti").first()
+    if without is not None:
+        raise ValueError(f"no line {header_line} in {without.file}")
+    return _delimited(lines, hdr, sep, normalise_header)
 
 
 def gistemp_monthly(wide: DataFrame, *, year_col: str = "Year") -> DataFrame:
@@ -83,15 +108,15 @@ def read_semicolon_daily(spark: SparkSession, path: str,
     return df.select("file", d.alias("date"), *[to_double(F.trim(c)).alias(c) for c in keep])
 
 
-def read_json_table(spark: SparkSession, path: str, ts_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    """S3: JSON array of arrays whose first element is the header. Returns
-    (file, row_no, <header names>) as strings; the caller coerces."""
+def read_json_table(spark: SparkSession, path: str) -> DataFrame:
+    """S3: JSON array of arrays whose first element is the file's own header.
+    Returns (file, row_no, <header names>) as strings; the caller coerces.
+    Short rows are filled with nulls."""
     raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<array<string>>").alias("a"))
-    first = raw.select(F.col("a")[0].alias("h")).first()["h"]
+    headers = raw.select("file", F.col("a")[0].alias("hdr"))
     rows = raw.select("file", F.posexplode("a").alias("row_no", "cells")).where(F.col("row_no") > 0)
-    del ts_format
-    return rows.select("file", "row_no", *[F.col("cells")[i].alias(normalise_header(n)) for i, n in enumerate(first)])
+    return _by_own_header(rows, headers, normalise_header)
 
 
 _TABLE = r"(?is)<table\b.*?</table>"
@@ -113,18 +138,22 @@ def html_tables(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "h
     return r.select("page", "table_no", "row_no", cells.alias("cells"))
 
 
-def pick_html_table(rows: DataFrame, header_contains: str) -> DataFrame:
+def pick_html_table(rows: DataFrame, header_contains: str, pages: DataFrame | None = None,
+                    id_col: str = "page_id") -> DataFrame:
     """S4 (part 2): per page, the first table whose header row has a cell
-    containing ``header_contains``; raises when a page has none."""
+    containing ``header_contains``; raises when a page has none. Give ``pages``
+    so that pages without any table are known, too."""
     hdr = rows.where(F.col("row_no") == 0).where(F.exists("cells", lambda c: c.contains(header_contains)))
     first = hdr.groupBy("page").agg(F.min("table_no").alias("table_no"))
-    pages = rows.select("page").distinct().join(first, "page", "left").withColumn(
-        "table_no", F.coalesce("table_no", F.raise_error(F.lit(f"no table with a '{header_contains}' column"))))
-    return rows.join(pages, ["page", "table_no"])
+    listed = rows.select("page") if pages is None else pages.select(F.col(id_col).alias("page"))
+    without = listed.distinct().join(first, "page", "left_anti").first()
+    if without is not None:
+        raise ValueError(f"page {without.page} has no table with a {header_contains!r} column")
+    return rows.join(first, ["page", "table_no"])
 
 
 def flux_table(rows: DataFrame, *, time_prefix: str = "20:00", date_fmt: str = "yyyy-MM-dd",
-               value_header: str = "observed_flux") -> DataFrame:
+               value_header: str = "adjusted_flux") -> DataFrame:
     """S4 (part 3): header normalised (lower, '_'), keep rows whose time starts
     with ``time_prefix``, coerce date and value; one row per (page, date)."""
     hdr = rows.where(F.col("row_no") == 0).select(

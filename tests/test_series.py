@@ -97,12 +97,12 @@ def test_equal_freq_goldens(spark):
     assert _d2(spark, [3.0]) == [None]
 
 
-def _lloyd(vals, k=3, rounds=20):
+def _lloyd(vals, k=3):
     import numpy as np
     x = np.array([v for v in vals if v is not None], float)
     cent = np.array([np.percentile(x, 100 * (j + 0.5) / k) for j in range(k)])
     ux, cnt = np.unique(x, return_counts=True)
-    for _ in range(rounds):
+    while True:
         j = np.argmin(np.abs(ux[:, None] - cent[None, :]), axis=1)
         new = np.array([(ux[j == c] * cnt[j == c]).sum() / cnt[j == c].sum() if (j == c).any() else cent[c]
                         for c in range(k)])
