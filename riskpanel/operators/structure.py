@@ -170,8 +170,7 @@ def chi2_survival(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
     x, dof = np.asarray(x, float), np.asarray(dof, float)
     out = np.full(len(x), np.nan)
     half = np.maximum(x, 0.0) / 2
-    with np.errstate(divide="ignore"):
-        log_half = np.log(half)
+    log_half = np.log(np.where(half > 0, half, 1.0))
     erfc = np.frompyfunc(math.erfc, 1, 1)
     for k in np.unique(dof[dof > 0]).astype(int):
         at = (dof == k) & ~np.isnan(x)

@@ -71,8 +71,8 @@ def flag_regime(spark, sf_dir, h: int = 1) -> DataFrame:
 
 
 F8 = panels.FEATURES
-NM = "WITH " + sp.NATION_MONTH + "," + sp.features("nation")
-FD = "WITH " + sp.FLAG_DAY + "," + sp.features("flag")
+NM = "WITH RECURSIVE " + sp.NATION_MONTH + "," + sp.features("nation")
+FD = "WITH RECURSIVE " + sp.FLAG_DAY + "," + sp.features("flag")
 
 
 # ------------------------------------------------------------------ X1 / D5 / P10 / W12
@@ -301,7 +301,7 @@ def q_a21_monotonic(spark, sf_dir):
 # ------------------------------------------------------------------ series preparation
 from riskpanel.functions import calendar as cal  # noqa: E402
 
-FDW = "WITH " + sp.FLAG_DAY
+FDW = "WITH RECURSIVE " + sp.FLAG_DAY
 FLW = "(PARTITION BY flag ORDER BY date)"
 FLR = "(PARTITION BY flag ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -472,7 +472,7 @@ def q_d1_kmeans_bins(spark, sf_dir):
 
 
 @register("q_d1_kmeans_centroids", FDL + "," + sp.kmeans_long("flag") + f"""
-SELECT flag, col_name, {rsql(["c0", "c1", "c2"], alias_prefix="cent20.")} FROM cent20 JOIN seeds USING (flag, col_name) WHERE nd > 3""")
+SELECT flag, col_name, {rsql(["c0", "c1", "c2"], alias_prefix="cent.")} FROM cent JOIN seeds USING (flag, col_name) WHERE nd > 3""")
 def q_d1_kmeans_centroids(spark, sf_dir):
     lab = dz.kmeans_long(flag_long(spark, sf_dir), keys=["flag"], k=3, centroids_out="cent")
     c = lab.where(F.col("cent").isNotNull()).groupBy("flag", "col_name").agg(F.first("cent").alias("cent"))

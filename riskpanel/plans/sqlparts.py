@@ -100,31 +100,35 @@ def _nearest(k: int, pre: str = "") -> str:
     return expr
 
 
-def kmeans_long(key: str, src: str = "lg", k: int = 3, rounds: int = 20) -> str:
-    """D1 over long (key, date, col_name, value): seeds, Lloyd rounds, labels
-    (CTE ``km`` with column ``state``; CTE ``cent{rounds}`` holds centroids)."""
+def kmeans_long(key: str, src: str = "lg", k: int = 3) -> str:
+    """D1 over long (key, date, col_name, value): seeds, Lloyd rounds to the
+    fixed point by recursion, labels (CTE ``km`` with column ``state``; CTE
+    ``cent`` holds the centroids). Sums may come in another order each round, so
+    centroids that differ in their last digits only count as settled."""
     ps = [(j + 0.5) / k for j in range(k)]
     cs = ", ".join(f"c{j}" for j in range(k))
-    parts = [f"""
+    old = ", ".join(f"any_value(c{j}) AS c{j}" for j in range(k))
+    new = ", ".join(
+        f"coalesce(sum(CASE WHEN j = {j} THEN x * c END) / CAST(sum(CASE WHEN j = {j} THEN c END) AS DOUBLE), any_value(c{j})) AS n{j}"
+        for j in range(k))
+    moved = " OR ".join(f"abs(n{j} - c{j}) > 1e-11 * (1 + abs(c{j}))" for j in range(k))
+    return f"""
 fin AS (SELECT *, CASE WHEN abs(value) < CAST('inf' AS DOUBLE) THEN value END AS x FROM {src}),
 vals AS (SELECT {key}, col_name, x, count(*) AS c FROM fin WHERE x IS NOT NULL GROUP BY ALL),
 seeds AS (SELECT {key}, col_name, {", ".join(f"quantile_cont(x, {dbl(p)}) AS c{j}" for j, p in enumerate(ps))},
                  count(DISTINCT x) AS nd FROM fin WHERE x IS NOT NULL GROUP BY ALL),
-cent0 AS (SELECT {key}, col_name, {cs} FROM seeds)"""]
-    for r in range(1, rounds + 1):
-        sums = ", ".join(
-            f"coalesce(sum(CASE WHEN j = {j} THEN x * c END) / CAST(sum(CASE WHEN j = {j} THEN c END) AS DOUBLE), any_value(c{j})) AS c{j}"
-            for j in range(k))
-        parts.append(f"""
-asg{r} AS (SELECT v.*, {cs}, {_nearest(k)} AS j FROM vals v JOIN cent{r - 1} USING ({key}, col_name)),
-cent{r} AS (SELECT {key}, col_name, {sums} FROM asg{r} GROUP BY ALL)""")
-    parts.append(equal_freq_long(key, "fin", "efk"))
-    parts.append(f"""
+lloyd AS (
+  SELECT {key}, col_name, {cs}, 0 AS step, true AS moving FROM seeds
+  UNION ALL
+  SELECT {key}, col_name, {", ".join(f"n{j}" for j in range(k))}, step + 1, {moved} FROM (
+    SELECT {key}, col_name, step, {old}, {new}
+    FROM (SELECT v.*, {cs}, step, {_nearest(k)} AS j FROM vals v JOIN lloyd USING ({key}, col_name) WHERE moving)
+    GROUP BY {key}, col_name, step)),
+cent AS (SELECT {key}, col_name, {", ".join(f"arg_max(c{j}, step) AS c{j}" for j in range(k))} FROM lloyd GROUP BY ALL),{equal_freq_long(key, "fin", "efk")},
 km AS (SELECT e.* EXCLUDE (state, x),
               CASE WHEN coalesce(s.nd, 0) <= {k} THEN e.state
                    WHEN e.x IS NOT NULL THEN {_nearest(k, "c.")} END AS state
-       FROM efk e LEFT JOIN seeds s USING ({key}, col_name) LEFT JOIN cent{rounds} c USING ({key}, col_name))""")
-    return ",".join(parts)
+       FROM efk e LEFT JOIN seeds s USING ({key}, col_name) LEFT JOIN cent c USING ({key}, col_name))"""
 
 
 def subset_stats(key: str, nodes: list[str], src: str = "jc", max_size: int = 3) -> str:
