@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.operators import features as fx
@@ -952,6 +952,90 @@ def q_s4_html_table_rows(spark, sf_dir):
     return srcs.html_tables(pages).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))
 
 
+# ------------------------------------------------------------------ readers over files rendered from the tables
+# Each query renders the monthly or daily order counts of every order priority as one published-style file per
+# priority in the shared scratch folder, and reads the files back; the oracle counts in the table itself.
+_PRIO = "substr(o_orderpriority, 1, 1)"
+_MONTHLY = f"SELECT {_PRIO} AS prio, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders GROUP BY ALL"
+_DAILY = f"SELECT {_PRIO} AS prio, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY ALL"
+_FILE_PRIO = r"/prio=([^/]+)/"
+
+
+def order_counts(spark, sf_dir, monthly: bool) -> DataFrame:
+    o = panels.table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    return o.groupBy(F.expr(_PRIO).alias("prio"), (F.trunc(day, "month") if monthly else day).alias("date")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def rendered(spark, texts: DataFrame, encoding: str = "UTF-8") -> str:
+    """A folder with one file for each (prio, value); the value is the whole file."""
+    import uuid
+    from riskpanel.session import _WRITTEN, checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskpanel-files-{uuid.uuid4().hex}"
+    texts.select("prio", "value").write.partitionBy("prio").option("encoding", encoding).text(path)
+    _WRITTEN.append(path)
+    return path
+
+
+def joined_lines(df: DataFrame, line: str, *order: str, sep: str = "\n") -> DataFrame:
+    """(prio, body): each priority's lines in order; a priority has at most one line a day."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.expr(line).alias("__line"))))
+    return df.groupBy("prio").agg(F.array_join(F.transform(rows, lambda x: x["__line"]), sep).alias("body"))
+
+
+def file_prio() -> Column:
+    return F.regexp_extract("file", _FILE_PRIO, 1).alias("prio")
+
+
+@register("q_s1_header_search", f"""
+WITH m AS ({_MONTHLY}), y AS (SELECT DISTINCT prio, year(date) AS y FROM m), mm AS (SELECT unnest(generate_series(1, 12)) AS k)
+SELECT y.prio, make_date(y.y, mm.k, 1) AS date, CAST(m.n AS DOUBLE) AS anomaly
+FROM y CROSS JOIN mm LEFT JOIN m ON m.prio = y.prio AND m.date = make_date(y.y, mm.k, 1)""")
+def q_s1_header_search(spark, sf_dir):
+    m = order_counts(spark, sf_dir, True)
+    cells = [F.coalesce(F.max(F.when(F.month("date") == k, F.col("n").cast("string"))), F.lit("***")) for k in range(1, 13)]
+    wide = m.groupBy("prio", F.year("date").alias("y")).agg(F.concat_ws(",", *cells).alias("cells"))
+    body = joined_lines(wide, "concat(y, ',', cells)", "y")
+    head = "Orders by month\n\n" + ",".join(["Year", *cal.MONTHS]) + "\n"
+    path = rendered(spark, body.select("prio", F.concat(F.lit(head), "body").alias("value")))
+    return srcs.gistemp_monthly(srcs.read_after_header(spark, path)).select(file_prio(), "date", "anomaly")
+
+
+@register("q_s2_semicolon_daily", f"SELECT prio, date, CAST(n AS DOUBLE) AS value FROM ({_DAILY})")
+def q_s2_semicolon_daily(spark, sf_dir):
+    body = joined_lines(order_counts(spark, sf_dir, False),
+                        "concat_ws(';', date_format(date, 'yyyy;MM;dd'), '0.0', concat('  ', n), '-1', '1', '1')", "date")
+    path = rendered(spark, body.select("prio", F.concat(F.lit("# daily counts\n"), "body").alias("value")))
+    return srcs.read_semicolon_daily(spark, path).select(file_prio(), "date", "value")
+
+
+@register("q_s3_json_table", f"SELECT prio, strftime(date, '%Y-%m-%d') || ' 20:00:00' AS time_tag, CAST(n AS VARCHAR) AS flux FROM ({_DAILY})")
+def q_s3_json_table(spark, sf_dir):
+    body = joined_lines(order_counts(spark, sf_dir, False),
+                        "concat('[\"', date_format(date, 'yyyy-MM-dd'), ' 20:00:00\",\"', n, '\"]')", "date", sep=",")
+    path = rendered(spark, body.select("prio", F.concat(F.lit('[["time_tag","flux"],'), "body", F.lit("]")).alias("value")))
+    return srcs.read_json_table(spark, path).select(file_prio(), "time_tag", "flux")
+
+
+@register("q_s4_adjusted_flux", f"SELECT prio AS page, date, CAST(n AS DOUBLE) AS flux FROM ({_DAILY})")
+def q_s4_adjusted_flux(spark, sf_dir):
+    row = "concat('<tr><td>', date_format(date, 'yyyy-MM-dd'), '</td><td>', {t}, '</td><td>', {a}, '</td><td>', {b}, '</td></tr>')"
+    both = row.format(t="'18:00:00'", a="0", b="-1"), row.format(t="'20:00:00'", a="n + 0.5", b="n")
+    body = joined_lines(order_counts(spark, sf_dir, False), f"concat({both[0]}, {both[1]})", "date")
+    head = "<table><tr><th>other</th></tr></table><table><tr><th>Date</th><th>Time</th><th>Observed Flux</th><th>Adjusted Flux</th></tr>"
+    pages = body.select(F.col("prio").alias("page_id"), F.concat(F.lit(head), "body", F.lit("</table>")).alias("html"))
+    return srcs.flux_table(srcs.pick_html_table(srcs.html_tables(pages), "Observed Flux", pages))
+
+
+@register("q_s6_cpu_monthly", f"SELECT prio, last_day(date) AS date, CAST(n AS DOUBLE) AS cpu FROM ({_MONTHLY})")
+def q_s6_cpu_monthly(spark, sf_dir):
+    body = joined_lines(order_counts(spark, sf_dir, True), "concat(date_format(date, 'MMM-yy'), ',', n)", "date")
+    head = "Index of orders, é\n\nby priority\n\nDate,CPU_index\n"
+    path = rendered(spark, body.select("prio", F.concat(F.lit(head), "body", F.lit("\nnote,1")).alias("value")), "windows-1252")
+    return srcs.cpu_monthly(spark, path).select(file_prio(), "date", "cpu")
+
+
 # ------------------------------------------------------------------ K2 / BDeu family scores, G-test p-values
 def _bayes_sql(method: str, ess: float = 5.0) -> str:
     if method == "k2":
