@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskpanel.session import materialize
+
 DIGEST_PREFIX = 8  # hexadecimal digits: 32 bits
 
 
@@ -78,7 +80,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .withColumn("key", F.substring("digest", 1, DIGEST_PREFIX))
     hit = (asked.join(table, F.col("key") == F.col("rule_key")).where("digest = rule_digest")
            .select("suffix", "prefix", "rule", "action", F.length("rule_host").alias("host_length")))
-    best = (wide.join(hit, ["suffix", "prefix"])
+    # a table of its own, so that a suffix with a third of all urls can be split, or the few hits broadcast by their size
+    best = (wide.join(materialize(hit), ["suffix", "prefix"])
             .groupBy("host", "path")
             .agg(F.max(F.struct(F.length("rule").alias("l"), "host_length", "rule", "action")).alias("w"))
             .select(F.col("host").alias("__host"), F.col("path").alias("__path"), "w.rule", F.col("w.action").alias("verdict")))
