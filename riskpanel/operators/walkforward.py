@@ -256,7 +256,9 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
 def _pa_marginals(cpt: DataFrame, states: DataFrame, fams: DataFrame, *, keys: list[str],
                   max_parents: int) -> DataFrame:
     """Per (keys, block): P(pa) for every configuration of the target's intra
-    parents, by enumerating the (small) ancestral set in numpy. Output
+    parents: each ancestor's count-fitted CPT is an array over its own and its
+    parents' states, and the arrays are multiplied and summed over the other
+    ancestors one at a time (``einsum`` with an elimination order). Output
     (keys, block, xa0.., __w); blocks without intra parents yield one row of
     NULL configuration and weight 1."""
     kb = [*keys, "block"]
@@ -274,44 +276,40 @@ def _pa_marginals(cpt: DataFrame, states: DataFrame, fams: DataFrame, *, keys: l
     schema = f"{fields}, " + ", ".join(f"xa{i} int" for i in range(max_parents)) + ", __w double"
 
     def run(pdf):
-        import itertools
-
+        import numpy as np
         import pandas as pd
         fam = pdf[pdf["__kind"] == "fam"]
-        tg = fam[fam["role"] == "target"]
-        pa = [] if tg.empty else [tg.iloc[0][p] for p in pcs if isinstance(tg.iloc[0][p], str)]
-        out_cols = [f"xa{i}" for i in range(max_parents)]
-        base = {c: pdf[c].iloc[0] for c in kb}
-        def frame(rows):
-            recs = [tuple(base[c] for c in kb) + tuple(None if x is None else int(x) for x in cfg) + (float(w),)
-                    for cfg, w in rows]
-            return pd.DataFrame.from_records(recs, columns=[*kb, *out_cols, "__w"])
+        target = fam[fam["role"] == "target"]
+
+        def named(row):
+            return [p for p in row[pcs].iloc[0] if isinstance(p, str)]
 
+        pa = [] if target.empty else named(target)
+        empty = {f"xa{i}": pd.array([None], dtype="Int32") for i in range(max_parents)}
         if not pa:
-            return frame([((None,) * max_parents, 1.0)])
-        st = pdf[pdf["__kind"] == "state"]
-        dom = {v: sorted(int(x) for x in g["xv"].dropna().unique()) for v, g in st.groupby("v")}
+            return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in kb}, **empty, "__w": [1.0]})
+        st = pdf[pdf["__kind"] == "state"].dropna(subset=["xv"])
+        dom = {v: np.unique(g.to_numpy(int)) for v, g in st.groupby("v")["xv"]}
         anc = fam[fam["role"] == "anc"]
-        parents = {r["v"]: [r[p] for p in pcs if isinstance(r[p], str)] for _, r in anc.iterrows()}
+        order = sorted(anc["v"].unique())
+        axis = {v: k for k, v in enumerate(order)}
         cp = pdf[pdf["__kind"] == "cpt"]
-        counts = {}
-        tot = {}
-        for _, r in cp.iterrows():
-            ps = parents[r["v"]]
-            cfg = tuple(int(r[f"x{p}"]) for p in pcs[:len(ps)])
-            counts[(r["v"], int(r["xv"]), cfg)] = counts.get((r["v"], int(r["xv"]), cfg), 0) + r["n"]
-            tot[(r["v"], cfg)] = tot.get((r["v"], cfg), 0) + r["n"]
-        order = sorted(parents)
-        acc = {}
-        for combo in itertools.product(*[dom.get(v, [0]) for v in order]):
-            val = dict(zip(order, combo))
-            pr = 1.0
-            for v in order:
-                cfg = tuple(val[u] for u in parents[v])
-                t = tot.get((v, cfg), 0)
-                pr *= counts.get((v, val[v], cfg), 0) / t if t else 1.0 / len(dom.get(v, [0]))
-            key = tuple(val[p] for p in pa)
-            acc[key] = acc.get(key, 0.0) + pr
-        return frame([(tuple(key) + (None,) * (max_parents - len(key)), w) for key, w in acc.items()])
+        terms = []
+        for v in order:
+            family = [*named(anc[anc["v"] == v]), v]
+            rows = cp[cp["v"] == v]
+            cols = ["xv"] if len(family) == 1 else [*[f"x{p}" for p in pcs[:len(family) - 1]], "xv"]
+            n = np.zeros([len(dom[u]) for u in family])
+            np.add.at(n, tuple(np.searchsorted(dom[u], rows[c].to_numpy(int)) for u, c in zip(family, cols)),
+                      rows["n"].to_numpy(float))
+            total = n.sum(axis=-1, keepdims=True)
+            terms += [np.where(total > 0, n / np.where(total > 0, total, 1.0), 1.0 / n.shape[-1]), [axis[u] for u in family]]
+        w = np.einsum(*terms, [axis[u] for u in pa], optimize="greedy")
+        at = np.indices(w.shape).reshape(len(pa), -1)
+        out = {c: [pdf[c].iloc[0]] * w.size for c in kb}
+        for k in range(max_parents):
+            out[f"xa{k}"] = (pd.array(dom[pa[k]][at[k]], dtype="Int32") if k < len(pa)
+                             else pd.array([None] * w.size, dtype="Int32"))
+        return pd.DataFrame({**out, "__w": w.ravel()})
 
     return tagged.groupBy(*kb).applyInPandas(run, schema=schema)
