@@ -86,12 +86,15 @@ def hysteresis(df: DataFrame, label_col: str, out: str, *, keys: list[str], orde
     from riskpanel.session import materialize
     df = materialize(df)
     pos = positions(df, keys=keys, order=order, block=block, out="__pos")
-    ends = pos.groupBy(*keys, block).agg(F.max("__pos").alias("__end"))
+    ends = pos.groupBy(*keys, block).agg(F.max("__pos").alias("__end"), F.min("__pos").alias("__begin"))
     ends = ends.withColumn("__ord", F.row_number().over(Window.partitionBy(*keys).orderBy(block)))
     # a row is halo for block b when end(b) < pos <= end(b) + h; every block has a row,
     # so b is among the h blocks (by ordinal) before the row's own block
-    pos = pos.join(ends.select(*keys, block, "__ord"), [*keys, block])
-    cand = pos.withColumn("__hord", F.explode(F.sequence(F.col("__ord") - F.lit(h), F.col("__ord") - F.lit(1))))
+    pos = pos.join(ends.select(*keys, block, "__ord", "__begin"), [*keys, block])
+    # only the first h rows of a block can follow an earlier block that closely
+    near = pos.where(F.col("__pos") - F.col("__begin") < F.lit(h)).drop("__begin")
+    pos = pos.drop("__begin")
+    cand = near.withColumn("__hord", F.explode(F.sequence(F.col("__ord") - F.lit(h), F.col("__ord") - F.lit(1))))
     cand = cand.join(ends.select(*keys, F.col(block).alias("__hb"), F.col("__ord").alias("__hord"), "__end"),
                      [*keys, "__hord"])
     halo = cand.where((F.col("__end") < F.col("__pos")) & (F.col("__pos") <= F.col("__end") + F.lit(h)))

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def run_incremental(spark: SparkSession, source_path: str, schema, fn: Callable[[DataFrame], DataFrame],
                     sink_path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True):
     """Stream ``source_path`` (parquet files as they land), apply the batch
-    operator ``fn`` to each micro-batch and append its result to ``sink_path``.
-    The checkpoint makes the query restartable with exactly-once file sinks.
+    operator ``fn`` to each micro-batch and write its result to
+    ``sink_path/epoch=N``. A batch that is repeated after a failure has the same
+    N and replaces its first try, so no row is kept twice.
     ``available_now`` processes what is there and stops (scheduled jobs)."""
     stream = spark.readStream.schema(schema).format(fmt).load(source_path)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        fn(df).write.mode("append").parquet(sink_path)
+        fn(df).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
