@@ -188,30 +188,35 @@ def savgol_coefficients(window: int, polyorder: int) -> list[float]:
 
 
 def savgol(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col: str = "date",
-           window: int = 91, polyorder: int = 2) -> DataFrame:
+           window: int = 91, polyorder: int = 2, months: float | None = None) -> DataFrame:
     """Savitzky-Golay smoothing of a daily series with 'nearest' edge
-    padding: out_i = sum_j c_j * y[clamp(i + j)]. One window pass of 2w+1
-    lag/lead terms (fixed size, independent of the data volume)."""
-    half = window // 2
-    coef = savgol_coefficients(window, polyorder)
+    padding: out_i = sum_j c_j * y[clamp(i + j)].
+
+    ``window`` rows for every key, or with ``months`` a window for each key: the
+    odd number of days nearest to so many months, no longer than the key's
+    series (F11). One window pass: a row gathers its neighbours as an array of
+    at most the window's size, whatever the data volume. Coefficients are fitted
+    on the driver for each distinct window length."""
     w = ordered(keys, date_col)
-    d = daily.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole(keys))})
-    first = F.first(value).over(whole(keys).orderBy(date_col).rowsBetween(Window.unboundedPreceding,
-                                                                         Window.unboundedFollowing))
-    last = F.last(value).over(whole(keys).orderBy(date_col).rowsBetween(Window.unboundedPreceding,
-                                                                       Window.unboundedFollowing))
-    d = d.withColumns({"__y0": first, "__yl": last})
-    acc = None
-    for j, c in zip(range(-half, half + 1), coef):
-        if j < 0:
-            yj = F.when(F.col("__i") + j < 0, F.col("__y0")).otherwise(F.lag(value, -j).over(w))
-        elif j > 0:
-            yj = F.when(F.col("__i") + j > F.col("__n") - 1, F.col("__yl")).otherwise(F.lead(value, j).over(w))
-        else:
-            yj = F.col(value)
-        term = F.lit(c) * yj
-        acc = term if acc is None else acc + term
-    return d.withColumn(out, acc).drop("__i", "__n", "__y0", "__yl")
+    d = daily.withColumns({"__i": F.row_number().over(w), "__n": F.count(F.lit(1)).over(whole(keys))})
+    if months is None:
+        widths = {None: window}
+        d = d.withColumn("__c", F.array(*[F.lit(c) for c in savgol_coefficients(window, polyorder)]))
+    else:
+        sizes = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n").distinct()  # lengths of series
+        widths = {r.n: savgol_window(months, polyorder, r.n) for r in sizes.collect()}
+        coef = {v: savgol_coefficients(v, polyorder) for v in set(widths.values())}
+        by_width = F.create_map(*[x for v, c in coef.items() for x in (F.lit(v), F.array(*[F.lit(y) for y in c]))])
+        width = F.create_map(*[x for n, v in widths.items() for x in (F.lit(n), F.lit(v))])[F.col("__n")]
+        d = d.withColumn("__c", by_width[width])
+    reach = max(widths.values(), default=1) // 2
+    near = F.collect_list(F.struct(F.col(value).cast("double").alias("y"))).over(w.rowsBetween(-reach, reach))
+    d = d.withColumns({"__y": near, "__at": F.least(F.col("__i"), F.lit(reach + 1))})
+    half = F.floor(F.size("__c") / 2).cast("int")
+    place = lambda k: F.least(F.greatest(F.col("__at") - half + k, F.lit(1)), F.size("__y")).cast("int")
+    terms = F.transform("__c", lambda c, k: c * F.element_at("__y", place(k))["y"])
+    smooth = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    return d.withColumn(out, smooth).drop("__i", "__n", "__c", "__y", "__at")
 
 
 def savgol_window(months: float, polyorder: int, n: int) -> int:

@@ -897,6 +897,16 @@ def q_i6_savgol(spark, sf_dir):
     return rnd(out.drop("v"), ["vix_savgol"])
 
 
+SAVGOL_WIDE = ip.savgol_window(7, 3, 10_000)  # seven months, as long as no series is shorter
+
+
+@register("q_i6_savgol_months", NMK + f", lin AS ({sp.time_linear('nation', 'v')})," + _savgol_sql("nation", "lin", "v", SAVGOL_WIDE, 3)
+          + f" SELECT nation, date, {qs('sg')} AS vix_savgol FROM sg")
+def q_i6_savgol_months(spark, sf_dir):
+    daily = ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "v", keys=["nation"])
+    return rnd(ip.savgol(daily, "v", "vix_savgol", keys=["nation"], months=7, polyorder=3).drop("v"), ["vix_savgol"])
+
+
 @register("q_i9_method_compare", NMK + "," + sp.pchip_slopes("nation") + "," + sp.akima_slopes("nation") + f""",
 a AS ({sp.time_linear("nation", "v")}), b AS ({sp.hermite("nation", "pk3", "v", True)}), c AS ({sp.hermite("nation", "ak7", "v", False)})
 SELECT nation, date, 'time' AS method, {qs("v")} AS value FROM a

@@ -99,3 +99,23 @@ def test_release_deletes_tables(spark):
     assert session.release(spark) == 1 and session.release(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+def test_savgol_window_follows_each_series(spark):
+    """Keys longer and shorter than seven months, against a direct sum."""
+    from riskpanel.operators import interpolate as ip
+    rnd = random.Random(6)
+    series = {"long": 400, "short": 100, "tiny": 7}
+    data = {k: [rnd.gauss(0, 1) for _ in range(n)] for k, n in series.items()}
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(i), v) for k, ys in data.items() for i, v in enumerate(ys)]
+    df = spark.createDataFrame(rows, "key string, date date, y double")
+    out = ip.savgol(df, "y", "s", keys=["key"], months=7, polyorder=3)
+    assert out.columns == ["key", "date", "y", "s"]
+    got = {(r.key, r.date): r.s for r in out.collect()}
+    for k, ys in data.items():
+        width = ip.savgol_window(7, 3, len(ys))
+        assert width <= len(ys) and width % 2
+        c, h = ip.savgol_coefficients(width, 3), width // 2
+        for i in range(len(ys)):
+            want = sum(c[j + h] * ys[min(max(i + j, 0), len(ys) - 1)] for j in range(-h, h + 1))
+            assert abs(got[k, dt.date(2020, 1, 1) + dt.timedelta(i)] - want) < 1e-9
