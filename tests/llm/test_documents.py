@@ -284,6 +284,61 @@ def test_language_model(docs, rows, empty):
     assert attention_lm.score(empty, steps=1).count() == 0
 
 
+def test_language_model_learns_from_all_rows(spark):
+    """Counts and fit take every training text, however long, and nothing of the held-out ones."""
+    phrase = "quartz lantern zephyr orchard mimic velvet "
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    long = [(i, phrase * 1000) for i in ids[:2]]  # 43,000 characters each
+    got = attention_lm.score(spark.createDataFrame([*long, (held, phrase * 20)], "doc_id bigint, text string"), steps=1)
+    r = got.where("held_out").first()
+    assert r.score / r.n_pieces > -0.5
+
+
+def test_corpus_piece_counts(spark, docs, rows):
+    pieces = attention_lm.Pieces(attention_lm._model_bytes(attention_lm.VOCABULARY))
+    exp, pairs, n_windows = Counter(), Counter(), 0
+    for r in rows:
+        seq = [p for w in words(lower_ascii(r[1] or "")) for p in pieces.model.encode(w)] + [pieces.size]
+        if r[0] != 3:
+            exp.update(seq)
+            pairs.update(zip([pieces.size, *seq], seq, strict=False))
+            n_windows += -(-len(seq) // attention_lm.STRIDE)
+    data = docs.select("text", F.coalesce(F.col("doc_id") != 3, F.lit(True)).alias("train"))
+    counts = attention_lm.corpus_counts(data, attention_lm._model_bytes(attention_lm.VOCABULARY)).cache()
+    freq = attention_lm.piece_counts(counts, pieces.size + 1)
+    assert {i: int(freq[i]) for i in np.flatnonzero(freq)} == dict(exp)
+    assert {(r.key // (pieces.size + 1), r.key % (pieces.size + 1)): r.n for r in counts.where("kind = 1").collect()} == dict(pairs)
+    assert counts.where("kind = 3").first().n == n_windows
+    to_input, to_class = attention_lm.piece_tables(freq, np.arange(len(freq)) % 2 == 0, 40, 16)
+    near, by_class = attention_lm.folded_pairs(counts, to_input, to_class, 16)
+    assert near.sum() == by_class.sum() == sum(exp.values())
+    share = np.exp(attention_lm.piece_shares(by_class, to_class))
+    assert np.allclose([np.bincount(to_class, weights=x, minlength=16)[np.unique(to_class)] for x in share], 1, atol=1e-4)
+
+
+def test_fit_takes_every_text_once(spark):
+    """Over the rounds, the tasks' targets are all pieces of all texts."""
+    texts = [("one two three " * (7 * i + 1),) for i in range(25)]
+    df = spark.createDataFrame(texts, "text string").repartition(3)
+    raw = attention_lm._model_bytes(attention_lm.VOCABULARY)
+    pieces = attention_lm.Pieces(raw)
+    freq = np.ones(pieces.size + 1)
+    to_input, to_class = attention_lm.piece_tables(freq, freq > 0)
+    n = int(to_input.max()) + 1
+    m = attention_lm.Model(to_input, to_class, *attention_lm.pair_tables(np.ones((n, n)), to_input, to_class))
+    before = {k: w.copy() for k, w in m.weights().items()}
+    sent = spark.sparkContext.broadcast((raw, m))
+    targets = sum(len(pieces.model.encode(w)) for t, in texts for w in t.split()) + len(texts)
+    seen = []
+    for nth in range(3):
+        for part in attention_lm._learned(df, sent, nth, 3, 1, 96).where("slice = 0").collect():
+            seen.append(part.n)
+    assert sum(seen) == targets
+    attention_lm.fit_attention(m, df, raw, 500, steps=1)
+    assert all((before[k] != w).any() for k, w in m.weights().items())
+
+
 def test_attention_scores_each_piece_once():
     """Windows score every piece once, like a pass over each prefix window alone; gradients match differences."""
     r = np.random.default_rng(0)
