@@ -339,6 +339,16 @@ def test_fit_takes_every_text_once(spark):
     assert all((before[k] != w).any() for k, w in m.weights().items())
 
 
+def test_attention_context():
+    """Every target has at least half a window before it, where the text has as much."""
+    bounds = np.array([0, 300])
+    tok, target, real = attention_lm.windows(np.arange(300), bounds, -1, -2)
+    first = tok[:, attention_lm.WINDOW - attention_lm.STRIDE]
+    assert ((target[:, 0] - first) == 1)[1:].all()
+    context = ((tok != -1) & (np.arange(attention_lm.WINDOW) <= attention_lm.WINDOW - attention_lm.STRIDE)).sum(1)
+    assert (context[1:] > attention_lm.WINDOW // 2).all()
+
+
 def test_attention_scores_each_piece_once():
     """Windows score every piece once, like a pass over each prefix window alone; gradients match differences."""
     r = np.random.default_rng(0)
