@@ -137,7 +137,7 @@ def identify(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS, str
     base = pages.drop(*names)
     langs, logp = train(documents, rows)
     known = F.array(*[F.lit(x) for x in langs]) if langs else F.array().cast("array<string>")
-    declared = F.nullif(F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), _DECLARED, 1)), F.lit(""))
+    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)), F.lit(""))
     p = base.withColumn("declared", declared).withColumn("host", url_host(F.col("url")))
     if not langs:
         null = F.lit(None).cast("string")

@@ -67,6 +67,15 @@ def test_language_id(spark):
     assert none.count() == len(rows) and none.where("lang is not null").count() == 0
 
 
+def test_language_id_declared_late(spark):
+    """The declaration counts wherever it stands in the page."""
+    docs = spark.createDataFrame([(1, "the rain and the sun", "aa"), (2, "der regen und die sonne", "bb")], "doc_id bigint, text string, lang string")
+    page = "<!-- " + "licence " * 2000 + "-->" + "\n" * 5000 + '<html lang="BB"><p></p></html>'
+    pages = spark.createDataFrame([(1, "http://a.org/", page)], "page_id bigint, url string, html string")
+    assert langid.identify(pages, docs).first().declared == "bb"
+    assert langid.identify(pages, docs.limit(0)).first().declared == "bb"
+
+
 def test_pipeline_stages(spark, docs, empty, labels, tmp_path):
     """Each stage keeps the columns of documents, and an empty table passes through all of them."""
     import corpus_pipeline
