@@ -24,8 +24,7 @@ from riskpanel.session import materialize
 
 GRAM = 3
 BUCKETS = 1 << 15
-TRAIN_ROWS = 20_000
-MAX_LANGUAGES = 64
+_LANGUAGES = 64  # languages at a time, where there are many
 TEXT_GRAMS = 48  # a text weighs at most as much as so many independent trigrams
 STRENGTH = 8.0  # pages' worth of the parent in a child's counts
 _HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
@@ -48,33 +47,43 @@ _FOLD = tk.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of every trigram bucket, from at most ``rows`` documents with a language (the
-    smallest hashes of the id; the bound is for fitting only). The commonest ``MAX_LANGUAGES`` languages are told apart."""
-    some = (docs.where("lang is not null and text is not null and doc_id is not null")
-            .select(F.col("doc_id").alias("pick")).orderBy(F.xxhash64("pick"), "pick").limit(rows))
-    d = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
-    d = d.join(F.broadcast(some.distinct()), d.doc_id == some.pick, "left_semi").select("lang", "text")
-
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and the log probability of every trigram bucket, from counts over all documents with a language; a
+    language that has a single trigram is told apart."""
     def count(batches):
         total: dict = {}
+
+        def table():
+            for lang, n in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["lang", "n"])
+            total.clear()
+
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
+            langs, of_row = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             for block in tk.blocks(batch.column(1)):
                 g, doc = _grams(block)
-                of = langs[block.lo: block.lo + block.n]
-                for lang in set(of):
-                    total[lang] = total.get(lang, 0) + np.bincount(g[(of == lang)[doc]], minlength=BUCKETS)
-        for lang, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["lang", "n"])
-
+                here, of = np.unique(of_row[block.lo: block.lo + block.n], return_inverse=True)
+                of = of[doc]
+                for lo in range(0, len(here), _LANGUAGES):
+                    some = here[lo: lo + _LANGUAGES]
+                    pick = (of >= lo) & (of < lo + len(some))
+                    n = np.bincount((of[pick] - lo) * BUCKETS + g[pick], minlength=len(some) * BUCKETS).reshape(-1, BUCKETS)
+                    for lang, x in zip(langs[some].tolist(), n, strict=True):
+                        total[lang] = total.get(lang, 0) + x
+                    if len(total) > 4 * _LANGUAGES:  # what a task holds is bounded; the rest of the sums are the shuffle's
+                        yield from table()
+        yield from table()
+
+    d = docs.select("lang", "text").where("lang is not null and text is not null")
     parts = d.mapInArrow(count, "lang string, n array<bigint>").select("lang", F.posexplode("n").alias("bucket", "n")).where("n > 0")
-    sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    size = parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in size)
-    counts = np.zeros((len(langs), BUCKETS))
-    for r in sums.where(F.col("lang").isin(langs)).collect():  # at most MAX_LANGUAGES * BUCKETS numbers
-        counts[langs.index(r.lang), r.bucket] = r.n
+    sums = materialize(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in sums.select("lang").distinct().collect())
+    counts, place = np.zeros((len(langs), BUCKETS)), {x: i for i, x in enumerate(langs)}
+    for lo in range(0, len(langs), _LANGUAGES):
+        t = sums.where(F.col("lang").isin(langs[lo: lo + _LANGUAGES])).toArrow()  # at most _LANGUAGES * BUCKETS rows
+        code = t["lang"].combine_chunks().dictionary_encode()
+        row = np.array([place[x] for x in code.dictionary.to_pylist()], np.int64)[np.asarray(code.indices)]
+        counts[row, np.asarray(t["bucket"])] = np.asarray(t["n"])
     p = counts + 0.2
     return langs, np.log(p / p.sum(1, keepdims=True)) if langs else counts
 
@@ -112,7 +121,10 @@ def _parent(host: Column) -> Column:
 
 def _counted(df: DataFrame, key: str, k: int, name: str) -> DataFrame:
     """(key, name): pages by text-only decision, one number for each language."""
-    return df.groupBy(key).agg(F.array(*[F.sum((F.col("__map") == c).cast("double")) for c in range(k)]).alias(name))
+    by_lang = df.groupBy(key, "__map").agg(F.count("*").cast("double").alias("__n"))
+    some = F.map_from_entries(F.collect_list(F.struct(F.col("__map").cast("int"), "__n")))
+    of = by_lang.groupBy(key).agg(some.alias("__some"))
+    return of.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.coalesce(F.try_element_at("__some", c), F.lit(0.0))).alias(name))
 
 
 def _smoothed(own: Column, above: Column, strength: float) -> Column:
@@ -125,7 +137,7 @@ def _less_own(counts: str) -> Column:
     return F.transform(F.col(counts), lambda x, i: F.greatest(F.lit(0.0), x - (i == F.col("__map")).cast("double")))
 
 
-def identify(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS, strength: float = STRENGTH) -> DataFrame:
+def identify(pages: DataFrame, documents: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """``pages`` without html, with lang, confidence (its posterior), text_lang, declared, host and n_grams.
 
     A page without visible text has no text evidence and no say in the counts; one without url (null, or no ``://``)
@@ -135,7 +147,7 @@ def identify(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS, str
     """
     names = ("lang", "confidence", "text_lang", "declared", "host", "n_grams")
     base = pages.drop(*names)
-    langs, logp = train(documents, rows)
+    langs, logp = train(documents)
     known = F.array(*[F.lit(x) for x in langs]) if langs else F.array().cast("array<string>")
     declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)), F.lit(""))
     p = base.withColumn("declared", declared).withColumn("host", url_host(F.col("url")))
@@ -150,24 +162,27 @@ def identify(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS, str
         .withColumn("__suffix", lower_ascii(F.substring_index(F.col("host"), ".", -1)))
         .withColumn("__said", F.coalesce(F.array_position(known, F.col("declared")), F.lit(0))))
     told = p.where("__map >= 0")
-    total = told.agg(*[F.coalesce(F.sum((F.col("__map") == c).cast("double")), F.lit(0.0)) for c in range(k)]).first()
-    everywhere = (np.array(total) + 1) / (sum(total) + k)
+    total = np.zeros(k)
+    for r in told.groupBy("__map").count().collect():
+        total[r["__map"]] = r["count"]
+    everywhere = (total + 1) / (total.sum() + k)
     world = F.array(*[F.lit(float(x)) for x in everywhere])
-    none = F.array(*[F.lit(0.0)] * k)
+    none = F.array_repeat(F.lit(0.0), k)
     # what languages declare: at most (languages + 1) x languages numbers
     said = np.ones((k + 1, k))
     for r in told.groupBy("__said", "__map").count().collect():
         said[r["__said"], r["__map"]] += r["count"]
     said = said / said.sum(0)
-    said_by = F.array(*[F.array(*[F.lit(float(np.log(x))) for x in row]) for row in said])
+    said_by = p.sparkSession.createDataFrame([(c, row) for c, row in enumerate(np.log(said).tolist())], "__said bigint, __l array<double>")
     hosts, domains = _counted(told, "host", k, "__h"), _counted(told, "__domain", k, "__d")
     suffixes = _counted(told, "__suffix", k, "__s")
     out = (p.join(hosts, "host", "left").join(domains, "__domain", "left").join(suffixes, "__suffix", "left")
+           .join(F.broadcast(said_by), "__said")
            .withColumns({c: F.coalesce(c, none) for c in ("__h", "__d", "__s")}))
     prior = _smoothed(_less_own("__h"), _smoothed(_less_own("__d"), world, strength), strength)
     # P(suffix | language) up to what is the same for every language
     suffix = F.zip_with(_smoothed(_less_own("__s"), world, strength), world, lambda a, b: F.log(a) - F.log(b))
-    posterior = F.zip_with(F.zip_with(F.col("__text"), F.element_at(said_by, (F.col("__said") + 1).cast("int")), lambda a, b: a + b),
+    posterior = F.zip_with(F.zip_with(F.col("__text"), F.col("__l"), lambda a, b: a + b),
                            F.zip_with(F.transform(prior, lambda x: F.log(x)), suffix, lambda a, b: a + b), lambda a, b: a + b)
     best = F.array_position("__post", F.array_max("__post"))
     return (out.withColumn("__post", posterior)

@@ -1,6 +1,7 @@
 """Operators on pages, and the pipeline as a whole."""
 
 import os
+import random
 import re
 
 import pytest
@@ -76,6 +77,19 @@ def test_language_id_declared_late(spark):
     assert langid.identify(pages, docs.limit(0)).first().declared == "bb"
 
 
+def test_language_id_many_languages(spark):
+    """More than 64 languages, one of them with a single document."""
+    names = ["l" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)]
+    word = {k: " ".join("".join(random.Random(100 * i + j).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(12)) for i, k in enumerate(names)}
+    docs = spark.createDataFrame([(i, word[k], k) for i, k in enumerate(names)] + [(1000 + i, word[k], k) for i, k in enumerate(names[:69])],
+                                 "doc_id bigint, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", f'<html lang="{k}"><p>{word[k]}</p></html>') for i, k in enumerate(names)],
+                                  "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert langid.train(docs)[0] == sorted(names)
+    assert [got[i].lang for i in range(70)] == names
+
+
 def test_pipeline_stages(spark, docs, empty, labels, tmp_path):
     """Each stage keeps the columns of documents, and an empty table passes through all of them."""
     import corpus_pipeline
