@@ -24,7 +24,11 @@ def climate_indices(cells: DataFrame, *, header_row: int, date_header: str = "Da
     t = fx.drop_all_null_columns(t)
     rename = rename or {}
     vals = [c for c in t.columns if c not in ("file", "sheet", "row", date_header)]
-    out = t.select(F.col("file").alias(key), "row", parse_date(F.col(date_header), date_fmt).alias("date"),
+    # date cells come as ISO text, text cells as they were typed
+    date = F.coalesce(parse_date(F.col(date_header), date_fmt), F.to_date(F.try_to_timestamp(F.substring(date_header, 1, 10), F.lit("yyyy-MM-dd"))))
+    typed = F.trim(date_header)
+    date = F.when(date.isNull() & (typed != ""), F.raise_error(F.concat(F.lit("no date: "), typed)).cast("date")).otherwise(date)
+    out = t.select(F.col("file").alias(key), "row", date.alias("date"),
                    *[to_double(c).alias(rename.get(c, c)) for c in vals])
     names = [rename.get(c, c) for c in vals]
     out = out.where(F.col("date").isNotNull()).dropna(how="all", subset=names)

@@ -190,7 +190,9 @@ def read_series_csv(spark: SparkSession, path: str, name_from_file: bool = True)
 def read_xlsx_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Workbook cells (file, sheet, row, col, value) from a folder of .xlsx
     files: ``binaryFile`` + ``mapInPandas`` with the stdlib zip/XML readers,
-    one workbook per task. Legacy binary .xls is not read."""
+    one workbook per task. Numbers in a cell with a date format become
+    ``yyyy-MM-dd`` (``yyyy-MM-dd HH:mm:ss`` with a time of day) by the
+    workbook's date base (1900 or 1904). Legacy binary .xls is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     schema = "file string, sheet string, row int, col int, value string"
 
@@ -205,6 +207,35 @@ def read_xlsx_cells(spark: SparkSession, path: str, sheet: str | None = None) ->
     return files.mapInPandas(parse, schema)
 
 
+_DATE_FORMATS = {14, 15, 16, 17, 22, *range(27, 32), 36, *range(50, 55), 57, 58}  # built-in, with a day, month or year
+
+
+def _is_date_format(code: str) -> bool:
+    """Whether a number format shows a day, month name or year (not a time of day or an elapsed time only)."""
+    import re
+    if re.search(r"(?i)\[(h+|m+|s+)\]", code):
+        return False
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]', "", code.split(";")[0])
+    return re.search(r"(?i)[dy]|mmm", plain) is not None
+
+
+def _serial_date(text: str, base_1904: bool) -> str:
+    """A date serial as text; what is no day of the calendar stays as it is."""
+    import datetime as dt
+    try:
+        n = float(text)
+        if base_1904:
+            base = dt.datetime(1904, 1, 1)
+        else:  # the 1900 base has a day 60 that never was
+            base = dt.datetime(1899, 12, 30 if n >= 61 else 31)
+        if n < (0 if base_1904 else 1) or (not base_1904 and 60 <= n < 61):
+            return text
+        when = base + dt.timedelta(seconds=round(n * 86400))
+    except (ValueError, OverflowError):
+        return text
+    return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
+
+
 def _xlsx_cells(path: str, content: bytes, want: str | None):
     import io
     import re
@@ -217,9 +248,19 @@ def _xlsx_cells(path: str, content: bytes, want: str | None):
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")))
+    dates = []  # by cell style
+    if "xl/styles.xml" in z.namelist():
+        styles = ET.fromstring(z.read("xl/styles.xml"))
+        own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.findall("m:numFmts/m:numFmt", ns)}
+        for xf in styles.findall("m:cellXfs/m:xf", ns):
+            k = int(xf.get("numFmtId") or 0)
+            dates.append(_is_date_format(own[k]) if k in own else k in _DATE_FORMATS)
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    props = book.find("m:workbookPr", ns)
+    base_1904 = props is not None and props.get("date1904") in ("1", "true")
     rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for sh in ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns):
+    for sh in book.find("m:sheets", ns):
         name = sh.get("name")
         if want is not None and name != want:
             continue
@@ -239,6 +280,9 @@ def _xlsx_cells(path: str, content: bytes, want: str | None):
                 val = "".join(t.text or "" for t in isv.iter(f"{{{ns['m']}}}t"))
             else:
                 val = v.text if v is not None else None
+                style = int(c.get("s") or 0)
+                if val is not None and c.get("t") in (None, "n") and style < len(dates) and dates[style]:
+                    val = _serial_date(val, base_1904)
             out.append((path, name, int(m.group(2)), col, val))
     return out
 

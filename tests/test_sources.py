@@ -135,6 +135,38 @@ def test_xlsx_cells(spark, tmpdir_path):
     assert len(t) == 1 and t[0]["Date"] == "01/02/2020" and t[0]["Physical Risk Index (PRI)"] == "1.5"
 
 
+@pytest.mark.parametrize("base, serial", [("", 43862), ('<workbookPr date1904="1"/>', 42400)])
+def test_xlsx_dates(spark, tmpdir_path, base, serial):
+    """Date cells are numbers with a date format, counted from the workbook's date base."""
+    from riskpanel.sources import ingest
+    from riskpanel.plans.compositions import climate_indices
+    d = os.path.join(tmpdir_path, f"xl{serial}")
+    os.makedirs(d)
+    _xlsx(os.path.join(d, "plain.zip"))
+    with zipfile.ZipFile(os.path.join(d, "plain.zip")) as old, zipfile.ZipFile(os.path.join(d, "risk.xlsx"), "w") as z:
+        for name in old.namelist():
+            text = old.read(name).decode()
+            text = text.replace("<sheets>", base + "<sheets>").replace(
+                '<c r="A4" t="inlineStr"><is><t>01/02/2020</t></is></c>', f'<c r="A4" s="1"><v>{serial}</v></c>').replace(
+                "</sheetData>", f'<row r="5"><c r="A5" s="2"><v>{serial + 1}.5</v></c><c r="C5"><v>2.5</v></c></row></sheetData>')
+            z.writestr(name, text)
+        z.writestr("xl/styles.xml", '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+                   '<numFmts><numFmt numFmtId="164" formatCode="[$-409]d\\-mmm\\-yy;@"/></numFmts><cellXfs><xf numFmtId="0"/>'
+                   '<xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+    rep = climate_indices(src.read_xlsx_cells(spark, d, sheet="Data"), header_row=3, rename={"Physical Risk Index (PRI)": "pri"}, window=1)
+    assert sorted((r.date, r.pri) for r in rep["table"].collect()) == [(dt.date(2020, 2, 1), 1.5), (dt.date(2020, 2, 2), 2.5)]
+    assert [ingest._is_date_format(x) for x in ("yyyy", "h:mm", "[h]:mm:ss", '0.0" d"', "General", "mmm-yy")] == [True, False, False, False, False, True]
+    assert ingest._serial_date("1", False) == "1900-01-01" and ingest._serial_date("60", False) == "60" and ingest._serial_date("61", False) == "1900-03-01"
+
+
+def test_unparsable_dates_are_errors(spark, tmpdir_path):
+    from riskpanel.plans.compositions import climate_indices
+    cells = spark.createDataFrame([("f", "Data", 1, 1, "Date"), ("f", "Data", 1, 2, "pri"), ("f", "Data", 2, 1, "43862"), ("f", "Data", 2, 2, "1.5")],
+                                  "file string, sheet string, row int, col int, value string")
+    with pytest.raises(Exception, match="no date: 43862"):
+        climate_indices(cells, header_row=1, window=1)["table"].collect()
+
+
 def test_ensure_datasets(spark, tmpdir_path):
     df = spark.range(3)
     root = os.path.join(tmpdir_path, "processed")
