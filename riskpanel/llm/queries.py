@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.llm import (attention_lm, decontam, langid, mixing, quality, simhash, suffix_dedup, tokencount, toxicity,
-                           urlfilter)
+from riskpanel.llm import (attention_lm, collocation, decontam, langid, mixing, multiset, negatives, quality, simhash,
+                           suffix_dedup, tokencount, toxicity, urlfilter)
 
 #: fixed values of the URL filter query: action, host, path
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -68,9 +68,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "declared", "text_lang", "lang", "confidence", "n_grams")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multiset.edit_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    odd = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))  # no number to floor: no component
+    vec = F.when(~F.coalesce(odd, F.lit(False)), whole)
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), vec.alias("vec")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_suffix_array_dedup, op3_url_filters, op4_simhash_near_dedup, op5_benchmark_decontamination,
-    op6_toxicity, op7_lm_scoring, op8_token_counts, op9_mixing, op10_language_id)}
+    op6_toxicity, op7_lm_scoring, op8_token_counts, op9_mixing, op10_language_id, op11_document_fingerprints,
+    op12_phrase_collocations, op13_hard_negatives)}
 
 ORACLE = {
     "op3_url_filters": r"""
@@ -123,5 +142,47 @@ picks AS (SELECT skey, ord FROM walk WHERE hit UNION SELECT skey, ord FROM extra
 SELECT b.doc_id, b.size, b.source_size, b.target,
        b.size * (b.epochs + CASE WHEN (b.rest > 0 AND b.block < coalesce(cut.cut_block, 65537)) OR picks.ord IS NOT NULL THEN 1 ELSE 0 END) AS taken
 FROM b LEFT JOIN cut ON cut.skey = b.skey LEFT JOIN picks ON picks.skey = b.skey AND picks.ord = b.ord
+""",
+    "op12_phrase_collocations": r"""
+WITH p0 AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p1 AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM p0),
+p2 AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p1),
+p3 AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p2 WHERE len(w) > 0),
+p4 AS (SELECT lang, w, i, unnest([1, 2, 3, 4, 5]) AS k FROM p3),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
+      FROM p4 WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 100),
+cut0 AS (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS head,
+        array_to_string(list_slice(w, j + 1, k), ' ') AS tail FROM cut0),
+s AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, cut.j, x.a AS l, y.a AS r, n.n,
+        ((1000::HUGEINT * cut.a::HUGEINT * n.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.head JOIN f y ON y.lang = cut.lang AND y.phrase = cut.tail
+      JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner0 AS (SELECT lang, k, w, a, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+inner1 AS (SELECT lang, w, a, m, unnest(generate_series(1, k - m + 1)) AS i FROM inner0),
+gone AS (SELECT DISTINCT inner1.lang, c.phrase FROM inner1
+         JOIN c ON c.lang = inner1.lang AND c.phrase = array_to_string(list_slice(inner1.w, i, i + m - 1), ' ') AND 100 * inner1.a >= 100 * c.a),
+kept AS (SELECT best.* FROM best LEFT JOIN gone ON gone.lang = best.lang AND gone.phrase = best.phrase WHERE gone.phrase IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""",
+    "op13_hard_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.vec, b.vec)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+g AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 10
 """,
 }
