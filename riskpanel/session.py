@@ -68,13 +68,28 @@ def materialize(df):
     path = f"{root}/riskpanel-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._riskpanel_path = path
+    return table
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` returned, once all that was made of them is itself a table or a result."""
+    for table in tables:
+        path = table._riskpanel_path
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` wrote in this process so far."""
     n = 0
     while _WRITTEN:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        n += _delete(spark, _WRITTEN.pop())
     return n
