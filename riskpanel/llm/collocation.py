@@ -15,6 +15,7 @@ Ids go back to blocks by joins on tiles and blocks; no vocabulary is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.llm import textkit as tk
 from riskpanel.operators.ranks import numbered
-from riskpanel.session import materialize
+from riskpanel.session import discard, materialize
 
 LEAST = 100  # occurrences of a candidate
 WORDS = 5  # of a phrase at most
@@ -40,7 +41,7 @@ class Tiling(NamedTuple):
     head: int = 8  # tiles to a side that are counted on their own
     block: int = 1 << 19  # words
     group: int = 1 << 21  # pairs to a band, about
-    split: int = 32  # blocks to a group of a common tile
+    split: int = 32  # blocks' words to a salt of a common tile
 
     @property
     def tiles(self) -> int:
@@ -75,6 +76,22 @@ def places(block: tk.Block):
     return s, e, bounds, new
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed byte planes, rising ones as their steps."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else np.ascontiguousarray(x)
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), asbytes=True)
+
+
+def unpacked(raw: bytes, kind, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], n * size, asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
 class _Open:
     """Words of one language that wait for their block to be full."""
 
@@ -85,34 +102,47 @@ class _Open:
         self.hashes.append(h)
         self.new.append(new)
         self.size += len(h)
-        for k, w in zip(keys, words, strict=True):
-            self.texts.setdefault(k, w)
+        self.texts.update(zip(keys, words, strict=True))
 
-    def row(self, lang: str, name: int):
-        """The block: its number, words and their counts, and the places as numbers of words from 1, with 0 wherever a piece
-        ends."""
+    def row(self, bands: int):
+        """The block: its places as numbers of words from 1, with a 0 before every piece, and its word lists, one for each
+        band of hashes: band, number of the first word, words, and their counts."""
         keys, which, n = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
         new = np.concatenate(self.new)
-        seq = np.zeros(len(which) + int(new.sum()) + 1, np.uint16 if len(keys) < 1 << 16 else np.uint32)
-        seq[np.arange(len(which)) + np.cumsum(new)] = which + 1  # a 0 stands before every piece
-        words = [self.texts[k] for k in keys.tolist()]
-        return name, lang, words, n, seq
+        band = (keys % np.uint64(bands)).astype(np.int64)
+        order = np.argsort(band, kind="stable")
+        number = np.empty(len(keys), np.uint32)
+        number[order] = np.arange(1, len(keys) + 1)
+        seq = np.zeros(len(which) + int(new.sum()), np.uint32)
+        seq[np.arange(len(which)) + np.cumsum(new)] = number[which]
+        keys, band, n = keys[order].tolist(), band[order], n[order].astype(np.uint32)
+        cut = np.flatnonzero(np.diff(band, prepend=-1)).tolist()
+        lists = []
+        for lo, hi in zip(cut, [*cut[1:], len(keys)], strict=True):
+            words = "\n".join([self.texts[k] for k in keys[lo:hi]]).encode()
+            lists.append({"band": int(band[lo]), "k": lo, "words": packed(np.frombuffer(words, np.uint8)), "n": packed(n[lo:hi])})
+        return seq, lists
 
 
-def _blocks(docs: DataFrame, lang: str, size: int) -> DataFrame:
-    """(block, lang, words, n, seq) of all texts."""
-    schema = "block bigint, lang string, words array<string>, n array<bigint>, seq binary"
+_LISTS = pa.list_(pa.struct([("band", pa.int64()), ("k", pa.int64()), ("words", pa.binary()), ("n", pa.binary())]))
 
+
+def _listed(raw: bytes) -> list[str]:
+    return unpacked(raw, np.uint8).tobytes().decode().split("\n")
+
+
+def _blocks(docs: DataFrame, lang: str, size: int, bands: int) -> DataFrame:
+    """(block, lang, seq, lists) of all texts."""
     def run(batches):
         part, made, waiting = TaskContext.get().partitionId(), 0, {}
 
         def out(key):
             nonlocal made
-            name, lang, words, n, seq = waiting.pop(key).row(key, (part << 32) | made)
+            seq, lists = waiting.pop(key).row(bands)
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([n.tolist()], pa.list_(pa.int64())),
-                 pa.array([bytes([seq.itemsize]) + seq.tobytes()], pa.binary())], names=["block", "lang", "words", "n", "seq"])
+                [pa.array([(part << 32) | made]), pa.array([key]), pa.array([packed(seq)], pa.binary()), pa.array([lists], _LISTS)],
+                names=["block", "lang", "seq", "lists"])
 
         for batch in batches:
             langs, of = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
@@ -140,46 +170,75 @@ def _blocks(docs: DataFrame, lang: str, size: int) -> DataFrame:
             yield out(key)
 
     d = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, "block bigint, lang string, seq binary, "
+                             "lists array<struct<band: bigint, k: bigint, words: binary, n: binary>>")
+
+
+def _word_counts(lists: DataFrame, least: int) -> DataFrame:
+    """(lang, band, phrase, a) of the words that occur ``least`` times or more, and a null phrase with the number of all."""
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, int] = {}
+        for batch in batches:
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for w, m in zip(_listed(words), unpacked(n, np.uint32).tolist(), strict=True):
+                    count[w] = count.get(w, 0) + m
+        kept = {w: m for w, m in count.items() if m >= least}
+        size = len(kept) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()] * size), pa.array([key[1].as_py()] * size), pa.array([*kept, None], pa.string()),
+             pa.array([*kept.values(), sum(count.values())], pa.int64())], names=["lang", "band", "phrase", "a"])
+
+    return lists.groupBy("lang", "band").applyInArrow(run, "lang string, band bigint, phrase string, a bigint")
+
 
+def _word_ids(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """(block, k, ids): the ids of ``words`` (lang, band, phrase, id) for the word lists of the blocks, 0 for other words."""
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        ids = dict(zip(known["phrase"].to_pylist(), known["id"].to_pylist(), strict=True))
+        found = [packed(np.array([ids.get(w, 0) for w in _listed(x)], np.uint32)) for x in t["words"].to_pylist()] if ids else []
+        some = t.slice(0, len(found))
+        return pa.table([some["block"], some["k"], pa.array(found, pa.binary())], names=["block", "k", "ids"])
 
-def _numbers(raw: pa.Array, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in raw]
+    left = lists.select("lang", "band", "block", "k", "words").groupBy("lang", "band")
+    right = words.select("lang", "band", "phrase", "id").groupBy("lang", "band")
+    return left.cogroup(right).applyInArrow(run, "block bigint, k bigint, ids binary")
 
 
 _SYMBOLS = "block bigint, lang string, at binary, sym binary, n_sym bigint"
 
 
-def _symbol_batch(block, lang, at, sym):
-    return [block, lang, at.astype(np.int32).tobytes(), sym.astype(np.uint32).tobytes(), len(at)]
+def _symbol_table(rows: pa.Table, at: np.ndarray, sym: np.ndarray) -> pa.Table:
+    """The symbols of the one block of ``rows``; none, if it has none."""
+    some = rows.slice(0, min(1, len(at)))
+    n = some.num_rows
+    return pa.table([some["block"], some["lang"], pa.array([packed(at.astype(np.uint32), True)] * n, pa.binary()),
+                     pa.array([packed(sym.astype(np.uint32))] * n, pa.binary()), pa.array([len(at)] * n, pa.int64())],
+                    names=["block", "lang", "at", "sym", "n_sym"])
 
 
-def _symbol_table(rows) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "lang", "at", "sym", "n_sym"])
+def _symbols_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return unpacked(rows["at"][0].as_py(), np.uint32, True).astype(np.int64), unpacked(rows["sym"][0].as_py(), np.uint32)
 
 
-def _ranked_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Symbols of the first round: the ids of ``words`` (lang, phrase, id) at their places in the blocks."""
-    listed = blocks.select("block", "lang", F.posexplode("words").alias("k", "phrase"))
-    known = listed.join(words.select("lang", "phrase", "id"), ["lang", "phrase"]).groupBy("block").agg(
-        F.collect_list(F.struct("k", "id")).alias("known"))  # at most a block's words
-    rows = blocks.select("block", "lang", "seq").join(known, "block")
+_NONE = np.zeros(0, np.uint32)
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_buffer()
-                seq = np.frombuffer(raw, np.uint16 if raw[0] in (2, b"\2") else np.uint32, offset=1).astype(np.int64)
-                pairs = batch.column(3)[i].values
-                to = np.zeros(int(seq.max()) + 1, np.uint32)
-                to[np.asarray(pairs.field("k")) + 1] = np.asarray(pairs.field("id"))
-                sym = to[seq]
-                at = np.flatnonzero(sym)
-                yield from _symbol_table([_symbol_batch(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at, sym[at])]).to_batches()
 
-    return rows.mapInArrow(run, _SYMBOLS)
+def _ranked_words(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Symbols of the first round: the words' ids at their places in the blocks."""
+    def run(t: pa.Table, k: pa.Table) -> pa.Table:
+        if not t.num_rows or not k.num_rows:
+            return _symbol_table(t, _NONE, _NONE)
+        seq = unpacked(t["seq"][0].as_py(), np.uint32)
+        to = np.zeros(int(seq.max()) + 1, np.uint32)
+        for first, raw in zip(k["k"].to_pylist(), k["ids"].to_pylist(), strict=True):
+            x = unpacked(raw, np.uint32)
+            to[first + 1: first + 1 + len(x)] = x
+        sym = to[seq]
+        at = np.flatnonzero(sym)
+        return _symbol_table(t, at, sym[at])
+
+    rows = blocks.select("block", "lang", "seq")
+    return rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, _SYMBOLS)
 
 
 def _neighbours(at: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,9 +254,10 @@ def _pairs(symbols: DataFrame, how: Tiling, bands: int, salts: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for block, lang, at, sym in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                            _numbers(batch.column(2), np.int32), _numbers(batch.column(3), np.uint32), strict=True):
-                _, pair = _neighbours(at, sym)
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                block, lang = row["block"][0].as_py(), row["lang"][0].as_py()
+                _, pair = _neighbours(*_symbols_of(row))
                 if not len(pair):
                     continue
                 pair, n = np.unique(pair, return_counts=True)
@@ -213,46 +273,76 @@ def _pairs(symbols: DataFrame, how: Tiling, bands: int, salts: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(cut), pa.string()), pa.array(g[cut]),
                      pa.array(np.where(g[cut] < tiles, salt, 0).astype(np.int32)), pa.array(np.full(len(cut), block)),
-                     pa.array([pair[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())],
+                     pa.array([packed(pair[a:b], True) for a, b in spans], pa.binary()), pa.array([packed(n[a:b]) for a, b in spans], pa.binary())],
                     names=["lang", "g", "salt", "block", "pairs", "n"])
 
     return symbols.mapInArrow(run, "lang string, g bigint, salt int, block bigint, pairs binary, n binary")
 
 
-def tile_sums(g: int, pair: np.ndarray, n: np.ndarray, how: Tiling = Tiling()) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a group and the sums of their counts: by direct address in a tile that is full enough, else from
-    a sorted list of coordinates."""
-    side = how.tile
-    if g < how.tiles and 16 * len(pair) >= side * side:
-        x0, y0 = np.uint64(g // how.head * side + 1), np.uint64(g % how.head * side + 1)
-        cell = ((pair >> np.uint64(32)) - x0) * np.uint64(side) + (pair & np.uint64(0xFFFFFFFF)) - y0
-        total = np.bincount(cell.astype(np.int64), weights=n, minlength=side * side)  # exact below 2^53
-        at = np.flatnonzero(total)
-        x, y = (at // side).astype(np.uint64) + x0, (at % side).astype(np.uint64) + y0
-        return (x << np.uint64(32)) | y, total[at].astype(np.int64)
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    return pair[cut], np.add.reduceat(n[order], cut) if len(cut) else n
-
-
-def _frequent(pairs: DataFrame, how: Tiling, least: int, salts: int) -> DataFrame:
-    """(lang, g, x, y, a) of the pairs that occur ``least`` times or more."""
-    whole = salts == 1
-
-    def run(t: pa.Table) -> pa.Table:
-        g, lang = t["g"][0].as_py(), t["lang"][0].as_py()
-        pair = np.frombuffer(b"".join(t["pairs"].to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32).astype(np.int64)
-        pair, total = tile_sums(g, pair, n, how)
-        if whole or g >= how.tiles:
+class TileSums:
+    """Counts of the pairs of a group ``g`` (a tile of common ids, or a band of other tiles): by direct address once a tile
+    is full enough, else as a sorted list of coordinates."""
+
+    def __init__(self, g: int, how: Tiling):
+        self.side, self.dense = np.uint64(how.tile), None
+        self.x0, self.y0 = np.uint64(g // how.head * how.tile + 1), np.uint64(g % how.head * how.tile + 1)
+        self.cells = how.tile * how.tile
+        self.room = self.cells // 16 if g < how.tiles else 1 << 62
+        self.pairs, self.counts, self.size, self.merged = [], [], 0, 0
+
+    def add(self, pair: np.ndarray, n: np.ndarray):
+        self.pairs.append(pair)
+        self.counts.append(n.astype(np.int64))
+        self.size += len(pair)
+        if self.size > max(self.room, 2 * self.merged, 1 << 16):  # what waits stays within the distinct pairs
+            self._merge()
+
+    def _merge(self):
+        pair, n = np.concatenate(self.pairs), np.concatenate(self.counts)
+        if self.dense is None and len(pair) >= self.room:
+            self.dense = np.zeros(self.cells, np.int64)
+        if self.dense is not None:
+            cell = ((pair >> np.uint64(32)) - self.x0) * self.side + (pair & np.uint64(0xFFFFFFFF)) - self.y0
+            self.dense += np.bincount(cell.astype(np.int64), weights=n, minlength=self.cells).astype(np.int64)  # exact below 2^53
+            pair, n = pair[:0], n[:0]
+        elif len(pair):
+            order = np.argsort(pair, kind="stable")
+            pair, n = pair[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            pair, n = pair[cut], np.add.reduceat(n, cut)
+        self.pairs, self.counts, self.size, self.merged = [pair], [n], len(pair), len(pair)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs, in order, and their counts."""
+        if not self.pairs:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._merge()
+        if self.dense is None:
+            return self.pairs[0], self.counts[0]
+        at = np.flatnonzero(self.dense).astype(np.uint64)
+        return ((at // self.side + self.x0) << np.uint64(32)) | (at % self.side + self.y0), self.dense[at.astype(np.int64)]
+
+
+def _frequent(pairs: DataFrame, how: Tiling, least: int, parts: int) -> DataFrame:
+    """(lang, g, x, y, a) of the pairs that occur ``least`` times or more; a common tile is summed in ``parts`` parts."""
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, g = key[0].as_py(), key[1].as_py()
+        sums = TileSums(g, how)
+        for batch in batches:
+            for pair, n in zip(batch.column("pairs").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                sums.add(unpacked(pair, np.uint64, True), unpacked(n, np.uint32))
+        pair, total = sums.sums()
+        if parts == 1 or g >= how.tiles:
             keep = total >= least
             pair, total = pair[keep], total[keep]
-        return pa.table([pa.array([lang] * len(pair), pa.string()), pa.array(np.full(len(pair), g)), pa.array((pair >> np.uint64(32)).astype(np.int64)),
-                         pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(total)], names=["lang", "g", "x", "y", "a"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(pair), pa.string()), pa.array(np.full(len(pair), g)), pa.array((pair >> np.uint64(32)).astype(np.int64)),
+             pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(total)], names=["lang", "g", "x", "y", "a"])
 
-    found = pairs.select("lang", "g", "salt", "pairs", "n").groupBy("lang", "g", "salt").applyInArrow(run, "lang string, g bigint, x bigint, y bigint, a bigint")
-    return found if whole else found.groupBy("lang", "g", "x", "y").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    part = (F.col("salt") % parts).alias("part")
+    found = pairs.select("lang", "g", part, "pairs", "n").groupBy("lang", "g", "part").applyInArrow(
+        run, "lang string, g bigint, x bigint, y bigint, a bigint")
+    return found if parts == 1 else found.groupBy("lang", "g", "x", "y").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _replies(pairs: DataFrame, found: DataFrame, how: Tiling, salts: int) -> DataFrame:
@@ -269,11 +359,11 @@ def _replies(pairs: DataFrame, found: DataFrame, how: Tiling, salts: int) -> Dat
         key, ids = key[order], np.asarray(k["id"])[order].astype(np.uint32)
         rows = []
         for block, raw in zip(t["block"].to_pylist(), t["pairs"].to_pylist(), strict=True):
-            pair = np.frombuffer(raw, np.uint64)
+            pair = unpacked(raw, np.uint64, True)
             at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
             hit = key[at] == pair
             if hit.any():
-                rows.append((block, pair[hit].tobytes(), ids[at[hit]].tobytes()))
+                rows.append((block, packed(pair[hit], True), packed(ids[at[hit]])))
         if not rows:
             return empty
         b, p, i = zip(*rows, strict=True)
@@ -287,16 +377,16 @@ def _next_symbols(symbols: DataFrame, replies: DataFrame) -> DataFrame:
     """The symbols of the next round: the ids of the frequent pairs, at the places of their first symbols."""
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         if not t.num_rows or not r.num_rows:
-            return _symbol_table([])
-        key = np.frombuffer(b"".join(r["pairs"].to_pylist()), np.uint64)
-        ids = np.frombuffer(b"".join(r["ids"].to_pylist()), np.uint32)
+            return _symbol_table(t, _NONE, _NONE)
+        key = np.concatenate([unpacked(x, np.uint64, True) for x in r["pairs"].to_pylist()])
+        ids = np.concatenate([unpacked(x, np.uint32) for x in r["ids"].to_pylist()])
         order = np.argsort(key)
         key, ids = key[order], ids[order]
-        at, sym = np.frombuffer(t["at"][0].as_py(), np.int32), np.frombuffer(t["sym"][0].as_py(), np.uint32)
+        at, sym = _symbols_of(t)
         i, pair = _neighbours(at, sym)
         k = np.minimum(np.searchsorted(key, pair), len(key) - 1)
         hit = key[k] == pair
-        return _symbol_table([_symbol_batch(t["block"][0].as_py(), t["lang"][0].as_py(), at[i[hit]], ids[k[hit]])])
+        return _symbol_table(t, at[i[hit]], ids[k[hit]])
 
     return symbols.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _SYMBOLS)
 
@@ -304,27 +394,30 @@ def _next_symbols(symbols: DataFrame, replies: DataFrame) -> DataFrame:
 def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, lang: str = "lang", how: Tiling = Tiling()) -> DataFrame:
     """(lang, phrase, a, size) of all words and phrases of up to ``words`` words that occur ``least`` times or more, and
     (lang, null, n, 0) with the number of all words of every language."""
-    blocks = materialize(_blocks(docs, lang, how.block))
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w"))
-    counts = materialize(each.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.n").alias("a")))
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("a")).select("lang", F.lit(None).cast("string").alias("phrase"), "a", F.lit(0).alias("size"))
-    known = materialize(numbered(counts.where(F.col("a") >= least), ["lang"], [F.desc("a"), "phrase"], "id").withColumn("last", F.col("phrase")))
+    spark = docs.sparkSession
+    blocks = materialize(_blocks(docs, lang, how.block, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lists = blocks.select("block", "lang", F.explode("lists").alias("w")).select("block", "lang", "w.*")
+    counts = materialize(_word_counts(lists, least))
+    totals = counts.where("phrase is null").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).select("lang", "phrase", "a", F.lit(0).alias("size"))
+    known = materialize(numbered(counts.where("phrase is not null"), ["lang"], [F.desc("a"), "phrase"], "id").withColumn("last", F.col("phrase")))
     out = totals.union(known.select("lang", "phrase", "a", F.lit(1)))
-    symbols = materialize(_ranked_words(blocks, known))
+    symbols = materialize(_ranked_words(blocks, _word_ids(lists, known)))
+    discard(blocks)
     for size in range(2, words + 1):
-        n, n_blocks = symbols.agg(F.coalesce(F.sum("n_sym"), F.lit(0)), F.count("*")).first()
+        n = symbols.agg(F.sum("n_sym")).first()[0]
         if not n:
             break
-        salts, bands = max(1, n_blocks // how.split), max(1, -(-n // how.group))
+        salts, bands = 1 + n // (how.split * how.block), 1 + n // how.group
         pairs = materialize(_pairs(symbols, how, bands, salts))
-        found = numbered(_frequent(pairs, how, least, salts), ["lang"], [F.desc("a"), "x", "y"], "id")
+        found = numbered(_frequent(pairs, how, least, 1 + salts // 128), ["lang"], [F.desc("a"), "x", "y"], "id")
         x = known.select("lang", F.col("id").alias("x"), F.col("phrase").alias("head"))
         y = known.select("lang", F.col("id").alias("y"), "last")
         known = materialize(found.join(x, ["lang", "x"]).join(y, ["lang", "y"])
                             .select("lang", "g", "x", "y", "a", "id", F.concat_ws(" ", "head", "last").alias("phrase"), "last"))
         out = out.union(known.select("lang", "phrase", "a", F.lit(size)))
-        if size < words:
-            symbols = materialize(_next_symbols(symbols, _replies(pairs, known, how, salts)))
+        following = materialize(_next_symbols(symbols, _replies(pairs, known, how, salts))) if size < words else None
+        discard(pairs, symbols)
+        symbols = following
     return out
 
 

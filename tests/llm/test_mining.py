@@ -156,15 +156,25 @@ def test_collocations(spark, rows, docs, empty, block):
 
 def test_tile_sums():
     r = np.random.default_rng(1)
+    how = collocation.Tiling()
     for size in (0, 1, 40, 200_000):
         x, y = r.integers(1025, 2049, size).astype(np.uint64), r.integers(2049, 3073, size).astype(np.uint64)
         pair, n = (x << np.uint64(32)) | y, r.integers(1, 9, size)
-        for g in (1 * collocation.Tiling().head + 2, 10_000):  # the tile itself; a band
-            keys, total = collocation.tile_sums(g, pair, n)
+        for g in (1 * how.head + 2, 10_000):  # the tile itself; a band
+            sums = collocation.TileSums(g, how)
+            for lo in range(0, size, 7_000):
+                sums.add(pair[lo: lo + 7_000], n[lo: lo + 7_000])
+            keys, total = sums.sums()
+            assert (sums.dense is not None) == (g < 100 and size > 100_000)
             exp = {}
             for k, m in zip(pair.tolist(), n.tolist(), strict=True):
                 exp[k] = exp.get(k, 0) + m
             assert dict(zip(keys.tolist(), total.tolist(), strict=True)) == exp and len(keys) == len(exp)
+    x = r.integers(0, 1 << 40, 1000).astype(np.uint64)
+    assert (collocation.unpacked(collocation.packed(x), np.uint64) == x).all()
+    x.sort()
+    assert (collocation.unpacked(collocation.packed(x, True), np.uint64, True) == x).all()
+    assert len(collocation.unpacked(collocation.packed(x[:0]), np.uint64)) == 0
 
 
 def test_exact_scores(spark):
