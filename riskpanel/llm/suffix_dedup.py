@@ -10,8 +10,9 @@ by minimizer:
    contents (equal ones were merged, with their count) are gathered into buckets of bounded size, each bucket is
    indexed, and matching statistics are streamed from the index: a window whose longest match is LENGTH or more is a
    repeat;
-4. a minimizer with more than HOT distinct contents (a common phrase in many contexts) would not fit one bucket. Its
-   windows are counted one by one by hash, with map-side sums, instead;
+4. a minimizer whose distinct contents exceed HOT_BYTES (a common phrase in many contexts) would not fit one bucket. Its
+   contents are cut and counted again by the next longer minimizer of CORES, and those that differ are indexed in
+   buckets like the others. A minimizer as long as the window has one content only, so that ends;
 5. the marked windows of each document are united and its bytes are cut.
 
 Only 64-bit hashes pairwise with the minimizer's stand for contents in the exchange (128 bits in all).
@@ -32,8 +33,8 @@ from riskpanel.llm.rlbwt import matching_statistics
 from riskpanel.session import materialize
 
 LENGTH = 200
-CORE = 32
-HOT = 2000
+CORES = (32, 64, 128, LENGTH)
+HOT_BYTES = 1 << 22
 BUCKET_BYTES = 1 << 20
 _STEP = 1 << 22
 _AT = np.uint64((1 << 28) - 1)
@@ -64,7 +65,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1: n])
 
 
-def segments(block: tk.Block, length: int = LENGTH, core: int = CORE):
+def segments(block: tk.Block, length: int = LENGTH, core: int = CORES[0]):
     """The segments of a block's texts: text, first window's start in the text, number of windows, and the hashes of
     the minimizer and of the whole segment."""
     found = []
@@ -168,26 +169,68 @@ def _indexed(length: int):
     return run
 
 
-def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
-    """The repeated windows of contents whose minimizer is common: windows are counted by hash."""
+def _cut_again(rows: DataFrame, length: int, core: int) -> DataFrame:
+    """The contents' segments by a longer minimizer: (mini, whole, times, at, n, mini2, whole2)."""
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                h = core_hashes(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint8), length).view(np.int64)
-                m, w, t = (np.full(len(h), batch.column(c)[i].as_py(), np.int64) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, w, t, np.arange(len(h), dtype=np.int32), h)],
-                                                 names=["mini", "whole", "times", "lo", "window"])
+            for block in tk.blocks(batch.column(3)):
+                doc, at, n, mini, whole = segments(block, length, core)
+                of = pa.array(block.lo + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(of) for c in range(3)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.array(mini.view(np.int64)), pa.array(whole.view(np.int64))],
+                    names=["mini", "whole", "times", "at", "n", "mini2", "whole2"])
+
+    return rows.select("mini", "whole", "times", "bytes").mapInArrow(
+        run, "mini bigint, whole bigint, times bigint, at int, n int, mini2 bigint, whole2 bigint")
+
 
-    each = rows.dropDuplicates(["mini", "whole"]).mapInArrow(run, "mini bigint, whole bigint, times bigint, lo int, window bigint")
-    each = materialize(each)
-    twice = each.groupBy("mini", "window").agg(F.sum("times").alias("all")).where("all > 1").drop("all")
-    return each.join(materialize(twice), ["mini", "window"]).select("mini", "whole", "lo", (F.col("lo") + 1).alias("hi"))
+def _cut_out(length: int):
+    def run(batches):
+        """The bytes of segments (at, n) of contents."""
+        for batch in batches:
+            raw, at, n = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bytes", "at", "n"))
+            got = [x[a: a + m - 1 + length] for x, a, m in zip(raw, at, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("mini2", "whole2", "times")),
+                                              pa.array(got, pa.binary())], names=["mini", "whole", "times", "bytes"])
+
+    return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT,
+def _spans(contents: DataFrame, length: int, cores: tuple[int, ...], hot: int, bucket_bytes: int) -> DataFrame:
+    """(mini, whole, lo, hi): runs of repeated windows of the distinct ``contents`` (mini, whole, times, bytes)."""
+    sizes = contents.groupBy("mini").agg(F.sum(F.length("bytes")).alias("size"))
+    common = materialize(sizes.where(F.col("size") > hot).select("mini", F.lit(True).alias("common")))
+    tagged = materialize(contents.join(common, "mini", "left"))
+    total = tagged.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    buckets = max(1, -(-int(total) // bucket_bytes))
+    index = (tagged.where("common is null").drop("common").withColumn("bucket", F.pmod(F.xxhash64("mini"), F.lit(buckets)))
+             .groupBy("bucket").applyInArrow(_indexed(length), _SPANS))
+    if not cores or common.head() is None:
+        return index
+    rows = tagged.where("common").dropDuplicates(["mini", "whole"])
+    parts = materialize(_cut_again(rows, length, cores[0]))
+    again = parts.groupBy("mini2").agg(F.sum("times").alias("c"), F.min("whole2").alias("x"), F.max("whole2").alias("y"))
+    again = materialize(again.where("c > 1").select("mini2", (F.col("x") != F.col("y")).alias("mixed")))
+    parts = materialize(parts.join(again, "mini2"))
+    found = parts.where("not mixed").select("mini", "whole", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
+    mixed = parts.where("mixed")
+    if mixed.head() is not None:
+        kinds = materialize(mixed.groupBy("mini2", "whole2").agg(
+            F.sum("times").alias("times"), F.min(F.struct("mini", "whole", "at", "n")).alias("r")).select("mini2", "whole2", "times", "r.*"))
+        cut = kinds.join(rows.select("mini", "whole", "bytes"), ["mini", "whole"]).mapInArrow(
+            _cut_out(length), "mini bigint, whole bigint, times bigint, bytes binary")
+        inner = _spans(cut, length, cores[1:], hot, bucket_bytes).groupBy(F.col("mini").alias("mini2"), F.col("whole").alias("whole2")).agg(
+            F.collect_set(F.struct("lo", "hi")).alias("s"))  # at most one entry for each window of a segment
+        marked = mixed.join(materialize(inner), ["mini2", "whole2"]).select("mini", "whole", "at", F.explode("s").alias("s"))
+        found = found.union(marked.select("mini", "whole", F.col("at") + F.col("s.lo"), F.col("at") + F.col("s.hi")))
+    return index.union(found)
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, cores: tuple[int, ...] = CORES, hot: int = HOT_BYTES,
                      bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(ref, at, n) window runs that are repeats, from (ref, text); a run covers bytes at to at + n - 1 + length."""
-    parts = materialize(_segment_table(docs, length, core))
+    parts = materialize(_segment_table(docs, length, cores[0]))
     again = (parts.groupBy("mini").agg(F.count("*").alias("c"), F.min("whole").alias("x"), F.max("whole").alias("y"))
              .where("c > 1").select("mini", (F.col("x") != F.col("y")).alias("mixed")))
     # a table of its own: a join right on the sums would keep their partitioning, and a hot minimizer could not be split
@@ -196,19 +239,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, core: int = CORE, ho
     mixed = repeated.where("mixed")
     kinds = (mixed.groupBy("mini", "whole").agg(F.count("*").alias("times"), F.min(F.struct("ref", "at", "n")).alias("r"))
              .select("mini", "whole", "times", "r.*"))
-    kinds = materialize(kinds)
-    common = kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot)
-    common = materialize(common.select("mini", F.lit(True).alias("common")))
-    tagged = _contents(docs, kinds, length).join(common, "mini", "left")
-    tagged = materialize(tagged)
-    total = tagged.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
-    index = (tagged.where("common is null").drop("common").withColumn("bucket", F.pmod(F.xxhash64("mini"), F.lit(buckets)))
-             .groupBy("bucket").applyInArrow(_indexed(length), _SPANS))
-    if common.head() is not None:
-        index = index.unionByName(_one_by_one(tagged.where("common").drop("common"), length))
-    spans = index.select("mini", "whole", F.struct("lo", "hi").alias("s")).groupBy("mini", "whole").agg(
-        F.collect_list("s").alias("s"))  # at most one entry for each window of a segment
+    index = _spans(materialize(_contents(docs, materialize(kinds), length)), length, cores[1:], hot, bucket_bytes)
+    spans = index.groupBy("mini", "whole").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))  # at most one for each window
     marked = (mixed.join(materialize(spans), ["mini", "whole"]).select("ref", "at", F.explode("s").alias("s"))
               .select("ref", (F.col("at") + F.col("s.lo")).alias("at"), (F.col("s.hi") - F.col("s.lo")).alias("n")))
     return alike.unionByName(marked)
@@ -246,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, replace: bool = False,
     keyed = docs.withColumn("__ref", F.xxhash64("doc_id", "text"))
     texts = keyed.where("text is not null").select(F.col("__ref").alias("ref"), "text")
     marks = (repeated_windows(texts, length, **limits).groupBy(F.col("ref").alias("__ref"))
-             .agg(F.collect_list(F.struct("at", "n")).alias("__marks")))
+             .agg(F.collect_set(F.struct("at", "n")).alias("__marks")))  # equal rows mark the same
     joined = keyed.join(marks, "__ref", "left").drop("__ref")
     own = docs.columns
     text_at, marks_at = own.index("text"), len(own)
