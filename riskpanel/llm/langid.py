@@ -27,8 +27,41 @@ BUCKETS = 1 << 15
 _LANGUAGES = 64  # languages at a time, where there are many
 TEXT_GRAMS = 48  # a text weighs at most as much as so many independent trigrams
 STRENGTH = 8.0  # pages' worth of the parent in a child's counts
-_HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-_DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)"
+_ENDS = {b"script": re.compile(rb"(?i)</script\s*>"), b"style": re.compile(rb"(?i)</style\s*>")}
+_NAME = re.compile(rb"(?i)(script|style|html)\b")
+_LANG = re.compile(rb"""(?i)[\s"'/](?:xml:)?lang\s*=\s*["']?([a-z]+)""")
+
+
+def visible(html: bytes) -> tuple[bytes, str | None]:
+    """The text of a page without tags, comments, scripts and styles (each a blank), and the language that its first
+    ``html`` tag with a ``lang`` attribute declares. One scan forward; what never ends (a comment, script or style) is a tag
+    up to its ``>``, and a ``<`` without a later ``>`` is text."""
+    out, declared, at = [], None, 0
+    open_ended = set()  # ends that don't come any more
+    while True:
+        i = html.find(b"<", at)
+        if i < 0:
+            break
+        end, name = -1, _NAME.match(html, i + 1)
+        kind = b"--" if html.startswith(b"!--", i + 1) else name[1].lower() if name else b""
+        if kind == b"--" and kind not in open_ended:
+            end = html.find(b"-->", i + 4) + 3
+            end = end if end > 2 else -1
+        elif kind in _ENDS and kind not in open_ended:
+            found = _ENDS[kind].search(html, i + 1)
+            end = found.end() if found else -1
+        if end < 0:
+            open_ended.add(kind)
+            end = html.find(b">", i + 1) + 1
+            if not end:
+                break
+            if kind == b"html" and declared is None:
+                said = _LANG.search(html, i + 5, end)
+                declared = said[1].decode().lower() if said else None
+        out.append(html[at:i])
+        at = end
+    out.append(html[at:])
+    return b" ".join(out), declared
 
 
 def _grams(block: tk.Block):
@@ -90,13 +123,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def text_scores(pages: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     """``pages`` with __text (log likelihood of the visible text for each language, tempered to ``TEXT_GRAMS``
-    independent trigrams) and __grams, from the column html."""
+    independent trigrams), __grams and declared, from the column html."""
     sent = pages.sparkSession.sparkContext.broadcast(logp.T.astype(np.float32).copy())
 
     def run(batches):
         for batch in batches:
             html = batch.column(batch.schema.get_field_index("html")).to_pylist()
-            texts = pa.array([_HIDDEN.sub(b" ", (x or "").encode()) for x in html], pa.binary())
+            seen = [visible((x or "").encode()) for x in html]
+            texts = pa.array([x for x, _ in seen], pa.binary())
             score, number = np.zeros((len(html), len(langs))), np.zeros(len(html), np.int64)
             for block in tk.blocks(texts):
                 g, doc = _grams(block)
@@ -107,11 +141,12 @@ def text_scores(pages: DataFrame, langs: list[str], logp: np.ndarray) -> DataFra
                     score[at, c] = np.bincount(doc, weights=sent.value[g, c], minlength=block.n) / np.maximum(n, 1) * np.minimum(n, TEXT_GRAMS)
             rest = [k for k, name in enumerate(batch.schema.names) if name != "html"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in rest), pa.array(score.tolist(), pa.list_(pa.float64())), pa.array(number)],
-                names=[*(batch.schema.names[k] for k in rest), "__text", "__grams"])
+                [*(batch.column(k) for k in rest), pa.array(score.tolist(), pa.list_(pa.float64())), pa.array(number),
+                 pa.array([x for _, x in seen], pa.string())],
+                names=[*(batch.schema.names[k] for k in rest), "__text", "__grams", "declared"])
 
     fields = [f for f in pages.schema.fields if f.name != "html"]
-    return pages.mapInArrow(run, T.StructType(fields + T.StructType.fromDDL("__text array<double>, __grams bigint").fields))
+    return pages.mapInArrow(run, T.StructType(fields + T.StructType.fromDDL("__text array<double>, __grams bigint, declared string").fields))
 
 
 def _parent(host: Column) -> Column:
@@ -149,15 +184,13 @@ def identify(pages: DataFrame, documents: DataFrame, strength: float = STRENGTH)
     base = pages.drop(*names)
     langs, logp = train(documents)
     known = F.array(*[F.lit(x) for x in langs]) if langs else F.array().cast("array<string>")
-    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)), F.lit(""))
-    p = base.withColumn("declared", declared).withColumn("host", url_host(F.col("url")))
+    p = text_scores(base.withColumn("host", url_host(F.col("url"))), langs, logp)
     if not langs:
         null = F.lit(None).cast("string")
-        return p.drop("html").withColumns({"lang": null, "confidence": F.lit(None).cast("double"), "text_lang": null, "n_grams": F.lit(0).cast("long")})
+        return p.drop("__text", "__grams").withColumns({"lang": null, "confidence": F.lit(None).cast("double"), "text_lang": null, "n_grams": F.lit(0).cast("long")})
     k = len(langs)
     p = materialize(
-        text_scores(p, langs, logp)
-        .withColumn("__map", F.when(F.col("__grams") > 0, F.array_position("__text", F.array_max("__text")) - 1).otherwise(-1))
+        p.withColumn("__map", F.when(F.col("__grams") > 0, F.array_position("__text", F.array_max("__text")) - 1).otherwise(-1))
         .withColumn("__domain", _parent(F.col("host")))
         .withColumn("__suffix", lower_ascii(F.substring_index(F.col("host"), ".", -1)))
         .withColumn("__said", F.coalesce(F.array_position(known, F.col("declared")), F.lit(0))))
@@ -177,7 +210,7 @@ def identify(pages: DataFrame, documents: DataFrame, strength: float = STRENGTH)
     hosts, domains = _counted(told, "host", k, "__h"), _counted(told, "__domain", k, "__d")
     suffixes = _counted(told, "__suffix", k, "__s")
     out = (p.join(hosts, "host", "left").join(domains, "__domain", "left").join(suffixes, "__suffix", "left")
-           .join(F.broadcast(said_by), "__said")
+           .join(said_by, "__said")
            .withColumns({c: F.coalesce(c, none) for c in ("__h", "__d", "__s")}))
     prior = _smoothed(_less_own("__h"), _smoothed(_less_own("__d"), world, strength), strength)
     # P(suffix | language) up to what is the same for every language

@@ -107,7 +107,7 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rhost || rpath) DESC N
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce('s' || source, 'n') AS skey, source,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+           md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS ord FROM documents),
 s0 AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM d GROUP BY skey),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s0),
 s2 AS (SELECT *, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[(rank % 3 + 1)::BIGINT] AS weight, (source_size * 3)::DOUBLE AS cap FROM s1),

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskpanel.llm import textkit as tk
 from riskpanel.llm.graph import components
@@ -98,18 +99,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id, root) of every row of ``docs``; root, the smallest fingerprint of the component as a
-    long, names the group even where all its ids are null."""
-    of = materialize(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
-    nodes = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _roots(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (fp, ...), one row for each fingerprint, with root, the smallest fingerprint of its component, and linked."""
     member = components(links(nodes.select("fp"), radius))  # (node, root): only fingerprints that have a link
-    per_fp = nodes.join(member, nodes.fp == member.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
-    least = (per_fp.where("linked").groupBy("root").agg(F.min("least").alias("joined")))
-    named = per_fp.join(least, "root", "left").select(
-        "fp", "root", F.when(F.col("linked"), F.col("joined")).otherwise(F.col("least")).alias("component_id"))
-    return of.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    found = nodes.join(member, nodes.fp == member.node, "left")
+    return found.select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -119,17 +113,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     differing bits, itself included. Rows with a null doc_id take part in the links; a component of null ids only has
     a null component_id. Repeated rows stay repeated. An empty table gives an empty result.
     """
-    return groups(docs, shingle, radius).drop("root")
+    of = materialize(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
+    per_fp = _roots(materialize(of.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius)
+    least = per_fp.where("linked").groupBy("root").agg(F.min("least").alias("joined"))
+    named = per_fp.join(least, "root", "left").select(
+        "fp", F.when(F.col("linked"), F.col("joined")).otherwise(F.col("least")).alias("component_id"))
+    return of.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row stays, that of the smallest doc_id (null
-    ids last; of that id's rows one with the smallest fingerprint). All columns of ``docs`` are returned."""
-    def key(frame):
-        return F.concat_ws("|", F.col("doc_id").cast("string"), F.col(frame).cast("string"))
-
-    keep = (groups(docs, shingle, radius).groupBy("root")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("x"))
-            .select("x.*").select(key("fp").alias("__row_key")))
-    rows = fingerprints(docs, shingle, "__row_fp").withColumn("__row_key", key("__row_fp")).drop("__row_fp")
-    return rows.join(keep, "__row_key").dropDuplicates(["__row_key"]).drop("__row_key")
+    ids last; of that id's rows the one with the smallest fingerprint, then hash of all columns). All columns of ``docs``
+    are returned. Rows that are equal in all columns are one."""
+    names = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = docs.withColumn("__row", F.xxhash64(*names))
+    of = materialize(fingerprints(rows.select("doc_id", "text", "__row"), shingle).select("doc_id", "fp", "__row"))
+    # the best row of a fingerprint before anything is joined: however many copies there are, they are one row a task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "__row")).alias("x")
+    best = _roots(materialize(of.groupBy("fp").agg(first)), radius).groupBy("root").agg(F.min("x").alias("x"))
+    # equal rows have equal keys, other rows of one id and hash don't occur
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("__row").cast("string")).alias("__key")
+    keep = best.select("x.*").select(key)
+    return rows.withColumn("__key", key).join(keep, "__key").dropDuplicates(["__key"]).drop("__key", "__row")

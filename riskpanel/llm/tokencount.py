@@ -118,7 +118,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, prefix: bool = T
                 cache.clear()
         raw = block.data.tobytes()
         s, e, bounds = _stretches(block, state["stops"])
-        keys, at, which = np.unique(tk.span_hashes(block.data, s, e), return_index=True, return_inverse=True)
+        h = tk.span_hashes(block.data, s, e)
+        keys, at, which = np.unique(h, return_index=True, return_inverse=True)
         counts = np.empty(len(keys), np.int64)
         a, b = s[at].tolist(), e[at].tolist()
         for k, key in enumerate(keys.tolist()):
@@ -130,10 +131,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, prefix: bool = T
         total = tk.per_text(each, bounds)
         if prefix:
             for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
-                x = raw[s[bounds[i]]: e[bounds[i]]]
+                x = int(h[bounds[i]])  # a first stretch may be a whole text; only its hash is kept
                 c = first.get(x)
                 if c is None:
-                    c = first[x] = counter.count(" " + x.decode())
+                    c = first[x] = counter.count(" " + raw[s[bounds[i]]: e[bounds[i]]].decode())
                 total[i] += c - each[bounds[i]]
         return {name: total}
 

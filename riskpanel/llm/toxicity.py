@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.llm import textkit as tk
@@ -23,8 +23,8 @@ FEATURE_BITS = 22
 LEAST_DOCS = 3  # features of fewer training documents have no weight
 BIAS = -5.0  # log odds of a token that has no known feature
 PREFIXES = (4, 5, 6, 8)
-TRAIN_ROWS = 1200  # of each label
-TRAIN_CHARS = 20_000  # longer documents are not fitted on
+TRAIN_ROWS = 1500  # documents of each label
+TRAIN_CHARS = 6_000_000  # characters of each label's documents, all together
 SPAN_AT = 0.5
 PREDICT_AT = 0.7
 _STRETCH = 64
@@ -247,8 +247,9 @@ def fit(texts: list, toxic: list, rounds: int = 25, rate: float = 0.5) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS):
-    """At most ``rows`` documents of each label outside the held-out third, those with the smallest hash of the id; at
-    most ``chars`` characters each. Ids with null or conflicting labels are left out."""
+    """At most ``rows`` documents of each label outside the held-out third, those with the smallest hash of the id, as many
+    as have ``chars`` characters in all (the first one, whatever its length). Ids with null or conflicting labels are left
+    out."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
              .where(~held_out(F.col("doc_id"), 3, 1)))
@@ -256,8 +257,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     for value in (0, 1):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * 3 // 2)
         few = part if few is None else few.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
-    got = texts.join(F.broadcast(few), "doc_id").select("toxic", "doc_id", "text").toArrow()  # at most 3 * rows ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")  # at most 3 * rows ids
+    got = (texts.join(F.broadcast(few), "doc_id").withColumn("upto", F.sum(F.length("text")).over(order))
+           .where((F.col("upto") <= chars) | (F.col("upto") == F.length("text"))).select("toxic", "doc_id", "text").toArrow())
     got = set(zip(*(got.column(c).to_pylist() for c in range(3)), strict=True))
     got = sorted(got, key=lambda r: (r[0], _spread(r[1]), r[2]))
     zero, one = [r for r in got if r[0] == 0][:rows], [r for r in got if r[0] == 1][:rows]

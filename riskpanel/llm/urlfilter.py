@@ -1,7 +1,7 @@
 """URL filter lists: host-suffix and path-prefix expressions joined on short digests.
 
-Every distinct (host, path) is expanded into the expressions that a rule for it could have: each suffix of the host at a
-label boundary, with each prefix of the path that is as long as some rule's path. Expressions and rules meet in an
+Every distinct (host, path) is expanded into the expressions that a rule for it could have: each suffix of the host that
+has as many labels as some rule's host, with each prefix of the path that is as long as some rule's path. Expressions and rules meet in an
 equi-join on the first 32 bits of their SHA-256; the full digest is confirmed afterwards, and of the confirmed rules the
 longest wins. DataFrame functions only.
 """
@@ -30,12 +30,12 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what stands after each of its dots; nothing for an empty host."""
-    labels = F.split(host, r"\.")
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The suffixes of the host that have as many labels as one of ``labels``; nothing for an empty host."""
+    have = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    some = F.filter(F.array(*[F.lit(n) for n in labels]), lambda n: n <= have)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)),
-                    lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+        F.transform(some, lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -66,11 +66,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     pages = pages.drop("host", "path", "rule", "verdict")
     table = rule_table(rules)
     lengths = sorted(r[0] for r in table.select(F.length("rule_path")).distinct().collect())  # at most a path's length
+    labels = sorted(r[0] for r in table.select(F.size(F.split("rule_host", r"\."))).distinct().collect())  # as many as rules are deep
     named = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     if not lengths:
         return named.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     places = named.select("host", "path").distinct()
-    wide = (places.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
+    wide = (places.withColumn("suffix", F.explode(host_suffixes(F.col("host"), labels)))
             .withColumn("n", F.explode(F.array(*[F.lit(x) for x in lengths])))
             .where(F.length("path") >= F.col("n"))
             .withColumn("prefix", F.substring(F.col("path"), F.lit(1), F.col("n"))))

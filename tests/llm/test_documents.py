@@ -68,7 +68,7 @@ def brute_repeats(rows, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [1 << 22, 1])
 def test_substring_dedup(docs, rows, empty, hot):
     exp = brute_repeats(rows, 200)
     got = suffix_dedup.remove_repeats(docs, hot=hot, bucket_bytes=20_000)
@@ -82,6 +82,25 @@ def test_substring_dedup(docs, rows, empty, hot):
         assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_common_phrase(spark):
+    """A phrase in 5,000 contexts, some of which repeat, and 500 equal rows; hot minimizers are split again."""
+    r = random.Random(8)
+
+    def noise(n):
+        return "".join(r.choice("abcdefghij ") for _ in range(n))
+
+    for length, hot in ((90, 20_000), (160, 20_000), (240, 1000)):
+        phrase = noise(length)
+        rows = [(i, noise(r.randint(20, 150)) + phrase + noise(r.randint(20, 150))) for i in range(1500 if length > 200 else 5000)]
+        rows += [(10_000 + i, rows[i][1][15: 15 + length + 110]) for i in range(40)]
+        rows += [(20_000, rows[0][1])] * 500
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+        got = suffix_dedup.remove_repeats(df, hot=hot, bucket_bytes=200_000)
+        exp = brute_repeats(rows, 200)
+        assert sum(x[2] for x in exp) > 0
+        assert listed(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted([x[:5] for x in exp], key=repr)
+
+
 def test_run_length_index():
     def brute(segs):
         out = []
@@ -143,6 +162,14 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keep_one_ties(spark):
+    """Of rows with equal id and fingerprint the same one stays however they are dealt out, and a row of a null id."""
+    rows = [(1, f"one two three {'x' * (i % 2)}", i) for i in range(6)] + [(None, "lone words here now", 7), (None, "lone words here now", 8), (2, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra int")
+    got = {tuple(sorted(map(repr, simhash.keep_one(d).collect()))) for d in (df, df.repartition(5), df.orderBy(F.desc("extra")))}
+    assert len(got) == 1 and len(next(iter(got))) == len({brute_simhash(r[1]) for r in rows})
+
+
 def test_simhash_links_chains(spark):
     """Fingerprints one and two bits apart, in chains longer than the radius, and a full ball."""
     r = random.Random(3)
@@ -470,6 +497,35 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.draw(empty, keep_text=False).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns(spark):
+    """Input columns may have any name of the working columns; only the three result columns are replaced."""
+    names = ["rest", "room", "epochs", "n_blocks", "cut_block", "bounds", "size", "target", "source_size", "copies", "unit", "m", "block", "words", "taken"]
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(df).collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names if n != "taken")
+    assert mixing.mix(df).columns == [c for c in df.columns if c != "taken"] + ["taken", "copy", "shard"]
+
+
+def test_mixing_null_ids(spark):
+    """Rows without an id are drawn one by one, so their source comes near its target."""
+    rows = [(None, f"w{i} " * (i % 9 + 1), "s2") for i in range(300)] + [(i, "w " * 5, "s1") for i in range(900)]
+    got = mixing.draw(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), shards=4)
+    for x in got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(x["sum(taken)"] - x["max(target)"]) <= 9
+
+
+def test_mixing_cuts_shards_by_order(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        d = spark.createDataFrame([(i, f"w{i} x", "ab"[i % 2]) for i in range(400)], "doc_id bigint, text string, source string")
+        parts = mixing.mix(d, shards=3).rdd.glom().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(map(len, parts)) >= 400 and sum(bool(p) for p in parts) > 3
+    assert {r.shard for p in parts for r in p} == {0, 1, 2}
+
+
 def test_mixing_blocks(spark):
     """Many documents: blocks are drawn, sources come near their targets, shards get equal numbers of blocks."""
     r = random.Random(8)

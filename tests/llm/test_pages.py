@@ -37,6 +37,70 @@ def test_url_filter(spark):
     assert len(none) == len(rows) and {(r.rule, r.verdict) for r in none} == {(None, "block")}
 
 
+def test_url_filter_long_hosts(spark):
+    """A megabyte of labels, or of path, is one row like any other."""
+    import time
+    urls = ["http://" + "a." * 500_000 + "net/es/x", "http://" + "b" * 1_000_000 + ".com/", "http://x.net/es/" + "p/" * 500_000, "x" * 1_000_000 + "://" * 3]
+    rows = list(enumerate(urls))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "action string, host string, path string")
+    began = time.time()
+    got = sorted([tuple(r) for r in urlfilter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()])
+    assert got == [(i, *brute(u, queries.URL_RULES)) for i, u in rows] and time.time() - began < 20
+
+
+def test_visible_is_one_scan():
+    import time
+    cases = {b'a<b lang="x">c</b>d<html data-lang="no" class=q lang=EN-us>e': (b"a c d e", "en"),
+             b"<!-- <html lang=de> --><HTML xml:lang='Fr'>x<script>if (a<b) lang</script >y<STYLE>p</style>z": (b"  x y z", "fr"),
+             b"a<!--b>c<!--d": (b"a c<!--d", None), b"<script>a<b>c": (b" a c", None), b"1 < 2": (b"1 < 2", None),
+             b"<html><html lang=es>": (b"  ", "es"), b"": (b"", None), b"<scripty>t</scripty>": (b" t ", None), b"<html lang=": (b"<html lang=", None)}
+    for page, exp in cases.items():
+        assert langid.visible(page) == exp, page
+    for part in (b"<script ", b"<!--", b"<html ", b"<style>", b"<html lang", b"</script", b"<", b"<html lang>"):
+        began = time.time()
+        langid.visible(part * (1_000_000 // len(part)))
+        assert time.time() - began < 10, part
+
+
+def test_language_id_posterior(spark):
+    """The posterior of every page against a plain computation from the same text scores."""
+    import math
+    from collections import Counter
+    texts = {"aa": "the rain and the sun over the hills ", "bb": "der regen und die sonne zwischen ", "cc": "la lluvia y el sol sobre "}
+    docs = spark.createDataFrame([(i, texts[k], k) for i, k in enumerate("aa bb cc".split())], "doc_id bigint, text string, lang string")
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        k = r.choice(list(texts))
+        body = " ".join(r.choice(texts[k].split()) for _ in range(r.choice([0, 1, 3, 9])))
+        rows.append((i, r.choice([f"http://h{r.randint(0, 2)}.x.{k}/", f"http://y.{k}/", None]), f"<html lang={r.choice(['aa', 'bb', 'zz'])}>{body}"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    langs, logp = langid.train(docs)
+    scored = {x.page_id: x for x in langid.text_scores(pages, langs, logp).select("page_id", "url", "declared", "__text", "__grams").collect()}
+    host = {i: brute(x.url, [])[0] for i, x in scored.items()}
+    best = {i: x["__text"].index(max(x["__text"])) for i, x in scored.items() if x["__grams"] > 0}
+    said = {i: langs.index(x.declared) + 1 if x.declared in langs else 0 for i, x in scored.items()}
+    total = Counter(best.values())
+    world = [(total[c] + 1) / (len(best) + 3) for c in range(3)]
+    table = [[1 + sum(1 for i, c in best.items() if c == b and said[i] == a) for b in range(3)] for a in range(4)]
+    table = [[table[a][b] / sum(table[x][b] for x in range(4)) for b in range(3)] for a in range(4)]
+
+    def smooth(key, of, i, above):
+        own = [sum(1 for j, c in best.items() if c == b and of(j) == key and j != i) for b in range(3)]
+        return [(own[b] + langid.STRENGTH * above[b]) / (sum(own) + langid.STRENGTH) for b in range(3)]
+
+    got = {x.page_id: x for x in langid.identify(pages, docs).collect()}
+    for i, x in scored.items():
+        domain = smooth(".".join(host[i].split(".")[-2:]), lambda j: ".".join(host[j].split(".")[-2:]), i, world)
+        prior = smooth(host[i], lambda j: host[j], i, domain)
+        suffix = smooth(host[i].split(".")[-1], lambda j: host[j].split(".")[-1], i, world)
+        post = [x["__text"][b] + math.log(table[said[i]][b]) + math.log(prior[b]) + math.log(suffix[b] / world[b]) for b in range(3)]
+        top = max(post)
+        share = 1 / sum(math.exp(p - top) for p in post)
+        assert got[i].lang == langs[post.index(top)] and abs(got[i].confidence - share) < 1e-6
+
+
 def test_url_filter_runs_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
     rules = spark.createDataFrame(queries.URL_RULES, "action string, host string, path string")
@@ -117,7 +181,7 @@ SF = "/root/testdata/sf0.001"
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     res = con.execute(queries.ORACLE[name])
