@@ -16,7 +16,7 @@ def normalise_header(name: str, lower: bool = True, underscore: bool = True) ->
     if lower:
         s = s.lower()
     if underscore:
-        s = re.sub(r"\s+", "_", s)
+        s = re.sub(r"\s", "_", s)  # each blank, so that names with one and two blanks stay apart
     return s
 
 

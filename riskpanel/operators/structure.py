@@ -223,6 +223,62 @@ def independence_tests(joint: DataFrame, nodes: list[str], *, keys: list[str],
     return base.select(*keys, "x", "y", "z", stat.alias("g2"), dof.cast("long").alias("dof"))
 
 
+def _conditional_tests(nodes: list[str], size: int) -> list[tuple]:
+    """(x, y, z ARRAY, and the four subsets of the G-test) of every pair and conditioning set of ``size`` nodes."""
+    rows = []
+    for x, y in combinations(sorted(nodes), 2):
+        for z in combinations([v for v in sorted(nodes) if v not in (x, y)], size):
+            rows.append((x, y, list(z), subset_key((x, y, *z)), subset_key((x, *z)), subset_key((y, *z)), subset_key(z)))
+    return rows
+
+
+def skeleton(joint: DataFrame, nodes: list[str], *, keys: list[str], alpha: float = 0.01, max_given: int = 3) -> DataFrame:
+    """The undirected skeleton by level-wise removal of edges (order-independent).
+
+    All pairs start as edges. At level k an edge (x, y) is tested given every k nodes that are all neighbours of x, or all
+    neighbours of y, at the level's start; it goes if some test has a p-value above ``alpha``. Returns one row for each key
+    and pair: (keys, x, y, linked, level, sepset), level and sepset (the first such set by name, comma-joined) of the edges
+    that went. Levels run to ``max_given`` or until no edge has enough neighbours. A pair with a constant node is
+    independent. The tests of a level are one join of the subset statistics with the edges that are left; what is joined
+    is bounded by keys and nodes, not by rows.
+    """
+    from riskpanel.session import materialize
+    spark = joint.sparkSession
+    st = materialize(subset_stats(joint, nodes, keys=keys, max_size=2 + max_given))
+    r = {v: F.max(F.when(F.col("subset") == v, F.col("cells"))).alias(f"r_{v}") for v in nodes}
+    card = materialize(st.groupBy(*keys).agg(*r.values()))
+    states = F.create_map(*[x for v in nodes for x in (F.lit(v), F.col(f"r_{v}"))]).alias("states")
+    card = card.select(*keys, states)
+    g = st.select(*keys, "subset", "g")
+    listed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in combinations(sorted(nodes), 2)])
+    pairs = card.select(*keys, F.explode(listed).alias("pair")).select(*keys, "pair.x", "pair.y")
+    left = pairs
+    gone = None
+    for size in range(max_given + 1):
+        both = left.select(*keys, "x", "y").union(left.select(*keys, "y", "x"))
+        near = both.groupBy(*keys, "x").agg(F.collect_set("y").alias("near"))  # at most one entry for each node
+        if near.where(F.size("near") > size).head() is None:
+            break
+        rows = spark.createDataFrame(_conditional_tests(nodes, size), "x string, y string, z array<string>, sxy string, sx string, sy string, sz string")
+        todo = (left.join(rows, ["x", "y"]).join(near, [*keys, "x"])
+                .join(near.select(*keys, F.col("x").alias("y"), F.col("near").alias("near_y")), [*keys, "y"])
+                .where((F.size(F.array_except("z", "near")) == 0) | (F.size(F.array_except("z", "near_y")) == 0)))
+        for name in ("sxy", "sx", "sy", "sz"):
+            todo = todo.join(g.select(*keys, F.col("subset").alias(name), F.col("g").alias(f"g_{name}")), [*keys, name])
+        todo = todo.join(card, keys) if keys else todo.join(card)
+        strata = F.aggregate("z", F.lit(1).cast("long"), lambda acc, v: acc * F.col("states")[v])
+        todo = todo.select(*keys, "x", "y", "z", (2.0 * (F.col("g_sxy") - F.col("g_sx") - F.col("g_sy") + F.col("g_sz"))).alias("g2"),
+                           ((F.col("states")[F.col("x")] - 1) * (F.col("states")[F.col("y")] - 1) * strata).alias("dof"))
+        free = chi2_pvalues(todo).where((F.col("dof") == 0) | (F.col("p_value") > alpha))
+        level = materialize(free.groupBy(*keys, "x", "y").agg(F.min(F.array_join("z", ",")).alias("sepset"))
+                            .withColumn("level", F.lit(size)))
+        gone = level if gone is None else gone.union(level)
+        left = materialize(left.join(level, [*keys, "x", "y"], "left_anti"))
+    out = pairs.select(*keys, "x", "y").join(gone, [*keys, "x", "y"], "left") if gone is not None else pairs.select(
+        *keys, "x", "y", F.lit(None).cast("string").alias("sepset"), F.lit(None).cast("int").alias("level"))
+    return out.select(*keys, "x", "y", F.col("level").isNull().alias("linked"), "level", "sepset")
+
+
 def column_modes(df: DataFrame, cols: list[str], *, keys: list[str]) -> DataFrame:
     """Most frequent value per key and column; ties -> smallest value."""
     lg = df.select(*keys, *cols).unpivot(keys, cols, "col_name", "v").where(F.col("v").isNotNull())

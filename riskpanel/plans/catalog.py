@@ -589,7 +589,7 @@ lab AS (SELECT * FROM reg WHERE regime IS NOT NULL AND spx_ret IS NOT NULL AND b
 lg AS (UNPIVOT (SELECT flag, date, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NODES)} FROM lab)
        ON {", ".join(NODES)} INTO NAME col_name VALUE value),""" + sp.kmeans_long("flag") + f""",
 disc AS (SELECT flag, date, {_PIVOT} FROM km GROUP BY flag, date)""")
-JC = DISC + f", jc AS (SELECT flag, {', '.join(NODES)}, count(*) AS n FROM disc GROUP BY ALL)"
+JC = DISC + f", jc AS MATERIALIZED (SELECT flag, {', '.join(NODES)}, count(*) AS n FROM disc GROUP BY ALL)"
 
 
 @register("q_d3_discretize_frame", DISC + f"""
@@ -1075,10 +1075,26 @@ def q_d6_bdeu_scores(spark, sf_dir):
     return rnd(stx.bayesian_scores(jc, NODES, keys=["flag"], method="bdeu", ess=5.0), ["bdeu"])
 
 
-@register("q_d8_pvalues")
+@register("q_d8_pvalues", JC + "," + sp.subset_stats("flag", NODES) + f""",
+tests AS {sp.values_table(_test_rows([None, "regime"]), ["x", "y", "z", "sxy", "sx", "sy", "sz"])},
+card AS (SELECT flag, subset AS v, cells AS r FROM st WHERE subset <> '' AND NOT contains(subset, ',')),
+t AS (SELECT a.flag, t.x, t.y, t.z, 2.0 * (a.g - b.g - c.g + d.g) AS g2,
+       CAST((rx.r - 1) * (ry.r - 1) * coalesce(rz.r, 1) AS BIGINT) AS dof
+FROM st a JOIN tests t ON a.subset = t.sxy
+JOIN st b ON b.flag = a.flag AND b.subset = t.sx JOIN st c ON c.flag = a.flag AND c.subset = t.sy
+JOIN st d ON d.flag = a.flag AND d.subset = t.sz
+LEFT JOIN card rx ON rx.flag = a.flag AND rx.v = t.x LEFT JOIN card ry ON ry.flag = a.flag AND ry.v = t.y
+LEFT JOIN card rz ON rz.flag = a.flag AND rz.v = t.z)
+SELECT flag, x, y, z, {qs("g2")} AS g2, dof, {qs(sp.chi2_tail("g2", "dof"))} AS p_value FROM t""")
 def q_d8_pvalues(spark, sf_dir):
     jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
-    return stx.chi2_pvalues(stx.independence_tests(jc, NODES, keys=["flag"], given=[None, "regime"]))
+    return rnd(stx.chi2_pvalues(stx.independence_tests(jc, NODES, keys=["flag"], given=[None, "regime"])), ["g2", "p_value"])
+
+
+@register("q_d8_skeleton", JC + "," + sp.skeleton("flag", NODES, alpha=0.01, max_given=3))
+def q_d8_skeleton(spark, sf_dir):
+    jc = stx.joint_counts(flag_disc(spark, sf_dir), NODES, keys=["flag"])
+    return stx.skeleton(jc, NODES, keys=["flag"], alpha=0.01, max_given=3)
 
 
 @register("q_d12_learned_structure_backtest")

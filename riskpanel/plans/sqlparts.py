@@ -143,6 +143,42 @@ st AS (SELECT {key}, subset, sum(nn * ln(nn)) AS g, count(*) AS cells, sum(nn) A
 """
 
 
+def chi2_tail(x: str, dof: str) -> str:
+    """P(chi-square > x) for even ``dof``, a finite sum (NULL for odd dof, which the oracle queries don't have)."""
+    return (f"CASE WHEN {dof} % 2 = 1 OR {dof} <= 0 THEN NULL WHEN {x} <= 0 THEN 1.0 ELSE list_sum(list_transform("
+            f"generate_series(0, {dof} // 2 - 1), lambda i: exp(i * ln({x} / 2) - {x} / 2 - lgamma(i + 1.0)))) END")
+
+
+def skeleton(key: str, nodes: list[str], alpha: float, max_given: int) -> str:
+    """The skeleton, one row for each key that goes from level to level: maps of the subsets' statistics, the list of edges
+    'x|y' that are left, and the list of those that went."""
+    from riskpanel.operators.structure import _conditional_tests
+    pairs = ", ".join(f"'{x}|{y}'" for x, y, *_ in _conditional_tests(nodes, 0))
+    out = subset_stats(key, nodes, max_size=2 + max_given) + f""",
+s0 AS (SELECT {key}, map_from_entries(list((subset, g))) AS g, map_from_entries(list((subset, cells))) AS r, [{pairs}] AS edges,
+  CAST([] AS STRUCT(pair VARCHAR, level INTEGER, sepset VARCHAR)[]) AS gone FROM st GROUP BY {key})"""
+    for k in range(max_given + 1):
+        tests = ", ".join("{" + f"'pair': '{x}|{y}', 'x': '{x}', 'y': '{y}', 'z': '{','.join(z)}', 'a': '{a}', 'b': '{b}', 'c': '{c}', 'd': '{d}'" + "}"
+                          for x, y, z, a, b, c, d in _conditional_tests(nodes, k))
+        near = "true" if k == 0 else " OR ".join(
+            f"len(list_filter(string_split(t.z, ','), lambda v: NOT list_contains(edges, least(t.{s}, v) || '|' || greatest(t.{s}, v)))) = 0" for s in "xy")
+        strata = "1" if k == 0 else "CAST(list_product(list_transform(string_split(t.z, ','), lambda v: r[v])) AS BIGINT)"
+        out += f""",
+c{k} AS (SELECT *, list_transform(list_filter([{tests}], lambda t: list_contains(edges, t.pair) AND ({near})), lambda t: {{'pair': t.pair, 'z': t.z,
+  'g2': 2.0 * (g[t.a] - g[t.b] - g[t.c] + g[t.d]), 'dof': (r[t.x] - 1) * (r[t.y] - 1) * {strata}}}) AS tested FROM s{k}),
+u{k} AS (SELECT {key}, unnest(tested) AS t FROM c{k}),
+i{k} AS (SELECT {key}, list({{'pair': t.pair, 'level': {k}, 'sepset': t.z}}) AS free FROM u{k}
+  WHERE t.dof = 0 OR {chi2_tail("t.g2", "t.dof")} > {alpha} GROUP BY {key}),
+s{k + 1} AS (SELECT c.{key}, g, r, list_filter(edges, lambda e: NOT list_contains(coalesce(list_transform(free, lambda f: f.pair), []), e)) AS edges,
+  list_concat(gone, coalesce(free, [])) AS gone FROM c{k} c LEFT JOIN i{k} ON i{k}.{key} = c.{key})"""
+    return out + f""",
+went AS (SELECT {key}, unnest(gone) AS f FROM s{max_given + 1}),
+went1 AS (SELECT {key}, f.pair AS pair, min(f.level) AS level, min(f.sepset) AS sepset FROM went GROUP BY ALL),
+every AS (SELECT DISTINCT {key}, unnest([{pairs}]) AS pair FROM st)
+SELECT e.{key}, split_part(e.pair, '|', 1) AS x, split_part(e.pair, '|', 2) AS y, w.level IS NULL AS linked, w.level, w.sepset
+FROM every e LEFT JOIN went1 w ON w.{key} = e.{key} AND w.pair = e.pair"""
+
+
 def values_table(rows: list[tuple], cols: list[str]) -> str:
     def lit(v):
         return "NULL" if v is None else "'" + str(v) + "'"

@@ -6,23 +6,38 @@ files becomes one long DataFrame keyed by source file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskpanel.functions.calendar import MONTHS, make_month_date, month_end, parse_date
 from riskpanel.functions.nulls import to_double
 from riskpanel.functions.text import normalise_header
+from riskpanel.session import materialize
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of every file under ``path``, empty ones too; nothing is read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
 
 
 def _lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(file, line_no, line) for every line of every file under ``path``;
-    ``wholetext`` keeps a small file in one task so line numbers are exact."""
-    rd = spark.read
+    """(file, line_no, line) for every line of every file under ``path``, line_no from 0.
+
+    A file is read in splits by as many tasks as it has; lines are numbered by their place in the split and the number of
+    lines in the file's splits before it (one row for each split). Lines end with a line feed, with or without a carriage
+    return before it; the encoding must keep line feeds as single bytes."""
+    rd = spark.read.option("lineSep", "\n")
     if encoding:
         rd = rd.option("encoding", encoding)
-    raw = rd.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
+    raw = rd.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                               F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    raw = materialize(raw)  # splits are planned once: a second plan might cut the files elsewhere
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = materialize(splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    return raw.join(splits, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).cast("long").alias("line_no"), "line")
 
 
 def _parsed(line: Column, sep: str, width: int) -> Column:
@@ -36,10 +51,12 @@ def _by_own_header(body: DataFrame, headers: DataFrame, clean) -> DataFrame:
     """(file, row_no, <columns>) from (file, row_no, cells) and each file's own
     header (file, hdr ARRAY): a cell is found by its name in its file's header,
     so files may order their columns differently; a file that lacks a column
-    that another one has is an error. Only the distinct headers reach the driver."""
+    that another one has is an error. A blank header cell names no column, its
+    cells are skipped. Only the distinct headers reach the driver."""
+    headers = headers.withColumn("hdr", F.transform("hdr", lambda c: F.coalesce(c, F.lit(""))))
     distinct = [r.hdr for r in headers.select("hdr").distinct().collect()]
-    sets = [{clean(c) for c in h} for h in distinct]
-    names = [clean(c) for c in min(distinct, key=lambda h: (-len(h), h))]
+    sets = [{clean(c) for c in h if clean(c)} for h in distinct]
+    names = [clean(c) for c in min(distinct, key=lambda h: (-len(h), h)) if clean(c)]
     lacking = sorted({n for s in sets for t in sets for n in s - t})
     if lacking:
         raise ValueError(f"columns that some files lack: {lacking}")
@@ -52,7 +69,7 @@ def _by_own_header(body: DataFrame, headers: DataFrame, clean) -> DataFrame:
 def _delimited(lines: DataFrame, hdr: DataFrame, sep: str, clean) -> DataFrame:
     """Rows below each file's header line, from (file, hdr_no, line of the header)."""
     width = max((r[0] for r in hdr.select(F.size(F.split("hdr_line", sep))).distinct().collect()), default=1)
-    headers = hdr.select("file", F.filter(_parsed(F.col("hdr_line"), sep, width), lambda c: c.isNotNull()).alias("hdr"))
+    headers = hdr.select("file", _parsed(F.col("hdr_line"), sep, width).alias("hdr"))
     body = lines.join(hdr, "file").where((F.col("line_no") > F.col("hdr_no")) & (F.trim("line") != ""))
     body = body.select("file", (F.col("line_no") - F.col("hdr_no")).alias("row_no"), _parsed(F.col("line"), sep, width).alias("cells"))
     return _by_own_header(body, headers, clean)
@@ -66,7 +83,7 @@ def read_after_header(spark: SparkSession, path: str, header_prefix: str = "Year
     lines = _lines(spark, path, encoding)
     hdr = lines.where(F.trim("line").startswith(header_prefix)).groupBy("file").agg(
         F.min("line_no").alias("hdr_no"), F.min_by("line", "line_no").alias("hdr_line"))
-    without = lines.select("file").distinct().join(hdr, "file", "left_anti").first()
+    without = _files(spark, path).join(hdr, "file", "left_anti").first()
     if without is not None:
         raise ValueError(f"no line that starts with {header_prefix!r} in {without.file}")
     return _delimited(lines, hdr, sep, lambda c: normalise_header(c, lower=False, underscore=False))
@@ -78,7 +95,7 @@ def read_header_at_line(spark: SparkSession, path: str, header_line: int, *, sep
     lines = _lines(spark, path, encoding)
     hdr = lines.where(F.col("line_no") == header_line).select(
         "file", F.lit(header_line).alias("hdr_no"), F.col("line").alias("hdr_line"))
-    without = lines.select("file").distinct().join(hdr, "file", "left_anti").first()
+    without = _files(spark, path).join(hdr, "file", "left_anti").first()
     if without is not None:
         raise ValueError(f"no line {header_line} in {without.file}")
     return _delimited(lines, hdr, sep, normalise_header)
@@ -125,7 +142,7 @@ _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"
 
 
 def _strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"[\t\r\n\f]+", " "))
 
 
 def html_tables(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -157,7 +174,7 @@ def flux_table(rows: DataFrame, *, time_prefix: str = "20:00", date_fmt: str = "
     """S4 (part 3): header normalised (lower, '_'), keep rows whose time starts
     with ``time_prefix``, coerce date and value; one row per (page, date)."""
     hdr = rows.where(F.col("row_no") == 0).select(
-        "page", "table_no", F.transform("cells", lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_"))
+        "page", "table_no", F.transform("cells", lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_")))
         .alias("hdr"))
     body = rows.where(F.col("row_no") > 0).join(hdr, ["page", "table_no"])
     pos = lambda name: F.array_position("hdr", F.lit(name)).cast("int")
@@ -310,7 +327,9 @@ def ensure_datasets(spark: SparkSession, frames: dict[str, DataFrame], root: str
     for name in required or list(frames):
         try:
             spark.read.parquet(f"{root}/{name}").schema
-        except Exception:  # noqa: BLE001
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             missing.append(name)
     if missing:
         raise FileNotFoundError(f"missing datasets: {missing}")

@@ -343,3 +343,42 @@ def test_walk_forward_learned_matches_loop(spark):
     learned = wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30,
                                       retrain_every=5)
     assert learned.count() == len(want)
+
+
+def _skeleton_of(spark, rows, names, **more):
+    from riskpanel.operators import structure as stx
+    df = spark.createDataFrame([("k", *r) for r in rows], "k string, " + ", ".join(f"{n} int" for n in names))
+    got = stx.skeleton(stx.joint_counts(df, names, keys=["k"]), names, keys=["k"], **more).collect()
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    return {r.x + r.y for r in got if r.linked}, {r.x + r.y: (r.level, r.sepset) for r in got if not r.linked}
+
+
+def test_skeleton_of_known_structures(spark):
+    import random
+    r = random.Random(5)
+
+    def noisy(v):
+        return v if r.random() < 0.8 else 1 - v
+
+    chain, fork, collider = [], [], []
+    for _ in range(4000):
+        a = r.randint(0, 1)
+        b = noisy(a)
+        chain.append((a, b, noisy(b)))
+        fork.append((noisy(a), a, noisy(a)))
+        c = r.randint(0, 1)
+        collider.append((a, noisy(a ^ c) if r.random() < 0.5 else noisy(a | c), c))
+    for rows in (chain, fork):
+        assert _skeleton_of(spark, rows, ["a", "b", "c"]) == ({"ab", "bc"}, {"ac": (1, "b")})
+    assert _skeleton_of(spark, collider, ["a", "b", "c"]) == ({"ab", "bc"}, {"ac": (0, "")})
+    # two neighbours must be given at once: a -> {b, c} -> d
+    diamond = []
+    for _ in range(20_000):
+        a = r.randint(0, 1)
+        b, c = noisy(a), noisy(a)
+        diamond.append((a, b, c, noisy(b & c)))
+    linked, gone = _skeleton_of(spark, diamond, ["a", "b", "c", "d"])
+    assert linked == {"ab", "ac", "bd", "cd"} and gone["ad"] == (2, "b,c") and gone["bc"] == (1, "a")
+    assert "ad" in _skeleton_of(spark, diamond, ["a", "b", "c", "d"], max_given=1)[0]
+    # a constant node has no neighbours
+    assert _skeleton_of(spark, [(a, b, 0) for a, b, _ in chain], ["a", "b", "c"])[0] == {"ab"}

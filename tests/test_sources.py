@@ -203,3 +203,47 @@ def test_solar_daily(spark, tmpdir_path):
     by_day = {r.ts: (r.sunspot_number, r.f107_flux) for r in solar_daily(
         spark, tmpdir_path + "/ssn.csv", tmpdir_path + "/flux.json", on="date").collect()}
     assert by_day[dt.date(2025, 1, 1)] == (120.0, 75.5)
+
+
+def test_blank_header_cells_keep_their_columns(spark, tmpdir_path):
+    _write(tmpdir_path, "blank.csv", "Year,,Jan, ,Feb,\n1900,x,1.5,y,2.5,z\n1901,,3,,4,\n")
+    got = src.read_after_header(spark, tmpdir_path + "/blank.csv", "Year").orderBy("Year").collect()
+    assert [(r.Year, r.Jan, r.Feb) for r in got] == [("1900", "1.5", "2.5"), ("1901", "3", "4")]
+    _write(tmpdir_path, "b6.csv", "t\nDate,,CPU  index\nJan-90,q,7\n")
+    assert src.read_header_at_line(spark, tmpdir_path + "/b6.csv", 1).first().cpu__index == "7"
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmpdir_path):
+    """A file is read by many tasks and its lines keep their numbers."""
+    from riskpanel.sources import ingest
+    d = os.path.join(tmpdir_path, "big")
+    os.makedirs(d)
+    want = {}
+    for name, n in (("a.txt", 6000), ("b.txt", 1), ("c.txt", 2500)):
+        lines = [f"{name} {k} " + "x" * (k % 50) + ("\r" if k % 3 == 0 else "") for k in range(n)] + ["", "last"]
+        _write(d, name, "\n".join(lines))
+        want[name] = [x.rstrip("\r") for x in lines]
+    _write(d, "empty.txt", "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = ingest._lines(spark, d)
+        raw = spark.read.text(d)
+        assert raw.rdd.getNumPartitions() > 30
+        rows = {}
+        for r in got.collect():
+            rows.setdefault(os.path.basename(r.file), {})[r.line_no] = r.line
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {f: [x[k] for k in range(len(x))] for f, x in rows.items()} == want
+    with pytest.raises(ValueError, match="empty.txt|b.txt|c.txt"):
+        src.read_after_header(spark, d, "a.txt 5")
+
+
+def test_missing_datasets_are_named_and_other_errors_show(spark, tmpdir_path):
+    with pytest.raises(FileNotFoundError, match="none"):
+        src.ensure_datasets(spark, {}, tmpdir_path + "/nowhere", ["none"])
+    _write(tmpdir_path, "broken", "no parquet at all")
+    with pytest.raises(Exception) as e:
+        src.ensure_datasets(spark, {}, tmpdir_path, ["broken"])
+    assert not isinstance(e.value, FileNotFoundError)
