@@ -225,86 +225,133 @@ def savgol_window(months: float, polyorder: int, n: int) -> int:
 
 
 def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col: str = "date",
-           frac: float = 0.15, it: int = 1, block_days: int = 366) -> DataFrame:
-    """LOWESS (Cleveland 1979) of a daily series: tricube-weighted local line
-    over the k = floor(frac * n) nearest days, ``it`` bisquare robustness rounds.
-
-    Halo blocks: each day belongs to one block of ``block_days``; a block is
-    shipped together with k days of halo on each side, so every local fit
-    sees its whole neighbourhood and the groups stay bounded by
-    block_days + 2k rows. The robustness scale (median |residual| of the key)
-    is an exact per-key percentile between rounds; each round's residuals are
-    checkpointed."""
-    w = ordered(keys, date_col)
-    d = daily.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole(keys))})
-    d = d.withColumn("__k", F.greatest(F.lit(2), F.floor(F.col("__n") * F.lit(frac)).cast("int")))
-    x = F.datediff(F.col(date_col), F.min(date_col).over(whole(keys))).cast("double")
-    d = d.withColumn("__x", x).withColumn("__rw", F.lit(1.0))
-    fitted = None
+           frac: float = 0.15, it: int = 1, block_rows: int = 4096) -> DataFrame:
+    """LOWESS (Cleveland 1979) of a daily series: a tricube-weighted local line
+    over the k = max(2, floor(frac * n)) rows around each row (the window is moved
+    inwards at the ends), ``it`` bisquare robustness rounds. n counts the rows with
+    a value; a day without one takes no part and gets NULL.
+
+    On either side of a row the tricube weight is a polynomial of degree 9 in the
+    distance, so the sums of the local line follow from moments of the window's rows. A
+    series is cut into blocks of min(k / 4, ``block_rows``) rows. Whole blocks inside a window
+    stand for their rows by 23 moments about their own centre; only the block of a row and those
+    that its window's ends cut come as rows. A group has at most seven blocks of rows, whatever
+    ``k``. The robustness scale (median |residual| of the key) is an exact
+    per-key percentile; each round's residuals are a table."""
+    from riskpanel.session import materialize
+    if not keys:
+        one = lowess(daily.withColumn("__one", F.lit(0)), value, out, keys=["__one"], date_col=date_col, frac=frac, it=it, block_rows=block_rows)
+        return one.drop("__one")
+    used = daily.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    d = used.select(*keys, F.col(date_col).alias("__d"), F.col(value).cast("double").alias("__y"))
+    d = d.withColumns({"__i": F.row_number().over(ordered(keys, "__d")) - 1, "__n": F.count(F.lit(1)).over(whole(keys)),
+                       "__x": F.datediff("__d", F.min("__d").over(whole(keys))).cast("double"), "__rw": F.lit(1.0)})
+    k = F.least(F.col("__n"), F.greatest(F.lit(2), F.floor(F.col("__n") * F.lit(frac)))).cast("int")
+    d = d.withColumn("__k", k).withColumn("__b", F.least(F.greatest(F.floor(F.col("__k") / 4), F.lit(1)), F.lit(block_rows)).cast("int"))
+    d = d.withColumn("__blk", F.floor(F.col("__i") / F.col("__b")).cast("int"))
     for r in range(it + 1):
-        fitted = _lowess_pass(d, value, keys, block_days)
+        rows = materialize(d)
+        d = rows.join(_lowess_pass(rows, keys), [*keys, "__i"])
         if r < it:
-            from riskpanel.session import materialize
-            # one robustness round = one job; the checkpoint keeps the next
-            # round from recomputing this one (and survives executor loss)
-            res = materialize(fitted.withColumn("__res", F.abs(F.col(value) - F.col("__fit"))))
+            res = materialize(d.withColumn("__res", F.abs(F.col("__y") - F.col("__fit"))))
             med = res.groupBy(*keys).agg(F.percentile("__res", 0.5).alias("__med"))
-            res = res.join(med, keys)
             u = F.col("__res") / (F.lit(6.0) * F.col("__med"))
             rw = F.when(F.col("__med") <= 0, F.lit(1.0)).otherwise(
                 F.when(F.abs(u) < 1, F.pow(F.lit(1.0) - u * u, 2)).otherwise(F.lit(0.0)))
-            d = res.withColumn("__rw", rw).drop("__res", "__med", "__fit")
-    return fitted.withColumnRenamed("__fit", out).drop("__i", "__n", "__k", "__x", "__rw")
+            d = res.join(med, keys).withColumn("__rw", rw).drop("__res", "__med", "__fit")
+    fits = d.select(*keys, F.col("__d").alias(date_col), F.col("__fit").alias(out))
+    return daily.join(fits, [*keys, date_col], "left")
 
 
-def _lowess_pass(d: DataFrame, value: str, keys: list[str], block_days: int) -> DataFrame:
-    kmax = F.col("__k")
-    blk = F.floor(F.col("__i") / F.lit(block_days)).cast("long")
-    lo_blk = F.floor(F.greatest(F.lit(0), F.col("__i") - kmax) / F.lit(block_days)).cast("long")
-    hi_blk = F.floor((F.col("__i") + kmax) / F.lit(block_days)).cast("long")
-    halo = d.withColumn("__own", blk).withColumn("__blk", F.explode(F.sequence(lo_blk, hi_blk)))
-    cols = [*keys, "__blk", "__own", "__i", "__n", "__k", "__x", value, "__rw"]
-    halo = halo.select(*cols)
-    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys) + \
-        ", __i int, __fit double"
+_TOP = 11  # highest power of the distance: 9 of the tricube weight and 2 of the line's normal equations
 
-    def fit(pdf):
+
+def _block_moments(x: np.ndarray, y: np.ndarray, rw: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(centre, scale, terms): a row's terms are rw * s^q for q to 11 and rw * y * s^q for q to 10, s its scaled offset."""
+    centre, scale = (x[0] + x[-1]) / 2, max((x[-1] - x[0]) / 2, 1.0)
+    powers = ((x - centre) / scale)[:, None] ** np.arange(_TOP + 1) * rw[:, None]
+    return centre, scale, np.concatenate([powers, powers[:, :_TOP] * y[:, None]], axis=1)
+
+
+def _line_sums(v: np.ndarray, centre: float, scale: float, xi: np.ndarray, h: np.ndarray, side: int) -> np.ndarray:
+    """Tricube-weighted sums of 1, t, t^2, y, t y of rows left (-1) or right (1) of ``xi``, from their moments ``v``
+    about ``centre``; t = (x - xi) / h. The weight is (1 - side t^3)^3 with side t in 0..1."""
+    from math import comb
+    top = _TOP + 1
+    zoom, shift = scale / h, (centre - xi) / h
+    zooms, shifts = zoom[:, None] ** np.arange(top), shift[:, None] ** np.arange(top)
+    cube = {0: 1, 3: -3 * side, 6: 3, 9: -side}
+
+    def moment(q, first):
+        return sum(comb(q, r) * zooms[:, r] * shifts[:, q - r] * v[:, first + r] for r in range(q + 1))
+
+    return np.stack([sum(c * moment(p + q, first) for q, c in cube.items())
+                     for p, first in ((0, 0), (1, 0), (2, 0), (0, top), (1, top))])
+
+
+def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __i, __fit) of one round over rows (keys, __i, __n, __k, __b, __blk, __x, __y, __rw)."""
+    kd = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys)
+
+    def sums(pdf):
         import pandas as pd
         pdf = pdf.sort_values("__i")
-        gi = pdf["__i"].to_numpy(np.int64)
-        xs = pdf["__x"].to_numpy(float)
-        ys = pdf[value].to_numpy(float)
-        rws = pdf["__rw"].to_numpy(float)
-        n_all = int(pdf["__n"].iloc[0])
-        k = min(int(pdf["__k"].iloc[0]), n_all)
-        own = np.nonzero(pdf["__own"].to_numpy() == pdf["__blk"].to_numpy())[0]
-        # the k nearest days of day i form the contiguous window [a, a + k) (regular daily grid)
-        a = np.clip(gi[own] - k // 2, 0, n_all - k) - gi[0]
-        idx = a[:, None] + np.arange(k)[None, :]
-        X, Y, RW = xs[idx], ys[idx], rws[idx]
-        xi = xs[own][:, None]
-        dist = np.abs(X - xi)
-        rad = dist.max(axis=1, keepdims=True)
-        u = np.divide(dist, rad, out=np.zeros_like(dist), where=rad > 0)
-        wts = np.where(u < 1, (1 - u ** 3) ** 3, 0.0) * RW
-        ok = np.isfinite(Y)
-        wts = np.where(ok, wts, 0.0)
-        Y = np.where(ok, Y, 0.0)
-        sw = wts.sum(axis=1)
-        safe = np.where(sw > 0, sw, 1.0)
-        mx = (wts * X).sum(axis=1) / safe
-        my = (wts * Y).sum(axis=1) / safe
-        dx = X - mx[:, None]
-        vx = (wts * dx * dx).sum(axis=1)
-        b = np.divide((wts * dx * (Y - my[:, None])).sum(axis=1), vx, out=np.zeros_like(vx), where=vx > 0)
-        outv = np.where(sw > 0, my + b * (xs[own] - mx), ys[own])
-        res = pd.DataFrame({"__i": gi[own].astype("int32"), "__fit": outv})
-        for c in keys:
-            res[c] = pdf[c].iloc[0]
-        return res
-
-    fits = halo.groupBy(*keys, "__blk").applyInPandas(fit, schema=schema)
-    return d.join(fits, [*keys, "__i"])
+        c, s, terms = _block_moments(*(pdf[n].to_numpy(float) for n in ("__x", "__y", "__rw")))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "__blk": [int(pdf["__blk"].iloc[0])],
+                             "__first": [int(pdf["__i"].iloc[0])], "__len": [len(pdf)], "__c": [c], "__s": [s], "__v": [terms.sum(axis=0)]})
+
+    moments = d.groupBy(*keys, "__blk").applyInPandas(
+        sums, f"{kd}, __blk int, __first int, __len int, __c double, __s double, __v array<double>")
+    # the blocks that the windows of a block's rows start in, end in and run over
+    left = lambda i: F.greatest(F.lit(0), F.least(i - F.floor(F.col("__k") / 2), F.col("__n") - F.col("__k")))
+    block = lambda i: F.floor(i / F.col("__b")).cast("int")
+    own = d.groupBy(*keys, F.col("__blk").alias("__to")).agg(
+        *[F.first(c).alias(c) for c in ("__n", "__k", "__b")], F.min("__i").alias("__lo"), F.max("__i").alias("__hi"))
+    a0, a1 = left(F.col("__lo")), left(F.col("__hi"))
+    b0, b1 = a0 + F.col("__k") - 1, a1 + F.col("__k") - 1
+    cut = F.array_union(F.array("__to"), F.array_union(F.sequence(block(a0), block(a1)), F.sequence(block(b0), block(b1))))
+    over = F.sequence(block(a0), block(b1))
+    cut_by = own.select(*keys, "__to", F.explode(cut).alias("__blk"))
+    inner = own.select(*keys, "__to", F.explode(F.array_except(over, cut)).alias("__blk"))
+    rows = d.join(cut_by, [*keys, "__blk"]).select(*keys, "__to", "__blk", "__i", "__n", "__k", "__x", "__y", "__rw")
+    whole_blocks = moments.join(inner, [*keys, "__blk"])
+    whole_blocks = whole_blocks.select(*[F.col(c).alias(c) for c in whole_blocks.columns])  # columns of its own for the cogroup
+
+    def fit(pdf, blocks):
+        import pandas as pd
+        pdf = pdf.sort_values("__i")
+        i, x = pdf["__i"].to_numpy(np.int64), pdf["__x"].to_numpy(float)
+        y, rw = pdf["__y"].to_numpy(float), pdf["__rw"].to_numpy(float)
+        blk, to = pdf["__blk"].to_numpy(), int(pdf["__to"].iloc[0])
+        n, k = int(pdf["__n"].iloc[0]), int(pdf["__k"].iloc[0])
+        at, xi = i[blk == to], x[blk == to]
+        a = np.clip(at - k // 2, 0, n - k)
+        h = np.maximum(xi - x[np.searchsorted(i, a)], x[np.searchsorted(i, a + k - 1)] - xi)
+        h = np.where(h > 0, h, 1.0)
+        total = np.zeros((5, len(at)))
+        for c in np.unique(blk):
+            here = blk == c
+            centre, scale, terms = _block_moments(x[here], y[here], rw[here])
+            upto = np.concatenate([np.zeros((1, terms.shape[1])), np.cumsum(terms, axis=0)])
+            first, m = i[here][0], len(terms)
+            from_, mid, end = (np.clip(e - first, 0, m) for e in (a, at + 1, a + k))
+            total += _line_sums(upto[np.maximum(mid, from_)] - upto[from_], centre, scale, xi, h, -1)
+            total += _line_sums(upto[end] - upto[np.minimum(mid, end)], centre, scale, xi, h, 1)
+        for b in blocks.itertuples(index=False):
+            row = dict(zip(blocks.columns, b))
+            side = -1 if row["__first"] < at[0] else 1
+            v = np.broadcast_to(np.asarray(row["__v"], float), (len(at), 2 * _TOP + 1))
+            total += _line_sums(v, row["__c"], row["__s"], xi, h, side)
+        s0, s1, s2, u0, u1 = total
+        some = s0 > 1e-12
+        safe = np.where(some, s0, 1.0)
+        mx, my = s1 / safe, u0 / safe
+        vx = s2 - mx * s1
+        slope = np.divide(u1 - mx * u0, vx, out=np.zeros_like(vx), where=vx > 1e-12 * safe)
+        fitted = np.where(some, my - slope * mx, y[blk == to])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(at) for c in keys}, "__i": at.astype("int32"), "__fit": fitted})
+
+    return rows.groupBy(*keys, "__to").cogroup(whole_blocks.groupBy(*keys, "__to")).applyInPandas(fit, f"{kd}, __i int, __fit double")
 
 
 def _spline_knots(x: np.ndarray, k: int) -> np.ndarray:

@@ -919,10 +919,32 @@ def q_i9_method_compare(spark, sf_dir):
     return rnd(fx.union_all(parts), ["value"])
 
 
-@register("q_i7_lowess")
+def _lowess_sql(frac: float) -> str:
+    """One local-line round ``{name}`` over rows (nation, date, y, x, i, n, k, rw) of ``{src}``."""
+    one = """{name} AS (SELECT c.nation, c.date, c.y, c.x, c.i, c.n, c.k, any_value(c.h) AS h,
+    sum(w) AS s0, sum(w * t) AS s1, sum(w * t * t) AS s2, sum(w * y2) AS u0, sum(w * t * y2) AS u1
+  FROM (SELECT a.*, b.y AS y2, (b.x - a.x) / a.h AS t, b.rw * pow(1 - pow(least(abs(b.x - a.x) / a.h, 1), 3), 3) AS w
+        FROM (SELECT e.*, greatest(e.x - l.x, r.x - e.x, 1) AS h FROM (SELECT *, greatest(0, least(i - k // 2, n - k)) AS a FROM {src}) e
+              JOIN {src} l ON l.nation = e.nation AND l.i = e.a JOIN {src} r ON r.nation = e.nation AND r.i = e.a + e.k - 1) a
+        JOIN {src} b ON b.nation = a.nation AND b.i BETWEEN a.a AND a.a + a.k - 1) c GROUP BY ALL),
+{name}f AS (SELECT *, CASE WHEN s0 <= 1e-12 THEN y WHEN s2 - s1 * s1 / s0 <= 1e-12 * s0 THEN u0 / s0
+    ELSE u0 / s0 - s1 / s0 * (u1 - s1 * u0 / s0) / (s2 - s1 * s1 / s0) END AS fit FROM {name})"""
+    return f"""ly AS (SELECT nation, date, v AS y FROM lin WHERE v IS NOT NULL),
+l0 AS (SELECT *, CAST(least(n, greatest(2, floor(n * {sp.dbl(frac)}))) AS BIGINT) AS k, CAST(1 AS DOUBLE) AS rw FROM (
+  SELECT *, row_number() OVER (PARTITION BY nation ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY nation) AS n,
+         CAST(date - min(date) OVER (PARTITION BY nation) AS DOUBLE) AS x FROM ly)),
+{one.format(name="p0", src="l0")},
+m0 AS (SELECT nation, median(abs(y - fit)) AS med FROM p0f GROUP BY 1),
+l1 AS (SELECT p.nation, p.date, p.y, p.x, p.i, p.n, p.k, CASE WHEN med <= 0 THEN 1 WHEN abs(y - fit) < 6 * med
+    THEN pow(1 - pow((y - fit) / (6 * med), 2), 2) ELSE 0 END AS rw FROM p0f p JOIN m0 USING (nation)),
+{one.format(name="p1", src="l1")}
+SELECT lin.nation, lin.date, {qs("p1f.fit", 4)} AS vix_lowess FROM lin LEFT JOIN p1f ON p1f.nation = lin.nation AND p1f.date = lin.date"""
+
+
+@register("q_i7_lowess", NMK + f", lin AS ({sp.time_linear('nation', 'v')})," + _lowess_sql(0.15))
 def q_i7_lowess(spark, sf_dir):
     daily = ip.interpolate_time(nation_month_vix(spark, sf_dir), "vix", "v", keys=["nation"])
-    return ip.lowess(daily, "v", "vix_lowess", keys=["nation"], frac=0.15, it=1).drop("v")
+    return rnd(ip.lowess(daily, "v", "vix_lowess", keys=["nation"], frac=0.15, it=1).drop("v"), ["vix_lowess"], 4)
 
 
 @register("q_i8_spline_orders")

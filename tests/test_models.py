@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskpanel.operators import interpolate as ip
@@ -104,11 +105,43 @@ def test_savgol_preserves_quadratics(spark):
 def test_lowess_reproduces_a_line(spark):
     xs = np.arange(400, dtype=float)
     df = _knots(spark, xs, 2.5 * xs - 7)
-    out = np.array([r.o for r in ip.lowess(df, "v", "o", keys=["key"], frac=0.2, it=1, block_days=90)
+    out = np.array([r.o for r in ip.lowess(df, "v", "o", keys=["key"], frac=0.2, it=1, block_rows=13)
                    .orderBy("date").collect()])
     assert np.allclose(out, 2.5 * xs - 7, atol=1e-6)
 
 
+def _loop_lowess(x, y, frac, rounds):
+    n = len(x)
+    k = min(n, max(2, math.floor(frac * n)))
+    rw, out = np.ones(n), np.array(y)
+    for r in range(rounds + 1):
+        for i in range(n):
+            a = min(max(i - k // 2, 0), n - k)
+            near = slice(a, a + k)
+            t = x[near] - x[i]
+            h = max(np.abs(t).max(), 1.0)
+            w = (1 - (np.abs(t) / h) ** 3) ** 3 * rw[near]
+            design = np.stack([np.ones(k), t], axis=1) * np.sqrt(w)[:, None]
+            out[i] = np.linalg.lstsq(design, y[near] * np.sqrt(w), rcond=1e-9)[0][0]
+        u = np.abs(y - out) / (6 * np.median(np.abs(y - out)))
+        rw = np.where(u < 1, (1 - u ** 2) ** 2, 0.0)
+    return out
+
+
+@pytest.mark.parametrize("n, frac, block", [(300, 0.15, 4096), (300, 0.31, 7), (211, 1.0, 10), (40, 0.1, 4096), (1, 0.5, 3)])
+def test_lowess_matches_a_loop(spark, n, frac, block):
+    """Moments of whole blocks and rows of cut ones give the sums of every window; days without a value stay out."""
+    rnd = np.random.default_rng(n)
+    y = np.sin(np.arange(n) / 20) * 5 + rnd.normal(size=n) + np.where(rnd.random(n) < 0.05, 30, 0)
+    day = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(n + 3)]
+    rows = [("a", d, None) for d in day[:3]] + [(s, d, float(v)) for s in "ab" for d, v in zip(day[3:], y)]
+    df = spark.createDataFrame(rows, "key string, date date, v double")
+    got = ip.lowess(df, "v", "o", keys=["key"], frac=frac, it=2 if n > 1 else 0, block_rows=block).orderBy("key", "date").collect()
+    assert len(got) == len(rows) and [r.o for r in got[:3]] == [None] * 3
+    want = _loop_lowess(np.arange(n, dtype=float), y, frac, 2 if n > 1 else 0)
+    assert np.allclose([r.o for r in got[3:]], np.concatenate([want, want]), atol=1e-6)
+
+
 def test_bic_matches_brute_force(spark):
     rnd = random.Random(2)
     nodes = ["a", "b", "c"]
