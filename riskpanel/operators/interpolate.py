@@ -9,6 +9,8 @@ as in the reference; x is the day offset from the key's first knot.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,7 +235,7 @@ def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col:
 
     On either side of a row the tricube weight is a polynomial of degree 9 in the
     distance, so the sums of the local line follow from moments of the window's rows. A
-    series is cut into blocks of min(k / 4, ``block_rows``) rows. Whole blocks inside a window
+    series is cut into blocks of min(k / 2, ``block_rows``) rows. Whole blocks inside a window
     stand for their rows by 23 moments about their own centre; only the block of a row and those
     that its window's ends cut come as rows. A group has at most seven blocks of rows, whatever
     ``k``. The robustness scale (median |residual| of the key) is an exact
@@ -247,8 +249,10 @@ def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col:
     d = d.withColumns({"__i": F.row_number().over(ordered(keys, "__d")) - 1, "__n": F.count(F.lit(1)).over(whole(keys)),
                        "__x": F.datediff("__d", F.min("__d").over(whole(keys))).cast("double"), "__rw": F.lit(1.0)})
     k = F.least(F.col("__n"), F.greatest(F.lit(2), F.floor(F.col("__n") * F.lit(frac)))).cast("int")
-    d = d.withColumn("__k", k).withColumn("__b", F.least(F.greatest(F.floor(F.col("__k") / 4), F.lit(1)), F.lit(block_rows)).cast("int"))
+    d = d.withColumn("__k", k).withColumn("__b", F.least(F.greatest(F.floor(F.col("__k") / 2), F.lit(1)), F.lit(block_rows)).cast("int"))
     d = d.withColumn("__blk", F.floor(F.col("__i") / F.col("__b")).cast("int"))
+    lo, hi = (fn("__x").over(whole([*keys, "__blk"])) for fn in (F.min, F.max))
+    d = d.withColumns({"__c": (lo + hi) / 2, "__s": F.greatest((hi - lo) / 2, F.lit(1.0))})  # a block's centre and scale
     for r in range(it + 1):
         rows = materialize(d)
         d = rows.join(_lowess_pass(rows, keys), [*keys, "__i"])
@@ -264,44 +268,37 @@ def lowess(daily: DataFrame, value: str, out: str, *, keys: list[str], date_col:
 
 
 _TOP = 11  # highest power of the distance: 9 of the tricube weight and 2 of the line's normal equations
+_CHOOSE = np.array([[comb(q, r) for r in range(_TOP + 1)] for q in range(_TOP + 1)], float)
 
 
-def _block_moments(x: np.ndarray, y: np.ndarray, rw: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """(centre, scale, terms): a row's terms are rw * s^q for q to 11 and rw * y * s^q for q to 10, s its scaled offset."""
-    centre, scale = (x[0] + x[-1]) / 2, max((x[-1] - x[0]) / 2, 1.0)
+def _moment_terms(x: np.ndarray, y: np.ndarray, rw: np.ndarray, centre: float, scale: float) -> np.ndarray:
+    """Each row's terms of its block's moments: rw * s^q for q to 11, rw * y * s^q for q to 10, s its scaled offset."""
     powers = ((x - centre) / scale)[:, None] ** np.arange(_TOP + 1) * rw[:, None]
-    return centre, scale, np.concatenate([powers, powers[:, :_TOP] * y[:, None]], axis=1)
+    return np.concatenate([powers, powers[:, :_TOP] * y[:, None]], axis=1)
 
 
 def _line_sums(v: np.ndarray, centre: float, scale: float, xi: np.ndarray, h: np.ndarray, side: int) -> np.ndarray:
     """Tricube-weighted sums of 1, t, t^2, y, t y of rows left (-1) or right (1) of ``xi``, from their moments ``v``
     about ``centre``; t = (x - xi) / h. The weight is (1 - side t^3)^3 with side t in 0..1."""
-    from math import comb
     top = _TOP + 1
-    zoom, shift = scale / h, (centre - xi) / h
-    zooms, shifts = zoom[:, None] ** np.arange(top), shift[:, None] ** np.arange(top)
-    cube = {0: 1, 3: -3 * side, 6: 3, 9: -side}
-
-    def moment(q, first):
-        return sum(comb(q, r) * zooms[:, r] * shifts[:, q - r] * v[:, first + r] for r in range(q + 1))
-
-    return np.stack([sum(c * moment(p + q, first) for q, c in cube.items())
-                     for p, first in ((0, 0), (1, 0), (2, 0), (0, top), (1, top))])
+    q, r = np.tril_indices(top)
+    shifted = np.zeros((len(xi), top, top))  # row q: moment q about xi from the moments r <= q about the centre
+    shifted[:, q, r] = _CHOOSE[q, r] * ((scale / h)[:, None] ** r) * (((centre - xi) / h)[:, None] ** (q - r))
+    plain = np.einsum("mqr,mr->mq", shifted, v[:, :top])
+    with_y = np.einsum("mqr,mr->mq", shifted[:, :_TOP, :_TOP], v[:, top:])
+    cube = np.array([1, -3 * side, 3, -side])  # of t^0, t^3, t^6 and t^9
+    return np.stack([*(plain[:, p::3][:, :4] @ cube for p in (0, 1, 2)), *(with_y[:, p::3][:, :4] @ cube for p in (0, 1))])
 
 
 def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, __i, __fit) of one round over rows (keys, __i, __n, __k, __b, __blk, __x, __y, __rw)."""
+    """(keys, __i, __fit) of one round over rows (keys, __i, __n, __k, __b, __blk, __c, __s, __x, __y, __rw)."""
     kd = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys)
 
-    def sums(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("__i")
-        c, s, terms = _block_moments(*(pdf[n].to_numpy(float) for n in ("__x", "__y", "__rw")))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "__blk": [int(pdf["__blk"].iloc[0])],
-                             "__first": [int(pdf["__i"].iloc[0])], "__len": [len(pdf)], "__c": [c], "__s": [s], "__v": [terms.sum(axis=0)]})
-
-    moments = d.groupBy(*keys, "__blk").applyInPandas(
-        sums, f"{kd}, __blk int, __first int, __len int, __c double, __s double, __v array<double>")
+    offset = (F.col("__x") - F.col("__c")) / F.col("__s")
+    terms = [F.sum(F.col("__rw") * F.pow(offset, F.lit(float(q)))) for q in range(_TOP + 1)]
+    terms += [F.sum(F.col("__rw") * F.col("__y") * F.pow(offset, F.lit(float(q)))) for q in range(_TOP)]
+    moments = d.groupBy(*keys, "__blk").agg(F.min("__i").alias("__first"), F.first("__c").alias("__c"), F.first("__s").alias("__s"),
+                                            F.array(*terms).alias("__v"))
     # the blocks that the windows of a block's rows start in, end in and run over
     left = lambda i: F.greatest(F.lit(0), F.least(i - F.floor(F.col("__k") / 2), F.col("__n") - F.col("__k")))
     block = lambda i: F.floor(i / F.col("__b")).cast("int")
@@ -313,7 +310,7 @@ def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
     over = F.sequence(block(a0), block(b1))
     cut_by = own.select(*keys, "__to", F.explode(cut).alias("__blk"))
     inner = own.select(*keys, "__to", F.explode(F.array_except(over, cut)).alias("__blk"))
-    rows = d.join(cut_by, [*keys, "__blk"]).select(*keys, "__to", "__blk", "__i", "__n", "__k", "__x", "__y", "__rw")
+    rows = d.join(cut_by, [*keys, "__blk"]).select(*keys, "__to", "__blk", "__i", "__n", "__k", "__x", "__y", "__rw", "__c", "__s")
     whole_blocks = moments.join(inner, [*keys, "__blk"])
     whole_blocks = whole_blocks.select(*[F.col(c).alias(c) for c in whole_blocks.columns])  # columns of its own for the cogroup
 
@@ -322,6 +319,7 @@ def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
         pdf = pdf.sort_values("__i")
         i, x = pdf["__i"].to_numpy(np.int64), pdf["__x"].to_numpy(float)
         y, rw = pdf["__y"].to_numpy(float), pdf["__rw"].to_numpy(float)
+        centres, scales = pdf["__c"].to_numpy(float), pdf["__s"].to_numpy(float)
         blk, to = pdf["__blk"].to_numpy(), int(pdf["__to"].iloc[0])
         n, k = int(pdf["__n"].iloc[0]), int(pdf["__k"].iloc[0])
         at, xi = i[blk == to], x[blk == to]
@@ -331,7 +329,8 @@ def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
         total = np.zeros((5, len(at)))
         for c in np.unique(blk):
             here = blk == c
-            centre, scale, terms = _block_moments(x[here], y[here], rw[here])
+            centre, scale = centres[here][0], scales[here][0]
+            terms = _moment_terms(x[here], y[here], rw[here], centre, scale)
             upto = np.concatenate([np.zeros((1, terms.shape[1])), np.cumsum(terms, axis=0)])
             first, m = i[here][0], len(terms)
             from_, mid, end = (np.clip(e - first, 0, m) for e in (a, at + 1, a + k))
@@ -351,6 +350,9 @@ def _lowess_pass(d: DataFrame, keys: list[str]) -> DataFrame:
         fitted = np.where(some, my - slope * mx, y[blk == to])
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(at) for c in keys}, "__i": at.astype("int32"), "__fit": fitted})
 
+    # the rows are few and the work on them is much: keep them in as many tasks as a shuffle has
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, whole_blocks = (t.repartition(parts, *keys, "__to") for t in (rows, whole_blocks))
     return rows.groupBy(*keys, "__to").cogroup(whole_blocks.groupBy(*keys, "__to")).applyInPandas(fit, f"{kd}, __i int, __fit double")
 
 

@@ -123,7 +123,7 @@ def _loop_lowess(x, y, frac, rounds):
             w = (1 - (np.abs(t) / h) ** 3) ** 3 * rw[near]
             design = np.stack([np.ones(k), t], axis=1) * np.sqrt(w)[:, None]
             out[i] = np.linalg.lstsq(design, y[near] * np.sqrt(w), rcond=1e-9)[0][0]
-        u = np.abs(y - out) / (6 * np.median(np.abs(y - out)))
+        u = np.abs(y - out) / (6 * max(np.median(np.abs(y - out)), 1e-300))
         rw = np.where(u < 1, (1 - u ** 2) ** 2, 0.0)
     return out
 
