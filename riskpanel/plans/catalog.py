@@ -1068,6 +1068,34 @@ def q_s6_cpu_monthly(spark, sf_dir):
     return srcs.cpu_monthly(spark, path).select(file_prio(), "date", "cpu")
 
 
+# ------------------------------------------------------------------ datasets and samples written and read back
+def scratch(spark) -> str:
+    import uuid
+    from riskpanel.session import _WRITTEN, checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskpanel-files-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@register("q_s9_datasets", f"""SELECT 'daily' AS dataset, prio, date, n FROM ({_DAILY})
+UNION ALL SELECT 'monthly' AS dataset, prio, date, n FROM ({_MONTHLY})""")
+def q_s9_datasets(spark, sf_dir):
+    """Both datasets are written sorted; the second call finds them there and must leave them as they are."""
+    root = scratch(spark)
+    daily, monthly = order_counts(spark, sf_dir, False), order_counts(spark, sf_dir, True)
+    srcs.ensure_datasets(spark, {"daily": daily, "monthly": monthly}, root, order=["date", "prio"])
+    srcs.ensure_datasets(spark, {"daily": monthly}, root, required=["daily", "monthly"])
+    parts = [srcs.read_dataset(spark, root, name).withColumn("dataset", F.lit(name)) for name in ("daily", "monthly")]
+    return fx.union_all(parts).select("dataset", "prio", "date", "n")
+
+
+@register("q_s10_sample", f"SELECT prio, date, n FROM ({_DAILY}) ORDER BY date, prio LIMIT 20")
+def q_s10_sample(spark, sf_dir):
+    root = scratch(spark)
+    srcs.write_sample(order_counts(spark, sf_dir, False), root, n=20, order=["date", "prio"])
+    return spark.read.option("header", "true").schema("prio string, date date, n long").csv(root)
+
+
 # ------------------------------------------------------------------ K2 / BDeu family scores, G-test p-values
 def _bayes_sql(method: str, ess: float = 5.0) -> str:
     if method == "k2":

@@ -1,4 +1,4 @@
-"""File ingest.
+"""File ingest.
 
 Every reader keeps the file name (``_metadata.file_path``) so a folder of
 files becomes one long DataFrame keyed by source file.
@@ -6,7 +6,6 @@ files becomes one long DataFrame keyed by source file.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -315,22 +314,3 @@ def cells_to_table(cells: DataFrame, header_row: int, columns: list[str] | None
     wide = body.groupBy("file", "sheet", "row").agg(
         *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
     return wide
-
-
-def ensure_datasets(spark: SparkSession, frames: dict[str, DataFrame], root: str,
-                    required: list[str] | None = None) -> list[str]:
-    """Materialise each named dataset as parquet under ``root`` unless it
-    already exists (``mode('ignore')``); then check the required list."""
-    for name, df in frames.items():
-        df.write.mode("ignore").parquet(f"{root}/{name}")
-    missing = []
-    for name in required or list(frames):
-        try:
-            spark.read.parquet(f"{root}/{name}").schema
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            missing.append(name)
-    if missing:
-        raise FileNotFoundError(f"missing datasets: {missing}")
-    return sorted(frames)

@@ -5,6 +5,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskpanel import sources as src
 
@@ -177,6 +178,37 @@ def test_ensure_datasets(spark, tmpdir_path):
         src.ensure_datasets(spark, {}, root, required=["b"])
 
 
+def test_datasets_are_whole_or_an_error(spark, tmpdir_path):
+    """A lost file, a changed file, a dataset without a manifest and an absent one are told apart from a whole one."""
+    root = os.path.join(tmpdir_path, "sets")
+    df = spark.range(1000).withColumn("v", 1000 - F.col("id"))
+    assert src.write_dataset(df, root, "a", order=["v"]) and not src.write_dataset(spark.range(1), root, "a")
+    back = src.read_dataset(spark, root, "a")
+    assert back.columns == ["id", "v"] and back.count() == 1000 and back.agg(F.sum("v")).first()[0] == 500500
+    by_file = back.groupBy(F.col("_metadata.file_name")).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
+    assert all(x.hi < y.lo for x, y in zip(by_file, by_file[1:]))          # files are ranges of the order
+    assert not [n for n in os.listdir(root) if n.startswith("_pending")]
+    src.write_dataset(spark.range(0), root, "none")
+    assert src.read_dataset(spark, root, "none").count() == 0
+    src.write_dataset(df.repartition(4), root, "b")
+    data = sorted(n for n in os.listdir(root + "/b") if n.endswith(".parquet"))
+    with open(f"{root}/b/{data[0]}", "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError, match="not as it was written"):
+        src.ensure_datasets(spark, {}, root, required=["b"])
+    src.write_dataset(df.repartition(4), root, "c")
+    lost = sorted(n for n in os.listdir(root + "/c") if n.endswith(".parquet"))[1]
+    os.remove(f"{root}/c/{lost}")
+    with pytest.raises(ValueError, match="not as it was written"):
+        src.read_dataset(spark, root, "c")
+    df.write.parquet(root + "/plain")
+    assert src.ensure_datasets(spark, {}, root, required=["a", "plain"]) == []
+    with pytest.raises(ValueError, match="no manifest"):
+        src.read_dataset(spark, root, "plain")
+    with pytest.raises(FileNotFoundError):
+        src.read_dataset(spark, root, "absent")
+
+
 def test_climate_indices_report(spark, tmpdir_path):
     from riskpanel.plans.compositions import climate_indices
     d = os.path.join(tmpdir_path, "xl2")
