@@ -1,7 +1,7 @@
 """Discretisation.
 
-Everything runs in long form ``(keys, date, col_name, value)`` so one window
-partitioned by (keys, col_name) serves all columns at once.
+Everything runs in long form ``(keys, date, col_name, value)`` so one pass
+over (keys, col_name) serves all columns at once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.functions.nulls import finite
+from riskpanel.operators.ranks import numbered
 
 
 def quantile_levels(k: int) -> list[float]:
@@ -34,8 +35,22 @@ def equal_freq_label(rank: Column, n: Column, k: int) -> Column:
 def equal_freq_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date", col: str = "col_name",
                     value: str = "value", k: int = 3, out: str = "state") -> DataFrame:
     """D2 + W10 on long data: rank(method='first') = row_number over (value, date)
-    among non-null values of each (key, column)."""
+    among non-null values of each (key, column). Rows are numbered over range
+    partitions, so a (key, column) may have any number of rows. Null keys are a
+    key of their own; a column named ``out`` is replaced."""
     grp = [*keys, col]
+    ranked = numbered(long_df, grp, [F.col(value).asc_nulls_last(), date_col], "__rank")
+    sizes = long_df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(grp)]).agg(F.count(value).alias("__size"))
+    same = F.lit(True)
+    for i, g in enumerate(grp):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    rk = F.when(F.col(value).isNotNull(), F.col("__rank"))
+    lab = ranked.join(sizes, same).withColumn(out, equal_freq_label(rk, F.col("__size"), k))
+    return lab.select(*[c for c in long_df.columns if c != out], out)
+
+
+def _equal_freq_in_key(long_df: DataFrame, grp: list[str], date_col: str, value: str, k: int, out: str) -> DataFrame:
+    """The labels of ``equal_freq_long`` by a window over each (key, column): for series bounded by the calendar."""
     w = Window.partitionBy(*grp).orderBy(F.col(value).asc_nulls_last(), F.col(date_col))
     rk = F.when(F.col(value).isNotNull(), F.row_number().over(w))
     n = F.count(value).over(Window.partitionBy(*grp))
@@ -71,8 +86,7 @@ def kmeans_long(long_df: DataFrame, *, keys: list[str], date_col: str = "date",
     # every other row is labelled by its nearest centroid, no sort
     tagged = fin.join(seeds.select(*grp, "__nd"), grp, "left").withColumn(
         "__low", F.coalesce(F.col("__nd"), F.lit(0)) <= k)
-    low = equal_freq_long(tagged.where(F.col("__low")), keys=keys, date_col=date_col, col=col, value=value,
-                          k=k, out=out)
+    low = _equal_freq_in_key(tagged.where(F.col("__low")), grp, date_col, value, k, out)
     high = tagged.where(~F.col("__low")).join(cent, grp, "left")
     high = high.withColumn(out, F.when(F.col("__x").isNotNull(), _nearest(F.col("__x"), F.col("__cent"), k)))
     if centroids_out:

@@ -1,17 +1,18 @@
 """Portfolio and classification metrics.
 
 All metrics are grouped aggregates per key; the only windows run over
-per-key return series or over the small table of distinct scores (AUC).
+per-key return series; the ranks of the AUC run over range partitions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.operators._win import running
+from riskpanel.operators.ranks import summed_before
 
 PERIODS_PER_YEAR = 12  # fixed value: monthly annualisation factor of the reference
 
@@ -96,12 +97,11 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, p_off: str |
 
 def _auc(df: DataFrame, y_true: str, score: str, keys: list[str]) -> DataFrame:
     """Mann-Whitney AUC from the distinct-score table: average rank of a
-    score = rows with lower scores + (ties + 1) / 2."""
-    s = df.groupBy(*keys, F.col(score).alias("__p")).agg(
+    score = rows with lower scores + (ties + 1) / 2. The rows with lower scores
+    are counted over range partitions, so a key may have any number of scores."""
+    s = df.groupBy(*keys, F.col(score).alias("__score")).agg(
         F.sum((F.col(y_true) == 0).cast("long")).alias("__pos"), F.count(F.lit(1)).alias("__cnt"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__p").rowsBetween(
-        Window.unboundedPreceding, -1)
-    s = s.withColumn("__below", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+    s = summed_before(s, keys, ["__score"], "__cnt", "__below")
     s = s.withColumn("__rank", F.col("__below") + (F.col("__cnt") + F.lit(1)) / F.lit(2.0))
     agg = s.groupBy(*keys).agg(F.sum(F.col("__pos") * F.col("__rank")).alias("__sr"),
                                F.sum("__pos").alias("__n1"), F.sum("__cnt").alias("__n"))
