@@ -131,6 +131,24 @@ def q_w12_hysteresis_h3(spark, sf_dir):
     return flag_regime(spark, sf_dir, h=3).select("flag", "date", "regime")
 
 
+_GAP = "day(date) BETWEEN 6 AND 9"
+
+
+@register("q_j5_when_fired_gaps", FD + f""", base AS (SELECT flag, date, CASE WHEN {_GAP} THEN NULL ELSE vix END AS vix,
+    CASE WHEN {_GAP} THEN NULL ELSE ig_spread_chg END AS ig_spread_chg, CASE WHEN day(date) <> 20 THEN month(date) % 3 END AS state FROM feat),"""
+          + sp.regime("flag", src="base", h=1, base="state") + f"SELECT flag, date, {rsql(['vix', 'ig_spread_chg'])}, state, regime FROM reg")
+def q_j5_when_fired_gaps(spark, sf_dir):
+    """J5, W7 and W12 over spans without inputs: a state of the calendar stands for the mixture's label, days 6 to 9 of
+    each month have no inputs (no rule fires and the span is masked from its second day on), day 20 has no state."""
+    gap = F.expr(_GAP)
+    f = flag_features(spark, sf_dir).select(
+        "flag", "date", F.when(~gap, F.col("vix")).alias("vix"), F.when(~gap, F.col("ig_spread_chg")).alias("ig_spread_chg"),
+        F.when(F.day("date") != 20, F.month("date") % 3).alias("state"))
+    out = rg.hybrid_regime(f, keys=["flag"], vix_col="vix", spread_chg_col="ig_spread_chg", h=1, out="regime",
+                           override="when_fired", base_col="state")
+    return rnd(out.select("flag", "date", "vix", "ig_spread_chg", "state", "regime"), ["vix", "ig_spread_chg"])
+
+
 # ------------------------------------------------------------------ quality on raw events
 from riskpanel.operators import quality as qa  # noqa: E402
 

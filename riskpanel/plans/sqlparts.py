@@ -49,8 +49,10 @@ feat AS (SELECT * FROM fx WHERE temp_anom IS NOT NULL AND carbon IS NOT NULL AND
 
 
 def regime(key: str, src: str = "feat", h: int = 1, vix: str = "vix", chg: str = "ig_spread_chg",
-           off_vix: float = 25.0, off_chg: float = 0.40, on_vix: float = 15.0, on_chg: float = -0.20) -> str:
-    """D5 (override='always'): rule label, missing-span mask, hysteresis."""
+           off_vix: float = 25.0, off_chg: float = 0.40, on_vix: float = 15.0, on_chg: float = -0.20,
+           base: str | None = None) -> str:
+    """Rule label (override='always'; with ``base`` 'when_fired'), missing-span mask, hysteresis."""
+    label = "rule" if base is None else f"CASE WHEN rule <> 1 THEN rule ELSE {base} END"
     w = f"(PARTITION BY {key} ORDER BY date)"
     run = f"(PARTITION BY {key} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     holds = " AND ".join(f"COALESCE(lead(hyb, {i}) OVER {w} = hyb, FALSE)" for i in range(1, h + 1)) or "TRUE"
@@ -58,7 +60,7 @@ def regime(key: str, src: str = "feat", h: int = 1, vix: str = "vix", chg: str =
 r0 AS (SELECT *, CASE WHEN {vix} < {on_vix} AND {chg} < {on_chg} THEN 2
                       WHEN {vix} > {off_vix} OR {chg} > {off_chg} THEN 0 ELSE 1 END AS rule,
               ({vix} IS NULL AND {chg} IS NULL) AS allnull FROM {src}),
-r1 AS (SELECT *, CASE WHEN allnull AND COALESCE(lag(allnull) OVER {w}, FALSE) THEN NULL ELSE rule END AS hyb FROM r0),
+r1 AS (SELECT *, CASE WHEN allnull AND COALESCE(lag(allnull) OVER {w}, FALSE) THEN NULL ELSE {label} END AS hyb FROM r0),
 r2 AS (SELECT *, (row_number() OVER {w} = 1 OR hyb IS NULL OR ({holds})) AS conf FROM r1),
 reg AS (SELECT * EXCLUDE (rule, allnull, hyb, conf),
                CAST((last_value(CASE WHEN conf THEN struct_pack(v := hyb) END IGNORE NULLS) OVER {run}).v AS INTEGER) AS regime
