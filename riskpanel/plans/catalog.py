@@ -1165,6 +1165,21 @@ def q_d8_skeleton(spark, sf_dir):
     return stx.skeleton(jc, NODES, keys=["flag"], alpha=0.01, max_given=3)
 
 
+_LINKS = JC + "," + sp.skeleton("flag", NODES, alpha=0.01, max_given=3)
+_TEMPORAL = ", ".join(f"('{u}', '{v}')" for u, v in stx.DEFAULT_TEMPORAL)
+
+
+@register("q_d9_template_of_skeleton", f"""WITH sk AS ({_LINKS})
+SELECT flag, x AS parent, y AS child, s AS slice_from, s AS slice_to FROM sk, (VALUES (0), (1)) v(s) WHERE linked
+UNION ALL SELECT k.flag, t.u AS parent, t.v AS child, 0 AS slice_from, 1 AS slice_to
+FROM (SELECT DISTINCT flag FROM sk WHERE linked) k, (VALUES {_TEMPORAL}) t(u, v)""")
+def q_d9_template_of_skeleton(spark, sf_dir):
+    """D9 over edges that SQL can find too: the pairs left in the skeleton, from the first name to the second."""
+    left = q_d8_skeleton(spark, sf_dir).where("linked")
+    intra = left.select("flag", F.col("x").alias("parent"), F.col("y").alias("child"))
+    return stx.dbn_template(intra, stx.DEFAULT_TEMPORAL, keys=["flag"])
+
+
 @register("q_d12_learned_structure_backtest")
 def q_d12_learned_structure_backtest(spark, sf_dir):
     """Backtest whose every block learns its intra-slice structure on its own
