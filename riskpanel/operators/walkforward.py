@@ -150,45 +150,37 @@ def block_structures(dbn: DataFrame, nodes: list[str], *, keys: list[str], windo
                           max_parents=max_parents)
 
 
-def _ancestral_families(edges: DataFrame, target: str, *, keys: list[str], max_parents: int) -> DataFrame:
-    """Per (keys, block): the target's intra parents (pa0, pa1) and the families
-    (v, p0, p1) of every node in the ancestral set of those parents."""
+def elimination_plan(edges: DataFrame, nodes: list[str], target: str, *, keys: list[str]) -> DataFrame:
+    """One row per (keys, block) with the target's same-slice parents ``pa`` and the ``steps`` that eliminate its
+    ancestral set, both as positions in ``nodes``. Step t brings in ancestor ``v`` with its ``parents`` (each of an
+    earlier step: ancestors go by falling longest path to the target) and sums out ``drop``, those that no later step
+    and no parent of the target needs. A block's edges are at most nodes x nodes, so one row holds them."""
     kb = [*keys, "block"]
-    fields = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in kb)
-    pcols = ", ".join(f"p{i} string" for i in range(max_parents))
-    schema = f"{fields}, role string, v string, {pcols}"
-
-    def plan(pdf):
-        import pandas as pd
-        par = {}
-        for u, v in zip(pdf["parent"], pdf["child"]):
-            if u is not None and v is not None:
-                par.setdefault(v, set()).add(u)
-        pa = sorted(par.get(target, set()))
-        anc, stack = set(), list(pa)
-        while stack:
-            x = stack.pop()
-            if x in anc:
-                continue
-            anc.add(x)
-            stack.extend(par.get(x, set()))
-        out = [("target", target, *(pa + [None] * (max_parents - len(pa))))]
-        for v in sorted(anc):
-            ps = sorted(par.get(v, set()))
-            out.append(("anc", v, *(ps + [None] * (max_parents - len(ps)))))
-        res = pd.DataFrame(out, columns=["role", "v", *[f"p{i}" for i in range(max_parents)]])
-        for c in kb:
-            res[c] = pdf[c].iloc[0]
-        return res[[*kb, "role", "v", *[f"p{i}" for i in range(max_parents)]]]
-
-    return edges.groupBy(*kb).applyInPandas(plan, schema=schema)
+    at = F.create_map(*[x for i, c in enumerate(nodes) for x in (F.lit(c), F.lit(i))])
+    e = edges.where(F.col("parent").isNotNull() & F.col("child").isNotNull())
+    e = e.groupBy(*kb).agg(F.array_sort(F.collect_set(F.struct(at[F.col("parent")].alias("u"), at[F.col("child")].alias("v")))).alias("e"))
+    n, t = len(nodes), nodes.index(target)
+    e = e.withColumn("far", F.expr(f"""aggregate(sequence(1, {n}), transform(sequence(0, {n - 1}), i -> if(i = {t}, 0, -1)),
+        (far, round) -> transform(far, (d, i) -> greatest(d, coalesce(array_max(transform(
+            filter(e, x -> x.u = i AND far[x.v] >= 0), x -> far[x.v] + 1)), -1))))"""))
+    cyclic = F.raise_error(F.lit("the same-slice edges hold a cycle")).cast("array<int>")
+    e = e.withColumn("far", F.when(F.array_max("far") >= n, cyclic).otherwise(F.col("far")))
+    e = e.withColumn("pa", F.expr(f"transform(filter(e, x -> x.v = {t}), x -> x.u)"))
+    e = e.withColumn("seq", F.expr(f"""transform(array_sort(transform(filter(sequence(0, {n - 1}), i -> far[i] > 0),
+        i -> struct(-far[i] AS d, i AS i))), x -> x.i)"""))
+    e = e.withColumn("last", F.expr(f"""transform(sequence(0, {n - 1}), i -> array_max(transform(
+        filter(e, x -> x.u = i AND array_contains(seq, x.v)), x -> int(array_position(seq, x.v)) - 1)))"""))
+    return e.select(*kb, "pa", F.expr("""transform(seq, (v, t) -> struct(v AS v,
+        transform(filter(e, x -> x.v = v), x -> x.u) AS parents,
+        filter(seq, u -> NOT array_contains(pa, u) AND last[u] = t) AS drop))""").alias("steps"))
 
 
 def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str], target: str, *,
                          keys: list[str], date_col: str = "date", equity_col: str = "equity_ret",
                          bond_col: str = "bond_ret", k: int = 3, warmup: int = WARMUP, window: int = WINDOW,
                          retrain_every: int = RETRAIN_EVERY, max_parents: int | None = None,
-                         intra_edges: list[tuple[str, str]] | None = None) -> DataFrame:
+                         intra_edges: list[tuple[str, str]] | None = None,
+                         recent_only: int | None = None) -> DataFrame:
     """D12 with J10: each block learns its intra-slice structure on its window
     (or uses the fixed ``intra_edges`` for every block);
     the target at t+1 has the slice-0 features as temporal parents plus its
@@ -205,7 +197,7 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
     nodes = [*features, target]
     kb = [*keys, "block"]
     dbn = materialize(schedule(lagged_evidence(disc, features, target, keys=keys, date_col=date_col),
-                               warmup=warmup, retrain_every=retrain_every))
+                               warmup=warmup, retrain_every=retrain_every, recent_only=recent_only))
     if intra_edges is None:
         edges = block_structures(dbn, nodes, keys=keys, window=window, retrain_every=retrain_every,
                                  max_parents=max_parents)
@@ -213,38 +205,27 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
         blocks_df = model_membership(dbn, window=window, retrain_every=retrain_every).select(*kb).distinct()
         lit_edges = F.array(*[F.struct(F.lit(u).alias("parent"), F.lit(v).alias("child")) for u, v in intra_edges])
         edges = blocks_df.select(*kb, F.explode(lit_edges).alias("__e")).select(*kb, "__e.*")
-    if max_parents is None:
-        max_parents = len(nodes) - 1
-    fams = materialize(_ancestral_families(edges, target, keys=keys, max_parents=max_parents))
-    pcs = [f"p{i}" for i in range(max_parents)]
-    members = model_membership(dbn, window=window, retrain_every=retrain_every)
-    val = F.create_map(*[x for c in nodes for x in (F.lit(c), F.col(c).cast("int"))])
-    members = members.withColumn("__m", val)
-    # slice-1 CPT counts of every ancestral family, per block
-    anc = fams.where(F.col("role") == "anc")
-    cpt = members.join(anc, kb).select(*kb, "v", *pcs, F.col("__m")[F.col("v")].alias("xv"),
-                                       *[F.col("__m")[F.col(p)].alias(f"x{p}") for p in pcs])
-    cpt = cpt.groupBy(*kb, "v", *pcs, "xv", *[f"x{p}" for p in pcs]).agg(F.count(F.lit(1)).alias("n"))
-    # observed states of every node in each window's slice-1 rows
-    states = members.select(*kb, F.explode("__m").alias("v", "xv")).distinct()
-    marg = _pa_marginals(cpt, states, fams, keys=keys, max_parents=max_parents)
+    plan = materialize(elimination_plan(edges, nodes, target, keys=keys))
+    members = model_membership(dbn, window=window, retrain_every=retrain_every).withColumn(
+        "__x", F.array(*[F.col(c).cast("int") for c in nodes]))
+    marg = parent_marginals(members, plan, keys=keys, n_nodes=len(nodes))
+
+    def config(x):  # the states of the target's parents; empty where it has none
+        return F.coalesce(F.transform("pa", lambda p: F.get(x, p)), F.array().cast("array<int>")).alias("xa")
+
+    marg = marg.select(*kb, config("x"), "__w")
     # theta(target | x_t, pa) counts
-    tgt = fams.where(F.col("role") == "target").select(*kb, *[F.col(p).alias(f"pa{i}") for i, p in enumerate(pcs)])
     ev = [f"{f}_1" for f in features]
-    pam = members.join(tgt, kb, "left").select(
-        *kb, *ev, F.col(target).alias("__y"), *[F.col("__m")[F.col(f"pa{i}")].alias(f"xa{i}")
-                                              for i in range(max_parents)])
-    theta = pam.groupBy(*kb, *ev, *[f"xa{i}" for i in range(max_parents)]).agg(
+    theta = members.join(plan, kb, "left").select(*kb, *ev, F.col(target).alias("__y"), config("__x"))
+    theta = theta.groupBy(*kb, *ev, "xa").agg(
         F.count(F.lit(1)).alias("n_cfg"), F.sum((F.col("__y") == 0).cast("long")).alias("n_state"))
     steps = dbn.where(F.col("pos") >= F.col("start")).withColumn(
         "block", F.floor((F.col("pos") - F.col("start")) / F.lit(retrain_every)).cast("int"))
     steps = steps.select(*keys, date_col, "block", *ev)
-    st = steps.join(marg, kb, "left").withColumn("__w", F.coalesce("__w", F.lit(1.0)))
-    cond = [st[c] == theta[c] for c in [*kb, *ev]] + \
-        [st[f"xa{i}"].eqNullSafe(theta[f"xa{i}"]) for i in range(max_parents)]
-    j = st.join(theta, cond, "left").select(
-        *[st[c] for c in [*keys, date_col, "block"]], st["__w"],
-        F.coalesce(theta["n_state"] / theta["n_cfg"], F.lit(1.0 / k)).alias("__t"))
+    st = steps.join(marg, kb, "left").withColumns({"__w": F.coalesce("__w", F.lit(1.0)),
+                                                   "xa": F.coalesce("xa", F.array().cast("array<int>"))})
+    j = st.join(theta, [*kb, *ev, "xa"], "left").select(
+        *keys, date_col, "block", "__w", F.coalesce(F.col("n_state") / F.col("n_cfg"), F.lit(1.0 / k)).alias("__t"))
     post = j.groupBy(*keys, date_col, "block").agg(F.sum(F.col("__w") * F.col("__t")).alias("p_off"))
     rets = returns.select(*keys, date_col, F.col(equity_col).alias("equity_ret"), F.col(bond_col).alias("bond_ret"))
     bt = fx.lookup_required(post, rets, keys=keys, date_col=date_col)
@@ -253,63 +234,37 @@ def walk_forward_learned(disc: DataFrame, returns: DataFrame, features: list[str
         "net", net_return(F.col("decision"), F.col("equity_ret"), F.col("bond_ret")))
 
 
-def _pa_marginals(cpt: DataFrame, states: DataFrame, fams: DataFrame, *, keys: list[str],
-                  max_parents: int) -> DataFrame:
-    """Per (keys, block): P(pa) for every configuration of the target's intra
-    parents: each ancestor's count-fitted CPT is an array over its own and its
-    parents' states, and the arrays are multiplied and summed over the other
-    ancestors one at a time (``einsum`` with an elimination order). Output
-    (keys, block, xa0.., __w); blocks without intra parents yield one row of
-    NULL configuration and weight 1."""
+def parent_marginals(members: DataFrame, plan: DataFrame, *, keys: list[str], n_nodes: int) -> DataFrame:
+    """P(pa) of every (keys, block), by elimination over relations. ``members`` holds each window's slice-1 rows
+    as an array ``__x`` of node states. A row of the running factor is an assignment ``x`` (NULL outside its scope) and
+    its weight; a step joins the next ancestor's count-fitted CPT on the parents' states, multiplies, and sums the
+    variables of ``drop`` out in a grouped sum. A parent configuration unseen in the window gives 1/r over the node's
+    observed states. Assignments of weight 0 are left out. Returns (keys, block, pa, x, __w); a block without
+    same-slice parents has one row of weight 1."""
     kb = [*keys, "block"]
-    pcs = [f"p{i}" for i in range(max_parents)]
-    spec = [("role", "string"), ("v", "string"), *[(p, "string") for p in pcs], ("xv", "int"),
-            *[(f"x{p}", "int") for p in pcs], ("n", "long")]
-
-    def shape(df, kind):
-        cols = [F.col(c) for c in kb] + [F.lit(kind).alias("__kind")]
-        cols += [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in spec]
-        return df.select(*cols)
-
-    tagged = shape(cpt, "cpt").unionByName(shape(states, "state")).unionByName(shape(fams, "fam"))
-    fields = ", ".join(f"`{c}` {cpt.schema[c].dataType.simpleString()}" for c in kb)
-    schema = f"{fields}, " + ", ".join(f"xa{i} int" for i in range(max_parents)) + ", __w double"
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-        fam = pdf[pdf["__kind"] == "fam"]
-        target = fam[fam["role"] == "target"]
-
-        def named(row):
-            return [p for p in row[pcs].iloc[0] if isinstance(p, str)]
-
-        pa = [] if target.empty else named(target)
-        empty = {f"xa{i}": pd.array([None], dtype="Int32") for i in range(max_parents)}
-        if not pa:
-            return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in kb}, **empty, "__w": [1.0]})
-        st = pdf[pdf["__kind"] == "state"].dropna(subset=["xv"])
-        dom = {v: np.unique(g.to_numpy(int)) for v, g in st.groupby("v")["xv"]}
-        anc = fam[fam["role"] == "anc"]
-        order = sorted(anc["v"].unique())
-        axis = {v: k for k, v in enumerate(order)}
-        cp = pdf[pdf["__kind"] == "cpt"]
-        terms = []
-        for v in order:
-            family = [*named(anc[anc["v"] == v]), v]
-            rows = cp[cp["v"] == v]
-            cols = ["xv"] if len(family) == 1 else [*[f"x{p}" for p in pcs[:len(family) - 1]], "xv"]
-            n = np.zeros([len(dom[u]) for u in family])
-            np.add.at(n, tuple(np.searchsorted(dom[u], rows[c].to_numpy(int)) for u, c in zip(family, cols)),
-                      rows["n"].to_numpy(float))
-            total = n.sum(axis=-1, keepdims=True)
-            terms += [np.where(total > 0, n / np.where(total > 0, total, 1.0), 1.0 / n.shape[-1]), [axis[u] for u in family]]
-        w = np.einsum(*terms, [axis[u] for u in pa], optimize="greedy")
-        at = np.indices(w.shape).reshape(len(pa), -1)
-        out = {c: [pdf[c].iloc[0]] * w.size for c in kb}
-        for k in range(max_parents):
-            out[f"xa{k}"] = (pd.array(dom[pa[k]][at[k]], dtype="Int32") if k < len(pa)
-                             else pd.array([None] * w.size, dtype="Int32"))
-        return pd.DataFrame({**out, "__w": w.ravel()})
-
-    return tagged.groupBy(*kb).applyInPandas(run, schema=schema)
+    seen = members.join(plan, kb).select(*kb, "__x", F.posexplode("steps").alias("t", "s"))
+    seen = seen.select(*kb, "t", F.transform("s.parents", lambda p: F.get("__x", p)).alias("cfg"),
+                       F.get("__x", F.col("s.v")).alias("xv"))
+    seen = seen.groupBy(*kb, "t", "cfg", "xv").agg(F.count(F.lit(1)).alias("n"))
+    states = seen.groupBy(*kb, "t").agg(F.array_sort(F.collect_set("xv")).alias("r"))
+    states = states.groupBy(*kb).agg(F.map_from_entries(F.collect_list(F.struct("t", "r"))).alias("r"))
+    cpt = seen.groupBy(*kb, "t", "cfg").agg(
+        F.map_from_entries(F.collect_list(F.struct("xv", "n"))).alias("n"), F.sum("n").alias("total"))
+    from riskpanel.session import materialize
+    cpt = materialize(cpt)
+    rounds = plan.select(F.max(F.size("steps"))).head()[0] or 0
+    joint = plan.join(states, kb, "left").select(
+        *kb, "pa", F.transform("steps", lambda s, t: s.withField("r", F.col("r")[t])).alias("steps"),
+        F.array_repeat(F.lit(None).cast("int"), n_nodes).alias("x"), F.lit(1.0).alias("__w"))
+    for t in range(rounds):
+        step = F.get("steps", F.lit(t))
+        left = joint.withColumns({"s": step, "cfg": F.transform(step["parents"], lambda p: F.get("x", p))})
+        j = left.join(cpt.where(F.col("t") == t).drop("t"), [*kb, "cfg"], "left")
+        j = j.withColumn("xv", F.explode(F.coalesce(F.col("s.r"), F.array(F.lit(None).cast("int")))))
+        p = (F.when(F.col("s").isNull(), 1.0).when(F.col("total").isNull(), 1.0 / F.size("s.r"))
+             .otherwise(F.coalesce(F.col("n")[F.col("xv")], F.lit(0)) / F.col("total")))
+        x = F.when(F.col("s").isNull(), F.col("x")).otherwise(F.transform("x", lambda e, i: F.when(
+            i == F.col("s.v"), F.col("xv")).when(~F.array_contains("s.drop", i), e)))
+        j = j.select(*kb, "pa", "steps", x.alias("x"), (F.col("__w") * p).alias("__w")).where(F.col("__w") > 0)
+        joint = j.groupBy(*kb, "pa", "steps", "x").agg(F.sum("__w").alias("__w"))
+    return joint.select(*kb, "pa", "x", "__w")

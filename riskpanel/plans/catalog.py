@@ -1180,6 +1180,56 @@ def q_d9_template_of_skeleton(spark, sf_dir):
     return stx.dbn_template(intra, stx.DEFAULT_TEMPORAL, keys=["flag"])
 
 
+# the target's parents vix and ig_spread_chg; temp_anom and cpu are summed out, (cpu, vix) may be unseen in a window
+INTRA = [("temp_anom", "cpu"), ("cpu", "vix"), ("cpu", "ig_spread_chg"), ("vix", "ig_spread_chg"),
+         ("vix", "regime"), ("ig_spread_chg", "regime")]
+
+
+def _intra_sql() -> str:
+    """Brute force: every combination of the ancestors' states, the product of their table entries, summed."""
+    anc = ["temp_anom", "cpu", "vix", "ig_spread_chg"]
+    ctes, factors, joins = [], [], []
+    for v in anc:
+        ps = [u for u, w in INTRA if w == v]
+        ctes.append(f"st_{v} AS (SELECT *, count(*) OVER (PARTITION BY flag, block) AS r_{v} FROM (SELECT DISTINCT flag, block, {v} FROM mem))")
+        by = ", ".join(["flag", "block", *ps])
+        ctes.append(f"cn_{v} AS (SELECT {by}, {v}, count(*) AS n_{v} FROM mem GROUP BY ALL)")
+        ctes.append(f"ct_{v} AS (SELECT {by}, count(*) AS t_{v} FROM mem GROUP BY ALL)")
+        joins.append(f"LEFT JOIN ct_{v} USING ({by}) LEFT JOIN cn_{v} USING ({by}, {v})")
+        factors.append(f"CASE WHEN t_{v} IS NULL THEN 1.0 / r_{v} ELSE coalesce(n_{v}, 0) / t_{v} END")
+    combos = f"st_{anc[0]} " + " ".join(f"JOIN st_{v} USING (flag, block)" for v in anc[1:])
+    return ", ".join(ctes) + f""",
+mg AS (SELECT flag, block, vix, ig_spread_chg, sum({" * ".join(factors)}) AS w
+       FROM (SELECT * FROM {combos}) {" ".join(joins)} GROUP BY ALL),
+th AS (SELECT flag, block, {", ".join(_EV)}, vix, ig_spread_chg, count(*) AS n_cfg, sum(CASE WHEN regime = 0 THEN 1 ELSE 0 END) AS n_state
+       FROM mem GROUP BY ALL)
+SELECT s.flag, s.date, s.block, {qs("sum(m.w * coalesce(t.n_state / t.n_cfg, 1.0 / 3))")} AS p_off
+FROM steps s JOIN mg m ON m.flag = s.flag AND m.block = s.block
+LEFT JOIN th t ON t.flag = s.flag AND t.block = s.block AND t.vix = m.vix AND t.ig_spread_chg = m.ig_spread_chg
+      AND {" AND ".join(f"t.{e} = s.{e}" for e in _EV)}
+GROUP BY ALL"""
+
+
+@register("q_j10_parent_marginals", WFSQL + ", " + _intra_sql())
+def q_j10_parent_marginals(spark, sf_dir):
+    """J10 with fixed same-slice edges in every block."""
+    rets = flag_labelled(spark, sf_dir).select("flag", "date", F.col("spx_ret").alias("equity_ret"), "bond_ret")
+    bt = wf.walk_forward_learned(flag_disc(spark, sf_dir), rets, FEAT7, "regime", keys=["flag"], intra_edges=INTRA)
+    return rnd(bt.select("flag", "date", "block", "p_off"), ["p_off"])
+
+
+_START = "CASE WHEN n > 121 THEN 120 ELSE 1 END AS start"
+
+
+@register("q_w15_recent_only", WFSQL.replace(_START, "greatest(n - 60, " + _START.replace(" AS start", ") AS start")) + f"""
+SELECT flag, date, block, {qs("p_off")} AS p_off, decision FROM btn""")
+def q_w15_recent_only(spark, sf_dir):
+    """The backtest of the last 60 steps of every key."""
+    rets = flag_labelled(spark, sf_dir).select("flag", "date", F.col("spx_ret").alias("equity_ret"), "bond_ret")
+    bt = wf.walk_forward(flag_disc(spark, sf_dir), rets, FEAT7, "regime", keys=["flag"], recent_only=60)
+    return rnd(bt.select("flag", "date", "block", "p_off", "decision"), ["p_off"])
+
+
 @register("q_d12_learned_structure_backtest")
 def q_d12_learned_structure_backtest(spark, sf_dir):
     """Backtest whose every block learns its intra-slice structure on its own

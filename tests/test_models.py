@@ -300,13 +300,15 @@ def test_chi2_pvalues(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(p, [0.05, 0.05, 1.0, 0.05]))
 
 
-def _learned_loop(rows, feats, target, edges, warm, window, every, k=3):
+def _learned_loop(rows, feats, target, edges, warm, window, every, k=3, recent=None):
     """Brute force: per block, fit slice-1 CPTs of the target's ancestral set and
     the target CPT given (x_t, pa_{t+1}); P = sum_pa P(pa) theta(0 | x, pa)."""
     import itertools
     dbn = [{**rows[i], **{f + "_1": rows[i - 1][f] for f in feats}} for i in range(1, len(rows))]
     n = len(dbn)
     start = warm if n > warm + 1 else 1
+    if recent:
+        start = max(start, n - recent)
     par = {}
     for u, v in edges:
         par.setdefault(v, []).append(u)
@@ -376,6 +378,17 @@ def test_walk_forward_learned_matches_loop(spark):
     learned = wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30,
                                       retrain_every=5)
     assert learned.count() == len(want)
+    # parents summed out, a node with two parents, the last steps only
+    for edges in ([("f3", "f1"), ("f1", "f2"), ("f3", "f2"), ("f2", "regime")], [("f1", "f2")]):
+        want = _learned_loop(series, feats, "regime", edges, warm=30, window=30, every=5, recent=40)
+        bt = wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30, retrain_every=5,
+                                     intra_edges=edges, recent_only=40)
+        got = {r.date: r.p_off for r in bt.collect()}
+        assert set(got) == set(want) and len(got) == 40
+        assert all(abs(got[d] - p) < 1e-9 for d, p in want.items())
+    with pytest.raises(Exception, match="cycle"):
+        wf.walk_forward_learned(disc, rets, feats, "regime", keys=["key"], warmup=30, window=30, retrain_every=5,
+                                intra_edges=[("f1", "f2"), ("f2", "f1"), ("f2", "regime")]).count()
 
 
 def _skeleton_of(spark, rows, names, **more):
