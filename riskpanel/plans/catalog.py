@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskpanel.operators import features as fx
 from riskpanel.operators import regime as rg
@@ -1086,6 +1088,72 @@ def q_s6_cpu_monthly(spark, sf_dir):
     return srcs.cpu_monthly(spark, path).select(file_prio(), "date", "cpu")
 
 
+# ------------------------------------------------------------------ workbooks (S5) and the indices report over them
+def workbooks(spark, sf_dir) -> DataFrame:
+    """(file, content): a workbook for each order priority; odd priorities count days from 1904, even ones from 1900.
+    Sheet ``daily`` has two lines of preamble, then date cells, counts and an empty column; sheet ``monthly`` has inline
+    strings with days first and no preamble. Header texts are in the text table."""
+    odd = "prio IN ('1', '3', '5')"
+    serial = f"datediff(date, if({odd}, date'1904-01-01', date'1899-12-30'))"
+    cells = "concat('<row r=\"', {r}, '\"><c r=\"A', {r}, '\"{a}</c><c r=\"B', {r}, '\"><v>', n, '</v></c></row>')"
+    number = Window.partitionBy("prio").orderBy("date")
+
+    def lines(monthly, first, a):
+        d = order_counts(spark, sf_dir, monthly).withColumn("r", F.row_number().over(number) + first)
+        return joined_lines(d, cells.format(r="r", a=a), "date", sep="")
+
+    daily = lines(False, 3, " s=\"1\"><v>', " + serial + ", '</v>").withColumnRenamed("body", "daily")
+    monthly = lines(True, 1, " t=\"inlineStr\"><is><t>', date_format(date, 'dd/MM/yyyy'), '</t></is>").withColumnRenamed("body", "monthly")
+    both = daily.join(monthly, "prio")
+    head = '<row r="{r}"><c r="A{r}" t="s"><v>0</v></c><c r="B{r}" t="s"><v>1</v></c>{more}</row>'
+    intro = '<row r="1"><c r="A1" t="s"><v>3</v></c></row>' + head.format(r=3, more='<c r="C3" t="s"><v>2</v></c>')
+    return both.select(F.concat(F.lit("orders-"), "prio", F.lit(".xlsx")).alias("file"), _zipped(
+        F.concat(F.lit(intro), "daily"), F.concat(F.lit(head.format(r=1, more="")), "monthly"), F.expr(odd)).alias("content"))
+
+
+_MAIN_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+@F.pandas_udf(T.BinaryType())
+def _zipped(daily: pd.Series, monthly: pd.Series, odd: pd.Series) -> pd.Series:
+    """The parts of a workbook with two sheets, zipped."""
+    import io
+    import zipfile
+
+    def book(day_rows, month_rows, base_1904):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN_NS}" xmlns:r="{_REL_NS}"><workbookPr date1904="{int(base_1904)}"/>'
+                       '<sheets><sheet name="daily" sheetId="1" r:id="a"/><sheet name="monthly" sheetId="2" r:id="b"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/>'
+                       '<Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN_NS}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN_NS}"><si><t>Date</t></si><si><r><t>Or</t></r><r><t>ders</t></r></si>'
+                       "<si><t>Remark</t></si><si><t>Orders by day</t></si></sst>")
+            for k, rows in ((1, day_rows), (2, month_rows)):
+                z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{_MAIN_NS}"><sheetData>{rows}</sheetData></worksheet>')
+        return out.getvalue()
+
+    return pd.Series([book(*x) for x in zip(daily, monthly, odd)])
+
+
+_BOOK = "'orders-' || prio || '.xlsx'"
+
+
+@register("q_s5_workbooks", f"""
+WITH d AS ({_DAILY}), m AS ({_MONTHLY}), c AS (
+SELECT 'daily' AS sheet, prio, 3 + row_number() OVER (PARTITION BY prio ORDER BY date) AS r, strftime(date, '%Y-%m-%d') AS a, n FROM d
+UNION ALL SELECT 'monthly' AS sheet, prio, 1 + row_number() OVER (PARTITION BY prio ORDER BY date) AS r, strftime(date, '%d/%m/%Y') AS a, n FROM m),
+p AS (SELECT DISTINCT prio FROM d)
+SELECT {_BOOK} AS file, sheet, CAST(r AS INTEGER) AS row, 1 AS col, a AS value FROM c
+UNION ALL SELECT {_BOOK}, sheet, CAST(r AS INTEGER), 2, CAST(n AS VARCHAR) FROM c
+UNION ALL SELECT {_BOOK}, v.s, v.r, v.c, v.t FROM p, (VALUES ('daily', 1, 1, 'Orders by day'), ('daily', 3, 1, 'Date'),
+  ('daily', 3, 2, 'Orders'), ('daily', 3, 3, 'Remark'), ('monthly', 1, 1, 'Date'), ('monthly', 1, 2, 'Orders')) v(s, r, c, t)""")
+def q_s5_workbooks(spark, sf_dir):
+    return srcs.xlsx_cells(workbooks(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ datasets and samples written and read back
 def scratch(spark) -> str:
     import uuid

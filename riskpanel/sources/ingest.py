@@ -204,23 +204,32 @@ def read_series_csv(spark: SparkSession, path: str, name_from_file: bool = True)
 
 
 def read_xlsx_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Workbook cells (file, sheet, row, col, value) from a folder of .xlsx
-    files: ``binaryFile`` + ``mapInPandas`` with the stdlib zip/XML readers,
-    one workbook per task. Numbers in a cell with a date format become
-    ``yyyy-MM-dd`` (``yyyy-MM-dd HH:mm:ss`` with a time of day) by the
-    workbook's date base (1900 or 1904). Legacy binary .xls is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    schema = "file string, sheet string, row int, col int, value string"
+    """Workbook cells (file, sheet, row, col, value) of the .xlsx files under ``path``, see ``xlsx_cells``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return xlsx_cells(files.select(F.col("path").alias("file"), "content"), sheet)
 
-    def parse(it):
-        import pandas as pd
-        for pdf in it:
-            out = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                out.extend(_xlsx_cells(p, bytes(content), sheet))
-            yield pd.DataFrame(out, columns=["file", "sheet", "row", "col", "value"])
 
-    return files.mapInPandas(parse, schema)
+def xlsx_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """(file, content) of .xlsx workbooks -> cells (file, sheet, row, col, value).
+
+    A first pass opens each workbook and sends out one row for each sheet: its part as it lies packed in the archive,
+    the packed text table if the sheet refers to one, and what its cell styles and date base say. A shuffle by
+    (file, sheet) spreads the sheets, so those of one workbook are read in parallel; a sheet's XML is then parsed
+    incrementally and its cells leave in batches, never the whole sheet at once.
+
+    Numbers in a cell with a date format become ``yyyy-MM-dd`` (``yyyy-MM-dd HH:mm:ss`` with a time of day) by the
+    workbook's date base (1900 or 1904). A null content or one of no bytes has no cells; what is no workbook raises.
+    Legacy binary .xls is not read."""
+    parts = files.select("file", "content").where(F.length("content") > 0).mapInPandas(
+        lambda it: _sheet_parts(it, sheet), "file string, sheet string, part binary, texts binary, dates array<int>, base_1904 boolean")
+    spread = parts.repartition("file", "sheet")
+    return spread.mapInPandas(_sheet_cells, "file string, sheet string, row int, col int, value string")
+
+
+CELL_BATCH = 20_000  # cells of a sheet that leave a task at once
+
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 _DATE_FORMATS = {14, 15, 16, 17, 22, *range(27, 32), 36, *range(50, 55), 57, 58}  # built-in, with a day, month or year
@@ -252,55 +261,119 @@ def _serial_date(text: str, base_1904: bool) -> str:
     return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
 
 
-def _xlsx_cells(path: str, content: bytes, want: str | None):
+def _packed(archive, name: str) -> bytes:
+    """A member of an archive, packed anew by zlib piece by piece."""
+    import zlib
+    pack, out = zlib.compressobj(1), []
+    with archive.open(name) as member:
+        while piece := member.read(1 << 16):
+            out.append(pack.compress(piece))
+    return b"".join([*out, pack.flush()])
+
+
+def _date_styles(archive) -> list[int]:
+    """The positions of the cell styles that show a date."""
+    import xml.etree.ElementTree as ET
+    if "xl/styles.xml" not in archive.namelist():
+        return []
+    styles = ET.fromstring(archive.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.iterfind(f"{_NS}numFmts/{_NS}numFmt")}
+    formats = [int(xf.get("numFmtId") or 0) for xf in styles.iterfind(f"{_NS}cellXfs/{_NS}xf")]
+    return [i for i, k in enumerate(formats) if (_is_date_format(own[k]) if k in own else k in _DATE_FORMATS)]
+
+
+def _sheet_parts(frames, want: str | None):
     import io
-    import re
+    import posixpath
     import xml.etree.ElementTree as ET
     import zipfile
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-          "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-    z = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")))
-    dates = []  # by cell style
-    if "xl/styles.xml" in z.namelist():
-        styles = ET.fromstring(z.read("xl/styles.xml"))
-        own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.findall("m:numFmts/m:numFmt", ns)}
-        for xf in styles.findall("m:cellXfs/m:xf", ns):
-            k = int(xf.get("numFmtId") or 0)
-            dates.append(_is_date_format(own[k]) if k in own else k in _DATE_FORMATS)
-    book = ET.fromstring(z.read("xl/workbook.xml"))
-    props = book.find("m:workbookPr", ns)
-    base_1904 = props is not None and props.get("date1904") in ("1", "true")
-    rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    out = []
-    for sh in book.find("m:sheets", ns):
-        name = sh.get("name")
-        if want is not None and name != want:
-            continue
-        target = rels[sh.get(f"{{{ns['r']}}}id")].lstrip("/")
-        target = target if target.startswith("xl/") else "xl/" + target
-        for c in ET.fromstring(z.read(target)).iter(f"{{{ns['m']}}}c"):
-            ref = c.get("r")
-            m = re.match(r"([A-Z]+)(\d+)", ref)
-            col = 0
-            for ch in m.group(1):
-                col = col * 26 + (ord(ch) - 64)
-            v = c.find("m:v", ns)
-            isv = c.find("m:is", ns)
-            if c.get("t") == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif isv is not None:
-                val = "".join(t.text or "" for t in isv.iter(f"{{{ns['m']}}}t"))
-            else:
-                val = v.text if v is not None else None
-                style = int(c.get("s") or 0)
-                if val is not None and c.get("t") in (None, "n") and style < len(dates) and dates[style]:
-                    val = _serial_date(val, base_1904)
-            out.append((path, name, int(m.group(2)), col, val))
-    return out
+
+    import pandas as pd
+    for pdf in frames:
+        for file, content in zip(pdf["file"], pdf["content"]):
+            archive = zipfile.ZipFile(io.BytesIO(content))
+            book = ET.fromstring(archive.read("xl/workbook.xml"))
+            props = book.find(f"{_NS}workbookPr")
+            base_1904 = props is not None and props.get("date1904") in ("1", "true")
+            rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+            dates = _date_styles(archive)
+            texts = _packed(archive, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in archive.namelist() else None
+            for sh in book.find(f"{_NS}sheets"):
+                name = sh.get("name")
+                part = posixpath.normpath(posixpath.join("/xl", rels[sh.get(f"{_REL}id")])).lstrip("/")
+                if (want is None or name == want) and part in archive.namelist():
+                    yield pd.DataFrame({"file": [file], "sheet": [name], "part": [_packed(archive, part)],
+                                        "texts": [texts], "dates": [dates], "base_1904": [base_1904]})
+
+
+def _elements(packed: bytes, tag: str):
+    """The elements of one kind of a packed XML part, in order; each is dropped once read."""
+    import xml.etree.ElementTree as ET
+    import zlib
+    parser, unpack, step = ET.XMLPullParser(["start", "end"]), zlib.decompressobj(), 1 << 16
+    above, inside = [], 0
+    data = packed
+    while data or not unpack.eof:
+        piece = unpack.decompress(data, step)
+        data = unpack.unconsumed_tail
+        if not piece:
+            break
+        parser.feed(piece)
+        for event, e in parser.read_events():
+            if event == "start":
+                above.append(e)
+                inside += e.tag == tag
+                continue
+            above.pop()
+            if e.tag == tag:
+                inside -= 1
+                yield e
+            if above and not inside:
+                above[-1].remove(e)
+
+
+def _written(e) -> str:
+    """The text of a string item: its runs joined, without phonetic hints."""
+    hints = {id(t) for h in e.iter(f"{_NS}rPh") for t in h.iter(f"{_NS}t")}
+    return "".join(t.text or "" for t in e.iter(f"{_NS}t") if id(t) not in hints)
+
+
+def _sheet_cells(frames):
+    import re
+
+    import pandas as pd
+    place = re.compile(r"([A-Z]+)([0-9]+)")
+
+    def cells(part, shared, dates, base_1904):
+        row = col = 0
+        for line in _elements(part, f"{_NS}row"):
+            row, col = int(line.get("r") or row + 1), 0
+            for c in line.iterfind(f"{_NS}c"):
+                at = place.fullmatch(c.get("r") or "")
+                col = col + 1 if at is None else 0
+                for ch in at.group(1) if at else "":
+                    col = col * 26 + ord(ch) - 64
+                v, inline, kind = c.find(f"{_NS}v"), c.find(f"{_NS}is"), c.get("t")
+                if inline is not None:
+                    text = _written(inline)
+                else:
+                    text = None if v is None else v.text
+                    if text is not None and kind == "s":
+                        text = shared[int(text)]
+                    elif text is not None and kind in (None, "n") and int(c.get("s") or 0) in dates:
+                        text = _serial_date(text, base_1904)
+                yield row, col, text
+
+    for pdf in frames:
+        for s in pdf.itertuples(index=False):
+            shared = [_written(e) for e in _elements(s.texts, f"{_NS}si")] if s.texts is not None else []
+            batch = []
+            for cell in cells(s.part, shared, set(s.dates), s.base_1904):
+                batch.append((s.file, s.sheet, *cell))
+                if len(batch) == CELL_BATCH:
+                    yield pd.DataFrame(batch, columns=["file", "sheet", "row", "col", "value"])
+                    batch = []
+            yield pd.DataFrame(batch, columns=["file", "sheet", "row", "col", "value"])
 
 
 def cells_to_table(cells: DataFrame, header_row: int, columns: list[str] | None = None) -> DataFrame:

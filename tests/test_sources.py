@@ -1,6 +1,7 @@
 """File-shape fixtures (FIXTURES.md section 2) written to a scratch folder."""
 
 import datetime as dt
+import io
 import os
 import zipfile
 
@@ -279,3 +280,29 @@ def test_missing_datasets_are_named_and_other_errors_show(spark, tmpdir_path):
     with pytest.raises(Exception) as e:
         src.ensure_datasets(spark, {}, tmpdir_path, ["broken"])
     assert not isinstance(e.value, FileNotFoundError)
+
+
+def test_workbook_sheets_are_read_apart(spark):
+    """Sheets of one workbook go to rows of their own; long sheets leave in batches; cells without a place count on."""
+    from riskpanel.sources import ingest
+    n = 2 * ingest.CELL_BATCH + 5
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="long" sheetId="1" r:id="a"/>'
+                   '<sheet name="bare" sheetId="2" r:id="b"/><sheet name="lost" sheetId="3" r:id="c"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><r Id="a" Target="worksheets/s1.xml"/><r Id="b" Target="/xl/worksheets/s2.xml"/>'
+                   '<r Id="c" Target="charts/c.xml"/></R>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {main}><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>hint</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {main}><sheetData>" + "".join(
+            f'<row r="{i}"><c r="AB{i}"><v>{i}</v></c></row>' for i in range(1, n + 1)) + "</sheetData></worksheet>")
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {main}><sheetData><row><c t="s"><v>0</v></c><c/></row>'
+                   '<row><c r="C2" t="str"><v>x</v></c><c><v>7</v></c></row></sheetData></worksheet>')
+    files = spark.createDataFrame([("f", bytearray(out.getvalue())), ("g", None), ("h", bytearray(b""))], "file string, content binary")
+    cells = src.xlsx_cells(files)
+    long = cells.where("sheet = 'long'").selectExpr("count(*) c", "sum(row) r", "sum(cast(value as long)) v", "min(col) a", "max(col) b").head()
+    assert tuple(long) == (n, n * (n + 1) // 2, n * (n + 1) // 2, 28, 28)
+    rest = sorted(tuple(r) for r in cells.where("sheet <> 'long'").collect())
+    assert rest == [("f", "bare", 1, 1, "two runs"), ("f", "bare", 1, 2, None), ("f", "bare", 2, 3, "x"), ("f", "bare", 2, 4, "7")]
+    assert src.xlsx_cells(files, "bare").count() == 4
