@@ -182,6 +182,14 @@ def drop_all_null_columns(df: DataFrame, cols: list[str] | None = None) -> DataF
     return df.select(*keep)
 
 
+def filled_columns(df: DataFrame, cols: list[str], *, keys: list[str]) -> DataFrame:
+    """P6 per key: (keys, filled), the names of the columns in which the key has any value, in the order of ``cols``.
+    One grouped aggregate with map-side partial sums; a column may be empty for one key and filled for another."""
+    held = df.groupBy(*keys).agg(*[F.max(F.col(c).isNotNull()).alias(f"__{i}") for i, c in enumerate(cols)])
+    names = F.array(*[F.when(F.col(f"__{i}"), F.lit(c)) for i, c in enumerate(cols)])
+    return held.select(*keys, F.array_compact(names).alias("filled"))
+
+
 def trailing_months(df: DataFrame, months: int, *, keys: list[str], date_col: str = "date") -> DataFrame:
     """Rows within ``months`` of each key's last date, the row exactly that far back included."""
     mx = F.max(date_col).over(whole(keys))

@@ -1092,18 +1092,23 @@ def q_s6_cpu_monthly(spark, sf_dir):
 def workbooks(spark, sf_dir) -> DataFrame:
     """(file, content): a workbook for each order priority; odd priorities count days from 1904, even ones from 1900.
     Sheet ``daily`` has two lines of preamble, then date cells, counts and an empty column; sheet ``monthly`` has inline
-    strings with days first and no preamble. Header texts are in the text table."""
+    strings with days first and no preamble. Header texts are in the text table. In ``daily`` priority 2 has remarks,
+    priority 3 goes back in time, and priority 4 has the days of every two on the first of them."""
     odd = "prio IN ('1', '3', '5')"
     serial = f"datediff(date, if({odd}, date'1904-01-01', date'1899-12-30'))"
-    cells = "concat('<row r=\"', {r}, '\"><c r=\"A', {r}, '\"{a}</c><c r=\"B', {r}, '\"><v>', n, '</v></c></row>')"
-    number = Window.partitionBy("prio").orderBy("date")
+    cells = "concat('<row r=\"', r, '\"><c r=\"A', r, '\"{a}</c><c r=\"B', r, '\"><v>', n, '</v></c>', {c}, '</row>')"
 
-    def lines(monthly, first, a):
+    def lines(monthly, first, a, c, by):
+        number = Window.partitionBy("prio").orderBy(F.expr(by))
         d = order_counts(spark, sf_dir, monthly).withColumn("r", F.row_number().over(number) + first)
-        return joined_lines(d, cells.format(r="r", a=a), "date", sep="")
-
-    daily = lines(False, 3, " s=\"1\"><v>', " + serial + ", '</v>").withColumnRenamed("body", "daily")
-    monthly = lines(True, 1, " t=\"inlineStr\"><is><t>', date_format(date, 'dd/MM/yyyy'), '</t></is>").withColumnRenamed("body", "monthly")
+        return joined_lines(d, cells.format(a=a, c=c), "r", sep="")
+
+    day = f"({serial} - if(prio = '4', datediff(date, date'1899-12-30') % 2, 0))"
+    remark = "if(prio = '2', concat('<c r=\"C', r, '\"><v>', 2 * n, '</v></c>'), '')"
+    back = "if(prio = '3', -1, 1) * datediff(date, date'1899-12-30')"
+    daily = lines(False, 3, f" s=\"1\"><v>', {day}, '</v>", remark, back).withColumnRenamed("body", "daily")
+    monthly = lines(True, 1, " t=\"inlineStr\"><is><t>', date_format(date, 'dd/MM/yyyy'), '</t></is>", "''", "date"
+                    ).withColumnRenamed("body", "monthly")
     both = daily.join(monthly, "prio")
     head = '<row r="{r}"><c r="A{r}" t="s"><v>0</v></c><c r="B{r}" t="s"><v>1</v></c>{more}</row>'
     intro = '<row r="1"><c r="A1" t="s"><v>3</v></c></row>' + head.format(r=3, more='<c r="C3" t="s"><v>2</v></c>')
@@ -1141,19 +1146,70 @@ def _zipped(daily: pd.Series, monthly: pd.Series, odd: pd.Series) -> pd.Series:
 _BOOK = "'orders-' || prio || '.xlsx'"
 
 
+_SHEETS = f"""d AS ({_DAILY}), m AS ({_MONTHLY}),
+dd AS (SELECT {_BOOK} AS file, prio, 3 + row_number() OVER (PARTITION BY prio ORDER BY CASE WHEN prio = '3' THEN -1 ELSE 1 END * (date - DATE '1899-12-30')) AS r,
+              CASE WHEN prio = '4' THEN date - CAST((date - DATE '1899-12-30') % 2 AS INTEGER) ELSE date END AS date, n FROM d)"""
+
+
 @register("q_s5_workbooks", f"""
-WITH d AS ({_DAILY}), m AS ({_MONTHLY}), c AS (
-SELECT 'daily' AS sheet, prio, 3 + row_number() OVER (PARTITION BY prio ORDER BY date) AS r, strftime(date, '%Y-%m-%d') AS a, n FROM d
+WITH {_SHEETS}, c AS (
+SELECT 'daily' AS sheet, prio, r, strftime(date, '%Y-%m-%d') AS a, n FROM dd
 UNION ALL SELECT 'monthly' AS sheet, prio, 1 + row_number() OVER (PARTITION BY prio ORDER BY date) AS r, strftime(date, '%d/%m/%Y') AS a, n FROM m),
 p AS (SELECT DISTINCT prio FROM d)
 SELECT {_BOOK} AS file, sheet, CAST(r AS INTEGER) AS row, 1 AS col, a AS value FROM c
 UNION ALL SELECT {_BOOK}, sheet, CAST(r AS INTEGER), 2, CAST(n AS VARCHAR) FROM c
+UNION ALL SELECT {_BOOK}, sheet, CAST(r AS INTEGER), 3, CAST(2 * n AS VARCHAR) FROM c WHERE prio = '2' AND sheet = 'daily'
 UNION ALL SELECT {_BOOK}, v.s, v.r, v.c, v.t FROM p, (VALUES ('daily', 1, 1, 'Orders by day'), ('daily', 3, 1, 'Date'),
   ('daily', 3, 2, 'Orders'), ('daily', 3, 3, 'Remark'), ('monthly', 1, 1, 'Date'), ('monthly', 1, 2, 'Orders')) v(s, r, c, t)""")
 def q_s5_workbooks(spark, sf_dir):
     return srcs.xlsx_cells(workbooks(spark, sf_dir))
 
 
+def indices(spark, sf_dir) -> dict[str, DataFrame]:
+    from riskpanel.plans.compositions import climate_indices
+    return climate_indices(srcs.xlsx_cells(workbooks(spark, sf_dir), "daily"), header_row=3,
+                           rename={"Orders": "orders", "Remark": "remark"})
+
+
+def _smooth_sql(col):
+    frame = "(PARTITION BY file ORDER BY date, r ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({col}) OVER {frame} >= 30 THEN {qs(f'avg({col}) OVER {frame}')} END AS {col}_smooth"
+
+
+_INDICES = f"""WITH {_SHEETS}, t AS (SELECT file, r, date, CAST(n AS DOUBLE) AS orders,
+       CASE WHEN prio = '2' THEN CAST(2 * n AS DOUBLE) END AS remark FROM dd)"""
+
+
+@register("q_x2_indices_table", _INDICES + f"""
+SELECT file, CAST(r AS INTEGER) AS row, date, orders, remark, {_smooth_sql("orders")}, {_smooth_sql("remark")} FROM t""")
+def q_x2_indices_table(spark, sf_dir):
+    return rnd(indices(spark, sf_dir)["table"], ["orders_smooth", "remark_smooth"])
+
+
+@register("q_x2_indices_report", _INDICES + f""",
+per AS (SELECT file, date, count(*) AS k FROM t GROUP BY ALL),
+du AS (SELECT file, CAST(sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS BIGINT) AS dup_rows,
+              CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS dup_dates, CAST(sum(k) - count(*) AS BIGINT) AS extra_copies
+       FROM per GROUP BY 1),
+mo AS (SELECT file, bool_and(coalesce(date >= before, TRUE)) AS monotonic
+       FROM (SELECT *, lag(date) OVER (PARTITION BY file ORDER BY r) AS before FROM t) GROUP BY 1),
+co AS (SELECT file, CASE WHEN count(remark) > 0 THEN 'Orders,Remark' ELSE 'Orders' END AS filled FROM t GROUP BY 1),
+g AS (SELECT file, date, lag(date) OVER (PARTITION BY file ORDER BY date) AS before FROM per),
+g2 AS (SELECT *, CAST(date - before AS INTEGER) AS gap FROM g),
+g3 AS (SELECT *, coalesce(isodow(before) = 5 AND isodow(date) = 1 AND gap = 3, FALSE) AS wk FROM g2),
+ga AS (SELECT file, CAST(sum(CAST(wk AS INT)) AS BIGINT) AS weekend_gaps,
+              CAST(sum(CAST(coalesce(gap > 1 AND NOT wk, FALSE) AS INT)) AS BIGINT) AS unusual_gaps,
+              count(gap) AS count, {qs("avg(gap)")} AS mean, {qs("stddev_samp(gap)")} AS std, CAST(max(gap) AS DOUBLE) AS max FROM g3 GROUP BY 1)
+SELECT file, filled, monotonic, dup_rows, dup_dates, extra_copies, weekend_gaps, unusual_gaps, count, mean, std, max
+FROM co JOIN mo USING (file) JOIN du USING (file) JOIN ga USING (file)""")
+def q_x2_indices_report(spark, sf_dir):
+    """The parts of the report beside the table: filled columns, order, duplicates and gaps of every workbook."""
+    part = indices(spark, sf_dir)
+    gaps = rnd(part["gaps"].select("file", "weekend_gaps", "unusual_gaps", "count", "mean", "std", "max"), ["mean", "std"])
+    columns = part["columns"].select("file", F.array_join("filled", ",").alias("filled"))
+    return columns.join(part["monotonic"], "file").join(part["duplicates"], "file").join(gaps, "file")
+
+
 # ------------------------------------------------------------------ datasets and samples written and read back
 def scratch(spark) -> str:
     import uuid

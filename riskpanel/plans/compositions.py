@@ -10,17 +10,20 @@ from riskpanel.functions.nulls import to_double
 from riskpanel.operators import features as fx
 from riskpanel.operators import quality as qa
 from riskpanel import sources as src
+from riskpanel.session import materialize
 
 
 def climate_indices(cells: DataFrame, *, header_row: int, date_header: str = "Date",
                     date_fmt: str = "dd/MM/yyyy", rename: dict[str, str] | None = None,
                     window: int = 30, key: str = "file") -> dict[str, DataFrame]:
     """Spreadsheet cells -> table -> drop all-null columns (P6) -> date key
-    (F3, day-first) -> numeric coerce and rename (P2, F4) -> drop rows with no
+    (ISO text of date cells, else F3, day-first) -> numeric coerce and rename (P2, F4) -> drop rows with no
     date or no values (P7, P5 'all') -> order check (A21) -> trailing
     ``window``-row means (W5) -> duplicate count (A7) -> gap report (A5, U5).
-    Returns the frames of each report part, all keyed by source file."""
-    t = src.cells_to_table(cells, header_row)
+    Returns the frames of each report part, all keyed by source file. A column
+    stays in the table if any file fills it; ``columns`` names those that a file
+    fills itself. Rows of one date are smoothed in the order of the sheet."""
+    t = materialize(src.cells_to_table(cells, header_row))
     t = fx.drop_all_null_columns(t)
     rename = rename or {}
     vals = [c for c in t.columns if c not in ("file", "sheet", "row", date_header)]
@@ -33,12 +36,13 @@ def climate_indices(cells: DataFrame, *, header_row: int, date_header: str = "Da
     names = [rename.get(c, c) for c in vals]
     out = out.where(F.col("date").isNotNull()).dropna(how="all", subset=names)
     monotonic = qa.is_monotonic(out, "date", keys=[key], arrival="row")
-    smooth = out
+    smooth = out.withColumn("__at", F.struct("date", "row"))
     for c in names:
-        smooth = fx.rolling_mean(smooth, c, f"{c}_smooth", window, keys=[key])
+        smooth = fx.rolling_mean(smooth, c, f"{c}_smooth", window, keys=[key], date_col="__at")
+    columns = fx.filled_columns(t.withColumnRenamed("file", key), vals, keys=[key])
     dups = qa.duplicate_summary(out, keys=[key])
     gaps = qa.gap_report(out.select(key, "date").distinct(), keys=[key])
-    return {"table": smooth, "monotonic": monotonic, "duplicates": dups, "gaps": gaps}
+    return {"table": smooth.drop("__at"), "columns": columns, "monotonic": monotonic, "duplicates": dups, "gaps": gaps}
 
 
 def solar_daily(spark: SparkSession, sunspot_path: str, flux_json_path: str, on: str = "timestamp") -> DataFrame:

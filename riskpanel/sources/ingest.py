@@ -378,11 +378,14 @@ def _sheet_cells(frames):
 
 def cells_to_table(cells: DataFrame, header_row: int, columns: list[str] | None = None) -> DataFrame:
     """Cells -> table: row ``header_row`` (1-based) names the columns,
-    earlier rows (preamble) are skipped, empty columns are absent."""
+    earlier rows (preamble) are skipped, columns without a name are absent.
+    Columns come in the order of their first place in any sheet."""
     hdr = cells.where(F.col("row") == header_row).select("file", "sheet", "col",
                                                           F.trim("value").alias("name"))
-    names = [r["name"] for r in hdr.select("name").distinct().collect() if r["name"]]
-    names = [n for n in (columns or names)]
+    names = columns
+    if names is None:
+        found = hdr.where(F.col("name") != "").groupBy("name").agg(F.min("col").alias("col"))
+        names = [r["name"] for r in found.orderBy("col", "name").collect()]
     body = cells.where(F.col("row") > header_row).join(hdr, ["file", "sheet", "col"])
     wide = body.groupBy("file", "sheet", "row").agg(
         *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])

@@ -306,3 +306,15 @@ def test_workbook_sheets_are_read_apart(spark):
     rest = sorted(tuple(r) for r in cells.where("sheet <> 'long'").collect())
     assert rest == [("f", "bare", 1, 1, "two runs"), ("f", "bare", 1, 2, None), ("f", "bare", 2, 3, "x"), ("f", "bare", 2, 4, "7")]
     assert src.xlsx_cells(files, "bare").count() == 4
+
+
+def test_columns_by_file_and_place(spark):
+    from riskpanel.operators import features as fx
+    cells = spark.createDataFrame(
+        [(f, "s", 1, c, n) for f in "ab" for c, n in enumerate(["z", "", "m", "a"], 1)]
+        + [("a", "s", 2, 1, "1"), ("a", "s", 2, 2, "no name"), ("b", "s", 2, 3, "2"), ("b", "s", 3, 4, "3")],
+        "file string, sheet string, row int, col int, value string")
+    t = src.cells_to_table(cells, 1)
+    assert t.columns == ["file", "sheet", "row", "z", "m", "a"]
+    got = {r["file"]: r["filled"] for r in fx.filled_columns(t, ["z", "m", "a"], keys=["file"]).collect()}
+    assert got == {"a": ["z"], "b": ["m", "a"]}
