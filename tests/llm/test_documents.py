@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import lower_ascii, words
 from pyspark.sql import functions as F
@@ -366,6 +367,67 @@ def test_fit_takes_every_text_once(spark):
     assert all((before[k] != w).any() for k, w in m.weights().items())
 
 
+def test_texts_are_cut_once_for_counts_and_fit(spark):
+    """The ids that the counting pass writes are those of every training text, and a fit on them is that on the texts."""
+    texts = [("Alpha beta, gamma " * (i % 9), i % 5 != 0) for i in range(40)] + [(None, True), ("", True), ("\u00e9\u4e2d x\n\ty", True)]
+    raw = attention_lm._model_bytes(attention_lm.VOCABULARY)
+    pieces = attention_lm.Pieces(raw)
+    df = spark.createDataFrame(texts, "text string, train boolean").coalesce(1)
+    ids = attention_lm.cut_texts(df, raw).where(f"kind = {attention_lm.TEXT}").select("ids")
+    kind = np.min_scalar_type(pieces.size)
+    exp = [[p for w in words(lower_ascii(t or "")) for p in pieces.model.encode(w)] + [pieces.size] for t, train in texts if train]
+    assert sorted(np.frombuffer(r.ids, kind).tolist() for r in ids.collect()) == sorted(exp)
+    to_input, to_class = attention_lm.piece_tables(np.ones(pieces.size + 1), np.ones(pieces.size + 1) > 0)
+    n = int(to_input.max()) + 1
+    got = []
+    for rows in (df.where("train").select("text"), ids):
+        m = attention_lm.Model(to_input, to_class, *attention_lm.pair_tables(np.ones((n, n)), to_input, to_class))
+        got.append(attention_lm.fit_attention(m, rows, raw, 60, steps=1).weights())
+    assert all(np.allclose(got[0][k], got[1][k], atol=1e-4) for k in got[0])
+
+
+def test_attention_steps():
+    """Sums of rows, gradients with exponents known to be small, and steps equal their plain forms."""
+    r = np.random.default_rng(2)
+    for width in (6, 7):
+        index, rows = r.integers(0, 9, 500), r.normal(size=(500, width)).astype(np.float32)
+        exp = np.zeros((9, width))
+        np.add.at(exp, index, rows)
+        assert np.allclose(attention_lm._add_rows((9, width), index, rows), exp, atol=1e-4)
+    to_input, to_class = attention_lm.piece_tables(np.arange(20, 0, -1.0), np.arange(20) % 2 == 0, 18, 8)
+    n = int(to_input.max()) + 1
+    m = attention_lm.Model(to_input, to_class, *attention_lm.pair_tables(np.ones((n, n)), to_input, to_class, 8))
+    seq = r.integers(0, 19, 300).astype(np.int32)
+    tok, target, real = attention_lm.windows(to_input[seq], np.array([0, 1, 90, 300]), m.pad, to_input[-1])
+    cls = to_class[seq][target]
+    assert m.small()
+    adam = attention_lm.Adam(m, 0.5)
+    w = {k: x.astype(np.float64) for k, x in m.weights().items()}
+    mean, var = {k: 0 * x for k, x in w.items()}, {k: 0 * x for k, x in w.items()}
+    for step in range(1, 41):
+        (loss, g), (plain, exp) = attention_lm._gradients(m, tok, cls, real, True), attention_lm._gradients(m, tok, cls, real)
+        assert abs(loss - plain) < 1e-4 and all(np.allclose(g[k], exp[k], atol=1e-5) for k in g)
+        adam.step(tok, cls, real)
+        for k in w:
+            mean[k] += 0.1 * (exp[k] - mean[k])
+            var[k] += 0.02 * (exp[k].astype(np.float64) ** 2 - var[k])
+            rate = {"own": 0.01, "near": 0.03}.get(k, 0.02) * 0.5 * min(1, step / 30)
+            w[k] -= rate * mean[k] / (1 - 0.9 ** step) / (np.sqrt(var[k] / (1 - 0.98 ** step)) + 1e-8)
+            big = np.sqrt(var[k]) > 1e-5  # where rounding does not decide the sign of a step
+            assert np.allclose(m.weights()[k][big], w[k][big], atol=2e-3), k
+
+
+def test_word_cache_in_parts(monkeypatch):
+    """Words met again, and more words than the cache holds, get their own pieces."""
+    monkeypatch.setattr(attention_lm, "CACHE", 8)
+    pieces = attention_lm.Pieces(attention_lm._model_bytes(attention_lm.VOCABULARY))
+    for text in ("one two three two", "three four \u00e9t\u00e9 one \u4e2d\u6587", " ".join(f"word{i}" for i in range(30)), "one word3 two"):
+        block = next(textkit.blocks(pa.array([text, None, text])))
+        _, seq, bounds = attention_lm.sequences(block, pieces)
+        exp = [p for w in text.split() for p in pieces.model.encode(w)] + [pieces.size]
+        assert [seq[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [exp, [pieces.size], exp]
+
+
 def test_attention_context():
     """Every target has at least half a window before it, where the text has as much."""
     bounds = np.array([0, 300])
