@@ -417,6 +417,48 @@ def test_attention_steps():
             assert np.allclose(m.weights()[k][big], w[k][big], atol=2e-3), k
 
 
+def test_attention_exponents():
+    """Tables whose norms are large while no logit is need no look at the greatest ones; logits and scores that leave the
+    range of 32-bit exponentials, above or below, have the gradients and probabilities of 64 bits."""
+    r = np.random.default_rng(3)
+    to_input, to_class = attention_lm.piece_tables(np.arange(20, 0, -1.0), np.arange(20) % 2 == 0, 18, 8)
+    n = int(to_input.max()) + 1
+    seq, bounds = r.integers(0, 19, 300).astype(np.int32), np.array([0, 1, 90, 300])
+
+    def model():
+        return attention_lm.Model(to_input, to_class, *attention_lm.pair_tables(np.ones((n, n)), to_input, to_class, 8))
+
+    m = model()
+    m.v[:, 0] += 60  # the first value meets no output
+    m.out[0] = 0
+    m.v[:, 1:] *= 0.1
+    m.out[1:] *= 30
+    assert m.small()
+    tok, target, real = attention_lm.windows(to_input[seq], bounds, m.pad, to_input[-1])
+    cls = to_class[seq][target]
+    for own, q in ((0, 1), (200, 1), (-200, 1), (0, 400)):
+        m = model()
+        m.own += np.float32(own)
+        m.q *= np.float32(q)
+        wide = model()
+        for k, w in m.weights().items():
+            setattr(wide, k, w.astype(np.float64))
+        (loss, g), (exp_loss, exp) = attention_lm._gradients(m, tok, cls, real), attention_lm._gradients(wide, tok, cls, real)
+        assert abs(loss - exp_loss) < 1e-3 and all(np.allclose(g[k], exp[k], atol=1e-4) for k in g)
+        assert m.small() == (own == 0 and q == 1)
+        assert np.allclose(attention_lm.log_probabilities(m, seq, bounds), attention_lm.log_probabilities(wide, seq, bounds), atol=1e-3)
+
+
+def test_distinct_words():
+    """As numpy.unique, without a sort of all words."""
+    for n in (0, 1, 2000):
+        h = np.random.default_rng(n).integers(0, 200, n).astype(np.uint64) << np.uint64(56)
+        for got, exp in zip(attention_lm._distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert got.tolist() == exp.tolist()
+    raw = attention_lm._model_bytes(attention_lm.VOCABULARY)
+    assert attention_lm._pieces_of(raw) is attention_lm._pieces_of(bytes(raw))
+
+
 def test_word_cache_in_parts(monkeypatch):
     """Words met again, and more words than the cache holds, get their own pieces."""
     monkeypatch.setattr(attention_lm, "CACHE", 8)
